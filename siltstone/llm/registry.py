@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from siltstone.llm.exact_dedup import OP3_SQL, op3_exact_dedup
 from siltstone.llm.simhash_vptree import op9_simhash_vptree
+from siltstone.llm.suffix_dedup import op5_suffix_dedup
 
 QUERIES = {
     "op3_exact_dedup": op3_exact_dedup,
+    "op5_suffix_dedup": op5_suffix_dedup,
     "op9_simhash_vptree": op9_simhash_vptree,
 }
 ORACLE_SQL = {"op3_exact_dedup": OP3_SQL}
