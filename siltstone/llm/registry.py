@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+from siltstone.llm.decontaminate import OP2_SQL, op2_decontaminate
 from siltstone.llm.exact_dedup import OP3_SQL, op3_exact_dedup
 from siltstone.llm.packing import op7_packing
 from siltstone.llm.simhash_vptree import op9_simhash_vptree
 from siltstone.llm.suffix_dedup import op5_suffix_dedup
 
 QUERIES = {
+    "op2_decontaminate": op2_decontaminate,
     "op3_exact_dedup": op3_exact_dedup,
     "op5_suffix_dedup": op5_suffix_dedup,
     "op7_packing": op7_packing,
     "op9_simhash_vptree": op9_simhash_vptree,
 }
-ORACLE_SQL = {"op3_exact_dedup": OP3_SQL}
+ORACLE_SQL = {"op2_decontaminate": OP2_SQL, "op3_exact_dedup": OP3_SQL}
