@@ -5,14 +5,18 @@ from __future__ import annotations
 from siltstone.llm.decontaminate import OP2_SQL, op2_decontaminate
 from siltstone.llm.exact_dedup import OP3_SQL, op3_exact_dedup
 from siltstone.llm.packing import op7_packing
+from siltstone.llm.quality import op4_quality_qda
 from siltstone.llm.simhash_vptree import op9_simhash_vptree
 from siltstone.llm.suffix_dedup import op5_suffix_dedup
+from siltstone.llm.toxicity import op10_toxicity_weak
 
 QUERIES = {
     "op2_decontaminate": op2_decontaminate,
     "op3_exact_dedup": op3_exact_dedup,
+    "op4_quality_qda": op4_quality_qda,
     "op5_suffix_dedup": op5_suffix_dedup,
     "op7_packing": op7_packing,
     "op9_simhash_vptree": op9_simhash_vptree,
+    "op10_toxicity_weak": op10_toxicity_weak,
 }
 ORACLE_SQL = {"op2_decontaminate": OP2_SQL, "op3_exact_dedup": OP3_SQL}
