@@ -75,10 +75,10 @@ def features(votes: np.ndarray, hits: np.ndarray, words: np.ndarray) -> np.ndarr
     return np.column_stack([votes.astype(float), np.log1p(hits), np.log1p(1000.0 * hits / np.maximum(words, 1)), votes.any(axis=1), np.ones(len(votes))])
 
 
-def label_model(votes: np.ndarray, start: np.ndarray, prior: float, rounds: int = 12, strength: float = 50.0):
+def label_model(votes: np.ndarray, start: np.ndarray, prior: float, label: np.ndarray, trust: float = 0.97, rounds: int = 12, strength: float = 50.0):
     """Posterior of class 1 for each row of votes, the voters' rates in both classes and their correlations.
 
-    ``start`` (2 x voters) holds the rates to begin with; ``strength`` rows of them stay in each update.  Votes that
+    The rows' own labels are one more voter, right with probability ``trust``.  ``start`` (2 x voters) holds the rates to begin with; ``strength`` rows of them stay in each update.  Votes that
     were cast together are divided by one plus what they correlate within the classes (their design effect), and so
     are those that were not cast: one voter alone has its full say, ten that always agree have little more than one.
     """
@@ -87,10 +87,11 @@ def label_model(votes: np.ndarray, start: np.ndarray, prior: float, rounds: int
     rates, rho = start.copy(), np.zeros((k, k))
     r = np.full(len(v), prior)
     cast = np.maximum(v.sum(axis=1), 1)
+    base = np.log(prior / (1 - prior)) + np.where(label == 1, 1, -1) * np.log(trust / (1 - trust))
     for _ in range(rounds if len(v) else 0):
         yes, no = np.log(rates[1] / rates[0]), np.log((1 - rates[1]) / (1 - rates[0])) / (1 + rho.sum(axis=1))
         together = 1 + ((v @ rho) * v).sum(axis=1) / cast
-        r = 1 / (1 + np.exp(-np.clip(np.log(prior / (1 - prior)) + v @ yes / together + (1 - v) @ no, -30, 30)))
+        r = 1 / (1 + np.exp(-np.clip(base + v @ yes / together + (1 - v) @ no, -30, 30)))
         fresh = np.zeros((k, k))
         for y, weight in ((0, 1 - r), (1, r)):
             total = weight.sum()
@@ -213,7 +214,7 @@ def fit(labelled: DataFrame, voters: int = 200, candidates: int = 20_000, odds:
     start = np.stack([(votes[label == y].sum(axis=0) + 0.5 * (1 + y)) / ((label == y).sum() + 10) for y in (0, 1)])
     start = np.clip(start, 1e-5, 1 - 1e-5)
     prior = float(np.clip((n_toxic + 1) / (n_toxic + n_clean + 2), 0.01, 0.99))
-    posterior, _, _ = label_model(votes, start, prior)
+    posterior, _, _ = label_model(votes, start, prior, label)
     x = features(votes, hits, words)
     return Toxicity(own, linear_model(x, posterior) if len(x) else np.zeros(x.shape[1]))
 
