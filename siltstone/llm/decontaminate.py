@@ -135,7 +135,7 @@ def _blocks(benchmark: DataFrame, item_col: str, text_col: str, block_words: int
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", n: int = 10, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """One row for each row of ``docs``: ``doc_id, n_words, spans (flat word starts and ends of what is hit), items (sorted ids), n_hit, contaminated``.
+    """One row for each row of ``docs``: ``doc_id, row_key (xxhash64 of the text), n_words, spans (flat word starts and ends of what is hit), items (sorted ids), n_hit, contaminated``.
 
     Words are ASCII case folded and cut at all other ASCII signs.  A window is ``n`` consecutive words of an item; an
     item of fewer words, but not none, is one window.  A word inside any occurrence of a window is hit.
@@ -157,9 +157,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
         # Repeated rows (same id and text) come together here and are counted, so that each is returned.
         blocks = found.groupBy("doc_id", "row_key").agg(F.first("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
         copies = d.groupBy("doc_id", "row_key").count()
-        found = blocks.join(copies, blocks.doc_id.eqNullSafe(copies.doc_id) & (blocks.row_key == copies.row_key)).select(blocks.doc_id, "n_words", F.expr(_MERGED).alias("spans"), "items", F.explode(F.sequence(F.lit(1), F.col("count"))).alias("copy"))
+        found = blocks.join(copies, blocks.doc_id.eqNullSafe(copies.doc_id) & (blocks.row_key == copies.row_key)).select(blocks.doc_id, blocks.row_key, "n_words", F.expr(_MERGED).alias("spans"), "items", F.explode(F.sequence(F.lit(1), F.col("count"))).alias("copy"))
     hit = F.aggregate(F.transform("spans", lambda x, i: F.when(i % 2 == 0, -x).otherwise(x)), F.lit(0).cast("long"), lambda a, x: a + x)
-    return found.select("doc_id", "n_words", "spans", "items", hit.alias("n_hit")).withColumn("contaminated", F.col("n_hit") > 0)
+    return found.select("doc_id", "row_key", "n_words", "spans", "items", hit.alias("n_hit")).withColumn("contaminated", F.col("n_hit") > 0)
 
 
 #: Spans of several blocks as one flat list without overlaps.

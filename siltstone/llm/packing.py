@@ -199,7 +199,7 @@ def _pack_ranges(size: int, with_ids: bool):
             for doc, ids in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 tokens = np.frombuffer(ids.as_buffer(), "<u2")
                 packer.add(doc, 0, len(tokens), tokens)
-                yield from packer.take(4096)
+                yield from packer.take(1024)
         packer.rows += [packer.row(p, part) for p in packer.open]
         yield from packer.take()
 
