@@ -61,7 +61,8 @@ def retry_after_seconds(value: Column, now: Column) -> Column:
     number = F.when(v.rlike(r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"), v.try_cast("double"))
     date = F.try_to_timestamp(F.regexp_extract(v, r"^[A-Za-z]{3}, ([0-9]{2} [A-Za-z]{3} [0-9]{4} [0-9:]{8}) GMT$", 1), F.lit("dd MMM yyyy HH:mm:ss"))
     until = (F.unix_micros(date) - F.unix_micros(now)) / 1e6
-    return F.when(value.isNull() | (v == ""), F.lit(None)).otherwise(F.greatest(F.lit(0.0), F.coalesce(number, until)))
+    asked = F.coalesce(number, until)
+    return F.when(asked.isNotNull(), F.greatest(F.lit(0.0), asked))
 
 
 def suspension(value: Column, now: Column, max_delay: Column, cap: float = SUSPENSION_CAP) -> Column:

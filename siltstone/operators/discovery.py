@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siltstone.functions import schedule, urls
+from siltstone.staging import staged
 
 CHILD_SITEMAPS = 10_000  # fetches of one run, a politeness bound of the feature
 
@@ -99,15 +100,17 @@ def robots_allows(body: pd.Series, agent: pd.Series, url: pd.Series) -> pd.Serie
 def walk(links: DataFrame, seeds: DataFrame, max_depth: int, max_nodes: int | None = None) -> DataFrame:
     """Breadth-first reach over ``links(src, dst)`` from ``seeds(node)``: ``node, depth``.
 
-    Each level is one join and one anti-join against what was seen.  ``max_nodes`` is the run's page budget; within the
+    Each level is one join and one anti-join against what was seen, and is staged, so plans don't grow with the depth.  ``max_nodes`` is the run's page budget; within the
     level where it runs out, nodes go in order of their names.
     """
     edges = links.select("src", "dst").distinct()
-    seen = seeds.select(F.col("node")).distinct().withColumn("depth", F.lit(0))
-    level = seen
+    seen = level = staged(seeds.select(F.col("node")).distinct().withColumn("depth", F.lit(0)), "walk")
     for depth in range(1, max_depth + 1):
-        level = edges.join(level.select(F.col("node").alias("src")), "src").select(F.col("dst").alias("node")).distinct().join(seen.select("node"), "node", "left_anti").withColumn("depth", F.lit(depth))
-        seen = seen.unionByName(level).checkpoint() if depth % 4 == 0 else seen.unionByName(level)
+        fresh = edges.join(level.select(F.col("node").alias("src")), "src").select(F.col("dst").alias("node")).distinct().join(seen.select("node"), "node", "left_anti").withColumn("depth", F.lit(depth))
+        level = staged(fresh, "walk")
+        if level.isEmpty():
+            break
+        seen = seen.unionByName(level)
     return seen if max_nodes is None else seen.orderBy("depth", "node").limit(max_nodes)
 
 

@@ -37,10 +37,10 @@ SCHEMA = T.StructType(
 RENDERED = [f.name for f in SCHEMA.fields[9:]]
 
 
-def conform(df: DataFrame) -> DataFrame:
-    """All manifest columns in order; those an older snapshot lacks get their defaults."""
+def conform(df: DataFrame, *more: str) -> DataFrame:
+    """All manifest columns in order, and ``more``; those an older snapshot lacks get their defaults."""
     defaults = {"retry_count": F.lit(0), "discovery_source": F.array().cast("array<string>")}
-    return df.select(*[(F.col(f.name) if f.name in df.columns else defaults.get(f.name, F.lit(None))).cast(f.dataType).alias(f.name) for f in SCHEMA.fields])
+    return df.select(*[(F.col(f.name) if f.name in df.columns else defaults.get(f.name, F.lit(None))).cast(f.dataType).alias(f.name) for f in SCHEMA.fields], *more)
 
 
 def _union(a: Column, b: Column) -> Column:
@@ -100,7 +100,7 @@ def rekey(manifest: DataFrame, moves: DataFrame) -> DataFrame:
 
     Several moves to one target merge in the order of their old URLs, the last giving what isn't merged.
     """
-    fresh = conform(moves).withColumn("old_url", moves["old_url"]) if "old_url" in moves.columns else moves
+    fresh = conform(moves, "old_url")
     rest = [f.name for f in SCHEMA.fields if f.name not in KEY]
     one = fresh.groupBy(*KEY).agg(F.max_by(F.struct(*rest), "old_url").alias("r"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("discovery_source")))).alias("s"), F.min("first_seen_at").alias("f"), F.max("last_seen_at").alias("l"))
     target = conform(manifest).select(*KEY, F.col("discovery_source").alias("os"), F.col("first_seen_at").alias("of"), F.col("last_seen_at").alias("ol"))
