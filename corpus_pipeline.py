@@ -14,7 +14,7 @@ from siltstone.llm.common import staged, table
 from siltstone.llm.decontaminate import contamination
 from siltstone.llm.exact_dedup import exact_duplicates
 from siltstone.llm.packing import pack
-from siltstone.llm.quality import fit_quality, score
+from siltstone.llm.quality import fit_quality, measure, score
 from siltstone.llm.simhash_vptree import near_duplicates
 
 ORACLE_SQL = None
@@ -31,7 +31,7 @@ def _one_each(docs: DataFrame, ids: DataFrame, doc_id: str, sha: str) -> DataFra
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows whose quality score is at least one half; repeated rows are judged alike, null texts as empty ones."""
-    model = fit_quality(docs, table(spark, sf_dir, "labels"))
+    model = fit_quality(measure(docs), table(spark, sf_dir, "labels"))
     return score(docs, model, keep=docs.columns, name="__score").filter("__score >= 0.5").select(*docs.columns)
 
 

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siltstone.llm.common import table, text_slices
+from siltstone.llm.common import staged, table, text_slices
 
 STATISTICS = ("log_words", "upper", "digit", "stops", "symbol", "word_length", "variety", "pair_variety", "doubled", "top_word", "line_copies", "short", "bar", "spread")
 PRIOR = 20  # words of ordinary prose that each text is taken to have besides its own, so that short texts aren't extreme
@@ -93,25 +93,39 @@ class Discriminant:
         return 1 / (1 + np.exp(-np.clip((log[1] - log[0]) / self.temper, -30, 30)))
 
 
+def _measure(batches):
+    for whole in batches:
+        for batch in text_slices(whole, 1, 4 << 20):
+            x = [statistics(t or "") for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(x, pa.list_(pa.float64()))], names=["doc_id", "x"])
+
+
+def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``(doc_id, x)``: the statistics of each row's text."""
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).mapInArrow(_measure, "doc_id long, x array<double>")
+
+
+def _rows_of(column) -> np.ndarray:
+    return np.array(column.to_pylist(), np.float64).reshape(-1, len(STATISTICS))
+
+
 def _moments(batches):
     dims = len(STATISTICS)
     sums = {0: [0.0, np.zeros(dims), np.zeros((dims, dims))], 1: [0.0, np.zeros(dims), np.zeros((dims, dims))]}
-    for whole in batches:
-        for batch in text_slices(whole, 0, 4 << 20):
-            x = np.array([statistics(t or "") for t in batch.column(0).to_pylist()])
-            y = batch.column(1).to_numpy()
-            for k, s in sums.items():
-                own = x[y == k]
-                s[0] += len(own)
-                s[1] += own.sum(axis=0)
-                s[2] += own.T @ own
+    for batch in batches:
+        x, y = _rows_of(batch.column(0)), batch.column(1).to_numpy()
+        for k, s in sums.items():
+            own = x[y == k]
+            s[0] += len(own)
+            s[1] += own.sum(axis=0)
+            s[2] += own.T @ own
     flat = [[float(s[0]), *s[1].tolist(), *s[2].ravel().tolist()] for s in sums.values()]
     yield pa.RecordBatch.from_arrays([pa.array([0, 1], pa.int64()), pa.array(flat, pa.list_(pa.float64()))], names=["label", "sums"])
 
 
-def fit(labelled: DataFrame, text_col: str = "text", label_col: str = "label") -> Discriminant:
-    """Fit on all rows whose label is 0 or 1; others are left out.  Without any labelled row every score is one half."""
-    rows = labelled.select(F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), F.col(label_col).cast("long").alias("label")).filter("label in (0, 1)")
+def fit(measured: DataFrame, label_col: str = "label") -> Discriminant:
+    """Fit on all rows of statistics ``x`` whose label is 0 or 1.  Without any such row every score is one half."""
+    rows = measured.select("x", F.col(label_col).cast("long").alias("label")).filter("label in (0, 1)")
     parts = rows.mapInArrow(_moments, "label long, sums array<double>")
     width = 1 + len(STATISTICS) + len(STATISTICS) ** 2
     summed = parts.groupBy("label").agg(F.array(*[F.sum(F.col("sums")[i]) for i in range(width)]).alias("sums")).collect()  # two rows
@@ -121,6 +135,20 @@ def fit(labelled: DataFrame, text_col: str = "text", label_col: str = "label") -
     return Discriminant([(float(v[0]), v[1 : 1 + d], v[1 + d :].reshape(d, d)) for v in (got.get(0, zero), got.get(1, zero))])
 
 
+def _score_measured(held):
+    def run(batches):
+        model = held.value
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(model.scores(_rows_of(batch.column(1))))], names=["doc_id", "score"])
+
+    return run
+
+
+def score_measured(measured: DataFrame, model: Discriminant) -> DataFrame:
+    """``(doc_id, score)`` from statistics."""
+    return measured.select("doc_id", "x").mapInArrow(_score_measured(measured.sparkSession.sparkContext.broadcast(model)), "doc_id long, score double")
+
+
 def _scores(held, at: int, schema: pa.Schema):
     def run(batches):
         model = held.value
@@ -146,23 +174,19 @@ def fold(doc_id: Column, folds: int) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % folds
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, label: str, in_training: Column) -> DataFrame:
-    """``(text, label)`` of labelled rows in the training folds.
-
-    A document with several label rows counts once, with the larger label; null ids and labels train nothing.
-    """
+def training_labels(labels: DataFrame, label: str, in_training: Column) -> DataFrame:
+    """``(doc_id, label)`` in the training folds: one row for each id, with the larger label; null ids and labels train nothing."""
     y = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("long").alias("label")).filter("label in (0, 1)").filter(in_training)
-    y = y.groupBy("doc_id").agg(F.max("label").alias("label"))
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter(in_training).join(y, "doc_id").select("text", "label")
+    return y.groupBy("doc_id").agg(F.max("label").alias("label"))
 
 
-def fit_quality(docs: DataFrame, labels: DataFrame) -> Discriminant:
-    """The model of ``labels.quality``, from all folds but that with crc32(doc_id) mod 3 = 1."""
-    return fit(training_rows(docs, labels, "quality", fold(F.col("doc_id"), 3) != 1))
+def fit_quality(measured: DataFrame, labels: DataFrame) -> Discriminant:
+    """The model of ``labels.quality``, from all folds but that with crc32(doc_id) mod 3 = 1; statistics alone are moved, not texts."""
+    return fit(measured.join(training_labels(labels, "quality", fold(F.col("doc_id"), 3) != 1), "doc_id"))
 
 
 def op4_quality_qda(spark, sf_dir: str) -> DataFrame:
     """Every row of ``documents``; repeated rows are scored alike, null texts as empty ones, null ids are not held out."""
-    docs = table(spark, sf_dir, "documents")
-    out = score(docs, fit_quality(docs, table(spark, sf_dir, "labels")))
+    measured = staged(measure(table(spark, sf_dir, "documents")), "statistics")
+    out = score_measured(measured, fit_quality(measured, table(spark, sf_dir, "labels")))
     return out.select("doc_id", F.coalesce(fold(F.col("doc_id"), 3) == 1, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
