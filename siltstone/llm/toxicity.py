@@ -17,9 +17,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siltstone.llm.common import byte_texts, table, text_slices
+from siltstone.llm.common import byte_texts, staged, table, text_slices
 from siltstone.llm.decontaminate import words_of
-from siltstone.llm.quality import fold, training_rows
+from siltstone.llm.quality import fold, training_labels
 
 SHORT, LONG = 4, 9  # bytes of the word beginnings that may vote
 OFTEN = 3  # words with a mark from which its second voter votes
@@ -188,12 +188,11 @@ def choose_marks(toxic: dict[bytes, int], clean: dict[bytes, int], n_toxic: int,
     return chosen
 
 
-def fit(labelled: DataFrame, voters: int = 200, candidates: int = 20_000, odds: float = 3.0, sample_rows: int = 100_000) -> Toxicity:
-    """Fit on ``(text, label)``; marks are counted over all rows.
+def fit(labelled: DataFrame, voters: int = 200, candidates: int = 20_000, odds: float = 3.0) -> Toxicity:
+    """Fit on the rows of ``(text, label)``, which the driver takes the votes of (some 30 bytes a row); see ``training_sample``.
 
     ``candidates`` bounds the marks whose clean texts are counted (the most frequent in toxic ones, in at least three),
-    ``voters`` those that vote, and ``sample_rows`` the rows whose votes (some 30 bytes each) the driver fits on, in
-    the order of a hash.  Without toxic or clean rows, the general voters and even rates are all there is.
+    ``voters`` those that vote.  Without toxic or clean rows, the general voters and even rates are all there is.
     """
     sc = labelled.sparkSession.sparkContext
     rows = labelled.select("text", "label")
@@ -205,8 +204,7 @@ def fit(labelled: DataFrame, voters: int = 200, candidates: int = 20_000, odds:
     clean = rows.filter("label = 0").mapInArrow(_count(0, sc.broadcast(frozenset(toxic))), ddl).groupBy("mark").agg(F.sum("n").alias("n")).collect() if toxic else []
     clean = {bytes(r.mark): r.n for r in clean}
     own = Voters(choose_marks(toxic, clean, n_toxic, n_clean, voters, odds))
-    drawn = rows.orderBy(F.xxhash64("text"), "label").limit(sample_rows).select("text", "label") if n_toxic + n_clean > sample_rows else rows
-    cast = drawn.mapInArrow(_cast_votes(sc.broadcast(own)), "label long, votes binary, hits long, words long").collect()
+    cast = rows.mapInArrow(_cast_votes(sc.broadcast(own)), "label long, votes binary, hits long, words long").collect()
     k = len(own.names)
     votes = np.array([np.unpackbits(np.frombuffer(r.votes, np.uint8))[:k] for r in cast], bool).reshape(-1, k)
     hits, words = np.array([r.hits for r in cast], np.int64), np.array([r.words for r in cast], np.int64)
@@ -237,10 +235,19 @@ def score(docs: DataFrame, model: Toxicity, id_col: str = "doc_id", text_col: st
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).mapInArrow(_scores(held), "doc_id long, score double")
 
 
+def training_sample(docs: DataFrame, labels: DataFrame, sample_rows: int = 60_000) -> DataFrame:
+    """``(text, label)`` of at most ``sample_rows`` labelled documents, from all folds but that with crc32(doc_id) mod 5 = 0.
+
+    The bound holds for the labels that train, in the order of a hash of their ids, and so for what is broadcast to
+    find their texts (16 bytes a row); scores cover all documents.
+    """
+    drawn = training_labels(labels, "toxic", fold(F.col("doc_id"), 5) != 0).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
+    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    return staged(d.join(F.broadcast(drawn), "doc_id").select("text", "label"), "labelled")
+
+
 def fit_toxicity(docs: DataFrame, labels: DataFrame) -> Toxicity:
-    """The model of ``labels.toxic``, from all folds but that with crc32(doc_id) mod 5 = 0."""
-    rows = training_rows(docs, labels, "toxic", fold(F.col("doc_id"), 5) != 0)
-    return fit(rows.select(F.coalesce("text", F.lit("")).alias("text"), "label"))
+    return fit(training_sample(docs, labels))
 
 
 def op10_toxicity_weak(spark, sf_dir: str) -> DataFrame:
