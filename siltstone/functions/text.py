@@ -103,7 +103,7 @@ def sse_blocks(body: Column) -> Column:
         def of(name: str) -> Column:
             return F.transform(F.filter(lines, lambda x: x.startswith(name + ":")), lambda x: F.regexp_replace(F.substring(x, len(name) + 2, 1 << 30), "^ ", ""))
 
-        return F.struct(F.coalesce(F.nullif(F.trim(F.element_at(of("event"), -1)), F.lit("")), F.lit("message")).alias("event"), F.array_join(of("data"), "\n").alias("data"))
+        return F.struct(F.coalesce(F.nullif(F.trim(F.try_element_at(of("event"), F.lit(-1))), F.lit("")), F.lit("message")).alias("event"), F.array_join(of("data"), "\n").alias("data"))
 
     whole = F.filter(blocks, lambda b: F.exists(F.split(b, "\n", -1), lambda x: x.startswith("data:")))
     return F.transform(whole, block)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from siltstone.functions import schedule, text, urls
 from siltstone.operators import discovery, manifest
+from siltstone.staging import staged
 
 
 def with_decision(records: DataFrame, now: Column, trust_lastmod: Column, audit_days: Column, force: bool = False, retry_when_due: bool = False) -> DataFrame:
@@ -94,7 +95,7 @@ def fold(outcome_rows: DataFrame, now: Column, bump_version_on_confirm: bool = F
 
 def apply(current: DataFrame, outcome_rows: DataFrame, now: Column) -> DataFrame:
     """The manifest after a run: records replaced, redirected ones moved and merged."""
-    folded = fold(outcome_rows, now)
+    folded = staged(fold(outcome_rows, now), "folded")
     kept = manifest.save(current, folded.filter("old_url is null").drop("old_url"))
     return manifest.rekey(kept, folded.filter("old_url is not null"))
 

@@ -71,7 +71,7 @@ def _search(held, k: int, metric: str):
                 d = 1 - (q / np.linalg.norm(q, axis=1, keepdims=True)) @ (x / np.linalg.norm(x, axis=1, keepdims=True)).T
             else:
                 d = np.sqrt(np.maximum(((q[:, None, :] - x[None, :, :]) ** 2).sum(-1) if len(q) * x.size < 1 << 22 else (q**2).sum(1)[:, None] + (x**2).sum(1)[None] - 2 * q @ x.T, 0))
-            d = np.round(d, 6)
+            d = np.round(d, 6) + 0.0  # no negative zero
             best_d = np.concatenate([best_d, d], axis=1)
             best_i = np.concatenate([best_i, np.broadcast_to(ids, d.shape)], axis=1)
             order = np.lexsort((best_i, best_d), axis=1)[:, :k]
