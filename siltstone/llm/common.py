@@ -2,39 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
-def shared_root(spark: SparkSession) -> str:
-    """Folder that the driver and all executors share (``spark.checkpoint.dir``).
-
-    A folder of our own is used only where the cluster names none, as in tests.
-    """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        held = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if held.isDefined():
-            return held.get()
-        root = "file://" + tempfile.mkdtemp(prefix="siltstone-")
-        spark.sparkContext.setCheckpointDir(root)
-    return root
-
-
-def staged(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it again.
-
-    This cuts the lineage: a lost executor costs a re-read of files, not a re-run of what made them.
-    """
-    spark = df.sparkSession
-    path = f"{shared_root(spark).rstrip('/')}/siltstone-{label}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+from siltstone.staging import shared_root, staged  # noqa: F401  used through this module
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
