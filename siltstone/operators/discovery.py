@@ -8,6 +8,7 @@ from collections.abc import Sequence
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from siltstone.functions import schedule, urls
 from siltstone.staging import staged
@@ -61,12 +62,16 @@ def parse_sitemaps(bodies: DataFrame, body_col: str = "body") -> DataFrame:
     return df.withColumn("kind", kind).withColumn("entries", F.when(F.col("kind") == "urlset", entries).otherwise(F.array().cast("array<struct<loc:string,lastmod:timestamp>>"))).drop("__x")
 
 
+# Types and not text, so that the module can be imported before there is a session.
+ROBOTS = T.StructType([T.StructField("crawl_delay", T.DoubleType()), T.StructField("sitemap_urls", T.ArrayType(T.StringType()))])
+
+
 def classify_response(status: Column, error: Column) -> Column:
     """What a fetch of robots rules says: ok, no_rules, suspended or unreachable."""
     return F.when(F.coalesce(error, F.lit(False)) | status.isNull(), "unreachable").when(status == 404, "no_rules").when(status.isin(*schedule.SUSPENDING_STATUSES), "suspended").when(status >= 400, "unreachable").otherwise("ok")
 
 
-@F.pandas_udf("crawl_delay double, sitemap_urls array<string>")
+@F.pandas_udf(ROBOTS)
 def parse_robots(body: pd.Series, agent: pd.Series) -> pd.DataFrame:
     """Crawl delay of the agent's own stanza, or of the wildcard's if that is absent or zero, and the sitemaps."""
     rows = []
@@ -81,7 +86,7 @@ def parse_robots(body: pd.Series, agent: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["crawl_delay", "sitemap_urls"])
 
 
-@F.pandas_udf("boolean")
+@F.pandas_udf(T.BooleanType())
 def robots_allows(body: pd.Series, agent: pd.Series, url: pd.Series) -> pd.Series:
     """Whether the rules let the agent fetch the URL; without rules everything is allowed."""
     held: dict = {}

@@ -22,7 +22,7 @@ USER_TEMPLATE = (
 
 def echo_generator(prompts: list[str]) -> list[list[str]]:
     """Stand-in for a language model: the prompt's question, word by word."""
-    return [[w + " " for w in p.rsplit("Question:", 1)[-1].split()] for p in prompts]
+    return [[w + " " for w in p.rsplit("Question:", 1)[-1].rsplit("Answer:", 1)[0].split()] for p in prompts]
 
 
 def contexts(hits: DataFrame, query_id: str = "query_id") -> DataFrame:

@@ -5,11 +5,15 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 _HEAD = r"(?s)^---[ \t]*\r?\n(.*?)\r?\n---[ \t]*(?:\r?\n|$)(.*)$"
 
 
-@F.pandas_udf("struct<metadata:map<string,string>,content:string>")
+PARSED = T.StructType([T.StructField("metadata", T.MapType(T.StringType(), T.StringType())), T.StructField("content", T.StringType())])
+
+
+@F.pandas_udf(PARSED)
 def parse(raw: pd.Series) -> pd.DataFrame:
     """Head and body of each file, the body stripped; a file without a head is all body, a broken head gives nothing."""
     import re
