@@ -30,6 +30,7 @@ KGRAM = 20
 SLICE = 1 << 20  # bytes hashed at a time
 BATCH = 16 << 20  # bytes of text whose segments are collapsed together
 GROUP = 2 << 20  # bytes of segments in one suffix array, where anchors allow it
+HOT = 2048  # different segments of an anchor from which its windows are dealt out one by one
 
 _MULT = 0x9E3779B97F4A7C15
 
@@ -176,18 +177,19 @@ _OUT = pa.schema([("doc_id", pa.int64()), ("lo", pa.int64()), ("hi", pa.int64())
 _OUT_DDL = "doc_id long, lo long, hi long, key long, marks binary"
 
 
-def _same_segments(length: int):
+def _same_segments(length: int, hot: int):
     """Over rows sorted by (key, seg, doc_id, place): marks for all but the earliest of equal segments, and the segments whose anchor has others (with their key)."""
 
     def settle(key, seg, doc, place):
         first = np.ones(len(key), bool)
         first[1:] = (key[1:] != key[:-1]) | (seg[1:] != seg[:-1])
         group = np.concatenate([[0], np.cumsum(key[1:] != key[:-1])])
-        several = (np.bincount(group, weights=first) > 1)[group]
+        distinct = np.bincount(group, weights=first)[group]
+        several = distinct > 1
         take = ~first | several
         lo = place >> _SHIFT
         hi = lo + (place & ((1 << _SHIFT) - 1)) + length - 1
-        return pa.RecordBatch.from_arrays([pa.array(doc[take]), pa.array(lo[take]), pa.array(hi[take]), pa.array(key[take], mask=~first[take]), pa.nulls(int(take.sum()), pa.binary())], schema=_OUT)
+        return pa.RecordBatch.from_arrays([pa.array(doc[take]), pa.array(lo[take]), pa.array(hi[take]), pa.array(key[take], mask=~first[take]), pa.array([b"" if h else None for h in (first & (distinct > hot))[take]], pa.binary())], schema=_OUT)
 
     def run(batches):
         rest = None
@@ -214,21 +216,33 @@ def _same_segments(length: int):
     return run
 
 
-def _fetch():
-    """The bytes of the segments asked for, from their whole texts."""
+def _fetch(length: int):
+    """The bytes of the segments asked for, from their whole texts.
+
+    Segments of a hot anchor (the border of a passage that very many texts share, with other words beside it in each)
+    are taken apart into windows, each with its own hash as key; of equal windows in a batch the earliest goes on and
+    the others are marked at once (no bytes), so that no key collects more than a row for each batch.
+    """
     schema = pa.schema([("key", pa.int64()), ("doc_id", pa.int64()), ("lo", pa.int64()), ("bytes", pa.binary())])
 
     def run(batches):
         for whole in batches:
             for batch in text_slices(whole, 1, BATCH):
-                keys, docs, los, out = [], [], [], []
-                for doc, text, asked in zip(batch.column(0).to_pylist(), byte_texts(batch, 1), batch.column(2).to_pylist(), strict=True):
-                    for x in asked:
-                        keys.append(x["key"])
-                        docs.append(doc)
-                        los.append(x["lo"])
-                        out.append(text[x["lo"] : x["hi"]])
-                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(docs, pa.int64()), pa.array(los, pa.int64()), pa.array(out, pa.binary())], schema=schema)
+                rows, first = [], {}
+                for doc, text, asked in sorted(zip(batch.column(0).to_pylist(), byte_texts(batch, 1), batch.column(2).to_pylist(), strict=True), key=lambda r: r[0]):
+                    for x in sorted(asked, key=lambda x: x["lo"]):
+                        if not x["hot"]:
+                            rows.append((x["key"], doc, x["lo"], text[x["lo"] : x["hi"]]))
+                            continue
+                        for at in range(x["lo"], x["hi"] - length + 1):
+                            window = text[at : at + length]
+                            if window in first:
+                                rows.append((at * 7919 + doc, doc, at, None))
+                            else:
+                                first[window] = True
+                                rows.append((int.from_bytes(hashlib.blake2b(window, digest_size=8).digest(), "little", signed=True), doc, at, window))
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), schema.types, strict=True)], schema=schema)
 
     return run
 
@@ -364,7 +378,14 @@ def _suffix_groups(length: int):
     def run(batches):
         rest = None
         for whole in batches:
-            for batch in text_slices(whole, 3, GROUP):
+            for part in text_slices(whole, 3, GROUP):
+                marked = part.filter(part.column(3).is_null())
+                if marked.num_rows:
+                    n, lo = marked.num_rows, marked.column(2).to_numpy()
+                    yield pa.RecordBatch.from_arrays([marked.column(1), pa.array(lo), pa.array(lo + length), pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary())], schema=_OUT)
+                batch = part.filter(part.column(3).is_valid())
+                if not batch.num_rows:
+                    continue
                 now = [*(batch.column(i).to_numpy() for i in range(3)), batch.column(3).to_pylist()]
                 if rest is not None:
                     now = [*(np.concatenate(x) for x in zip(rest[:3], now[:3], strict=True)), rest[3] + now[3]]
@@ -400,31 +421,33 @@ def _cut():
     return run
 
 
-def repeated_spans(d: DataFrame, length: int) -> DataFrame:
+def repeated_spans(d: DataFrame, length: int, hot: int = HOT) -> DataFrame:
     """Marks ``(doc_id, lo, hi, marks)`` in bytes for ``(doc_id, text)`` with unique ids; marks may overlap."""
     if length - KGRAM + 1 >= 1 << _SHIFT or length < 2 * KGRAM:
         raise ValueError(f"length: {length}")
     seg = d.filter(F.octet_length("text") >= length).mapInArrow(_map_segments(length), _SEG_DDL)
     dealt = seg.repartition("key").sortWithinPartitions("key", "seg", "doc_id", "place")
-    found = staged(dealt.mapInArrow(_same_segments(length), _OUT_DDL), "segments")
-    asked = found.filter("key is not null").groupBy("doc_id").agg(F.collect_list(F.struct("key", "lo", "hi")).alias("asked"))
-    fetched = d.join(asked, "doc_id").select("doc_id", "text", "asked").mapInArrow(_fetch(), "key long, doc_id long, lo long, bytes binary")
+    found = staged(dealt.mapInArrow(_same_segments(length, hot), _OUT_DDL), "segments")
+    asked = found.filter("key is not null").groupBy("doc_id").agg(F.collect_list(F.struct("key", "lo", "hi", F.col("marks").isNotNull().alias("hot"))).alias("asked"))
+    fetched = d.join(asked, "doc_id").select("doc_id", "text", "asked").mapInArrow(_fetch(length), "key long, doc_id long, lo long, bytes binary")
     borders = fetched.repartition("key").sortWithinPartitions("key").mapInArrow(_suffix_groups(length), _OUT_DDL)
     return found.filter("key is null").unionByName(borders).drop("key")
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 100) -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 100, hot: int = HOT) -> DataFrame:
     """One row for each id: ``doc_id, n_bytes, n_removed, n_spans, kept (binary), spans (flat list of byte starts and ends)``.
 
     A byte goes if it is covered by ``length`` bytes that also start earlier: in a text with a smaller id, or earlier
     in the same text; overlapping occurrences count.  Strings are judged on the input and never cross texts.
 
+    An anchor with more than ``hot`` different segments is taken apart into windows; the result is the same with any bound.
+
     Null texts are empty; texts shorter than ``length`` lose nothing.  Ids name texts: where an id repeats, its
     greatest text alone is taken, once, and a null id is an id too, the smallest.  Other columns aren't read.
     """
     lowest = -(1 << 63)
     d = unique_documents(docs, id_col, text_col).select(F.coalesce("doc_id", F.lit(lowest)).alias("doc_id"), "text")
-    marks = repeated_spans(d, length).groupBy("doc_id").agg(F.collect_list(F.when(F.col("lo").isNotNull(), F.struct("lo", "hi"))).alias("spans"), F.collect_list("marks").alias("marks"))
+    marks = repeated_spans(d, length, hot).groupBy("doc_id").agg(F.collect_list(F.when(F.col("lo").isNotNull(), F.struct("lo", "hi"))).alias("spans"), F.collect_list("marks").alias("marks"))
     cut = d.join(marks, "doc_id", "left").select("doc_id", "text", "spans", "marks").mapInArrow(_cut(), "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, spans array<long>")
     return cut.withColumn("doc_id", F.when(F.col("doc_id") != lowest, F.col("doc_id")))
 

@@ -251,3 +251,20 @@ def test_op3_spreads_a_large_group(spark):
     assert sum(r.kept for r in got) == 301
     low = exact_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), keep="min", partitions=7).filter("kept and group_size > 1").collect()
     assert [(r.doc_id, r.keep_id) for r in low] == [(1, 1)]
+
+
+def test_op5_takes_hot_anchors_apart(spark):
+    """One passage in very many texts, other words beside it in each."""
+    from siltstone.llm.suffix_dedup import remove_repeats
+
+    rng = np.random.default_rng(2)
+    passage = "".join(rng.choice(list("abcdefgh "), 180))
+    rows = [(i, "".join(rng.choice(list("stuvwxyz "), 150)) + passage[i % 2 :] + "".join(rng.choice(list("stuvwxyz "), 150))) for i in range(40)]
+    got = {r.doc_id: r.spans for r in remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), hot=3).collect()}
+    seen = set()
+    for i, t in rows:
+        gone = np.zeros(len(t) + 2, bool)
+        for p in range(len(t) - 99):
+            gone[p + 1 : p + 101] |= t[p : p + 100] in seen
+            seen.add(t[p : p + 100])
+        assert got[i] == np.flatnonzero(gone[1:] != gone[:-1]).tolist()
