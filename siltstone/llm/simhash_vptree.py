@@ -104,41 +104,43 @@ def block_masks(blocks: int) -> list[int]:
 
 
 def shard_links(fps: np.ndarray, max_distance: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links of one shard as stars (least fingerprint of a connected group, each other one)."""
-    fps = np.unique(fps)
-    if len(fps) < 2:
-        return fps[:0], fps[:0]
-    d = np.bitwise_count(fps ^ fps[0]).astype(np.int64)
+    """Links of one shard as stars (least fingerprint of a connected group, each other one), as signed longs.
+
+    Groups are grown from point to point; whatever is in a group is looked at no more, so a dense cluster of n
+    fingerprints takes some multiple of n comparisons and not n squared.
+    """
+    pts = np.unique(fps)
+    d = np.bitwise_count(pts ^ pts[0]).astype(np.int64) if len(pts) else np.zeros(0, np.int64)
     order = np.argsort(d, kind="stable")
-    pts, d = fps[order], d[order]
-    heads = np.searchsorted(d, np.arange(BITS + 2))
-    left = np.ones(len(pts), bool)
-    a, b = [], []
-    for first in range(len(pts)):
-        if not left[first]:
+    pts, d = pts[order], d[order]
+    marks = np.arange(BITS + 2)
+    heads, left, gone, at = np.searchsorted(d, marks), np.ones(len(pts), bool), 0, 0
+    a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    while at < len(pts):
+        if not left[at]:
+            at += 1
             continue
-        left[first] = False
-        group, todo = [first], [first]
+        left[at] = False
+        gone += 1
+        group, todo = [pts[at : at + 1]], [(pts[at], d[at])]
         while todo:
-            i = todo.pop()
+            x, dx = todo.pop()
             # The triangle bound: others lie within max_distance of this one's distance to the vantage point.
-            lo, hi = heads[max(0, d[i] - max_distance)], heads[min(BITS + 1, d[i] + max_distance + 1)]
-            lo = max(lo, first + 1)
-            if lo >= hi:
-                continue
-            hits = np.flatnonzero(np.bitwise_count(pts[lo:hi] ^ pts[i]) <= max_distance)
+            lo, hi = heads[max(0, dx - max_distance)], heads[min(BITS + 1, dx + max_distance + 1)]
+            hits = lo + np.flatnonzero((np.bitwise_count(pts[lo:hi] ^ x) <= max_distance) & left[lo:hi])
             if len(hits):
-                hits = hits[left[lo + hits]] + lo
                 left[hits] = False
-                todo += hits.tolist()
-                group += hits.tolist()
-        if len(group) > 1:
-            members = pts[group].view(np.int64)
+                gone += len(hits)
+                group.append(pts[hits])
+                todo += zip(pts[hits], d[hits], strict=True)
+            if gone * 2 > len(pts) > 64:
+                pts, d = pts[left], d[left]
+                heads, left, gone, at = np.searchsorted(d, marks), np.ones(len(pts), bool), 0, 0
+        members = np.concatenate(group).view(np.int64)
+        if len(members) > 1:
             root = members.min()
             b.append(members[members != root])
-            a.append(np.full(len(group) - 1, root))
-    if not a:
-        return fps[:0].view(np.int64), fps[:0].view(np.int64)
+            a.append(np.full(len(members) - 1, root))
     return np.concatenate(a), np.concatenate(b)
 
 
@@ -170,12 +172,12 @@ def _join_shards(max_distance: int):
                 if key[lo] != shard:
                     if held:
                         a, b = shard_links(np.concatenate(held), max_distance)
-                        yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], schema=schema)
+                        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], schema=schema)
                     held, shard = [], key[lo]
                 held.append(fps[lo:hi])
         if held:
             a, b = shard_links(np.concatenate(held), max_distance)
-            yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], schema=schema)
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], schema=schema)
 
     return run
 
