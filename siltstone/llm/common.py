@@ -44,6 +44,7 @@ def text_slices(batch: pa.RecordBatch, column: int, most: int):
         end = min(end, n)
         yield batch.slice(at, end - at)
         at = end
+    pa.default_memory_pool().release_unused()  # workers live on between tasks
 
 
 def byte_texts(batch: pa.RecordBatch, column: int) -> list[bytes]:

@@ -149,13 +149,13 @@ def score_measured(measured: DataFrame, model: Discriminant) -> DataFrame:
     return measured.select("doc_id", "x").mapInArrow(_score_measured(measured.sparkSession.sparkContext.broadcast(model)), "doc_id long, score double")
 
 
-def _scores(held, at: int, schema: pa.Schema):
+def _scores(held, at: int, kept: int, names: list[str]):
     def run(batches):
         model = held.value
         for whole in batches:
             for batch in text_slices(whole, at, 4 << 20):
                 x = np.array([statistics(t or "") for t in batch.column(at).to_pylist()])
-                yield pa.RecordBatch.from_arrays([*(c for i, c in enumerate(batch.columns) if i != at), pa.array(model.scores(x))], names=schema)
+                yield pa.RecordBatch.from_arrays([*batch.columns[:kept], pa.array(model.scores(x))], names=names)
 
     return run
 
@@ -164,9 +164,10 @@ def score(docs: DataFrame, model: Discriminant, text_col: str = "text", keep: li
     """``keep`` columns (default: doc_id) and the score of each row's text; null texts are scored as empty ones."""
     keep = ["doc_id"] if keep is None else keep
     held = docs.sparkSession.sparkContext.broadcast(model)
-    d = docs.select(*keep, F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("__text"))
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in d.schema.fields[:-1])
-    return d.mapInArrow(_scores(held, len(keep), [*keep, name]), f"{fields}{', ' if fields else ''}`{name}` double")
+    d = docs.select(*keep) if text_col in keep else docs.select(*keep, text_col)
+    at = d.columns.index(text_col)
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in d.schema.fields if f.name in keep)
+    return d.mapInArrow(_scores(held, at, len(keep), [*keep, name]), f"{fields}{', ' if fields else ''}`{name}` double")
 
 
 def fold(doc_id: Column, folds: int) -> Column:
