@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from siltstone.llm.common import shuffle_partitions, staged, table, text_slices, unique_documents
 
 DIMS, ORDER = 3, 16  # coordinates, and bits of each
-CACHE = 150_000  # strings whose ids a worker keeps (some 60 MB with those of their parts)
+CACHE = 200_000  # strings whose ids a worker keeps (some 80 MB with those of their parts)
 RESTS = 256  # ranges whose rests are packed together
 
 

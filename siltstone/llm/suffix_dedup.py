@@ -227,7 +227,7 @@ def _fetch(length: int):
 
     def run(batches):
         for whole in batches:
-            for batch in text_slices(whole, 1, BATCH):
+            for batch in text_slices(whole, 1, BATCH // 4):
                 rows, first = [], {}
                 for doc, text, asked in sorted(zip(batch.column(0).to_pylist(), byte_texts(batch, 1), batch.column(2).to_pylist(), strict=True), key=lambda r: r[0]):
                     for x in sorted(asked, key=lambda x: x["lo"]):
