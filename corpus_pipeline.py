@@ -13,9 +13,9 @@ from pyspark.sql import functions as F
 from siltstone.llm.common import staged, table
 from siltstone.llm.decontaminate import contamination
 from siltstone.llm.exact_dedup import exact_duplicates
+from siltstone.llm.near_copies import copies_to_drop, few, row_key
 from siltstone.llm.packing import pack
 from siltstone.llm.quality import fit_quality, measure, score
-from siltstone.llm.simhash_vptree import near_duplicates
 
 ORACLE_SQL = None
 
@@ -42,9 +42,9 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group that SimHash links connect, the row with the smallest id."""
-    kept = near_duplicates(docs).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["__id"]), "left_semi")
+    """Of each group that pairs with a Jaccard similarity of five-word shingles of at least 0.8 connect, the row with the smallest id."""
+    gone = few(copies_to_drop(docs).select(F.col("key").alias("__key")))
+    return docs.join(gone, row_key() == gone["__key"], "left_anti")
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
