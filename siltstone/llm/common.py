@@ -18,16 +18,18 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def ids_repeat(docs: DataFrame, id_col: str = "doc_id") -> bool:
+    """Whether an id (null counts as one) is there more than once; no text is moved."""
+    return bool(docs.groupBy(F.col(id_col).cast("long")).count().filter("count > 1").limit(1).count())
+
+
 def unique_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(doc_id, text)`` with null texts as empty ones and one row for each id.
+    """``(doc_id, text)`` with null texts as empty ones and one row for each id and text.
 
-    Where ids repeat (null counts as an id), the greatest text stays; where they don't, which a count over the ids
-    alone finds out, no text is moved.
+    Different texts under one id (null counts as an id) all stay.  Where ids don't repeat no text is moved.
     """
     d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    if d.groupBy("doc_id").count().filter("count > 1").limit(1).count():
-        d = d.groupBy("doc_id").agg(F.max("text").alias("text"))
-    return d
+    return d.distinct() if ids_repeat(d) else d
 
 
 def text_slices(batch: pa.RecordBatch, column: int, most: int):

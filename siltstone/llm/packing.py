@@ -232,8 +232,8 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
     path of a tokenizer file whose vocabulary is below 65,536 and that never joins what white space separates; every
     executor has it.
 
-    Null and empty texts have the end id alone.  Ids name texts: where one repeats, its greatest text alone is packed,
-    once; a null id is an id too.  Other columns aren't read.  An empty table gives no rows.
+    Null and empty texts have the end id alone.  Every different text under an id (null is one too) is packed, once;
+    repeated rows are one document.  Other columns aren't read.  An empty table gives no rows.
     """
     spark = docs.sparkSession
     d = staged(unique_documents(docs, id_col, text_col).mapInArrow(_tokenize(tokenizer, end_id), "place long, doc_id long, ids binary"), "tokens")

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siltstone.llm.common import byte_texts, staged, table, text_slices, unique_documents
+from siltstone.llm.common import byte_texts, ids_repeat, shuffle_partitions, staged, table, text_slices, unique_documents
 
 KGRAM = 20
 SLICE = 1 << 20  # bytes hashed at a time
@@ -434,6 +434,18 @@ def repeated_spans(d: DataFrame, length: int, hot: int = HOT) -> DataFrame:
     return found.filter("key is null").unionByName(borders).drop("key")
 
 
+def _with_places(d: DataFrame) -> DataFrame:
+    """Adds ``place``, a number for each text that keeps the order: the id itself, unless ids repeat."""
+    if not ids_repeat(d):
+        return d.withColumn("place", F.coalesce("doc_id", F.lit(-(1 << 63))))
+    filled = d.filter("text <> ''").select("doc_id").distinct()
+    empty = d.filter("text = ''")
+    d = d.filter("text <> ''").unionByName(empty.join(filled.withColumnRenamed("doc_id", "__id"), F.col("doc_id").eqNullSafe(F.col("__id")), "left_anti"))
+    sha = F.sha2("text", 256)
+    ranged = d.withColumn("sha", sha).repartitionByRange(shuffle_partitions(d.sparkSession), "doc_id", "sha").sortWithinPartitions("doc_id", "sha")
+    return staged(ranged.withColumn("place", F.monotonically_increasing_id()).drop("sha"), "places")
+
+
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 100, hot: int = HOT) -> DataFrame:
     """One row for each id: ``doc_id, n_bytes, n_removed, n_spans, kept (binary), spans (flat list of byte starts and ends)``.
 
@@ -442,14 +454,14 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     An anchor with more than ``hot`` different segments is taken apart into windows; the result is the same with any bound.
 
-    Null texts are empty; texts shorter than ``length`` lose nothing.  Ids name texts: where an id repeats, its
-    greatest text alone is taken, once, and a null id is an id too, the smallest.  Other columns aren't read.
+    Null texts are empty; texts shorter than ``length`` lose nothing.  Every different text under an id has its row;
+    repeated rows are one text, and an empty text beside others under its id has no row.  Texts of one id go in the
+    order of their SHA-256; a null id is an id too, the smallest.  Other columns aren't read.
     """
-    lowest = -(1 << 63)
-    d = unique_documents(docs, id_col, text_col).select(F.coalesce("doc_id", F.lit(lowest)).alias("doc_id"), "text")
-    marks = repeated_spans(d, length, hot).groupBy("doc_id").agg(F.collect_list(F.when(F.col("lo").isNotNull(), F.struct("lo", "hi"))).alias("spans"), F.collect_list("marks").alias("marks"))
-    cut = d.join(marks, "doc_id", "left").select("doc_id", "text", "spans", "marks").mapInArrow(_cut(), "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, spans array<long>")
-    return cut.withColumn("doc_id", F.when(F.col("doc_id") != lowest, F.col("doc_id")))
+    d = _with_places(unique_documents(docs, id_col, text_col))
+    marks = repeated_spans(d.select(F.col("place").alias("doc_id"), "text"), length, hot).groupBy("doc_id").agg(F.collect_list(F.when(F.col("lo").isNotNull(), F.struct("lo", "hi"))).alias("spans"), F.collect_list("marks").alias("marks"))
+    cut = d.join(marks.withColumnRenamed("doc_id", "place"), "place", "left").select("doc_id", "text", "spans", "marks")
+    return cut.mapInArrow(_cut(), "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, spans array<long>")
 
 
 def op5_suffix_dedup(spark, sf_dir: str) -> DataFrame:
