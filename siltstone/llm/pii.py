@@ -37,7 +37,7 @@ PATTERNS = (
     ("name", False, r"(?<![A-Za-z])(?:Mr|Mrs|Ms|Dr|Prof)\.? [A-Z][a-z]{1,30}(?: [A-Z][a-z]{1,30})?"),
 )
 # What a text must hold for a pattern to be tried at all.
-GATES = ("@", None, None, "+", "at", "-|.", "-", None, "=|:|AKIA", "r|s|of")
+GATES = ("@", None, None, "+", "at", None, "-", None, "=|:|AKIA", "r|s|of")
 
 _DOMAINS = "com|org|net|edu|gov|int|info|io|co|de|fr|es|it|nl|be|at|ch|fi|se|no|dk|pl|pt|uk|ie|eu|us|ca|au|jp|in|br|mx|ar|example|test"
 _COUNTRIES = "AT|BE|BG|CH|CY|CZ|DE|DK|EE|ES|FI|FR|GB|GR|HR|HU|IE|IS|IT|LI|LT|LU|LV|MC|MT|NL|NO|PL|PT|RO|SE|SI|SK"
