@@ -29,11 +29,11 @@ PATTERNS = (
     ("ip", True, r"(?:\G|(?<![0-9]))[0-9]++(?:\.[0-9]++){3}"),
     ("card", True, r"[0-9](?:[ -]?+[0-9])++"),
     ("phone", True, r"\+[0-9][ ().0-9-]+[0-9]"),
-    ("email", False, r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+ ?(?:\(at\)|\[at\]|\{at\}) ?[A-Za-z0-9-]{1,63}+(?: ?(?:\.|\(dot\)|\[dot\]|\{dot\}) ?[A-Za-z0-9-]{1,63}+){1,8}+"),
+    ("email", False, r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++ ?(?:\(at\)|\[at\]|\{at\}) ?[A-Za-z0-9-]{1,63}+(?: ?(?:\.|\(dot\)|\[dot\]|\{dot\}) ?[A-Za-z0-9-]{1,63}+){1,8}+"),
     ("phone", False, r"(?<![0-9+.-])(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9])"),
     ("ssn", False, r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"),
     ("iban", False, r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"),
-    ("secret", False, r"(?<![A-Za-z])(?:password|passwd|token|secret|api[_-]?key)[\"']?[ ]{0,3}[=:][ ]{0,3}[\"']?[A-Za-z0-9+/_.-]{8,200}|(?<![A-Za-z0-9])AKIA[0-9A-Z]{16}(?![A-Za-z0-9])"),
+    ("secret", False, r"(?<![A-Za-z])(?:password|passwd|token|secret|api[_-]?key)[\"']?[ ]{0,3}[=:][ ]{0,3}[\"']?[A-Za-z0-9+/_.-]{8,}+|(?<![A-Za-z0-9])AKIA[0-9A-Z]{16}(?![A-Za-z0-9])"),
     ("name", False, r"(?<![A-Za-z])(?:Mr|Mrs|Ms|Dr|Prof)\.? [A-Z][a-z]{1,30}(?: [A-Z][a-z]{1,30})?"),
 )
 # What a text must hold for a pattern to be tried at all.

@@ -7,3 +7,10 @@ def test_phone_with_blanks_only(spark):
     text = "call (415) 555 2671 or phone 415 555 2672 now"
     found = _candidates(spark.createDataFrame([(1, text)], "doc_id long, text string")).first().c
     assert {text[c.lo : c.hi] for c in found if c.kind == 3} == {"(415) 555 2671", "415 555 2672"}
+
+
+def test_long_secret_and_local_part_are_whole(spark):
+    secret, mail = "token=" + "aB3" * 100, "x" * 80 + " (at) mail [dot] com"
+    text = f"{secret} and {mail} here"
+    found = _candidates(spark.createDataFrame([(1, text)], "doc_id long, text string")).first().c
+    assert {secret, mail} <= {text[c.lo : c.hi] for c in found}
