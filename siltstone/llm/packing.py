@@ -11,17 +11,21 @@ from __future__ import annotations
 import re
 import unicodedata
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siltstone.llm.common import shuffle_partitions, staged, table, text_slices, unique_documents
+from siltstone.llm.common import lean, shuffle_partitions, staged, table, text_slices, unique_documents
 
 DIMS, ORDER = 3, 16  # coordinates, and bits of each
-CACHE = 200_000  # strings whose ids a worker keeps (some 80 MB with those of their parts)
+CACHE = 400_000  # parts of words whose ids a worker keeps (some 80 MB)
+SLICE = 8 << 20  # bytes of text tokenized together
+RANGE = 64 << 20  # bytes of ids in one range
 RESTS = 256  # ranges whose rests are packed together
 
 
@@ -69,13 +73,25 @@ def _of_category(first: str) -> str:
     return "".join(map(re.escape, sorted(found)))
 
 
+def _gather(held: np.ndarray, sizes: np.ndarray, codes: np.ndarray) -> np.ndarray:
+    """Runs of ``held`` (of these sizes, end to end), one for each code."""
+    begins, ends = np.cumsum(sizes) - sizes, np.concatenate([[0], np.cumsum(sizes[codes])])
+    out = np.empty(ends[-1], held.dtype)
+    for at in range(0, len(codes), 1 << 20):
+        own = codes[at : at + (1 << 20)]
+        lo, hi = ends[at], ends[at + len(own)]
+        out[lo:hi] = held[np.arange(lo, hi) + np.repeat(begins[own] - ends[at : at + len(own)], sizes[own])]
+    return out
+
+
 class WordEncoder:
-    """Ids of a lower-casing byte-pair tokenizer with word ends, with a cache of the strings between white space.
+    """Ids of a lower-casing byte-pair tokenizer with word ends, with a cache of words' ids.
 
     Such a tokenizer joins nothing across white space, words and signs, so in a text of characters below LATIN (but
-    for U+0130 and the separators U+001C to U+001F, about which the tokenizer and Python differ) each string between
-    white space is cut by itself and its parts go to the merge model, once for each distinct part that the cache
-    doesn't hold.  Any other text goes through the tokenizer whole.  Both give the tokenizer's own ids.
+    for U+0130 and control characters, about which the tokenizer and Arrow or Python differ) that holds none of the
+    tokenizer's special strings, each distinct string between white space is cut by itself and each distinct part goes to
+    the merge model once, unless the cache holds it.  Any other text goes through the tokenizer whole.  Both give the
+    tokenizer's own ids.
     """
 
     _held: dict = {}
@@ -84,12 +100,11 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.known: dict[str, bytes] = {}
-        self.parts: dict[str, bytes] = {}
-        self.odd = re.compile(f"[\x1c-\x1f\u0130{chr(LATIN)}-\U0010ffff]")
+        self.young, self.old = {}, {}
+        special = [re.sub(r"([^A-Za-z0-9_])", r"\\\1", t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.odd = "|".join([f"[\\x00-\\x08\\x0e-\\x1f\\x7f\\x{{130}}\\x{{{LATIN:x}}}-\\x{{10ffff}}]", *special])
         letters, numbers = _of_category("L"), _of_category("N")
-        self.cut = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{letters}]+|[{numbers}]|[^\\s{letters}{numbers}]+").findall
+        self.cut = re.compile(f"\\n|'s|'t|'re|'ve|'m|'ll|'d|[{letters}]+|[{numbers}]|[^\\s{letters}{numbers}]+").findall
         self.symbols = _byte_symbols()
 
     @classmethod
@@ -98,61 +113,96 @@ class WordEncoder:
             cls._held[path] = cls(path)
         return cls._held[path]
 
-    def _part(self, part: str) -> bytes:
-        model, symbols = self.tokenizer.model, self.symbols
-        ids = np.array([x.id for x in model.tokenize(part.encode().decode("latin-1").translate(symbols))], "<u2").tobytes()
-        self.parts[part] = ids
-        return ids
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids as little-endian 16-bit numbers."""
-        known, parts = self.known, self.parts
-        plain = [None if self.odd.search(t) else t.split() for t in texts]
-        words = set().union(*(w for w in plain if w))
-        new = words.difference(known)
-        if len(known) + len(new) > CACHE:
-            known.clear()
-            new = words
-        if len(parts) > CACHE:
-            parts.clear()
-        for word in new:
-            known[word] = b"".join([parts.get(p) or self._part(p) for p in self.cut(word.lower())])
-        get = known.__getitem__
-        return [b"".join(map(get, w)) if w is not None else np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, "<u2").tobytes() for t, w in zip(texts, plain, strict=True)]
+    def _parts(self, parts: np.ndarray) -> list[bytes]:
+        """Ids of each part.  The cache has two generations: what was asked for since the last turn stays through the next one."""
+        tokenize, young, old, out = self.tokenizer.model.tokenize, self.young, self.old, []
+        for part in parts:
+            ids = young.get(part)
+            if ids is None:
+                ids = old.get(part)
+                if ids is None:
+                    symbols = part if part.isascii() else part.encode().decode("latin-1").translate(self.symbols)
+                    ids = array("H", [x.id for x in tokenize(symbols)]).tobytes() if part != "\n" else b""
+                young[part] = ids
+            out.append(ids)
+        if len(young) > CACHE // 2:
+            self.young, self.old = {}, young
+        return out
+
+    def _words(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all words put end to end, and how many each has."""
+        parts = pa.array(self.cut("\n".join(words).lower()), pa.string()).dictionary_encode()
+        names = parts.dictionary.to_numpy(zero_copy_only=False)
+        blobs = self._parts(names)
+        sizes = np.fromiter(map(len, blobs), np.int64, len(blobs)) // 2
+        codes = np.asarray(parts.indices)
+        word = np.cumsum(codes == np.flatnonzero(names == "\n")[0]) if len(words) > 1 else np.zeros(len(codes), np.int64)
+        return _gather(np.frombuffer(b"".join(blobs), np.uint16), sizes, codes), np.bincount(word, sizes[codes], len(words)).astype(np.int64)
+
+    def _plain(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        split = pc.utf8_split_whitespace(texts)
+        heads = np.asarray(split.offsets)
+        coded = split.flatten().dictionary_encode()
+        if not len(coded):
+            return np.zeros(0, np.uint16), np.zeros(len(texts), np.int64)
+        held, sizes = self._words(coded.dictionary.to_numpy(zero_copy_only=False))
+        codes = np.asarray(coded.indices)
+        ends = np.concatenate([[0], np.cumsum(sizes[codes])])
+        return _gather(held, sizes, codes), ends[heads[1:]] - ends[heads[:-1]]
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids (16 bits) of all texts put end to end, and how many each has; null texts have none."""
+        texts = texts.cast(pa.large_string()).fill_null("") if texts.null_count else texts
+        odd = pc.match_substring_regex(texts, self.odd).to_numpy(zero_copy_only=False)
+        if not odd.any():
+            return self._plain(texts)
+        flat, few = self._plain(texts.filter(pa.array(~odd)))
+        sizes = np.zeros(len(texts), np.int64)
+        sizes[~odd] = few
+        own = [np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, np.uint16) for t in texts.filter(pa.array(odd)).to_pylist()]
+        sizes[odd] = [len(x) for x in own]
+        out, is_odd = np.empty(int(sizes.sum()), np.uint16), np.repeat(odd, sizes)
+        out[~is_odd] = flat
+        out[is_odd] = np.concatenate(own)
+        return out, sizes
 
 
 def _projection(vocabulary: int) -> np.ndarray:
     return np.random.default_rng(4242).standard_normal((vocabulary, DIMS)).astype(np.float32)
 
 
-def curve_places(ids: list[np.ndarray], rows: np.ndarray) -> np.ndarray:
-    """Hilbert places of documents given by their ids."""
-    sizes = np.array([len(i) for i in ids])
-    coords = np.zeros((len(ids), DIMS))
-    for at in range(0, len(ids), 256):
-        part = np.concatenate(ids[at : at + 256])
-        heads = np.concatenate([[0], np.cumsum(sizes[at : at + 256])[:-1]])
-        coords[at : at + 256] = np.add.reduceat(rows[part], heads, axis=0) / sizes[at : at + 256, None]
+def curve_places(flat: np.ndarray, sizes: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """Hilbert places of documents whose ids (one at least) lie end to end."""
+    heads = np.concatenate([[0], np.cumsum(sizes)])
+    coords = np.zeros((len(sizes), DIMS))
+    at = 0
+    while at < len(sizes):
+        end = max(at + 1, int(np.searchsorted(heads, heads[at] + (1 << 20), side="right")) - 1)
+        coords[at:end] = np.add.reduceat(rows[flat[heads[at] : heads[end]]], heads[at:end] - heads[at], axis=0) / sizes[at:end, None]
+        at = end
     # Means of many random rows lie near zero; tanh keeps the outer ones in the cube.
     cells = ((np.tanh(coords * 4) + 1) / 2 * ((1 << ORDER) - 1)).astype(np.int64)
     return hilbert(cells, ORDER)
 
 
-_DOC = pa.schema([("place", pa.int64()), ("doc_id", pa.int64()), ("ids", pa.binary())])
+_DOC = pa.schema([("place", pa.int64()), ("doc_id", pa.int64()), ("n", pa.int64()), ("ids", pa.large_binary())])
 
 
 def _tokenize(path: str, end_id: int):
     def run(batches):
         encoder = WordEncoder.of(path)
         rows = _projection(encoder.tokenizer.get_vocab_size())
-        end = np.array([end_id], "<u2").tobytes()
         for whole in batches:
-            for batch in text_slices(whole, 1, 4 << 20):
-                ids = [i + end for i in encoder.encode(batch.column(1).to_pylist())]
-                places = curve_places([np.frombuffer(i, "<u2") for i in ids], rows)
-                yield pa.RecordBatch.from_arrays([pa.array(places), batch.column(0), pa.array(ids, pa.binary())], schema=_DOC)
+            for batch in text_slices(whole, 1, SLICE):
+                flat, sizes = encoder.encode(batch.column(1))
+                ends = np.cumsum(sizes + 1)
+                ids, last = np.full(int(ends[-1]), end_id, np.uint16), np.zeros(int(ends[-1]), bool)
+                last[ends - 1] = True
+                ids[~last] = flat
+                blobs = pa.Array.from_buffers(pa.large_binary(), len(sizes), [None, pa.py_buffer(np.concatenate([[0], ends * 2]).astype(np.int64)), pa.py_buffer(ids)])
+                yield pa.RecordBatch.from_arrays([pa.array(curve_places(ids, sizes + 1, rows)), batch.column(0), pa.array(sizes + 1), blobs], schema=_DOC)
 
-    return run
+    return lean(run)
 
 
 _PIECE = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64()), ("ids", pa.binary()), ("ids_crc32", pa.int64()), ("rest", pa.int32())])
@@ -236,9 +286,10 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
     repeated rows are one document.  Other columns aren't read.  An empty table gives no rows.
     """
     spark = docs.sparkSession
-    d = staged(unique_documents(docs, id_col, text_col).mapInArrow(_tokenize(tokenizer, end_id), "place long, doc_id long, ids binary"), "tokens")
+    d = staged(unique_documents(docs, id_col, text_col).mapInArrow(_tokenize(tokenizer, end_id), "place long, doc_id long, n long, ids binary"), "tokens")
+    ranges = max(shuffle_partitions(spark), -(-2 * (d.agg(F.sum("n")).first()[0] or 0) // RANGE))
     # Ties on the curve (copies) are dealt out by id, so no range grows with a group of copies.
-    ranged = d.repartitionByRange(shuffle_partitions(spark), "place", "doc_id").sortWithinPartitions("place", "doc_id").select("doc_id", "ids")
+    ranged = d.drop("n").repartitionByRange(ranges, "place", "doc_id").sortWithinPartitions("place", "doc_id").select("doc_id", "ids")
     pieces = staged(ranged.mapInArrow(_pack_ranges(size, with_ids), _PIECE_DDL), "pieces")
     rests = pieces.filter("rest is not null").select((F.col("rest") / RESTS).cast("long").alias("group"), "doc_id", "start", "doc_tokens", "ids", "rest", "offset")
     rests = rests.repartition("group").sortWithinPartitions("group", "rest", "offset").select("group", "doc_id", "start", "doc_tokens", "ids").mapInArrow(_pack_rests(size, with_ids), _PIECE_DDL)

@@ -148,13 +148,20 @@ def test_op7_packs_every_id_once(spark, texts):
 
 def test_op7_encoder_and_curve():
     import public_tokenizers
+    import pyarrow as pa
+    from tokenizers import Tokenizer
 
     from siltstone.llm.packing import WordEncoder, hilbert
 
     e = WordEncoder(public_tokenizers.path("word_bpe_49k.json"))
-    odd = ["it's the DON'T we'LL 12²3 ½ a_b", "ΑΣ Σ σς", "İstanbul Ǆ ǅ Ⱥ", "é  x\x85y\x1cz a\xa0b", "<|endoftext|> hi", "日本語", "", " ", "x'S 'd ''s ª º µ", *map(chr, range(1, 0x250))]
-    for text, got in zip(odd, e.encode(odd), strict=True):
-        assert np.frombuffer(got, "<u2").tolist() == e.tokenizer.encode(text, add_special_tokens=False).ids
+    odd = ["it's the DON'T we'LL 12²3 ½ a_b", "ΑΣ Σ σς", "İstanbul Ǆ ǅ Ⱥ", "é  x\x85y\x1cz a\xa0b", "<|endoftext|> hi", "日本語", "", " ", "x'S 'd ''s ª º µ", *map(chr, range(0x250)), *(f"a{chr(i)}b" for i in range(0x250))]
+    odd += ["a <|startoftext|>b<|endoftext|><|endoftext", "\n a\n\nb ", None, "x" * 3000]
+    fresh = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    for _ in range(2):  # the second time from the cache
+        flat, sizes = e.encode(pa.array(odd, pa.string()))
+        for text, got in zip(odd, np.split(flat, np.cumsum(sizes)[:-1]), strict=True):
+            assert got.tolist() == fresh.encode(text or "", add_special_tokens=False).ids
+    assert [x.tolist() for x in e.encode(pa.array([None, ""], pa.string()))] == [[], [0, 0]]
     grid = np.array(list(itertools.product(range(8), repeat=3)))
     place = hilbert(grid, 3)
     assert sorted(place) == list(range(512)) and (np.abs(np.diff(grid[np.argsort(place)], axis=0)).sum(1) == 1).all()
