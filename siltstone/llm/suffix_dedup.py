@@ -1,22 +1,22 @@
 """Repeated passages: remove every byte that a long string covers which also starts earlier in the corpus.
 
-The suffix order is built where it is needed only.  Each window of ``length`` bytes has an anchor, the least hash of its
-byte k-grams (leftmost of equals); equal windows have equal anchors at equal offsets.  Windows that follow each other
-and share an anchor position make a segment (24 bytes of hashes and places, whatever its length).  Segments are
-collapsed inside each batch before anything is shuffled, so that a passage in a third of all rows reaches the shuffle
-once for each batch.  Then:
-
-* equal segments: all but the earliest are covered whole;
-* an anchor with different segments (the borders of shared passages): their bytes are fetched, dealt out by anchor,
-  and put into suffix order by two-stage sorting.  Runs of neighbours with a common prefix of ``length`` bytes are the
-  equal windows, and all but the earliest of each run are covered.
-
-An anchor with one segment that occurs once (nearly all of them) can't repeat and costs no more than its row.
+The suffix order is built where strings can repeat, and it decides what is removed.  Each window of ``length`` bytes has
+an anchor, the least hash of its byte k-grams (leftmost of equals); equal windows have equal anchors at equal offsets.
+Windows that follow each other and share an anchor position make a segment (24 bytes of hashes and places, whatever its
+length).  Hashes only say where to look:
+
+* Inside each batch, equal segments are put together before anything is shuffled, after a comparison of all their bytes:
+  a passage in a third of all rows reaches the shuffle once for each batch.
+* An anchor that is left with one segment (nearly all of them) can't repeat and costs no more than its row.
+* The bytes of all other segments are fetched, dealt out by anchor, and put into suffix order by two-stage sorting.  Runs
+  of neighbours with a common prefix of ``length`` bytes are the equal windows; all but the earliest of each are covered.
+* A hot anchor (the border of a passage that very many texts share, with other words beside it in each) is known from a
+  sample of texts beforehand, and its windows are dealt out by a hash of all their bytes instead, so no task collects it.
+  Which anchors are taken apart changes the work and not the result.
 """
 
 from __future__ import annotations
 
-import hashlib
 from functools import lru_cache
 
 import numpy as np
@@ -24,13 +24,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siltstone.llm.common import byte_texts, ids_repeat, shuffle_partitions, staged, table, text_slices, unique_documents
+from siltstone.llm.common import byte_texts, ids_repeat, lean, shuffle_partitions, staged, table, text_slices, unique_documents
 
 KGRAM = 20
 SLICE = 1 << 20  # bytes hashed at a time
-BATCH = 16 << 20  # bytes of text whose segments are collapsed together
-GROUP = 2 << 20  # bytes of segments in one suffix array, where anchors allow it
-HOT = 2048  # different segments of an anchor from which its windows are dealt out one by one
+BATCH = 40 << 20  # bytes of text whose segments are collapsed together
+GROUP = 512 << 10  # bytes of segments in one suffix array, where anchors allow it
+BLOCK = 2048  # rows of an anchor from which the copies of a segment are sorted in blocks, each with the first one
+HOT, RATE = 4096, 256  # different segments of a hot anchor; one text in so many tells
+HOT_KEYS = 1 << 22  # most anchors that are sent to all executors (32 MB)
 
 _MULT = 0x9E3779B97F4A7C15
 
@@ -98,6 +100,21 @@ _SEG_DDL = "key long, seg long, doc_id long, place long, marks binary"
 _SHIFT = 12
 
 
+def _words_at(buf: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place of ``buf`` on, as one number."""
+    return np.ndarray(max(0, len(buf) - 7), "<u8", buf, strides=(1,))
+
+
+def _same_bytes(raw: np.ndarray, a: np.ndarray, b: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Whether the bytes from ``a`` and from ``b`` on are the same, for so many bytes (eight at least)."""
+    same = np.ones(len(a), bool)
+    for o in range(0, int(sizes.max(initial=0)), 8):
+        live = np.flatnonzero(same & (sizes > o))
+        at = np.minimum(o, sizes[live] - 8)
+        same[live] = raw[a[live] + at] == raw[b[live] + at]
+    return same
+
+
 def _merge(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Intervals that overlap or touch put together; ``lo`` is in order."""
     if not len(lo):
@@ -110,6 +127,7 @@ def _merge(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def _batch_segments(ids: np.ndarray, texts: list[bytes], length: int):
     order = np.argsort(ids, kind="stable")
+    """Segments of a batch in the order (id, place): anchor hash, hash of the bytes, row, first window, windows."""
     parts = []
     todo: list[tuple[int, int, bytes]] = []
     held = 0
@@ -141,23 +159,57 @@ def _batch_segments(ids: np.ndarray, texts: list[bytes], length: int):
     return [np.concatenate(x) for x in zip(*parts, strict=True)]
 
 
-def _map_segments(length: int):
+def _apart(found: list[np.ndarray], hot: np.ndarray, texts: list[bytes], length: int) -> list[np.ndarray]:
+    """Segments of hot anchors as single windows, whose keys are hashes of all their bytes."""
+    key, seg, row, begin, number = found
+    at = np.minimum(np.searchsorted(hot, key), max(0, len(hot) - 1))
+    is_hot = hot[at] == key if len(hot) else np.zeros(len(key), bool)
+    if not is_hot.any():
+        return found
+    n = number[is_hot]
+    rows, starts = np.repeat(row[is_hot], n), np.repeat(begin[is_hot] - np.cumsum(n) + n, n) + np.arange(n.sum())
+    new = np.zeros(len(rows), np.uint64)
+    cuts = np.append(np.flatnonzero(np.concatenate([[True], rows[1:] != rows[:-1]])), len(rows))
+    for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+        raw = _words_at(np.frombuffer(texts[rows[a]], np.uint8))
+        for o in [*range(0, length - 8, 8), length - 8]:
+            new[a:b] = _mix((new[a:b] ^ raw[starts[a:b] + o]) * np.uint64(_MULT))
+    out = [np.concatenate([x[~is_hot], y]) for x, y in zip(found, (new, _mix(new ^ np.uint64(_MULT)), rows, starts, np.ones(len(rows), np.int64)), strict=True)]
+    texts_in_order = np.argsort(np.unique(row, return_index=True)[1], kind="stable")
+    rank = np.zeros(int(row.max()) + 1, np.int64)
+    rank[np.unique(row)[texts_in_order]] = np.arange(len(texts_in_order))
+    by = np.lexsort((out[3], rank[out[2]]))
+    return [x[by] for x in out]
+
+
+def _map_segments(length: int, hot):
+    """Segments by anchor; equal ones of a batch are put together, and all but the earliest become marks."""
+
     def run(batches):
+        anchors = hot.value
         for whole in batches:
             for batch in text_slices(whole, 1, BATCH):
-                ids = batch.column(0).to_numpy(zero_copy_only=False)
-                found = _batch_segments(ids, byte_texts(batch, 1), length)
+                ids, texts = batch.column(0).to_numpy(zero_copy_only=False), byte_texts(batch, 1)
+                found = _batch_segments(ids, texts, length)
                 if found is None:
                     continue
-                key, seg, row, begin, number = found
+                key, seg, row, begin, number = _apart(found, anchors, texts, length)
                 # Rows come in the order (id, place): of equal segments the first is the earliest.
                 both = key ^ (seg << np.uint64(1)) ^ (seg >> np.uint64(63))
                 order = np.argsort(both, kind="stable")
-                same = np.concatenate([[False], (key[order][1:] == key[order][:-1]) & (seg[order][1:] == seg[order][:-1])])
-                keep = np.sort(order[~same])
+                same = np.concatenate([[False], (key[order][1:] == key[order][:-1]) & (seg[order][1:] == seg[order][:-1]) & (number[order][1:] == number[order][:-1])])
+                first = order[np.maximum.accumulate(np.where(same, 0, np.arange(len(order))))]
+                gone, of = order[same], first[same]
+                starts = np.cumsum([0, *map(len, texts[:-1])])
+                raw = _words_at(np.frombuffer(b"".join(texts) + bytes(8), np.uint8))
+                true = _same_bytes(raw, starts[row[gone]] + begin[gone], starts[row[of]] + begin[of], number[gone] + length - 1)
+                seg[gone[~true]] ^= _mix(gone[~true].astype(np.uint64) + np.uint64(_MULT))  # equal hashes of different bytes: the suffix order tells
+                gone = np.sort(gone[true])
+                kept = np.ones(len(key), bool)
+                kept[gone] = False
+                keep = np.flatnonzero(kept)
                 n = len(keep)
                 yield pa.RecordBatch.from_arrays([pa.array(key[keep].view(np.int64)), pa.array(seg[keep].view(np.int64)), pa.array(ids[row[keep]]), pa.array(begin[keep] << _SHIFT | number[keep]), pa.nulls(n, pa.binary())], schema=_SEG)
-                gone = np.sort(order[same])
                 if len(gone):
                     cuts = np.append(np.flatnonzero(np.concatenate([[True], np.diff(row[gone]) != 0])), len(gone))
                     docs, blobs = [], []
@@ -170,136 +222,199 @@ def _map_segments(length: int):
                     # Marks only pass through the shuffle; their keys spread them.
                     yield pa.RecordBatch.from_arrays([pa.array(_mix(docs.astype(np.uint64) * np.uint64(_MULT)).view(np.int64)), pa.array(np.zeros(len(docs), np.int64)), pa.array(docs), pa.array(np.full(len(docs), -1)), pa.array(blobs, pa.binary())], schema=_SEG)
 
-    return run
+    return lean(run)
+
+
+def _sampled_segments(length: int):
+    schema = pa.schema([("key", pa.int64()), ("seg", pa.int64())])
+
+    def run(batches):
+        for whole in batches:
+            for batch in text_slices(whole, 1, BATCH):
+                found = _batch_segments(np.arange(batch.num_rows), byte_texts(batch, 1), length)
+                if found is not None:
+                    pairs = np.unique(np.stack(found[:2], 1), axis=0).view(np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], schema=schema)
+
+    return lean(run)
+
+
+def hot_anchors(d: DataFrame, length: int, hot: int, rate: int) -> np.ndarray:
+    """Anchors with about ``hot`` different segments or more, in order, as one text in ``rate`` tells; at most HOT_KEYS."""
+    some = d.filter((F.octet_length("text") >= length) & (F.pmod(F.xxhash64("doc_id"), F.lit(rate)) == 0))
+    pairs = staged(some.mapInArrow(_sampled_segments(length), "key long, seg long").distinct(), "sampled")
+    least = max(2, hot // rate, -(-pairs.count() // HOT_KEYS))
+    keys = pairs.groupBy("key").count().filter(F.col("count") >= least).select("key").toPandas()["key"].to_numpy(np.int64)
+    return np.sort(keys.view(np.uint64))
 
 
 _OUT = pa.schema([("doc_id", pa.int64()), ("lo", pa.int64()), ("hi", pa.int64()), ("key", pa.int64()), ("marks", pa.binary())])
 _OUT_DDL = "doc_id long, lo long, hi long, key long, marks binary"
 
 
-def _same_segments(length: int, hot: int):
-    """Over rows sorted by (key, seg, doc_id, place): marks for all but the earliest of equal segments, and the segments whose anchor has others (with their key)."""
+def _blocks_of(first: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Row numbers and blocks of an anchor with very many rows; ``first`` marks the first row of each segment.
+
+    Different segments meet in block zero; the copies of each go in further blocks, each with the first one.
+    """
+    heads = np.flatnonzero(first)
+    rows, blocks, block = [heads], [np.zeros(len(heads), np.int64)], 0
+    for a, b in zip(heads, np.append(heads[1:], len(first)), strict=True):
+        for at in range(a + 1, b, most - 1):
+            block += 1
+            own = np.concatenate([[a], np.arange(at, min(at + most - 1, b))])
+            rows.append(own)
+            blocks.append(np.full(len(own), block))
+    return np.concatenate(rows), np.concatenate(blocks)
+
+
+def _asks(length: int, most: int):
+    """Over rows sorted by (key, seg, doc_id, place): the segments to be put in suffix order, those of an anchor with several rows."""
 
     def settle(key, seg, doc, place):
-        first = np.ones(len(key), bool)
-        first[1:] = (key[1:] != key[:-1]) | (seg[1:] != seg[:-1])
-        group = np.concatenate([[0], np.cumsum(key[1:] != key[:-1])])
-        distinct = np.bincount(group, weights=first)[group]
-        several = distinct > 1
-        take = ~first | several
-        lo = place >> _SHIFT
-        hi = lo + (place & ((1 << _SHIFT) - 1)) + length - 1
-        return pa.RecordBatch.from_arrays([pa.array(doc[take]), pa.array(lo[take]), pa.array(hi[take]), pa.array(key[take], mask=~first[take]), pa.array([b"" if h else None for h in (first & (distinct > hot))[take]], pa.binary())], schema=_OUT)
+        new_key = np.ones(len(key), bool)
+        new_key[1:] = key[1:] != key[:-1]
+        heads = np.flatnonzero(new_key)
+        sizes = np.diff(np.append(heads, len(key)))
+        first = new_key.copy()
+        first[1:] |= seg[1:] != seg[:-1]
+        few = np.repeat((sizes > 1) & (sizes <= most), sizes)
+        rows, blocks = [np.flatnonzero(few)], [np.zeros(int(few.sum()), np.int64)]
+        for a, n in zip(heads[sizes > most], sizes[sizes > most], strict=True):
+            r, b = _blocks_of(first[a : a + n], most)
+            rows.append(r + a)
+            blocks.append(b)
+        take, block = np.concatenate(rows), np.concatenate(blocks)
+        lo = place[take] >> _SHIFT
+        hi = lo + (place[take] & ((1 << _SHIFT) - 1)) + length - 1
+        dealt = np.where(block > 0, key[take] ^ _mix(block.astype(np.uint64) * np.uint64(_MULT)).view(np.int64), key[take])
+        return pa.RecordBatch.from_arrays([pa.array(doc[take]), pa.array(lo), pa.array(hi), pa.array(dealt), pa.nulls(len(take), pa.binary())], schema=_OUT)
 
     def run(batches):
-        rest = None
+        held: list = []
         for batch in batches:
             place = batch.column(3).to_numpy()
             marks = place < 0
             if marks.any():
                 b = batch.filter(pa.array(marks))
-                n = b.num_rows
-                yield pa.RecordBatch.from_arrays([b.column(2), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), b.column(4)], schema=_OUT)
+                none = pa.nulls(b.num_rows, pa.int64())
+                yield pa.RecordBatch.from_arrays([b.column(2), none, none, none, b.column(4)], schema=_OUT)
             now = [batch.column(i).to_numpy()[~marks] for i in range(4)]
-            if rest is not None:
-                now = [np.concatenate(x) for x in zip(rest, now, strict=True)]
             key = now[0]
             if not len(key):
                 continue
             cut = int(np.searchsorted(key, key[-1], side="left"))
-            if cut:
+            if held and (cut or held[-1][0][-1] != key[0]):
+                yield settle(*(np.concatenate(x) for x in zip(*held, [x[:cut] for x in now], strict=True)))
+                held = []
+            elif cut:
                 yield settle(*[x[:cut] for x in now])
-            rest = [x[cut:] for x in now]
-        if rest is not None and len(rest[0]):
-            yield settle(*rest)
+            held.append([x[cut:] for x in now])
+        if held:
+            yield settle(*(np.concatenate(x) for x in zip(*held, strict=True)))
 
-    return run
+    return lean(run)
 
 
-def _fetch(length: int):
-    """The bytes of the segments asked for, from their whole texts.
+_PART = pa.schema([("key", pa.int64()), ("doc_id", pa.int64()), ("lo", pa.int64()), ("bytes", pa.binary())])
+_PART_DDL = "key long, doc_id long, lo long, bytes binary"
 
-    Segments of a hot anchor (the border of a passage that very many texts share, with other words beside it in each)
-    are taken apart into windows, each with its own hash as key; of equal windows in a batch the earliest goes on and
-    the others are marked at once (no bytes), so that no key collects more than a row for each batch.
-    """
-    schema = pa.schema([("key", pa.int64()), ("doc_id", pa.int64()), ("lo", pa.int64()), ("bytes", pa.binary())])
 
-    def run(batches):
-        for whole in batches:
-            for batch in text_slices(whole, 1, BATCH // 4):
-                rows, first = [], {}
-                for doc, text, asked in sorted(zip(batch.column(0).to_pylist(), byte_texts(batch, 1), batch.column(2).to_pylist(), strict=True), key=lambda r: r[0]):
-                    for x in sorted(asked, key=lambda x: x["lo"]):
-                        if not x["hot"]:
-                            rows.append((x["key"], doc, x["lo"], text[x["lo"] : x["hi"]]))
-                            continue
-                        for at in range(x["lo"], x["hi"] - length + 1):
-                            window = text[at : at + length]
-                            if window in first:
-                                rows.append((at * 7919 + doc, doc, at, None))
-                            else:
-                                first[window] = True
-                                rows.append((int.from_bytes(hashlib.blake2b(window, digest_size=8).digest(), "little", signed=True), doc, at, window))
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), schema.types, strict=True)], schema=schema)
+def _fetch(batches):
+    """The bytes of the segments asked for, from their whole texts."""
+    for whole in batches:
+        for batch in text_slices(whole, 1, 4 << 20):
+            asked, texts = batch.column(2), byte_texts(batch, 1)
+            of = np.repeat(np.arange(len(texts)), np.diff(np.asarray(asked.offsets)))
+            key, lo, hi = (asked.flatten().field(i).to_numpy() for i in range(3))
+            docs = batch.column(0).to_numpy()[of]
+            for at in range(0, len(of), 1 << 15):
+                now = slice(at, at + (1 << 15))
+                parts = [texts[i][a:b] for i, a, b in zip(of[now].tolist(), lo[now].tolist(), hi[now].tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(key[now]), pa.array(docs[now]), pa.array(lo[now]), pa.array(parts, pa.binary())], schema=_PART)
 
-    return run
+
+def smaller_than_next(text: np.ndarray) -> np.ndarray:
+    """Which suffixes are smaller than their successors; the end of the text is smaller than all symbols."""
+    n = len(text)
+    small = np.zeros(n, bool)
+    differ = np.flatnonzero(text[1:] != text[:-1])
+    if len(differ):
+        runs = np.diff(np.concatenate([[0], differ + 1]))
+        small[: differ[-1] + 1] = np.repeat(text[differ] < text[differ + 1], runs)
+    return small
 
 
-def two_stage_order(text: np.ndarray, depth: int) -> np.ndarray:
+def two_stage_order(text: np.ndarray, depth: int, wanted: np.ndarray | None = None) -> np.ndarray:
     """Suffix array of ``text`` (uint8 symbols), right in the first ``depth`` symbols at least.
 
     Stage one sorts the suffixes that are smaller than their successors by their symbols.  Stage two goes through the
     buckets (first symbols) upwards: once a bucket is whole, the suffixes one place before its own that are larger
     than their successors follow in that order in the buckets of their own first symbols.
+
+    With ``wanted`` (a mask), only these suffixes and those that they are induced from are put in order.
     """
     n = len(text)
     if not n:
         return np.zeros(0, np.int64)
-    # The end of the text is smaller than all symbols: the last suffix is larger than its (empty) successor.
-    differ = np.flatnonzero(text[1:] != text[:-1])
-    nxt = np.searchsorted(differ, np.arange(n))
-    at = np.minimum(nxt, max(0, len(differ) - 1))
-    small = (nxt < len(differ)) & (text[differ[at]] < text[differ[at] + 1]) if len(differ) else np.zeros(n, bool)
-    chosen = np.flatnonzero(small)
+    small = smaller_than_next(text)
+    if wanted is None:
+        needed = np.ones(n, bool)
+    else:
+        # A wanted suffix larger than its successor is induced from there, and so on up to one that is smaller.
+        number = np.concatenate([[0], np.cumsum(small)[:-1]])  # smaller ones before each place
+        up_to = np.append(np.flatnonzero(small), n - 1)[number[wanted]]
+        step = np.zeros(n + 1, np.int64)
+        np.add.at(step, np.flatnonzero(wanted), 1)
+        np.subtract.at(step, up_to + 1, 1)
+        needed = np.cumsum(step)[:n] > 0
+        needed[n - 1] = True
+    chosen = np.flatnonzero(small & needed)
     # Stage one, eight symbols at a time, and only where the order isn't settled yet.
     words = np.zeros(n + depth + 16, np.uint8)
     words[:n] = text
-    raw = np.lib.stride_tricks.sliding_window_view(words, 8)
+    raw = np.ndarray(n + depth + 8, ">u8", words, strides=(1,))
 
     def word(p: np.ndarray) -> np.ndarray:
-        return np.ascontiguousarray(raw[p]).view(">u8").ravel().astype(np.uint64)
+        return raw[p].astype(np.uint64)
 
-    order = chosen[np.argsort(word(chosen), kind="stable")]
-    value = word(order)
-    group = np.concatenate([[0], np.cumsum(value[1:] != value[:-1])]) if len(order) else np.zeros(0, np.int64)
+    value = word(chosen)
+    by = np.argsort(value, kind="stable")
+    order, value = chosen[by], value[by]
+    new = np.ones(len(order), bool)
+    new[1:] = value[1:] != value[:-1]
     for o in range(8, depth, 8):
-        if not len(order):
-            break
-        size = np.bincount(group)
-        tied = np.flatnonzero(size[group] > 1)
+        tied = ~new
+        tied[:-1] |= ~new[1:]
+        tied = np.flatnonzero(tied)
         if not len(tied):
             break
-        value = word(np.minimum(order[tied] + o, n + depth))
-        again = np.lexsort((value, group[tied]))
-        order[tied] = order[tied][again]
-        g, v = group[tied], value[again]
-        new = np.concatenate([[False], (g[1:] == g[:-1]) & (v[1:] != v[:-1])])
-        step = np.zeros(len(order), np.int64)
-        step[1:] = group[1:] != group[:-1]
-        step[tied[new]] = 1
-        group = np.cumsum(step)
+        group, value = np.cumsum(new[tied]), word(np.minimum(order[tied] + o, n + depth))
+        # Most ties stay ties: only groups with different values are put in order again.
+        heads = new[tied]
+        mixed = np.zeros(group[-1] + 1, bool)
+        mixed[group[1:][~heads[1:] & (value[1:] != value[:-1])]] = True
+        again = np.flatnonzero(mixed[group])
+        if not len(again):
+            continue
+        by = again[np.lexsort((value[again], group[again]))]
+        at = tied[again]
+        order[at], v = order[tied[by]], value[by]
+        split = np.zeros(len(again), bool)
+        split[1:] = v[1:] != v[:-1]
+        new[at] |= split
     # Stage two.
     small_of = np.split(order, np.searchsorted(text[order], np.arange(1, 256)))
     waiting: list[list[np.ndarray]] = [[] for _ in range(256)]
-    waiting[text[n - 1]].append(np.array([n - 1]))
+    if not small[n - 1]:
+        waiting[text[n - 1]].append(np.array([n - 1]))
     done = []
+    larger_needed = needed & ~small
 
     def give(p: np.ndarray, bucket: int) -> np.ndarray:
         """Hands on the larger suffixes before ``p``; returns those of the same bucket."""
         q = p[p > 0] - 1
-        q = q[~small[q]]
+        q = q[larger_needed[q]]
         s = text[q]
         same = q[s == bucket]
         q, s = q[s > bucket], s[s > bucket]
@@ -329,14 +444,18 @@ def common_prefixes(text: np.ndarray, order: np.ndarray, depth: int) -> np.ndarr
     n = len(text)
     words = np.zeros(n + depth + 16, np.uint8)
     words[:n] = text
+    raw = np.ndarray(n + depth + 8, "<u8", words, strides=(1,))
     lcp = np.zeros(len(order), np.int64)
     live = np.arange(1, len(order))
-    for o in range(depth):
+    for o in range(0, depth, 8):
         if not len(live):
             break
-        live = live[words[order[live] + o] == words[order[live - 1] + o]]
-        lcp[live] = o + 1
-    return lcp
+        differ = raw[order[live] + o] ^ raw[order[live - 1] + o]
+        # The lowest byte in which they differ.
+        low = differ & (~differ + np.uint64(1))
+        lcp[live] = o + np.where(differ == 0, 8, np.bitwise_count(low - np.uint64(1)) >> np.uint64(3)).astype(np.int64)
+        live = live[differ == 0]
+    return np.minimum(lcp, depth)
 
 
 def repeats(blobs: list[bytes], docs: np.ndarray, los: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
@@ -349,54 +468,58 @@ def repeats(blobs: list[bytes], docs: np.ndarray, los: np.ndarray, length: int)
     offset = np.arange(int(counts.sum())) - np.repeat(np.cumsum(counts) - counts, counts)
     window = np.full(len(text), -1)
     window[begins[which] + offset] = np.arange(len(which))
-    order = two_stage_order(text, length)
-    lcp = common_prefixes(text, order, length)
+    order = two_stage_order(text, length, window >= 0)
+    order = order[window[order] >= 0]
+    group = np.cumsum(common_prefixes(text, order, length) < length)
     w = window[order]
-    group = np.cumsum(lcp < length)
-    keep = w >= 0
-    w, group = w[keep], group[keep]
+    size = np.bincount(group)
+    shared = size[group] > 1
+    w, group = w[shared], group[shared]
     doc, start = docs[which[w]], los[which[w]] + offset[w]
     by = np.lexsort((start, doc, group))
     doc, start, group = doc[by], start[by], group[by]
-    later = np.concatenate([[False], group[1:] == group[:-1]])
-    # The same window may lie in two segments of one text only if it is the same place; it isn't, as each window has one anchor.
+    # A window lies in one segment of its text only, as each has one anchor; a segment asked for in several blocks is the same place.
+    later = np.zeros(len(group), bool)
+    later[1:] = (group[1:] == group[:-1]) & ((doc[1:] != doc[:-1]) | (start[1:] != start[:-1]))
     return doc[later], start[later]
 
 
+_RUNS = pa.schema([("doc_id", pa.int64()), ("lo", pa.int64()), ("hi", pa.int64()), ("marks", pa.binary())])
+_RUNS_DDL = "doc_id long, lo long, hi long, marks binary"
+
+
 def _suffix_groups(length: int):
-    def emit(key, doc, lo, blobs):
-        d, s = repeats(blobs, doc, lo, length)
-        by = np.lexsort((s, d))
-        d, s = d[by], s[by]
-        if not len(d):
-            return pa.RecordBatch.from_arrays([pa.array([], pa.int64())] * 3 + [pa.array([], pa.int64()), pa.array([], pa.binary())], schema=_OUT)
-        first = np.flatnonzero(np.concatenate([[True], (d[1:] != d[:-1]) | (s[1:] != s[:-1] + 1)]))
-        last = np.append(first[1:] - 1, len(d) - 1)
-        n = len(first)
-        return pa.RecordBatch.from_arrays([pa.array(d[first]), pa.array(s[first]), pa.array(s[last] + length), pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary())], schema=_OUT)
+    """Over segments sorted by key: the runs of windows that start earlier elsewhere."""
+
+    def emit(parts):
+        columns = [np.concatenate([p[i] for p in parts]) for i in (1, 2)]
+        doc, start = repeats([b for p in parts for b in p[3]], *columns, length)
+        by = np.lexsort((start, doc))
+        doc, start = doc[by], start[by]
+        head = np.ones(len(doc), bool)
+        head[1:] = (doc[1:] != doc[:-1]) | (start[1:] > start[:-1] + 1)
+        first = np.flatnonzero(head)
+        last = np.append(first[1:] - 1, len(doc) - 1)[: len(first)]
+        return pa.RecordBatch.from_arrays([pa.array(doc[first]), pa.array(start[first]), pa.array(start[last] + length), pa.nulls(len(first), pa.binary())], schema=_RUNS)
 
     def run(batches):
-        rest = None
+        held: list = []
+        size = 0
         for whole in batches:
-            for part in text_slices(whole, 3, GROUP):
-                marked = part.filter(part.column(3).is_null())
-                if marked.num_rows:
-                    n, lo = marked.num_rows, marked.column(2).to_numpy()
-                    yield pa.RecordBatch.from_arrays([marked.column(1), pa.array(lo), pa.array(lo + length), pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary())], schema=_OUT)
-                batch = part.filter(part.column(3).is_valid())
-                if not batch.num_rows:
-                    continue
+            for batch in text_slices(whole, 3, GROUP // 4):
                 now = [*(batch.column(i).to_numpy() for i in range(3)), batch.column(3).to_pylist()]
-                if rest is not None:
-                    now = [*(np.concatenate(x) for x in zip(rest[:3], now[:3], strict=True)), rest[3] + now[3]]
-                cut = int(np.searchsorted(now[0], now[0][-1], side="left"))
-                if cut:
-                    yield emit(*[x[:cut] for x in now])
-                rest = [x[cut:] for x in now]
-        if rest is not None and len(rest[0]):
-            yield emit(*rest)
+                key = now[0]
+                cut = int(np.searchsorted(key, key[-1], side="left"))
+                if size + batch.column(3).nbytes >= GROUP and (cut or held and held[-1][0][-1] != key[0]):
+                    held.append([x[:cut] for x in now])
+                    yield emit(held)
+                    held, size, now = [], 0, [x[cut:] for x in now]
+                held.append(now)
+                size += sum(map(len, now[3]))
+        if held:
+            yield emit(held)
 
-    return run
+    return lean(run)
 
 
 def _cut():
@@ -421,17 +544,18 @@ def _cut():
     return run
 
 
-def repeated_spans(d: DataFrame, length: int, hot: int = HOT) -> DataFrame:
+def repeated_spans(d: DataFrame, length: int, hot: int = HOT, rate: int = RATE, block: int = BLOCK) -> DataFrame:
     """Marks ``(doc_id, lo, hi, marks)`` in bytes for ``(doc_id, text)`` with unique ids; marks may overlap."""
     if length - KGRAM + 1 >= 1 << _SHIFT or length < 2 * KGRAM:
         raise ValueError(f"length: {length}")
-    seg = d.filter(F.octet_length("text") >= length).mapInArrow(_map_segments(length), _SEG_DDL)
+    anchors = d.sparkSession.sparkContext.broadcast(hot_anchors(d, length, hot, rate))
+    seg = d.filter(F.octet_length("text") >= length).mapInArrow(_map_segments(length, anchors), _SEG_DDL)
     dealt = seg.repartition("key").sortWithinPartitions("key", "seg", "doc_id", "place")
-    found = staged(dealt.mapInArrow(_same_segments(length, hot), _OUT_DDL), "segments")
-    asked = found.filter("key is not null").groupBy("doc_id").agg(F.collect_list(F.struct("key", "lo", "hi", F.col("marks").isNotNull().alias("hot"))).alias("asked"))
-    fetched = d.join(asked, "doc_id").select("doc_id", "text", "asked").mapInArrow(_fetch(length), "key long, doc_id long, lo long, bytes binary")
-    borders = fetched.repartition("key").sortWithinPartitions("key").mapInArrow(_suffix_groups(length), _OUT_DDL)
-    return found.filter("key is null").unionByName(borders).drop("key")
+    found = staged(dealt.mapInArrow(_asks(length, block), _OUT_DDL), "segments")
+    asked = found.filter("key is not null").groupBy("doc_id").agg(F.collect_list(F.struct("key", "lo", "hi")).alias("asked"))
+    fetched = d.join(asked, "doc_id").select("doc_id", "text", "asked").mapInArrow(lean(_fetch), _PART_DDL)
+    runs = fetched.repartition("key").sortWithinPartitions("key").mapInArrow(_suffix_groups(length), _RUNS_DDL)
+    return found.filter("key is null").select("doc_id", "lo", "hi", "marks").unionByName(runs)
 
 
 def _with_places(d: DataFrame) -> DataFrame:
@@ -446,22 +570,24 @@ def _with_places(d: DataFrame) -> DataFrame:
     return staged(ranged.withColumn("place", F.monotonically_increasing_id()).drop("sha"), "places")
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 100, hot: int = HOT) -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 100, hot: int = HOT, rate: int = RATE, block: int = BLOCK) -> DataFrame:
     """One row for each id: ``doc_id, n_bytes, n_removed, n_spans, kept (binary), spans (flat list of byte starts and ends)``.
 
     A byte goes if it is covered by ``length`` bytes that also start earlier: in a text with a smaller id, or earlier
     in the same text; overlapping occurrences count.  Strings are judged on the input and never cross texts.
 
-    An anchor with more than ``hot`` different segments is taken apart into windows; the result is the same with any bound.
+    An anchor with about ``hot`` different segments, as one text in ``rate`` tells, is taken apart into windows; one with
+    more than ``block`` rows has the copies of each segment sorted in blocks.  The result is the same with any of these,
+    but for one thing: in blocks, copies are compared with the first of equal 64-bit hashes and not with each other.
 
     Null texts are empty; texts shorter than ``length`` lose nothing.  Every different text under an id has its row;
     repeated rows are one text, and an empty text beside others under its id has no row.  Texts of one id go in the
     order of their SHA-256; a null id is an id too, the smallest.  Other columns aren't read.
     """
     d = _with_places(unique_documents(docs, id_col, text_col))
-    marks = repeated_spans(d.select(F.col("place").alias("doc_id"), "text"), length, hot).groupBy("doc_id").agg(F.collect_list(F.when(F.col("lo").isNotNull(), F.struct("lo", "hi"))).alias("spans"), F.collect_list("marks").alias("marks"))
+    marks = repeated_spans(d.select(F.col("place").alias("doc_id"), "text"), length, hot, rate, block).groupBy("doc_id").agg(F.collect_list(F.when(F.col("lo").isNotNull(), F.struct("lo", "hi"))).alias("spans"), F.collect_list("marks").alias("marks"))
     cut = d.join(marks.withColumnRenamed("doc_id", "place"), "place", "left").select("doc_id", "text", "spans", "marks")
-    return cut.mapInArrow(_cut(), "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, spans array<long>")
+    return cut.mapInArrow(lean(_cut()), "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, spans array<long>")
 
 
 def op5_suffix_dedup(spark, sf_dir: str) -> DataFrame:

@@ -260,14 +260,16 @@ def test_op3_spreads_a_large_group(spark):
     assert [(r.doc_id, r.keep_id) for r in low] == [(1, 1)]
 
 
-def test_op5_takes_hot_anchors_apart(spark):
-    """One passage in very many texts, other words beside it in each."""
+@pytest.mark.parametrize(("hot", "block"), [(3, 2048), (10**6, 2048), (10**6, 4), (3, 4)])
+def test_op5_takes_hot_anchors_apart(spark, hot, block):
+    """One passage in very many texts, other words beside it in each; also whole copies in many batches."""
     from siltstone.llm.suffix_dedup import remove_repeats
 
     rng = np.random.default_rng(2)
     passage = "".join(rng.choice(list("abcdefgh "), 180))
     rows = [(i, "".join(rng.choice(list("stuvwxyz "), 150)) + passage[i % 2 :] + "".join(rng.choice(list("stuvwxyz "), 150))) for i in range(40)]
-    got = {r.doc_id: r.spans for r in remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), hot=3).collect()}
+    rows += [(100 + i, passage + rows[0][1][:120]) for i in range(20)]
+    got = {r.doc_id: r.spans for r in remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(16), hot=hot, rate=1, block=block).collect()}
     seen = set()
     for i, t in rows:
         gone = np.zeros(len(t) + 2, bool)
@@ -275,3 +277,31 @@ def test_op5_takes_hot_anchors_apart(spark):
             gone[p + 1 : p + 101] |= t[p : p + 100] in seen
             seen.add(t[p : p + 100])
         assert got[i] == np.flatnonzero(gone[1:] != gone[:-1]).tolist()
+
+
+def test_op5_passage_in_a_third_of_all_texts(spark):
+    """5,000 texts, by the windows' bytes themselves."""
+    from siltstone.llm.suffix_dedup import remove_repeats
+
+    rng = np.random.default_rng(4)
+    letters = rng.choice(list("etaoin shrdlu"), (5000, 260))
+    passage = "".join(rng.choice(list("abcdefgh "), 130))
+    rows = [(i, "".join(x[:130]) + passage * (i % 3 == 0) + "".join(x[130:])) for i, x in enumerate(letters)]
+    got = {r.doc_id: r.spans for r in remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(7), hot=100, rate=4).collect()}
+    seen = set()
+    for i, t in rows:
+        gone = np.zeros(len(t) + 2, bool)
+        for p in range(len(t) - 99):
+            if t[p : p + 100] in seen:
+                gone[p + 1 : p + 101] = True
+            else:
+                seen.add(t[p : p + 100])
+        assert got[i] == np.flatnonzero(gone[1:] != gone[:-1]).tolist()
+
+
+def test_op5_compares_bytes():
+    from siltstone.llm import suffix_dedup
+
+    buf = np.frombuffer(b"x" * 100 + b"y" * 100 + bytes(8), np.uint8)
+    raw = suffix_dedup._words_at(buf)
+    assert suffix_dedup._same_bytes(raw, np.array([0, 0, 5]), np.array([1, 100, 95]), np.array([99, 100, 10])).tolist() == [True, False, False]
