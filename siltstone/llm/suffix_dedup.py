@@ -21,6 +21,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -28,7 +29,7 @@ from siltstone.llm.common import byte_texts, ids_repeat, lean, shuffle_partition
 
 KGRAM = 20
 SLICE = 1 << 20  # bytes hashed at a time
-BATCH = 40 << 20  # bytes of text whose segments are collapsed together
+BATCH = 24 << 20  # bytes of text whose segments are collapsed together
 GROUP = 512 << 10  # bytes of segments in one suffix array, where anchors allow it
 BLOCK = 2048  # rows of an anchor from which the copies of a segment are sorted in blocks, each with the first one
 HOT, RATE = 4096, 256  # different segments of a hot anchor; one text in so many tells
@@ -320,18 +321,39 @@ _PART = pa.schema([("key", pa.int64()), ("doc_id", pa.int64()), ("lo", pa.int64(
 _PART_DDL = "key long, doc_id long, lo long, bytes binary"
 
 
+def _zipped(batches):
+    """Texts as they go through shuffles: compressed, each by itself."""
+    schema = pa.schema([("doc_id", pa.int64()), ("place", pa.int64()), ("zipped", pa.binary())])
+    pack = zstandard.ZstdCompressor(level=1).compress
+    for whole in batches:
+        for batch in text_slices(whole, 2, 4 << 20):
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(map(pack, byte_texts(batch, 2)), pa.binary())], schema=schema)
+
+
 def _fetch(batches):
     """The bytes of the segments asked for, from their whole texts."""
-    for whole in batches:
-        for batch in text_slices(whole, 1, 4 << 20):
-            asked, texts = batch.column(2), byte_texts(batch, 1)
-            of = np.repeat(np.arange(len(texts)), np.diff(np.asarray(asked.offsets)))
-            key, lo, hi = (asked.flatten().field(i).to_numpy() for i in range(3))
-            docs = batch.column(0).to_numpy()[of]
-            for at in range(0, len(of), 1 << 15):
-                now = slice(at, at + (1 << 15))
-                parts = [texts[i][a:b] for i, a, b in zip(of[now].tolist(), lo[now].tolist(), hi[now].tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(key[now]), pa.array(docs[now]), pa.array(lo[now]), pa.array(parts, pa.binary())], schema=_PART)
+    unpack = zstandard.ZstdDecompressor().decompress
+    for batch in batches:
+        asked = batch.column(2)
+        cuts = np.asarray(asked.offsets)
+        key, lo, hi = (asked.flatten().field(i).to_numpy() for i in range(3))
+        docs = np.repeat(batch.column(0).to_numpy(), np.diff(cuts))
+        cuts, parts, at = cuts - cuts[0], [], 0
+
+        def rows(at, parts, key=key, docs=docs, lo=lo):
+            now = slice(at, at + len(parts))
+            return pa.RecordBatch.from_arrays([pa.array(key[now]), pa.array(docs[now]), pa.array(lo[now]), pa.array(parts, pa.binary())], schema=_PART)
+
+        for i, zipped in enumerate(batch.column(1)):
+            text = unpack(zipped.as_py())
+            for c in range(cuts[i], cuts[i + 1], 1 << 14):
+                now = slice(c, min(c + (1 << 14), cuts[i + 1]))
+                parts += [text[x:y] for x, y in zip(lo[now].tolist(), hi[now].tolist(), strict=True)]
+                if len(parts) >= 1 << 14:
+                    yield rows(at, parts)
+                    at, parts = at + len(parts), []
+        if parts:
+            yield rows(at, parts)
 
 
 def smaller_than_next(text: np.ndarray) -> np.ndarray:
@@ -526,26 +548,33 @@ def _cut():
     schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept", pa.binary()), ("spans", pa.list_(pa.int64()))])
 
     def run(batches):
-        for whole in batches:
-            for batch in text_slices(whole, 1, BATCH):
-                rows = []
-                for doc, text, spans, marks in zip(batch.column(0).to_pylist(), byte_texts(batch, 1), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                    if not spans and not marks:
-                        rows.append((doc, len(text), 0, 0, text, []))
-                        continue
-                    pairs = np.concatenate([np.array([[s["lo"], s["hi"]] for s in spans or []], np.int64).reshape(-1, 2), *[np.frombuffer(m, "<i8").reshape(-1, 2) for m in marks or []]])
+        unpack = zstandard.ZstdDecompressor().decompress
+        for batch in batches:
+            rows, size = [], 0
+            for doc, zipped, spans, marks in zip(*(batch.column(i) for i in range(4)), strict=True):
+                text, pairs = unpack(zipped.as_py()), [np.frombuffer(m, "<i8").reshape(-1, 2) for m in marks.as_py() or []]
+                if spans.values is not None and len(spans.values):
+                    pairs.append(np.stack([spans.values.field(i).to_numpy() for i in range(2)], 1))
+                if pairs:
+                    pairs = np.concatenate(pairs)
                     pairs = pairs[np.argsort(pairs[:, 0], kind="stable")]
                     lo, hi = _merge(pairs[:, 0], pairs[:, 1])
-                    ends = np.concatenate([lo, [len(text)]])
-                    starts = np.concatenate([[0], hi])
-                    rows.append((doc, len(text), int((hi - lo).sum()), len(lo), b"".join(text[a:b] for a, b in zip(starts, ends, strict=True)), np.stack([lo, hi], 1).ravel().tolist()))
+                    kept = b"".join(text[a:b] for a, b in zip(np.concatenate([[0], hi]), np.concatenate([lo, [len(text)]]), strict=True))
+                    rows.append((doc.as_py(), len(text), int((hi - lo).sum()), len(lo), kept, np.stack([lo, hi], 1).ravel().tolist()))
+                else:
+                    rows.append((doc.as_py(), len(text), 0, 0, text, []))
+                size += len(rows[-1][4])
+                if size > 4 << 20:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), schema.types, strict=True)], schema=schema)
+                    rows, size = [], 0
+            if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), schema.types, strict=True)], schema=schema)
 
     return run
 
 
-def repeated_spans(d: DataFrame, length: int, hot: int = HOT, rate: int = RATE, block: int = BLOCK) -> DataFrame:
-    """Marks ``(doc_id, lo, hi, marks)`` in bytes for ``(doc_id, text)`` with unique ids; marks may overlap."""
+def repeated_spans(d: DataFrame, zipped: DataFrame, length: int, hot: int = HOT, rate: int = RATE, block: int = BLOCK) -> DataFrame:
+    """Marks ``(doc_id, lo, hi, marks)`` in bytes for ``(doc_id, text)`` with unique ids, which ``zipped`` has too; marks may overlap."""
     if length - KGRAM + 1 >= 1 << _SHIFT or length < 2 * KGRAM:
         raise ValueError(f"length: {length}")
     anchors = d.sparkSession.sparkContext.broadcast(hot_anchors(d, length, hot, rate))
@@ -553,7 +582,7 @@ def repeated_spans(d: DataFrame, length: int, hot: int = HOT, rate: int = RATE,
     dealt = seg.repartition("key").sortWithinPartitions("key", "seg", "doc_id", "place")
     found = staged(dealt.mapInArrow(_asks(length, block), _OUT_DDL), "segments")
     asked = found.filter("key is not null").groupBy("doc_id").agg(F.collect_list(F.struct("key", "lo", "hi")).alias("asked"))
-    fetched = d.join(asked, "doc_id").select("doc_id", "text", "asked").mapInArrow(lean(_fetch), _PART_DDL)
+    fetched = zipped.select(F.col("place").alias("doc_id"), "zipped").join(asked, "doc_id").select("doc_id", "zipped", "asked").mapInArrow(lean(_fetch), _PART_DDL)
     runs = fetched.repartition("key").sortWithinPartitions("key").mapInArrow(_suffix_groups(length), _RUNS_DDL)
     return found.filter("key is null").select("doc_id", "lo", "hi", "marks").unionByName(runs)
 
@@ -585,8 +614,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     order of their SHA-256; a null id is an id too, the smallest.  Other columns aren't read.
     """
     d = _with_places(unique_documents(docs, id_col, text_col))
-    marks = repeated_spans(d.select(F.col("place").alias("doc_id"), "text"), length, hot, rate, block).groupBy("doc_id").agg(F.collect_list(F.when(F.col("lo").isNotNull(), F.struct("lo", "hi"))).alias("spans"), F.collect_list("marks").alias("marks"))
-    cut = d.join(marks.withColumnRenamed("doc_id", "place"), "place", "left").select("doc_id", "text", "spans", "marks")
+    zipped = d.select("doc_id", "place", "text").mapInArrow(lean(_zipped), "doc_id long, place long, zipped binary")
+    marks = repeated_spans(d.select(F.col("place").alias("doc_id"), "text"), zipped, length, hot, rate, block).groupBy("doc_id").agg(F.collect_list(F.when(F.col("lo").isNotNull(), F.struct("lo", "hi"))).alias("spans"), F.collect_list("marks").alias("marks"))
+    cut = zipped.join(marks.withColumnRenamed("doc_id", "place"), "place", "left").select("doc_id", "zipped", "spans", "marks")
     return cut.mapInArrow(lean(_cut()), "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, spans array<long>")
 
 
