@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siltstone.llm.common import byte_texts, table, text_slices
+from siltstone.llm.common import byte_texts, lean, table, text_slices
 
 BLOCK_WORDS = 4_000_000  # words of items in one broadcast: some 200 MB in a worker at most
 
@@ -150,7 +150,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     found = None
     several = False
     for block in _blocks(benchmark, item_col, item_text_col, block_words):
-        one = d.mapInArrow(_scan(sc.broadcast(WindowSet(block, n))), _DDL)
+        one = d.mapInArrow(lean(_scan(sc.broadcast(WindowSet(block, n)))), _DDL)
         several = found is not None
         found = one if found is None else found.unionByName(one)
     if several:

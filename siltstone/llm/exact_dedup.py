@@ -17,7 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from siltstone.llm.common import shuffle_partitions, staged
+from siltstone.llm.common import lean, shuffle_partitions, staged
 
 HEAD = 16  # characters of a text in its range key
 
@@ -91,7 +91,7 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     by_id = F.col("doc_id").asc_nulls_first() if keep == "max" else F.col("doc_id").desc_nulls_first()
     n = partitions or shuffle_partitions(docs.sparkSession)
     dealt = d.repartitionByRange(n, F.col("head").asc(), F.col("h").asc(), by_id).sortWithinPartitions("head", "h", "text", by_id)
-    t = staged(dealt.select("doc_id", "text").mapInArrow(_runs, _DDL), "exact")
+    t = staged(dealt.select("doc_id", "text").mapInArrow(lean(_runs), _DDL), "exact")
     most = F.max if keep == "max" else F.min
     same = Window.partitionBy("edge_text")
     # Two rows for each range at most, of four numbers each: bounded by the number of ranges, not by the rows.

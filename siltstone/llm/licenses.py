@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siltstone.llm.common import byte_texts, table, text_slices
+from siltstone.llm.common import byte_texts, lean, table, text_slices
 from siltstone.llm.decontaminate import words_of
 
 # The phrases of the base labels.
@@ -172,7 +172,7 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
     fixed = tuple((k, tuple(v)) for k, v in (TEMPLATES if templates is None else templates).items())
     d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    return d.mapInArrow(_scan(fixed), "doc_id long, n_words long, places array<long>, base_labels array<string>, matches array<string>, match_starts array<long>, match_ends array<long>")
+    return d.mapInArrow(lean(_scan(fixed)), "doc_id long, n_words long, places array<long>, base_labels array<string>, matches array<string>, match_starts array<long>, match_ends array<long>")
 
 
 def op8_license_templates(spark, sf_dir: str) -> DataFrame:

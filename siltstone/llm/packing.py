@@ -290,7 +290,7 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
     ranges = max(shuffle_partitions(spark), -(-2 * (d.agg(F.sum("n")).first()[0] or 0) // RANGE))
     # Ties on the curve (copies) are dealt out by id, so no range grows with a group of copies.
     ranged = d.drop("n").repartitionByRange(ranges, "place", "doc_id").sortWithinPartitions("place", "doc_id").select("doc_id", "ids")
-    pieces = staged(ranged.mapInArrow(_pack_ranges(size, with_ids), _PIECE_DDL), "pieces")
+    pieces = staged(ranged.mapInArrow(lean(_pack_ranges(size, with_ids)), _PIECE_DDL), "pieces")
     rests = pieces.filter("rest is not null").select((F.col("rest") / RESTS).cast("long").alias("group"), "doc_id", "start", "doc_tokens", "ids", "rest", "offset")
     rests = rests.repartition("group").sortWithinPartitions("group", "rest", "offset").select("group", "doc_id", "start", "doc_tokens", "ids").mapInArrow(_pack_rests(size, with_ids), _PIECE_DDL)
     return pieces.filter("rest is null").unionByName(rests).drop("rest")

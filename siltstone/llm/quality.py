@@ -13,11 +13,12 @@ import re
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siltstone.llm.common import staged, table, text_slices
+from siltstone.llm.common import lean, staged, table, text_slices
 
 STATISTICS = ("log_words", "upper", "digit", "stops", "symbol", "word_length", "variety", "pair_variety", "doubled", "top_word", "line_copies", "short", "bar", "spread")
 PRIOR = 20  # words of ordinary prose that each text is taken to have besides its own, so that short texts aren't extreme
@@ -93,16 +94,23 @@ class Discriminant:
         return 1 / (1 + np.exp(-np.clip((log[1] - log[0]) / self.temper, -30, 30)))
 
 
-def _measure(batches):
-    for whole in batches:
-        for batch in text_slices(whole, 1, 4 << 20):
-            x = [statistics(t or "") for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(x, pa.list_(pa.float64()))], names=["doc_id", "x"])
+def _measure(at: int, kept: int, names: list[str]):
+    def run(batches):
+        for whole in batches:
+            for batch in text_slices(whole, at, 4 << 20):
+                x = [statistics(t or "") for t in batch.column(at).to_pylist()]
+                yield pa.RecordBatch.from_arrays([*batch.columns[:kept], pa.array(x, pa.list_(pa.float64()))], names=names)
 
+    return lean(run)
 
-def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(doc_id, x)``: the statistics of each row's text."""
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).mapInArrow(_measure, "doc_id long, x array<double>")
+
+def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None, name: str = "x") -> DataFrame:
+    """``doc_id``, or the columns ``keep``, and ``name``: the statistics of each row's text; null texts are empty ones."""
+    d = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_col) if keep is None else docs.select(*keep) if text_col in keep else docs.select(*keep, text_col)
+    kept = 1 if keep is None else len(keep)
+    at = d.columns.index(text_col) if keep else 1
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in d.schema.fields[:kept])
+    return d.mapInArrow(_measure(at, kept, [*d.columns[:kept], name]), f"{fields}, `{name}` array<double>")
 
 
 def _rows_of(column) -> np.ndarray:
@@ -149,25 +157,13 @@ def score_measured(measured: DataFrame, model: Discriminant) -> DataFrame:
     return measured.select("doc_id", "x").mapInArrow(_score_measured(measured.sparkSession.sparkContext.broadcast(model)), "doc_id long, score double")
 
 
-def _scores(held, at: int, kept: int, names: list[str]):
-    def run(batches):
-        model = held.value
-        for whole in batches:
-            for batch in text_slices(whole, at, 4 << 20):
-                x = np.array([statistics(t or "") for t in batch.column(at).to_pylist()])
-                yield pa.RecordBatch.from_arrays([*batch.columns[:kept], pa.array(model.scores(x))], names=names)
-
-    return run
+def score_column(model: Discriminant):
+    """A function of a column of statistics that gives the score; other columns of its rows don't pass through Python."""
 
+    def scores(x: pd.Series) -> pd.Series:
+        return pd.Series(model.scores(np.stack(x.to_numpy()).astype(float)) if len(x) else np.zeros(0))
 
-def score(docs: DataFrame, model: Discriminant, text_col: str = "text", keep: list[str] | None = None, name: str = "score") -> DataFrame:
-    """``keep`` columns (default: doc_id) and the score of each row's text; null texts are scored as empty ones."""
-    keep = ["doc_id"] if keep is None else keep
-    held = docs.sparkSession.sparkContext.broadcast(model)
-    d = docs.select(*keep) if text_col in keep else docs.select(*keep, text_col)
-    at = d.columns.index(text_col)
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in d.schema.fields if f.name in keep)
-    return d.mapInArrow(_scores(held, at, len(keep), [*keep, name]), f"{fields}{', ' if fields else ''}`{name}` double")
+    return F.pandas_udf(scores, "double")
 
 
 def fold(doc_id: Column, folds: int) -> Column:

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siltstone.llm.common import byte_texts, connected_components, staged, table, text_slices
+from siltstone.llm.common import byte_texts, connected_components, lean, staged, table, text_slices
 
 BITS = 64
 
@@ -59,7 +59,7 @@ def _fingerprints(shingle: int):
 
 def simhash(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4) -> DataFrame:
     """``(doc_id, fp)`` for each row; the fingerprint's bits are held as a signed long.  Null text counts as empty: fingerprint zero."""
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).mapInArrow(_fingerprints(shingle), "doc_id long, fp long")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).mapInArrow(lean(_fingerprints(shingle)), "doc_id long, fp long")
 
 
 class VantageTree:
@@ -197,8 +197,8 @@ def near_links(fps: DataFrame, max_distance: int = 4, blocks: int = 3, shard_siz
     drawn = fps.select("fp").orderBy(F.xxhash64(F.col("fp").cast("string"))).limit(size).collect() if levels else []
     sample = np.array([r[0] for r in drawn], np.int64).view(np.uint64)
     trees = spark.sparkContext.broadcast([VantageTree(sample, levels, m, max_distance // blocks) for m in block_masks(blocks)])
-    dealt = fps.select("fp").mapInArrow(_to_shards(trees), "shard long, fp long").repartition("shard").sortWithinPartitions("shard")
-    return dealt.mapInArrow(_join_shards(max_distance), "a long, b long")
+    dealt = fps.select("fp").mapInArrow(lean(_to_shards(trees)), "shard long, fp long").repartition("shard").sortWithinPartitions("shard")
+    return dealt.mapInArrow(lean(_join_shards(max_distance)), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, max_distance: int = 4, blocks: int = 3) -> DataFrame:

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siltstone.llm.common import table, text_slices
+from siltstone.llm.common import lean, table, text_slices
 
 SPACE = "▁"
 UNKNOWN = -20.0  # log-probability of each byte of a character that no piece has
@@ -92,7 +92,7 @@ def token_counts(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_
     ``vocabulary`` is the path of a piece file that every executor has.  Null and empty texts have no tokens; repeated
     rows each get theirs; other columns aren't read; an empty table gives no rows.
     """
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(_count(vocabulary), "doc_id long, n_pretokens long, n_tokens long")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(lean(_count(vocabulary)), "doc_id long, n_pretokens long, n_tokens long")
 
 
 def op6_token_counts(spark, sf_dir: str) -> DataFrame:

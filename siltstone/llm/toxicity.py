@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siltstone.llm.common import byte_texts, staged, table, text_slices
+from siltstone.llm.common import byte_texts, lean, staged, table, text_slices
 from siltstone.llm.decontaminate import words_of
 from siltstone.llm.quality import fold, training_labels
 
@@ -232,7 +232,7 @@ def _scores(held):
 def score(docs: DataFrame, model: Toxicity, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(doc_id, score)`` for each row, repeated ones too; null texts are scored as empty ones; other columns aren't read."""
     held = docs.sparkSession.sparkContext.broadcast(model)
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).mapInArrow(_scores(held), "doc_id long, score double")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).mapInArrow(lean(_scores(held)), "doc_id long, score double")
 
 
 def training_sample(docs: DataFrame, labels: DataFrame, sample_rows: int = 60_000) -> DataFrame:
