@@ -1,71 +1,10 @@
-"""Training-corpus pipeline over ``documents``: five stages, each one operator of ``siltstone.llm``.
+"""Training-corpus pipeline over ``documents``: quality, exact dedup, near dedup, decontamination, packing.
 
-Each stage takes ``(spark, docs, sf_dir)`` and returns the columns of ``documents`` for the rows it keeps; the last
-returns packed pieces.  Quality models and tokenizers aren't SQL, so there is no oracle; ``tests/llm`` holds the stages
-against brute force.
+The stages are in ``siltstone.llm.pipeline``.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+from siltstone.llm.pipeline import ORACLE_SQL, STAGES, decontaminate, exact_dedup, near_dedup, packing, quality, run
 
-from siltstone.llm.common import staged, table
-from siltstone.llm.decontaminate import contamination
-from siltstone.llm.exact_dedup import exact_duplicates
-from siltstone.llm.near_copies import copies_to_drop, few, row_key
-from siltstone.llm.packing import pack
-from siltstone.llm.quality import fit_quality, measure, score
-
-ORACLE_SQL = None
-
-
-def _one_each(docs: DataFrame, ids: DataFrame, doc_id: str, sha: str) -> DataFrame:
-    """Rows of ``docs`` named by id and SHA-256 of the text; of repeated rows one."""
-    text = F.sha2(F.coalesce("text", F.lit("")), 256)
-    kept = docs.join(ids, docs["doc_id"].eqNullSafe(ids[doc_id]) & (text == ids[sha]), "left_semi")
-    if docs.groupBy("doc_id").count().filter("count > 1").limit(1).count():
-        kept = kept.dropDuplicates(["doc_id", "text"])
-    return kept
-
-
-def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows whose quality score is at least one half; repeated rows are judged alike, null texts as empty ones."""
-    model = fit_quality(measure(docs), table(spark, sf_dir, "labels"))
-    return score(docs, model, keep=docs.columns, name="__score").filter("__score >= 0.5").select(*docs.columns)
-
-
-def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the row with the largest id."""
-    kept = exact_duplicates(docs, keep="max").filter("kept").select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha"))
-    return _one_each(docs, kept, "__id", "__sha")
-
-
-def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group that pairs with a Jaccard similarity of five-word shingles of at least 0.8 connect, the row with the smallest id."""
-    gone = few(copies_to_drop(docs).select(F.col("key").alias("__key")))
-    return docs.join(gone, row_key() == gone["__key"], "left_anti")
-
-
-def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows in which no window of a benchmark item occurs; the others go whole."""
-    hit = contamination(docs, table(spark, sf_dir, "benchmark")).filter("contaminated").select(F.col("doc_id").alias("__id"), F.col("row_key").alias("__key")).distinct()
-    key = F.xxhash64(F.coalesce("text", F.lit("")))
-    return docs.join(hit, docs["doc_id"].eqNullSafe(hit["__id"]) & (key == hit["__key"]), "left_anti")
-
-
-def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of all documents in sequences of 4096 ids."""
-    import public_tokenizers
-
-    return pack(docs, public_tokenizers.path("word_bpe_49k.json"))
-
-
-STAGES = [("quality", quality), ("exact_dedup", exact_dedup), ("near_dedup", near_dedup), ("decontaminate", decontaminate), ("packing", packing)]
-
-
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES[:-1]:
-        docs = staged(stage(spark, docs, sf_dir), name)
-    return STAGES[-1][1](spark, docs, sf_dir)
+__all__ = ["ORACLE_SQL", "STAGES", "decontaminate", "exact_dedup", "near_dedup", "packing", "quality", "run"]
