@@ -20,7 +20,7 @@ class MarkdownOptions:
     ignore_links: bool = False
     body_width: int = 0
     protect_links: bool = True
-    unicode_snob: bool = True
+    unicode_snob: bool = True  # text is kept as it is; False gives ASCII where there is a plain form
     ignore_images: bool = False
     ignore_tables: bool = False
 
@@ -50,6 +50,7 @@ class Site:
     exclude_url_patterns: tuple[str, ...] = ()
     allowed_content_types: tuple[str, ...] = ()
     audit_days: int = 90
+    inactive_grace_cycles: int = 2
     coverage_target: float = 95.0
     page_timeout: int = 30
     min_delay: float = 1.0
@@ -57,6 +58,9 @@ class Site:
     max_concurrent: int = 3
     minimum_content_length: int = 100
     word_count_threshold: int = 20
+    robots_policy: str = "require"
+    respect_crawl_delay: bool = True
+    user_agent: str = "siltstone"
     markdown: MarkdownOptions = field(default_factory=MarkdownOptions)
     gap_crawl: GapCrawl = field(default_factory=GapCrawl)
 
@@ -64,6 +68,18 @@ class Site:
         if not self.base_url or not urlsplit(self.base_url).hostname:
             raise ValueError(f"no host in base_url of {self.name}: {self.base_url}")
         _within("page_timeout", self.page_timeout, 1, 120)
+        _within("min_delay", self.min_delay, 0, float("inf"))
+        _within("max_delay", self.max_delay, 0, float("inf"))
+        _within("cache_ttl_hours", self.cache_ttl_hours, 0, float("inf"))
+        _within("audit_days", self.audit_days, 1, float("inf"))
+        _within("inactive_grace_cycles", self.inactive_grace_cycles, 1, float("inf"))
+        _within("coverage_target", self.coverage_target, 0, 100)
+        _within("minimum_content_length", self.minimum_content_length, 1, float("inf"))
+        _within("word_count_threshold", self.word_count_threshold, 0, float("inf"))
+        if self.discovery_source not in ("sitemap", "none"):
+            raise ValueError(f"discovery_source of {self.name}: {self.discovery_source}")
+        if self.robots_policy != "require":
+            raise ValueError(f"robots_policy of {self.name}: {self.robots_policy}")
         _within("max_concurrent", self.max_concurrent, 1, 20)
         if self.min_delay > self.max_delay:
             raise ValueError("min_delay is above max_delay")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import urllib.robotparser
 from collections.abc import Sequence
 
@@ -31,9 +32,10 @@ def scope_reason(url: Column, allowed_domains: Sequence[str], exclude: Sequence[
 
 
 def with_scope(df: DataFrame, url_col: str, allowed_domains: Sequence[str] = (), exclude: Sequence[str] = ()) -> DataFrame:
-    """Adds ``scope_status`` (eligible or the reason's status) and ``scope_reason``."""
+    """Adds ``scope_reason`` and ``scope_status``: eligible, out_of_scope (another domain) or excluded (by a pattern)."""
     reason = scope_reason(F.col(url_col), allowed_domains, exclude)
-    return df.withColumn("scope_reason", reason).withColumn("scope_status", F.when(F.col("scope_reason").isNull(), "eligible").otherwise("excluded"))
+    status = F.when(F.col("scope_reason").isNull(), "eligible").when(F.col("scope_reason") == "domain_not_allowed", "out_of_scope").otherwise("excluded")
+    return df.withColumn("scope_reason", reason).withColumn("scope_status", status)
 
 
 def sitemap_allowed(url: Column, hosts: Sequence[str]) -> Column:
@@ -77,10 +79,10 @@ def parse_robots(body: pd.Series, agent: pd.Series) -> pd.DataFrame:
     rows = []
     for text, name in zip(body, agent, strict=True):
         parser = urllib.robotparser.RobotFileParser()
-        parser.parse((text or "").splitlines())
         try:
+            parser.parse((text or "").splitlines())
             delay = parser.crawl_delay(name) or parser.crawl_delay("*")
-        except (AttributeError, ValueError):
+        except (AttributeError, ValueError):  # one body that can't be read is one row without rules
             delay = None
         rows.append((None if delay is None else float(delay), list(parser.site_maps() or [])))
     return pd.DataFrame(rows, columns=["crawl_delay", "sitemap_urls"])
@@ -97,20 +99,23 @@ def robots_allows(body: pd.Series, agent: pd.Series, url: pd.Series) -> pd.Serie
             continue
         if text not in held:
             held[text] = urllib.robotparser.RobotFileParser()
-            held[text].parse(text.splitlines())
-        out.append(held[text].can_fetch(name, target))
+            try:
+                held[text].parse(text.splitlines())
+            except ValueError:  # rules that can't be read forbid nothing
+                held[text] = None
+        out.append(held[text] is None or held[text].can_fetch(name, target))
     return pd.Series(out)
 
 
-def walk(links: DataFrame, seeds: DataFrame, max_depth: int, max_nodes: int | None = None) -> DataFrame:
-    """Breadth-first reach over ``links(src, dst)`` from ``seeds(node)``: ``node, depth``.
+def walk(links: DataFrame, seeds: DataFrame, max_depth: int | None = None, max_nodes: int | None = None) -> DataFrame:
+    """Breadth-first reach over ``links(src, dst)`` from ``seeds(node)``: ``node, depth``; without ``max_depth`` as far as links go.
 
-    Each level is one join and one anti-join against what was seen, and is staged, so plans don't grow with the depth.  ``max_nodes`` is the run's page budget; within the
-    level where it runs out, nodes go in order of their names.
+    Each level is one join and one anti-join against what was seen, and is staged, so plans don't grow with the depth.
+    ``max_nodes`` is the run's page budget; within the level where it runs out, nodes go in order of their names.
     """
     edges = links.select("src", "dst").distinct()
     seen = level = staged(seeds.select(F.col("node")).distinct().withColumn("depth", F.lit(0)), "walk")
-    for depth in range(1, max_depth + 1):
+    for depth in itertools.count(1) if max_depth is None else range(1, max_depth + 1):
         fresh = edges.join(level.select(F.col("node").alias("src")), "src").select(F.col("dst").alias("node")).distinct().join(seen.select("node"), "node", "left_anti").withColumn("depth", F.lit(depth))
         level = staged(fresh, "walk")
         if level.isEmpty():
@@ -119,19 +124,35 @@ def walk(links: DataFrame, seeds: DataFrame, max_depth: int, max_nodes: int | No
     return seen if max_nodes is None else seen.orderBy("depth", "node").limit(max_nodes)
 
 
-def gap_crawl(links: DataFrame, seeds: Sequence[str], allowed_domains: Sequence[str], max_depth: int = 2, max_pages: int = 100) -> DataFrame:
-    """Pages reached from the seeds over links within the allowed domains, as far as depth and page budget go."""
+def gap_crawl(links: DataFrame, seeds: Sequence[str], allowed_domains: Sequence[str], max_depth: int = 2, max_pages: int = 100, pages: DataFrame | None = None, content_types: Sequence[str] = ()) -> DataFrame:
+    """Pages reached from the seeds over links within the allowed domains, as far as depth and page budget go: ``node, depth, success``.
+
+    ``pages`` (url, success, content_type) tells what fetching each gave; a page that isn't in it, or none at all, was
+    fetched.  With ``content_types``, pages of another type are left out and not followed; seeds always count.
+    """
     spark = links.sparkSession
     inside = links.filter(urls.host(F.col("dst")).isin(*[d.lower() for d in allowed_domains])) if allowed_domains else links
     start = spark.createDataFrame([(s,) for s in seeds], "node string")
-    return walk(inside, start, max_depth, max_pages)
+    if pages is None:
+        return walk(inside, start, max_depth, max_pages).withColumn("success", F.lit(True))
+    known = pages.select("url", "success", F.lower(F.trim(F.substring_index("content_type", ";", 1))).alias("content_type"))
+    if content_types:
+        other = known.filter(F.col("content_type").isNotNull() & ~F.col("content_type").isin(*[t.lower() for t in content_types]))
+        inside = inside.join(other.select(F.col("url").alias("dst")), "dst", "left_anti")
+    inside = inside.join(known.filter("not success").select(F.col("url").alias("src")), "src", "left_anti")
+    reached = walk(inside, start, max_depth, max_pages)
+    return reached.join(known, reached.node == known.url, "left").select("node", "depth", F.coalesce("success", F.lit(True)).alias("success"))
 
 
-def summary(scored: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """Long form of a run's counts: ``metric, n`` (discovered, eligible, and excluded:<reason>), with the ``by`` columns."""
+def summary(scored: DataFrame, by: Sequence[str] = (), weight: str | None = None) -> DataFrame:
+    """Long form of a run's counts: ``metric, n`` (discovered, eligible, and excluded:<reason>), with the ``by`` columns.
+
+    ``weight`` names a column that says how often each row was found.
+    """
     reason = F.concat(F.lit("excluded:"), F.coalesce("scope_reason", F.lit("unknown")))
     marks = F.array(F.lit("discovered"), F.when(F.col("scope_status") == "eligible", F.lit("eligible")).otherwise(reason))
-    return scored.select(*by, F.explode(marks).alias("metric")).groupBy(*by, "metric").agg(F.count("*").alias("n"))
+    counted = scored.select(*by, (F.col(weight) if weight else F.lit(1)).cast("long").alias("__n"), F.explode(marks).alias("metric"))
+    return counted.groupBy(*by, "metric").agg(F.sum("__n").alias("n"))
 
 
 def cached_runs(runs: DataFrame, fingerprints: DataFrame, now: Column) -> DataFrame:
