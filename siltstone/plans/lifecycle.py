@@ -197,6 +197,18 @@ def frontmatter_roundtrip(spark, sf_dir):
     return p.select("doc_id", F.col("p.metadata")["content_hash"].alias("content_hash"), (F.col("p.content") == text.strip(F.col("text"))).alias("same"))
 
 
+@query("""SELECT doc_id, CASE doc_id % 6 WHEN 0 THEN 'Residence permit: how to apply' WHEN 1 THEN '#1 "quoted" \\ title' WHEN 2 THEN 'yes' WHEN 3 THEN '2026-01-01' WHEN 4 THEN 'it''s {a: [b]} | > & * !' ELSE '' END || CASE WHEN doc_id % 6 = 5 THEN '' ELSE chr(10) || left(text, 40) END AS title FROM documents""")
+def frontmatter_quoting(spark, sf_dir):
+    """Titles with signs that YAML reads as something else, written and read back by both parsers."""
+    i = F.col("doc_id") % 6
+    title = F.when(i == 0, "Residence permit: how to apply").when(i == 1, '#1 "quoted" \\ title').when(i == 2, "yes").when(i == 3, "2026-01-01").when(i == 4, "it's {a: [b]} | > & * !").otherwise("")
+    title = F.concat(title, F.when(i == 5, "").otherwise(F.concat(F.lit("\n"), F.substring("text", 1, 40))))
+    raw = markdown.render({"title": title, "language": F.lit(None).cast("string")}, F.col("text"))
+    d = table(spark, sf_dir, "documents").select("doc_id", raw.alias("raw"))
+    both = d.select("doc_id", markdown.parse(F.col("raw"))["metadata"]["title"].alias("title"), markdown.parse_flat(F.col("raw"))["metadata"]["title"].alias("flat"))
+    return both.select("doc_id", F.when(F.col("title") == F.col("flat"), F.col("title")).alias("title"))
+
+
 @query("SELECT source AS site, count(*) AS n FROM documents WHERE source = 'src1' GROUP BY source")
 def site_filter(spark, sf_dir):
     a = artifacts(spark, sf_dir).withColumn("site", markdown.site_of(F.col("path"), "content"))
@@ -216,14 +228,14 @@ def lastmod_trust(spark, sf_dir):
     return a.select("user_id", "sampled", "changes", ((F.col("sampled") >= 50) & (F.col("changes") >= 10) & (F.col("b") >= 0.9 * F.col("changes")) & (F.col("b") >= 0.9 * F.col("hashes"))).alias("trusted"))
 
 
-@query("""WITH runs AS (SELECT DISTINCT user_id, CAST(date_part('day', ts) AS BIGINT) // 2 AS run FROM events WHERE event_type = 'purchase'), last AS (SELECT max(run) AS r FROM runs)
-SELECT DISTINCT user_id FROM runs WHERE user_id NOT IN (SELECT user_id FROM runs, last WHERE run > last.r - 2)""")
+@query("""WITH runs AS (SELECT DISTINCT user_id || '/' || event_type AS record, CAST(date_part('day', ts) AS BIGINT) // 2 AS run FROM events), last AS (SELECT max(run) AS r FROM runs)
+SELECT DISTINCT record FROM runs WHERE record NOT IN (SELECT record FROM runs, last WHERE run > last.r - 2)""")
 def inactive_candidates(spark, sf_dir):
-    """Records that the last two discovery runs did not see."""
-    runs = table(spark, sf_dir, "events").filter("event_type = 'purchase'").select("user_id", F.floor(F.dayofmonth("ts") / 2).alias("run")).distinct()
+    """Records (a user's events of one type) that the last two discovery runs did not see."""
+    runs = table(spark, sf_dir, "events").select(F.concat_ws("/", "user_id", "event_type").alias("record"), F.floor(F.dayofmonth("ts") / 2).alias("run")).distinct()
     last = runs.agg(F.max("run").alias("r"))
-    recent = runs.join(F.broadcast(last), F.col("run") > F.col("r") - 2).select("user_id")
-    return runs.select("user_id").distinct().join(recent, "user_id", "left_anti")
+    recent = runs.join(F.broadcast(last), F.col("run") > F.col("r") - 2).select("record")
+    return runs.select("record").distinct().join(recent, "record", "left_anti")
 
 
 @query("SELECT doc_id FROM documents WHERE doc_id % 4 = 0 OR doc_id % 5 = 0 OR doc_id >= (SELECT count(*) FROM documents) * 0.9")

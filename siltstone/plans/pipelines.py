@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from urllib.parse import urlsplit
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltstone.config import Site
-from siltstone.functions import urls
+from siltstone.functions import schedule, urls
 from siltstone.operators import chunks, discovery, extract, manifest, render, vectors
 from siltstone.sources import markdown
 from siltstone.sources.snapshots import Snapshots
@@ -19,46 +20,73 @@ RUNS = "site_name string, completed_at timestamp, complete boolean, config_finge
 
 @dataclass(frozen=True)
 class Discovered:
-    """``urls``: loc and lastmod, the last occurrence of a loc; ``complete``: whether every sitemap could be read."""
+    """``urls``: loc, lastmod (of the last occurrence), n (occurrences) and at (the last one's place); ``complete``: whether all sitemaps were read."""
 
     urls: DataFrame
     complete: bool
     child_sitemaps: int
 
 
-def walk_sitemaps(responses: DataFrame, site: Site, max_children: int = discovery.CHILD_SITEMAPS) -> Discovered:
+def walk_sitemaps(responses: DataFrame, site: Site, max_children: int = discovery.CHILD_SITEMAPS, sitemap_urls: tuple[str, ...] | None = None) -> Discovered:
     """Follow sitemap indexes from the site's sitemaps through ``responses`` (url, status, body, error).
 
-    Only sitemaps on the site's own hosts are followed; at most ``max_children`` beyond the first ones, level by level.
+    Only sitemaps on the allowed domains (else on the given sitemaps' hosts) are followed, and at most ``max_children``
+    beyond the given ones, level by level.  The run isn't complete if there is no sitemap, one isn't allowed, one can't
+    be read, or the cap cuts some off.
     """
     spark = responses.sparkSession
-    hosts = list(site.allowed_domains) or [h for h in {s.split("/")[2] for s in site.sitemap_urls}]
+    given = list(dict.fromkeys(site.sitemap_urls if sitemap_urls is None else sitemap_urls))
+    if not given:
+        return Discovered(spark.createDataFrame([], "loc string, lastmod timestamp, n long, at struct<depth:int,node:string,pos:int>"), False, 0)
+    hosts = [d.lower() for d in site.allowed_domains] or sorted({(urlsplit(s).hostname or "") for s in given})
+    own = [s for s in given if urlsplit(s).scheme in ("http", "https") and (urlsplit(s).hostname or "") in hosts]
     fetched = responses.filter(~F.coalesce("error", F.lit(False)) & (F.col("status") < 400))
     parsed = staged(discovery.parse_sitemaps(fetched.select("url", "body")).select("url", "kind", "entries", "children"), "sitemaps")
-    links = parsed.select(F.col("url").alias("src"), F.explode("children").alias("dst")).filter(discovery.sitemap_allowed(F.col("dst"), hosts))
-    seeds = spark.createDataFrame([(s,) for s in dict.fromkeys(site.sitemap_urls)], "node string")
-    seen = staged(discovery.walk(links, seeds, 64, len(site.sitemap_urls) + max_children), "seen")
+    links = parsed.select(F.col("url").alias("src"), F.explode("children").alias("dst")).withColumn("allowed", discovery.sitemap_allowed(F.col("dst"), hosts))
+    seeds = spark.createDataFrame([(s,) for s in own], "node string")
+    reached = staged(discovery.walk(links.filter("allowed").select("src", "dst"), seeds), "reached")
+    seen = staged(reached.orderBy("depth", "node").limit(len(own) + max_children), "seen") if reached.count() > len(own) + max_children else reached
     read = seen.join(parsed, seen.node == parsed.url, "left")
-    counts = read.agg(F.count("*").alias("n"), F.count_if(F.col("kind").isin("urlset", "index")).alias("good"), F.count_if((F.col("depth") > 0) & F.col("kind").isin("urlset", "index")).alias("children")).first()
+    good = F.col("kind").isin("urlset", "index")
+    counts = read.agg(F.count("*").alias("n"), F.count_if(good).alias("good"), F.count_if((F.col("depth") > 0) & good).alias("children")).first()
+    foreign = links.filter("not allowed").join(seen, links.src == seen.node, "left_semi").limit(1).count()
+    complete = len(own) == len(given) and seen is reached and counts.n == counts.good and not foreign
     rows = read.select("depth", "node", F.posexplode("entries").alias("pos", "e")).select(F.col("e.loc").alias("loc"), F.col("e.lastmod").alias("lastmod"), F.struct("depth", "node", "pos").alias("at"))
-    return Discovered(rows.groupBy("loc").agg(F.max_by(F.struct("lastmod"), "at").alias("l"), F.count("*").alias("n")).select("loc", "l.lastmod", "n"), counts.n == counts.good, counts.children)
+    found = rows.groupBy("loc").agg(F.max_by(F.struct("lastmod"), "at").alias("l"), F.count("*").alias("n"), F.max("at").alias("at")).select("loc", "l.lastmod", "n", "at")
+    return Discovered(found, complete, counts.children)
 
 
-def discover(spark: SparkSession, site: Site, snapshots: Snapshots, runs: Snapshots, responses: DataFrame | None, now: Column, links: DataFrame | None = None) -> DataFrame:
-    """One discovery run; returns its counts as ``metric, n`` (see ``discovery.summary``), with ``complete`` and ``cached``.
+def robots_rules(responses: DataFrame, site: Site) -> tuple[str, float | None, tuple[str, ...]]:
+    """State of the site's robots rules (ok, no_rules, suspended or unreachable; unreachable where there is no answer), crawl delay and sitemaps."""
+    mine = responses.filter(F.col("url") == site.base_url.rstrip("/") + "/robots.txt")
+    row = mine.select(discovery.classify_response(F.col("status"), F.col("error")).alias("state"), discovery.parse_robots(F.coalesce("body", F.lit("")), F.lit(site.user_agent)).alias("r")).first()
+    if row is None:
+        return "unreachable", None, ()
+    if row.state != "ok":
+        return row.state, None, ()
+    return row.state, row.r.crawl_delay, tuple(row.r.sitemap_urls or ())
+
+
+def discover(spark: SparkSession, site: Site, snapshots: Snapshots, runs: Snapshots, responses: DataFrame | None, now: Column, links: DataFrame | None = None, pages: DataFrame | None = None) -> DataFrame:
+    """One discovery run; returns its counts as ``metric, n`` (see ``discovery.summary``), with ``complete``, ``cached``, and the delays that its requests keep.
 
     The ledger says incomplete before anything is read and what came of it at the end, so a run that dies doesn't
     count.  A run whose robots rules can't be reached ends there.  A fresh complete run of the same settings is used
-    again within the site's time limit.
+    again within the site's time limit.  Where the site names no sitemaps, those of its robots rules are read.  Each
+    occurrence of a URL counts; the last one gives its lastmod.  A gap crawl takes links, and what fetching pages gave.
     """
     site.require_discovery()
     name, print_ = F.lit(site.name), F.lit(site.fingerprint())
     uses_sitemaps = site.discovery_source == "sitemap"
+    low, high = site.min_delay, site.max_delay
+
+    def with_run(counts: DataFrame, complete: bool, cached: bool) -> DataFrame:
+        return counts.withColumns({"complete": F.lit(complete), "cached": F.lit(cached), "min_delay": F.lit(float(low)), "max_delay": F.lit(float(high))})
+
     if uses_sitemaps and site.cache_ttl_hours > 0:
         same = spark.createDataFrame([(site.name, site.fingerprint(), float(site.cache_ttl_hours))], "site_name string, fingerprint string, ttl_hours double")
         if discovery.cached_runs(runs.read(), same, now).filter("cached").count():
-            held = snapshots.read().filter(F.col("site_name") == site.name)
-            return discovery.summary(held).withColumns({"complete": F.lit(True), "cached": F.lit(True)})
+            return with_run(discovery.summary(snapshots.read().filter(F.col("site_name") == site.name)), True, True)
 
     def ledger(complete: bool) -> None:
         row = spark.range(1).select(name.alias("site_name"), now.alias("completed_at"), F.lit(complete).alias("complete"), print_.alias("config_fingerprint"))
@@ -66,20 +94,27 @@ def discover(spark: SparkSession, site: Site, snapshots: Snapshots, runs: Snapsh
 
     if uses_sitemaps:
         ledger(False)
-        robots = responses.filter(F.col("url") == site.base_url.rstrip("/") + "/robots.txt").select(discovery.classify_response(F.col("status"), F.col("error")).alias("r")).first()
-        if robots is not None and robots.r in ("suspended", "unreachable"):
-            return spark.createDataFrame([], "metric string, n long").withColumns({"complete": F.lit(False), "cached": F.lit(False)})
-        found = walk_sitemaps(responses, site)
+    named: tuple[str, ...] = ()
+    if responses is not None:
+        state, delay, named = robots_rules(responses, site)
+        if state in ("suspended", "unreachable"):
+            return with_run(spark.createDataFrame([], "metric string, n long"), False, False)
+        if delay is not None and site.respect_crawl_delay:
+            low = max(low, delay)
+            high = max(high, low)
+    if uses_sitemaps:
+        found = walk_sitemaps(responses, site, sitemap_urls=site.sitemap_urls or named)
         rows, complete, source = found.urls, found.complete, "sitemap"
     else:
-        rows = discovery.gap_crawl(links, site.gap_crawl.seed_urls, site.allowed_domains, site.gap_crawl.max_depth, site.gap_crawl.max_pages).select(F.col("node").alias("loc"), F.lit(None).cast("timestamp").alias("lastmod"), F.lit(1).alias("n"))
-        complete, source = bool(site.gap_crawl.seed_urls), "deep_crawl"
+        reached = staged(discovery.gap_crawl(links, site.gap_crawl.seed_urls, site.allowed_domains, site.gap_crawl.max_depth, site.gap_crawl.max_pages, pages, site.allowed_content_types), "gap")
+        complete, source = bool(site.gap_crawl.seed_urls) and not reached.filter("not success").limit(1).count(), "deep_crawl"
+        rows = reached.filter("success").select(F.col("node").alias("loc"), F.lit(None).cast("timestamp").alias("lastmod"), F.lit(1).cast("long").alias("n"), F.struct("depth", "node", F.lit(0).alias("pos")).alias("at"))
     scored = discovery.with_scope(rows, "loc", site.allowed_domains, site.exclude_url_patterns)
-    scored = staged(scored.select(name.alias("site_name"), urls.canonicalize(F.col("loc")).alias("canonical_url"), F.col("loc").alias("source_url"), F.lit(source).alias("source"), "lastmod", "scope_status", "scope_reason", now.alias("seen_at"), F.col("loc").alias("ordinal"), "n"), "discovered")
+    scored = staged(scored.select(name.alias("site_name"), urls.canonicalize(F.col("loc")).alias("canonical_url"), F.col("loc").alias("source_url"), F.lit(source).alias("source"), "lastmod", "scope_status", "scope_reason", now.alias("seen_at"), F.col("at").alias("ordinal"), "n"), "discovered")
     snapshots.update(lambda held: manifest.upsert(held, manifest.collapse(scored)))
     if uses_sitemaps:
         ledger(complete)
-    return discovery.summary(scored).withColumns({"complete": F.lit(complete), "cached": F.lit(False)})
+    return with_run(discovery.summary(scored, weight="n"), complete, False)
 
 
 def record_run(runs: DataFrame, row: DataFrame) -> DataFrame:
@@ -93,13 +128,37 @@ def plan_render(held: DataFrame, site: Site, now: Column, max_urls: int = 5000,
     return render.select_due(render.with_decision(mine, now, F.lit(site.trust_lastmod), F.lit(site.audit_days), force), max_urls)
 
 
-def apply_render(snapshots: Snapshots, due: DataFrame, results: DataFrame, site: Site, now: Column) -> DataFrame:
-    """Fold results into the next snapshot; returns the outcome rows with their Markdown."""
+def apply_render(snapshots: Snapshots, due: DataFrame, results: DataFrame, site: Site, now: Column, root: str | None = None) -> DataFrame:
+    """Fold results into the next snapshot; returns the outcome rows with their Markdown.
+
+    With ``root`` (a folder that all executors share) each saved page is written to ``root/site/parsed``, under a name
+    made from its canonical URL; a page that moved leaves no file under its old name.
+    """
     rows = staged(render.outcomes(due, results, now, site.allowed_domains, site.exclude_url_patterns, site.minimum_content_length), "outcomes")
     snapshots.update(lambda held: render.apply(held, rows, now))
+    if root is not None:
+        markdown.export(documents(rows, now), root)
     return rows
 
 
+def documents(rows: DataFrame, now: Column) -> DataFrame:
+    """``site_name, file_name, rendered, old_names`` of the pages that outcome rows save; ``old_names`` where some moved there."""
+    good = rows.filter(F.col("outcome").isin("saved", "rekeyed"))
+    head = {
+        "title": F.col("new_title"),
+        "source_url": F.col("final_url"),
+        "canonical_url": F.col("new_canonical"),
+        "content_hash": F.sha2("markdown", 256),
+        "language": F.col("language"),
+        "extractor_version": F.lit(schedule.EXTRACTOR_VERSION),
+        "crawl_timestamp": F.date_format(now, "yyyy-MM-dd'T'HH:mm:ssXXX"),
+    }
+    old = F.when(F.col("outcome") == "rekeyed", urls.artifact_filename(F.col("canonical_url")))
+    # Of several pages that moved to one address the last by old address is written, as in the manifest.
+    named = good.select("site_name", "canonical_url", urls.artifact_filename(F.col("new_canonical")).alias("file_name"), markdown.render(head, F.col("markdown")).alias("rendered"), old.alias("old_name"))
+    return named.groupBy("site_name", "file_name").agg(F.max_by("rendered", "canonical_url").alias("rendered"), F.collect_set("old_name").alias("old_names"))
+
+
 def rendered_pages(pages: DataFrame, profile: extract.Profile = extract.Profile()) -> DataFrame:
     """Render results from raw pages (url, html): the first attempt cleaned, the second one not."""
     first, second = extract.extracted(F.col("html"), profile), extract.extracted(F.col("html"), extract.Profile(cleanup=False))
@@ -109,7 +168,7 @@ def rendered_pages(pages: DataFrame, profile: extract.Profile = extract.Profile(
 
 
 def ingest(spark: SparkSession, root: str, collection: Snapshots | None = None, site: str | None = None, embedder=None, size: int = 1000, overlap: int = 200, delete_stale: bool = False) -> DataFrame:
-    """Chunks of all Markdown files below ``root`` with ids, metadata and vectors, merged into ``collection`` if one is given."""
+    """Chunks of all Markdown files below ``root`` with ids, metadata and vectors, merged into ``collection`` if one is given; see ``markdown.rejected`` for files without content."""
     files = markdown.read(spark, root, site)
     m = chunks.metadata(F.col("path"), F.col("metadata")["source_url"], F.col("url"))
     rows = chunks.chunk(files.select("path", "content", F.col("metadata")["title"].alias("title"), m.alias("m")), size=size, overlap=overlap)

@@ -4,8 +4,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from siltstone.config import GapCrawl, Site
-from siltstone.operators import manifest
+from siltstone.operators import discovery, manifest, rag
 from siltstone.plans import pipelines
+from siltstone.sources import markdown
 from siltstone.sources.snapshots import Snapshots
 
 NOW = datetime(2026, 8, 5)
@@ -23,7 +24,7 @@ def index(*locs):
 
 RESPONSES = [
     (f"{A}/robots.txt", 200, "User-agent: *", False),
-    (f"{A}/s.xml", 200, index(f"{A}/c1.xml", f"{A}/c2.xml", "http://127.0.0.1/x.xml"), False),
+    (f"{A}/s.xml", 200, index(f"{A}/c1.xml", f"{A}/c2.xml"), False),
     (f"{A}/c1.xml", 200, urlset(f"{A}/p1?utm_source=x", f"{A}/p2", "https://evil.example/p"), False),
     (f"{A}/c2.xml", 200, index(f"{A}/c3.xml", f"{A}/s.xml"), False),
     (f"{A}/c3.xml", 200, urlset(f"{A}/p1", f"{A}/search?q=1"), False),
@@ -69,8 +70,64 @@ def test_incomplete_runs_do_not_count(spark, tmp_path):
     broken = spark.createDataFrame([r if not r[0].endswith("c3.xml") else (r[0], 200, "<urlset>", False) for r in RESPONSES], DDL)
     assert not pipelines.discover(spark, SITE, held, runs, broken, F.lit(NOW)).first().complete
     assert not runs.read().first().complete
-    down = spark.createDataFrame([(f"{A}/robots.txt", 503, "", False)], DDL)
-    assert pipelines.discover(spark, SITE, held, runs, down, F.lit(NOW)).count() == 0
+    for down in ([(f"{A}/robots.txt", 503, "", False)], []):
+        assert pipelines.discover(spark, SITE, held, runs, spark.createDataFrame(down, DDL), F.lit(NOW)).count() == 0
+    foreign = spark.createDataFrame([r if not r[0].endswith("/s.xml") else (r[0], 200, index(f"{A}/c1.xml", "http://127.0.0.1/x.xml"), False) for r in RESPONSES], DDL)
+    walked = pipelines.walk_sitemaps(foreign, SITE)
+    assert not walked.complete and walked.child_sitemaps == 1 and "secret" not in str(walked.urls.collect())
+    whole = spark.createDataFrame(RESPONSES, DDL)
+    capped = pipelines.walk_sitemaps(whole, SITE, max_children=1)
+    assert not capped.complete and capped.child_sitemaps == 1
+    assert pipelines.walk_sitemaps(whole, SITE, max_children=3).complete
+    assert not pipelines.walk_sitemaps(whole, SITE, sitemap_urls=(f"{A}/s.xml", "https://evil.example/s.xml")).complete
+    assert not pipelines.walk_sitemaps(whole, SITE, sitemap_urls=()).complete
+    port = Site("p", A, sitemap_urls=("https://U:p@A.example:443/s.xml",))
+    assert not pipelines.walk_sitemaps(whole, port).complete  # its host is allowed, but nothing answers there
+
+
+def test_robots_give_sitemaps_and_delay(spark, tmp_path):
+    held, runs = stores(spark, tmp_path)
+    rules = f"User-agent: *\nCrawl-delay: 7\nSitemap: {A}/s.xml"
+    responses = spark.createDataFrame([(f"{A}/robots.txt", 200, rules, False)] + [r for r in RESPONSES if not r[0].endswith("robots.txt")], DDL)
+    out = pipelines.discover(spark, Site("a", A, allowed_domains=("a.example",)), held, runs, responses, F.lit(NOW))
+    assert counts(out)["discovered"] == 5 and (out.first().complete, out.first().min_delay, out.first().max_delay) == (True, 7.0, 7.0)
+    assert {r.scope_status for r in held.read().filter("source_url like '%evil%'").collect()} == {"out_of_scope"}
+    odd = spark.createDataFrame([("User-agent: *\nCrawl-delay: \u00b2\nDisallow: /x", "bot"), ("User-agent: *\nCrawl-delay: 3", "bot")], "body string, agent string").coalesce(1)
+    got = odd.select(discovery.parse_robots("body", "agent").alias("r"), discovery.robots_allows("body", "agent", F.lit(f"{A}/y")).alias("ok")).collect()
+    assert [(r.r.crawl_delay, r.ok) for r in got] == [(None, True), (3.0, True)]
+
+
+TITLES = ["Residence permit: how to apply", '#1 "quoted" \\ title', "yes", "2026-01-01", "it's {a: [b]}", "ünï \u2028 🎉"]
+
+
+def test_from_crawl_to_answers(spark, tmp_path):
+    """Discover, render, write, move, ingest and answer, with titles that YAML could read as something else."""
+    held, runs = stores(spark, tmp_path)
+    site = Site("a", A, sitemap_urls=(f"{A}/s.xml",), allowed_domains=("a.example",))
+    urls_ = [f"{A}/p{i}" for i in range(len(TITLES))]
+    responses = spark.createDataFrame([(f"{A}/robots.txt", 404, "", False), (f"{A}/s.xml", 200, urlset(*urls_), False)], DDL)
+    assert pipelines.discover(spark, site, held, runs, responses, F.lit(NOW)).first().complete
+    root = f"{tmp_path}/content"
+    words = [f"subject{i} " * 30 for i in range(len(TITLES))]
+
+    def render(rows, now):
+        ddl = "canonical_url string, success boolean, exception boolean, status_code int, cache_status string, fit_markdown string, raw_markdown string, meta_url string, url string, title string, fallback_success boolean, fallback_fit_markdown string, fallback_raw_markdown string, fallback_meta_url string, fallback_url string, fallback_title string"
+        results = spark.createDataFrame([(u, True, False, 200, "miss", m, "", None, final, t, False, None, None, None, None, None) for u, m, final, t in rows], ddl)
+        due = pipelines.plan_render(held.read(), site, F.lit(now), force=True)
+        return pipelines.apply_render(held, due, results, site, F.lit(now), root)
+
+    render(list(zip(urls_, words, urls_, TITLES, strict=True)), NOW)
+    files = markdown.read(spark, root, "a").collect()
+    assert sorted(f.metadata["title"] for f in files) == sorted(TITLES) and {f.url for f in files} == set(urls_)
+    assert all(set(f.metadata) == {"title", "source_url", "canonical_url", "content_hash", "language", "extractor_version", "crawl_timestamp"} for f in files)
+    render([(urls_[0], words[0], f"{A}/moved", TITLES[0])], NOW + timedelta(days=1))
+    assert f"{A}/moved" in {f.url for f in markdown.read(spark, root, "a").collect()} and len(list((tmp_path / "content/a/parsed").iterdir())) == len(TITLES)
+    (tmp_path / "content/a/parsed/broken.md").write_text("---\na: [\n---\nx")
+    assert [r.path.rsplit("/", 1)[-1] for r in markdown.rejected(spark, root).collect()] == ["broken.md"]
+    chunks_ = pipelines.ingest(spark, root, site="a").withColumn("id", F.xxhash64("chunk_id"))
+    asked = spark.createDataFrame([(3, "subject0", "auto")], "query_id long, message string, preferred string")
+    cite = rag.events(rag.answer(asked, chunks_, k=1)).filter("event = 'citation'").first().data
+    assert TITLES[0] in cite and f"{A}/moved" in cite
 
 
 def test_gap_crawl(spark, tmp_path):
@@ -78,7 +135,13 @@ def test_gap_crawl(spark, tmp_path):
     site = Site("g", A, discovery_source="none", allowed_domains=("a.example",), gap_crawl=GapCrawl(True, (f"{A}/",), 2, 3))
     links = spark.createDataFrame([(f"{A}/", f"{A}/1"), (f"{A}/", "https://b.example/"), (f"{A}/1", f"{A}/2"), (f"{A}/2", f"{A}/3"), (f"{A}/1", f"{A}/")], "src string, dst string")
     out = pipelines.discover(spark, site, held, runs, None, F.lit(NOW), links)
-    assert counts(out) == {"discovered": 3, "eligible": 3}
+    assert counts(out) == {"discovered": 3, "eligible": 3} and out.first().complete
+    pages = spark.createDataFrame([(f"{A}/1", False, None), (f"{A}/2", True, "text/html")], "url string, success boolean, content_type string")
+    out = pipelines.discover(spark, site, held, runs, None, F.lit(NOW), links, pages)
+    assert counts(out) == {"discovered": 1, "eligible": 1} and not out.first().complete
+    pdf = pages.withColumn("content_type", F.lit("application/pdf; x=1")).withColumn("success", F.lit(True))
+    html = Site("g", A, discovery_source="none", allowed_domains=("a.example",), allowed_content_types=("text/html",), gap_crawl=site.gap_crawl)
+    assert counts(pipelines.discover(spark, html, held, runs, None, F.lit(NOW), links, pdf)) == {"discovered": 1, "eligible": 1}
 
 
 def test_ingest_and_requests(spark, tmp_path):
