@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -54,23 +56,39 @@ def joined_in_order(rank: Column, line: Column, separator: str) -> Column:
     return F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(rank.alias("r"), line.alias("l")))), lambda x: x["l"]), separator)
 
 
+_MARK = re.compile(r"\$(?:\$|([_a-zA-Z][_a-zA-Z0-9]*)|\{([_a-zA-Z][_a-zA-Z0-9]*)\})")
+
+
+def substitute(template: str, values: dict[str, Column]) -> Column:
+    """Put values in a template's ``$name`` and ``${name}`` in one pass, so nothing that a value holds is expanded again.
+
+    ``$$`` is a dollar sign; unknown names and other dollar signs stay as they are.
+    """
+    out, at = [], 0
+    for m in _MARK.finditer(template):
+        name = m[1] or m[2]
+        if name is not None and name not in values:
+            continue
+        out += [F.lit(template[at : m.start()]), F.lit("$") if name is None else values[name]]
+        at = m.end()
+    return F.concat(*out, F.lit(template[at:]))
+
+
 def fill(template: str, context: Column, question: Column) -> Column:
-    """Put context and question in a template in one pass: what either holds is never expanded again."""
-    out = []
-    rest = template
-    while rest:
-        spots = [(rest.find(mark), mark, value) for mark, value in (("$context", context), ("$question", question)) if mark in rest]
-        if not spots:
-            out.append(F.lit(rest))
-            break
-        at, mark, value = min(spots, key=lambda s: s[0])
-        out += [F.lit(rest[:at]), value]
-        rest = rest[at + len(mark) :]
-    return F.concat(*out)
+    """A template with its context and question."""
+    return substitute(template, {"context": context, "question": question})
+
+
+def casefold(x: Column) -> Column:
+    """Lower case for comparing: letters whose case forms are several letters, or differ by place, are put together."""
+    out = F.lower(x)
+    for sign, plain in (("ß", "ss"), ("ſ", "s"), ("ς", "σ"), ("ŉ", "ʼn"), ("ﬀ", "ff"), ("ﬁ", "fi"), ("ﬂ", "fl"), ("ﬃ", "ffi"), ("ﬄ", "ffl"), ("ﬅ", "st"), ("ﬆ", "st")):
+        out = F.replace(out, F.lit(sign), F.lit(plain))
+    return out
 
 
 def flatten_blocks(blocks: Column) -> Column:
-    """Text of a message given as blocks (type, text): the texts that are there, one a line."""
+    """Text of a message given as blocks (type, text): the texts that are there, one a line.  A bare string is a block without a type."""
     return F.array_join(F.transform(F.filter(blocks, lambda b: b["text"].isNotNull()), lambda b: b["text"]), "\n")
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from siltstone.functions import text
 from siltstone.operators import routing, vectors
+from siltstone.staging import staged
 
 # Fixed value: what a user is told when a turn fails.
 APOLOGY = "I encountered an error while processing your query. Please try again."
@@ -20,9 +21,30 @@ USER_TEMPLATE = (
 )
 
 
-def echo_generator(prompts: list[str]) -> list[list[str]]:
-    """Stand-in for a language model: the prompt's question, word by word."""
-    return [[w + " " for w in p.rsplit("Question:", 1)[-1].rsplit("Answer:", 1)[0].split()] for p in prompts]
+Messages = list[dict[str, str]]
+Generator = Callable[[list[Messages]], list[list[str]]]
+
+
+def echo_generator(turns: list[Messages]) -> list[list[str]]:
+    """Stand-in for a language model: the last message's question, word by word."""
+    return [[w + " " for w in t[-1]["content"].rsplit("Question:", 1)[-1].rsplit("Answer:", 1)[0].split()] for t in turns]
+
+
+def generate_each(generator: Generator, turns: list[Messages]) -> list[list[str] | None]:
+    """Tokens of each turn, null where the generator fails; a batch that fails is asked again turn by turn."""
+    try:
+        got = [list(t) for t in generator(turns)]
+        if len(got) == len(turns):
+            return got
+    except Exception:
+        pass
+    out: list[list[str] | None] = []
+    for turn in turns:
+        try:
+            out.append(list(generator([turn])[0]))
+        except Exception:  # a failed turn is an error event, not a failed job
+            out.append(None)
+    return out
 
 
 def contexts(hits: DataFrame, query_id: str = "query_id") -> DataFrame:
@@ -40,12 +62,18 @@ def contexts(hits: DataFrame, query_id: str = "query_id") -> DataFrame:
 def retrieve(questions: DataFrame, collection: DataFrame, k: int = 5, embedder=None, metric: str = "cosine") -> DataFrame:
     """Ranked hits of each question (query_id, message) with the chunks' columns; the collection has ``id`` and ``embedding``."""
     q = vectors.embed(questions.select("query_id", "message"), "message", embedder=embedder)
+    collection = staged(collection, "collection")  # read by the search and by the join
     hits = vectors.top_k(q, collection, k, metric)
     return hits.join(collection.drop("embedding"), "id")
 
 
-def answer(questions: DataFrame, collection: DataFrame, roster=routing.DEFAULT_ROSTER, base_prompt: str = "", k: int = 5, embedder=None, generator: Callable[[list[str]], list[list[str]]] = echo_generator, template: str = USER_TEMPLATE) -> DataFrame:
-    """Adds to ``questions`` (query_id, message, preferred): route, context, citations, prompt and ``tokens`` (null if the generator failed)."""
+def answer(questions: DataFrame, collection: DataFrame, roster=routing.DEFAULT_ROSTER, base_prompt: str = "", k: int = 5, embedder=None, generator: Generator = echo_generator, template: str = USER_TEMPLATE, history_messages: int = 10) -> DataFrame:
+    """Adds to ``questions`` (query_id, message, preferred): route, context, citations, prompt, messages and ``tokens`` (null if the generator failed).
+
+    The generator gets whole turns: the system prompt of the guide, the last ``history_messages`` of the column
+    ``history`` (array of role and content, where there is one), and the filled template.  A guide that isn't known has
+    no tokens.
+    """
     routed = routing.route(questions, roster)
     ctx = contexts(retrieve(questions, collection, k, embedder))
     prompts = F.create_map(*[F.lit(x) for g in roster for x in (g.id, g.prompt or "")])
@@ -53,25 +81,26 @@ def answer(questions: DataFrame, collection: DataFrame, roster=routing.DEFAULT_R
     df = routed.join(ctx, "query_id", "left").withColumns({"context": F.coalesce("context", F.lit("")), "display": F.coalesce("display", F.lit(NO_DOCUMENTS)), "citations": F.coalesce("citations", none)})
     df = df.withColumn("system", text.system_prompt(F.lit(base_prompt), F.element_at(prompts, F.col("guide_id")))).withColumn("prompt", text.fill(template, F.col("context"), F.col("message")))
 
+    history = text.history_tail(F.col("history"), history_messages) if "history" in df.columns else F.lit(None)
+    df = df.withColumn("messages", text.messages(F.col("system"), history, F.col("prompt")))
+
     @F.pandas_udf("array<string>")
-    def generate(prompt: pd.Series) -> pd.Series:
-        try:
-            return pd.Series([list(t) for t in generator(prompt.tolist())])
-        except Exception:  # a failed turn is an error event, not a failed job
-            return pd.Series([None] * len(prompt))
+    def generate(turns: pd.Series) -> pd.Series:
+        return pd.Series(generate_each(generator, [[{"role": m["role"], "content": m["content"]} for m in t] for t in turns]), dtype=object)
 
-    return df.withColumn("tokens", generate(F.col("prompt")))
+    return df.withColumn("tokens", F.when(F.col("guide_id").isNotNull(), generate(F.col("messages"))))
 
 
 def events(answered: DataFrame) -> DataFrame:
-    """``query_id, seq, event, data``: routing, citation, tokens that aren't empty, done; or routing, citation and an error."""
+    """``query_id, seq, event, data``: routing, citation, tokens that aren't empty, done; or routing, citation and an error; or the error alone for an unknown guide."""
     route = F.struct(F.lit("routing").alias("event"), F.to_json(F.struct("guide_id", "reason", "was_explicit")).alias("data"))
     cite = F.struct(F.lit("citation").alias("event"), F.to_json(F.struct("citations")).alias("data"))
     tokens = F.transform(F.filter("tokens", lambda t: t != ""), lambda t: F.struct(F.lit("token").alias("event"), F.to_json(F.struct(t.alias("text"))).alias("data")))
     done = F.array(F.struct(F.lit("done").alias("event"), F.lit("{}").alias("data")))
     error = F.array(F.struct(F.lit("error").alias("event"), F.to_json(F.struct(F.lit(APOLOGY).alias("message"))).alias("data")))
     rest = F.when(F.col("tokens").isNull(), error).otherwise(F.concat(tokens, done))
-    return answered.select("query_id", F.posexplode(F.concat(F.array(route, cite), rest)).alias("seq", "e")).select("query_id", "seq", "e.event", "e.data")
+    whole = F.when(F.col("guide_id").isNull(), error).otherwise(F.concat(F.array(route, cite), rest))
+    return answered.select("query_id", F.posexplode(whole).alias("seq", "e")).select("query_id", "seq", "e.event", "e.data")
 
 
 def fold_events(rows: DataFrame) -> DataFrame:

@@ -105,6 +105,13 @@ def counters(outcome_rows: DataFrame, by=()) -> DataFrame:
     return outcome_rows.groupBy(*by).agg(*[F.count_if(F.col(f"c_{n}")).alias(n) for n in names])
 
 
+def skipped(decided: DataFrame, max_urls: int) -> DataFrame:
+    """``site_name, skipped``: eligible records that weren't due, of those a run looks at until it has ``max_urls`` due ones."""
+    due = select_due(decided, max_urls).groupBy("site_name").agg(F.count("*").alias("taken"), F.max("considered").alias("considered"))
+    sites = decided.filter(F.col("scope_status") == "eligible").groupBy("site_name").agg(F.count("*").alias("n"))
+    return sites.join(due, "site_name", "left").select("site_name", F.coalesce(F.col("considered") - F.col("taken"), F.col("n")).alias("skipped"))
+
+
 def histograms(outcome_rows: DataFrame) -> DataFrame:
     """``kind, value, n``: HTTP statuses and cache states of first attempts."""
     http = outcome_rows.filter("status_code is not null").select(F.lit("http").alias("kind"), F.col("status_code").cast("string").alias("value"))

@@ -8,6 +8,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from siltstone.functions import text
+
 
 @dataclass(frozen=True)
 class Guide:
@@ -54,7 +56,7 @@ def route(messages: DataFrame, roster: tuple[Guide, ...] = DEFAULT_ROSTER, messa
     """
     known = {g.id: g for g in roster}
     chief, rest = roster[0], roster[1:]
-    low = F.lower(F.coalesce(F.col(message_col), F.lit("")))
+    low = text.casefold(F.coalesce(F.col(message_col), F.lit("")))
     pref = F.col(preferred_col)
     mention = F.lit(None).cast("string")
     for g in reversed(roster):

@@ -8,10 +8,11 @@ from collections.abc import Callable
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 BLOCK_BYTES = 64 << 20  # query vectors in one broadcast
+TILE = 1 << 22  # distances held at a time
 
 
 def hashing_embedder(dims: int = 384) -> Callable[[list[str]], np.ndarray]:
@@ -54,36 +55,58 @@ def upsert(collection: DataFrame, incoming: DataFrame, key: str = "chunk_id", or
     return old.unionByName(incoming, allowMissingColumns=True)
 
 
+def _near(q: np.ndarray, x: np.ndarray, ids: np.ndarray, k: int, metric: str) -> list[tuple[np.ndarray, np.ndarray]]:
+    """The k nearest rows of ``x`` for each row of ``q``: (ids, distances rounded to six places), ties to the smaller id.
+
+    The expanded square only picks rows; whatever may be among the k is measured directly, so results don't depend on
+    how rows are batched.
+    """
+    if metric == "cosine":
+        q, x = q / np.linalg.norm(q, axis=1, keepdims=True), x / np.linalg.norm(x, axis=1, keepdims=True)
+        rough = 1 - q @ x.T
+        slack = np.full(len(q), 2e-6)
+    else:
+        qn, xn = (q**2).sum(1), (x**2).sum(1)
+        rough = np.sqrt(np.maximum(qn[:, None] + xn[None] - 2 * q @ x.T, 0))
+        slack = 2e-6 + 1e-7 * np.sqrt(qn + xn.max())
+    out = []
+    for i in range(len(q)):
+        last = np.partition(rough[i], k - 1)[k - 1] if len(x) > k else np.inf
+        at = np.flatnonzero(~(rough[i] > last + 2 * slack[i]))
+        d = 1 - (x[at] * q[i]).sum(1) if metric == "cosine" else np.sqrt(((x[at] - q[i]) ** 2).sum(1))
+        d = np.round(d, 6) + 0.0  # no negative zero
+        by = np.lexsort((ids[at], d))[:k]
+        out.append((ids[at][by], d[by]))
+    return out
+
+
 def _search(held, k: int, metric: str):
     schema = pa.schema([("query_id", pa.int64()), ("id", pa.int64()), ("distance", pa.float64())])
 
     def run(batches):
         qid, q = held.value
-        best_d = np.full((len(qid), 0), np.inf)
-        best_i = np.zeros((len(qid), 0), np.int64)
+        best = [(np.zeros(0, np.int64), np.zeros(0))] * len(qid)
         for batch in batches:
-            ids = batch.column(0).to_numpy()
-            lists = batch.column(1)
+            ids, lists = batch.column(0).to_numpy(), batch.column(1)
             if not len(ids):
                 continue
             x = lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(ids), -1)
-            if metric == "cosine":
-                d = 1 - (q / np.linalg.norm(q, axis=1, keepdims=True)) @ (x / np.linalg.norm(x, axis=1, keepdims=True)).T
-            else:
-                d = np.sqrt(np.maximum(((q[:, None, :] - x[None, :, :]) ** 2).sum(-1) if len(q) * x.size < 1 << 22 else (q**2).sum(1)[:, None] + (x**2).sum(1)[None] - 2 * q @ x.T, 0))
-            d = np.round(d, 6) + 0.0  # no negative zero
-            best_d = np.concatenate([best_d, d], axis=1)
-            best_i = np.concatenate([best_i, np.broadcast_to(ids, d.shape)], axis=1)
-            order = np.lexsort((best_i, best_d), axis=1)[:, :k]
-            best_d, best_i = np.take_along_axis(best_d, order, 1), np.take_along_axis(best_i, order, 1)
-        n = best_d.shape[1]
-        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(qid, n)), pa.array(best_i.ravel()), pa.array(best_d.ravel())], schema=schema)
+            tile = max(1, TILE // len(ids))
+            for at in range(0, len(q), tile):
+                for i, (new_ids, new_d) in enumerate(_near(q[at : at + tile], x, ids, k, metric), at):
+                    both, d = np.concatenate([best[i][0], new_ids]), np.concatenate([best[i][1], new_d])
+                    by = np.lexsort((both, d))[:k]
+                    best[i] = both[by], d[by]
+        counts = [len(b[0]) for b in best]
+        if sum(counts):
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(qid, counts)), pa.array(np.concatenate([b[0] for b in best])), pa.array(np.concatenate([b[1] for b in best]))], schema=schema)
 
     return run
 
 
 def top_k(queries: DataFrame, collection: DataFrame, k: int = 5, metric: str = "l2", query_id: str = "query_id", item_id: str = "id", vector_col: str = "embedding") -> DataFrame:
     """Exact nearest neighbours: ``query_id, id, distance (rounded to six places), rank``; ties go to the smaller id.
+    A repeated id counts as often as it comes.
 
     Query vectors go out in blocks of bounded size, one pass over the collection each.  A task keeps k candidates for
     each query, so the shuffle holds k rows for each query and task and never all pairs.
@@ -106,8 +129,14 @@ def top_k(queries: DataFrame, collection: DataFrame, k: int = 5, metric: str = "
         found = search(block) if found is None else found.unionByName(search(block))
     if found is None:
         return spark.createDataFrame([], "query_id long, id long, distance double, rank int")
-    best = F.slice(F.array_sort(F.collect_list(F.struct("distance", "id"))), 1, k)
-    return found.groupBy("query_id").agg(best.alias("b")).select("query_id", F.posexplode("b").alias("p", "x")).select("query_id", "x.id", "x.distance", (F.col("p") + 1).alias("rank"))
+    order = Window.partitionBy("query_id").orderBy("distance", "id")  # cut to k in each task before it is dealt out
+    return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "id", "distance", "rank")
+
+
+def add_document(collection: DataFrame, texts: DataFrame, embedder: Callable[[list[str]], np.ndarray] | None = None, key: str = "chunk_id") -> DataFrame:
+    """The collection with ``texts`` (key, page_content and whatever metadata) embedded and merged by key; blank texts aren't added."""
+    fresh = texts.filter(F.coalesce(F.trim("page_content"), F.lit("")) != "")
+    return upsert(collection, embed(fresh, embedder=embedder), key)
 
 
 def get(collection: DataFrame, chunk_id: str) -> DataFrame:

@@ -83,7 +83,8 @@ _MESSAGES_SQL = """WITH c AS (SELECT conv_id, list({'role': role, 'content': tex
 
 @query(_MESSAGES_SQL + "SELECT conv_id, CAST(i AS BIGINT) AS pos, ms[i].role AS role, ms[i].content AS content FROM m, unnest(generate_series(1, len(ms))) AS t(i)")
 def build_messages(spark, sf_dir):
-    h = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))), lambda x: F.struct(x["role"].alias("role"), x["text"].alias("content"))).alias("h"))
+    last = Window.partitionBy("conv_id").orderBy(F.desc("turn"))  # ranked first, so no group holds a whole conversation
+    h = table(spark, sf_dir, "conversations").withColumn("r", F.row_number().over(last)).filter("r <= 4").groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))), lambda x: F.struct(x["role"].alias("role"), x["text"].alias("content"))).alias("h"))
     ms = text.messages(F.when(F.col("conv_id") % 2 == 0, "Be brief."), text.history_tail(F.col("h"), 4), F.lit("What now?"))
     return h.select("conv_id", F.posexplode(ms).alias("p", "m")).select("conv_id", (F.col("p") + 1).cast("long").alias("pos"), "m.role", "m.content")
 

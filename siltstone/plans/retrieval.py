@@ -143,6 +143,6 @@ def retrieval_eval(spark, sf_dir):
 def answer_events(spark, sf_dir):
     """Benchmark texts as questions against chunks of the documents: routed, retrieved, prompted and answered as ordered events."""
     d = table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("content"))
-    c = chunks.chunk(d).select((F.col("doc_id") * 100_000 + F.col("chunk_index")).alias("id"), "page_content", F.concat(F.lit("https://example.org/"), F.col("doc_id").cast("string")).alias("source_url"), F.lit(None).cast("string").alias("url"), F.lit(None).cast("string").alias("citation_url"), F.lit(None).cast("string").alias("title"))
+    c = chunks.chunk(d).select((F.shiftleft("doc_id", 26) + F.col("chunk_index")).alias("id"), "page_content", F.concat(F.lit("https://example.org/"), F.col("doc_id").cast("string")).alias("source_url"), F.lit(None).cast("string").alias("url"), F.lit(None).cast("string").alias("citation_url"), F.lit(None).cast("string").alias("title"))
     q = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("message"), F.lit("auto").alias("preferred"))
     return rag.events(rag.answer(q, vectors.embed(c), base_prompt="Answer from the reference data."))

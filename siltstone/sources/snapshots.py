@@ -11,7 +11,8 @@ from pyspark.sql import types as T
 class Snapshots:
     """Versions ``v=1, v=2, ...`` under ``root``; one counts once its ``_SUCCESS`` mark is there, so a crash leaves the last whole one."""
 
-    def __init__(self, spark: SparkSession, root: str, schema: T.StructType):
+    def __init__(self, spark: SparkSession, root: str, schema: T.StructType, lease_seconds: int = 6 * 3600):
+        self.lease_seconds = lease_seconds
         self.spark, self.root, self.schema = spark, root.rstrip("/"), schema
         jvm = spark.sparkContext._jvm
         self._path = jvm.org.apache.hadoop.fs.Path
@@ -32,14 +33,29 @@ class Snapshots:
         return self.spark.read.schema(self.schema).parquet(f"{self.root}/v={version or held[-1]}")
 
     def write(self, df: DataFrame) -> int:
+        """Write the next version.  A writer claims its number by making a mark; where another has it, this one fails instead of overwriting it."""
         version = (self.versions() or [0])[-1] + 1
-        df.write.mode("overwrite").parquet(f"{self.root}/v={version}")
+        claim = self._path(f"{self.root}/_claims/v={version}")
+        try:
+            self._fs.create(claim, False).close()
+        except Exception as e:
+            if self._fs.exists(claim) and self._fs.getFileStatus(claim).getModificationTime() > self._now() - self.lease_seconds * 1000:
+                raise RuntimeError(f"another writer makes version {version} of {self.root}") from e
+            self._fs.create(claim, True).close()  # its writer is gone
+        try:
+            df.write.mode("overwrite").parquet(f"{self.root}/v={version}")
+        finally:
+            self._fs.delete(claim, False)
         return version
 
+    def _now(self) -> int:
+        return self.spark.sparkContext._jvm.System.currentTimeMillis()
+
     def update(self, change: Callable[[DataFrame], DataFrame]) -> int:
         """Write what ``change`` makes of the last version; one writer at a time."""
         return self.write(change(self.read()))
 
     def expire(self, keep: int = 2) -> None:
+        """Remove all but the last versions; keep as many as a running reader may still use."""
         for v in self.versions()[:-keep]:
             self._fs.delete(self._path(f"{self.root}/v={v}"), True)

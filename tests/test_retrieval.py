@@ -85,6 +85,53 @@ def test_answers_and_failures(spark):
     assert [e.event for e in failed] == ["routing", "citation", "error"]
 
 
+def test_one_failed_turn_fails_alone(spark):
+    col = vectors.embed(spark.createDataFrame([(1, "permits take time", None, None, None, None)], "id long, page_content string, source_url string, url string, citation_url string, title string"))
+    history = [("user", f"m{i}") for i in range(20)]
+    q = spark.createDataFrame([(1, "fine", "auto", history), (2, "bad", "auto", None), (3, "fine", "nobody", None)], "query_id long, message string, preferred string, history array<struct<role:string,content:string>>").coalesce(1)
+
+    def picky(turns):
+        if any("Question: bad" in t[-1]["content"] for t in turns):
+            raise RuntimeError
+        return [[f"{len(t)} {t[0]['role']} {t[1]['content']}"] for t in turns]
+
+    got = {}
+    for e in rag.events(rag.answer(q, col, base_prompt="Be brief.", generator=picky)).orderBy("query_id", "seq").collect():
+        got.setdefault(e.query_id, []).append((e.event, e.data))
+    assert got[1][2:] == [("token", '{"text":"12 system m10"}'), ("done", "{}")]
+    assert [e for e, _ in got[2]] == ["routing", "citation", "error"] and [e for e, _ in got[3]] == ["error"]
+
+
+def test_top_k_does_not_depend_on_batches(spark):
+    """Near and equal vectors with large norms, in one batch and in many."""
+    rng = np.random.default_rng(8)
+    x = (1000 + rng.standard_normal((400, 16)) * 1e-3).astype(np.float32)
+    x[100:140] = x[7]
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    d = np.round(np.sqrt(((x[:, None].astype(float) - x[None].astype(float)) ** 2).sum(2)), 6) + 0.0
+    want = {(i, r + 1): (int(j), d[i, j]) for i in range(0, 400, 50) for r, j in enumerate(np.lexsort((np.arange(400), d[i]))[:5])}
+    for parts in (1, 9):
+        df = spark.createDataFrame(rows, "id long, embedding array<float>").repartition(parts)
+        q = df.filter("id % 50 = 0").withColumnRenamed("id", "query_id")
+        assert {(r.query_id, r["rank"]): (r.id, r.distance) for r in vectors.top_k(q, df, 5).collect()} == want
+
+
+def test_prompts_from_files(spark, tmp_path):
+    from siltstone.sources import prompts
+
+    (tmp_path / "a.md").write_text("Hi $name, $$5 ${name}x $other $ 1")
+    (tmp_path / "a.txt").write_text("no")
+    (tmp_path / "b.txt").write_text("plain")
+    assert prompts.load(spark, f"file://{tmp_path}", "b") == "plain" and prompts.load(spark, str(tmp_path), "c") == ""
+    assert spark.range(1).select(prompts.filled(spark, str(tmp_path), "a", {"name": F.lit("$other")})).first()[0] == "Hi $other, $5 $otherx $other $ 1"
+
+
+def test_add_document(spark):
+    held = vectors.embed(spark.createDataFrame([("a:0", "old")], "chunk_id string, page_content string"))
+    out = vectors.add_document(held, spark.createDataFrame([("a:0", "new"), ("b:0", "more"), ("c:0", " ")], "chunk_id string, page_content string"))
+    assert {(r.chunk_id, r.page_content, len(r.embedding)) for r in out.collect()} == {("a:0", "new", 384), ("b:0", "more", 384)}
+
+
 def test_template_is_filled_once(spark):
     got = spark.range(1).select(text.fill("$context|$question", F.lit("a $question"), F.lit("b $context"))).first()[0]
     assert got == "a $question|b $context"
