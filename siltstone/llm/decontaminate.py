@@ -14,9 +14,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siltstone.llm.common import byte_texts, lean, table, text_slices
+from siltstone.llm.common import byte_texts, lean, staged, table, text_slices
 
-BLOCK_WORDS = 4_000_000  # words of items in one broadcast: some 200 MB in a worker at most
+BLOCK_WORDS = 400_000  # words of items in one broadcast: some 250 MB on the driver and in a worker, 50 MB on the way
 
 # ASCII letters folded, digits kept, every other ASCII byte a space; bytes from 0x80 on belong to words.
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or 48 <= b <= 57 or b >= 128 else 32 for b in range(256))
@@ -120,17 +120,20 @@ def _union(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [tuple(x) for x in out]
 
 
-def _blocks(benchmark: DataFrame, item_col: str, text_col: str, block_words: int):
-    """The items in blocks; one block is held at a time."""
+def _blocks(benchmark: DataFrame, item_col: str, text_col: str, block_words: int, n: int):
+    """The items in blocks of at most ``block_words`` words; a longer item comes in pieces that overlap by a window less one word."""
     block, size = [], 0
     rows = benchmark.select(F.col(item_col).cast("string").alias("i"), F.col(text_col).cast("string").alias("t")).filter("i is not null and t is not null").distinct()
+    most = max(block_words, 2 * n)
     for r in rows.toLocalIterator():
-        n = len(words_of(r.t.encode()))
-        if block and size + n > block_words:
-            yield block
-            block, size = [], 0
-        block.append((r.i, r.t))
-        size += n
+        words = words_of(r.t.encode())
+        for at in range(0, max(1, len(words) - n + 1), most - n + 1):
+            piece = words[at : at + most]
+            if block and size + len(piece) > most:
+                yield block
+                block, size = [], 0
+            block.append((r.i, b" ".join(piece).decode()))
+            size += len(piece)
     yield block
 
 
@@ -147,17 +150,26 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     sc = docs.sparkSession.sparkContext
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("row_key"), text.alias("text"))
-    found = None
-    several = False
-    for block in _blocks(benchmark, item_col, item_text_col, block_words):
-        one = d.mapInArrow(lean(_scan(sc.broadcast(WindowSet(block, n)))), _DDL)
-        several = found is not None
-        found = one if found is None else found.unionByName(one)
-    if several:
-        # Repeated rows (same id and text) come together here and are counted, so that each is returned.
-        blocks = found.groupBy("doc_id", "row_key").agg(F.first("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
-        copies = d.groupBy("doc_id", "row_key").count()
-        found = blocks.join(copies, blocks.doc_id.eqNullSafe(copies.doc_id) & (blocks.row_key == copies.row_key)).select(blocks.doc_id, blocks.row_key, "n_words", F.expr(_MERGED).alias("spans"), "items", F.explode(F.sequence(F.lit(1), F.col("count"))).alias("copy"))
+    blocks = _blocks(benchmark, item_col, item_text_col, block_words, n)
+    first, second = next(blocks), next(blocks, None)
+    if second is None:
+        found = d.mapInArrow(lean(_scan(sc.broadcast(WindowSet(first, n)))), _DDL)
+    else:
+        # One block is out at a time: its hits are written, then it is taken back from the executors.
+        whole, hits = None, None
+        for block in chain([first, second], blocks):
+            held = sc.broadcast(WindowSet(block, n))
+            one = d.mapInArrow(lean(_scan(held)), _DDL)
+            one = staged(one if whole is None else one.filter("size(spans) > 0"), "hits")
+            held.destroy()
+            whole = one if whole is None else whole
+            one = one.filter("size(spans) > 0").dropDuplicates(["doc_id", "row_key"])  # repeated rows are hit alike
+            hits = one if hits is None else hits.unionByName(one)
+        merged = hits.groupBy("doc_id", "row_key").agg(F.flatten(F.collect_list("spans")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+        merged = merged.select(F.col("doc_id").alias("__id"), F.col("row_key").alias("__key"), F.expr(_MERGED).alias("s"), F.col("items").alias("i"))
+        rows = whole.select("doc_id", "row_key", "n_words")
+        found = rows.join(merged, rows.doc_id.eqNullSafe(merged["__id"]) & (rows.row_key == merged["__key"]), "left")
+        found = found.select("doc_id", "row_key", "n_words", F.coalesce("s", F.array().cast("array<bigint>")).alias("spans"), F.coalesce("i", F.array().cast("array<string>")).alias("items"))
     hit = F.aggregate(F.transform("spans", lambda x, i: F.when(i % 2 == 0, -x).otherwise(x)), F.lit(0).cast("long"), lambda a, x: a + x)
     return found.select("doc_id", "row_key", "n_words", "spans", "items", hit.alias("n_hit")).withColumn("contaminated", F.col("n_hit") > 0)
 
