@@ -67,6 +67,19 @@ def byte_texts(batch: pa.RecordBatch, column: int) -> list[bytes]:
     return [x or b"" for x in batch.column(column).cast(pa.binary()).to_pylist()]
 
 
+def join_counted(rows: DataFrame, named: DataFrame, key: str, most_hot: int = 1_000_000) -> DataFrame:
+    """``rows`` with the columns of ``named``, which has one row for each key and how many ``rows`` it has as ``n``.
+
+    Hot keys (over a thousand rows, and over the ``most_hot``-th part of all rows, so there are at most so many) are
+    sent to all executors, and their rows stay where they are; the others are dealt out by key.
+    """
+    total = named.agg(F.sum("n")).first()[0] or 0
+    limit = max(1000, total // most_hot)
+    hot = F.broadcast(named.filter(F.col("n") > limit).drop("n"))
+    cold = rows.join(hot.select(key), key, "left_anti").join(named.filter(F.col("n") <= limit).drop("n"), key)
+    return rows.join(hot, key).unionByName(cold)
+
+
 def connected_components(edges: DataFrame, label: str = "cc", max_rounds: int = 60) -> DataFrame:
     """``(node, root)`` for every node of ``edges(a, b)``; the root is the least node that can be reached.
 

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siltstone.llm.common import byte_texts, connected_components, lean, staged, table, text_slices
+from siltstone.llm.common import byte_texts, connected_components, join_counted, lean, staged, table, text_slices
 
 BITS = 64
 
@@ -158,9 +158,25 @@ def _to_shards(trees):
     return run
 
 
-def _join_shards(max_distance: int):
+def nested_links(fps: np.ndarray, max_distance: int, mask: int, radius: int, shard_size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links of a shard of any size: a large one has a tree of its own, and its leaves are compared one by one."""
+    pts = np.unique(fps)
+    levels = max(0, int(np.ceil(np.log2(max(1, len(pts)) / shard_size))))
+    if levels < 2:
+        return shard_links(pts, max_distance)
+    row, leaf = VantageTree(pts, levels, mask, radius).shards(pts)
+    row = row[np.argsort(leaf, kind="stable")]
+    cuts = np.cumsum(np.bincount(leaf, minlength=1 << levels))
+    parts = [shard_links(pts[row[a:b]], max_distance) for a, b in zip(np.append(0, cuts[:-1]), cuts, strict=True) if b - a > 1]
+    return tuple(np.concatenate([p[i] for p in parts] or [np.zeros(0, np.int64)]) for i in (0, 1))
+
+
+def _join_shards(max_distance: int, masks: list[int], shard_size: int):
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
+    def links(held, shard):
+        return nested_links(np.concatenate(held), max_distance, masks[int(shard) >> 40], max_distance // len(masks), shard_size)
+
     def run(batches):
         held, shard = [], None
         for batch in batches:
@@ -171,12 +187,12 @@ def _join_shards(max_distance: int):
                     continue
                 if key[lo] != shard:
                     if held:
-                        a, b = shard_links(np.concatenate(held), max_distance)
+                        a, b = links(held, shard)
                         yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], schema=schema)
                     held, shard = [], key[lo]
                 held.append(fps[lo:hi])
         if held:
-            a, b = shard_links(np.concatenate(held), max_distance)
+            a, b = links(held, shard)
             yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], schema=schema)
 
     return run
@@ -187,7 +203,8 @@ def near_links(fps: DataFrame, max_distance: int = 4, blocks: int = 3, shard_siz
 
     Not all pairs: each shard gives a star for each of its connected groups, which has the same components.
     ``sample_size`` bounds the fingerprints from which the trees are built (and so the broadcast trees, 10 bytes a
-    node); it does not bound what is joined.
+    node); it does not bound what is joined.  Shards that are larger than ``shard_size`` because the sample can't tell
+    more of them apart are split further where they are compared, by trees over all of their own fingerprints.
     """
     spark = fps.sparkSession
     n = fps.count()
@@ -198,7 +215,7 @@ def near_links(fps: DataFrame, max_distance: int = 4, blocks: int = 3, shard_siz
     sample = np.array([r[0] for r in drawn], np.int64).view(np.uint64)
     trees = spark.sparkContext.broadcast([VantageTree(sample, levels, m, max_distance // blocks) for m in block_masks(blocks)])
     dealt = fps.select("fp").mapInArrow(lean(_to_shards(trees)), "shard long, fp long").repartition("shard").sortWithinPartitions("shard")
-    return dealt.mapInArrow(lean(_join_shards(max_distance)), "a long, b long")
+    return dealt.mapInArrow(lean(_join_shards(max_distance, block_masks(blocks), shard_size)), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, max_distance: int = 4, blocks: int = 3) -> DataFrame:
@@ -209,15 +226,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     null.  Repeated rows are returned as often as they come; other columns are not read.  Empty tables give no rows.
     """
     fps = staged(simhash(docs, id_col, text_col, shingle), "simhash")
-    classes = staged(fps.groupBy("fp").agg(F.min("doc_id").alias("rep")), "classes")
+    classes = staged(fps.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")), "classes")
     comp = connected_components(near_links(classes, max_distance, blocks), "near")
     named = comp.join(classes, comp.node == classes.fp).select("node", "root", "rep")
     least = named.groupBy("root").agg(F.min("rep").alias("component_id"))
     of_fp = named.select("node", "root").join(least, "root").select(F.col("node").alias("fp"), "component_id")
-    of_class = classes.join(of_fp, "fp", "left").select("fp", F.coalesce("component_id", "rep").alias("component_id"))
-    return fps.join(of_class, "fp").select("doc_id", "fp", "component_id")
+    of_class = staged(classes.join(of_fp, "fp", "left").select("fp", F.coalesce("component_id", "rep").alias("component_id"), "n"), "named")
+    return join_counted(fps, of_class, "fp").select("doc_id", "fp", "component_id")
 
 
 def op9_simhash_vptree(spark, sf_dir: str) -> DataFrame:
+    """Every row of ``documents``, repeated ones too; null and empty texts have fingerprint zero; an empty table gives no rows."""
     near = near_duplicates(table(spark, sf_dir, "documents"))
     return near.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
