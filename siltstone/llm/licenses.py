@@ -20,11 +20,16 @@ from siltstone.llm.decontaminate import words_of
 # The phrases of the base labels.
 BASE_PHRASES = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
 
-# Wording of public licence texts and of the notices that refer to them.
+# Wording of the two BSD texts.
+_BSD_1_2 = "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met [[1]] redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer [[2]] redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution"
+_BSD_END = "this software is provided by {{provider:1-10}} as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed in no event shall {{provider:1-10}} be liable for any direct indirect incidental special exemplary or consequential damages including but not limited to procurement of substitute goods or services loss of use data or profits or business interruption however caused and on any theory of liability whether in contract strict liability or tort including negligence or otherwise arising in any way out of the use of this software even if advised of the possibility of such damage"
+
+# Wording of public licence texts, whole, and of the notices that refer to them.
 TEMPLATES = {
     "apache-2.0": (
         "licensed under the apache [[software]] license [[version]] 2 0",
         "apache license version 2 0 january 2004",
+        "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license you may obtain a copy of the license at [[http]] [[https]] [[www]] apache org licenses license 2 0 unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied see the license for the specific language governing permissions and limitations under the license",
         "released under the apache license [[version 2 0]]",
     ),
     "mit": (
@@ -32,20 +37,30 @@ TEMPLATES = {
         "licensed under the mit license",
         "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files [[the software]] to deal in the software without restriction",
     ),
+    "mit-text": (
+        "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions the above copyright notice and this permission notice [[including the next paragraph]] shall be included in all copies or substantial portions of the software the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement in no event shall the {{holders:1-10}} be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software",
+    ),
     "bsd": (
         "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met",
         "[[released]] under the [[{{clauses:1-2}} clause]] bsd license",
         "licensed under the [[{{clauses:1-2}} clause]] bsd license",
     ),
-    "isc": ("permission to use copy modify and [[or]] distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies",),
+    "bsd-2-clause": (_BSD_1_2 + " " + _BSD_END,),
+    "bsd-3-clause": (_BSD_1_2 + " [[3]] neither the name of {{holder:1-12}} nor the names of [[its]] [[{{whose:1-3}}]] contributors may be used to endorse or promote products derived from this software without specific prior written permission " + _BSD_END,),
+    "isc": (
+        "permission to use copy modify and [[or]] distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies the software is provided as is and {{author:1-6}} disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness in no event shall {{author:1-6}} be liable for any special direct indirect or consequential damages or any damages whatsoever resulting from loss of use data or profits whether in an action of contract negligence or other tortious action arising out of or in connection with the use or performance of this software",
+        "permission to use copy modify and [[or]] distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies",),
     "gpl": (
         "licensed under the gnu general public license [[version {{version:1-2}}]]",
         "under the terms of the gnu general public license as published by the free software foundation [[either version {{version:1-2}} [[of the license]]]]",
         "released under the gnu general public license",
+        "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version {{version:1-2}} of the license or [[at your option]] any later version this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose see the gnu general public license for more details [[you should have received a copy of the gnu general public license along with this program [[if not see {{where:1-8}}]]]]",
     ),
     "lgpl": ("under the [[terms of the]] gnu lesser general public license",),
     "agpl": ("under the [[terms of the]] gnu affero general public license",),
-    "mpl-2.0": ("subject to the terms of the mozilla public license v [[{{version:1-2}}]]",),
+    "mpl-2.0": (
+        "this source code form is subject to the terms of the mozilla public license v 2 0 if a copy of the mpl was not distributed with this file you can obtain one at [[http]] [[https]] [[www]] mozilla org mpl 2 0",
+        "subject to the terms of the mozilla public license v [[{{version:1-2}}]]",),
     "cc-by": (
         "licensed under [[a]] [[the]] creative commons attribution [[{{variant:1-3}}]] [[{{version:1-2}}]] [[international]] license",
         "licensed under cc by [[{{variant:1-2}}]] {{version:2-2}}",
@@ -176,6 +191,7 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def op8_license_templates(spark, sf_dir: str) -> DataFrame:
+    """Every row of ``documents``, repeated ones too; null and empty texts have no words, no places and score zero; an empty table gives no rows."""
     found = license_scan(table(spark, sf_dir, "documents"))
     labels = F.array_sort(F.array_distinct(F.concat("base_labels", "matches")))
     # A phrase alone leaves some doubt, a whole template little, and each further one leaves less.
