@@ -297,6 +297,7 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
 
 
 def op7_packing(spark, sf_dir: str) -> DataFrame:
+    """Pieces of every different text under an id; null and empty texts have the end id alone; an empty table gives no rows."""
     import public_tokenizers
 
     out = pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), with_ids=False)

@@ -621,4 +621,5 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 
 def op5_suffix_dedup(spark, sf_dir: str) -> DataFrame:
+    """One row for each different text under an id; null and empty texts have no bytes; see ``remove_repeats`` for repeated and null ids; an empty table gives no rows."""
     return remove_repeats(table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))

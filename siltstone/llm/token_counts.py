@@ -22,7 +22,11 @@ UNKNOWN = -20.0  # log-probability of each byte of a character that no piece has
 
 
 class Unigram:
-    """Pieces of a public vocabulary; the log-probability of the piece with rank r follows Zipf's law, -log((r + 2) H)."""
+    """Pieces of a public vocabulary; the log-probability of the piece with rank r follows Zipf's law, -log((r + 2) H).
+
+    The file's own scores are the order of its merges and no probabilities, and probabilities fitted to a corpus would
+    be a trained tokenizer, so the rank is all that is known of a piece; counts are those of this model.
+    """
 
     _held: dict = {}
 

@@ -120,7 +120,7 @@ def test_op6_counts(spark, texts):
             b.append(max([(b[e - 1][0] + UNKNOWN * k, b[e - 1][1] - k)] + [(b[s][0] + model.scores[word[s:e]], b[s][1] - 1) for s in range(e) if word[s:e] in model.scores]))
         return -b[-1][1]
 
-    for r in registry.QUERIES["op6_token_counts"](spark, SF).filter("doc_id % 7 = 0").collect():
+    for r in registry.QUERIES["op6_token_counts"](spark, SF).collect():
         words = texts[r.doc_id].split()
         assert (r.n_pretokens, r.n_tokens) == (len(words), sum(best(SPACE + w) for w in words))
 
@@ -178,6 +178,21 @@ def test_op8_base_places(spark, texts):
         assert set(r.base_labels.split(",")) <= set(r.labels.split(",")) | {""} and 0 <= r.score <= 1
 
 
+WHOLE = {
+    "isc": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED \"AS IS\" AND ACME LTD DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL ACME LTD BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.",
+    "mit-text": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
+}
+
+
+def test_op8_whole_texts(spark):
+    """Whole licence texts with other names in them match; one mandatory word less and they don't."""
+    from siltstone.llm.licenses import license_scan
+
+    rows = [(k, w) for k, w in enumerate(x for label in sorted(WHOLE) for x in ("Copyright (c) 2020 Acme " + WHOLE[label] + " End.", WHOLE[label].replace("this permission notice", "permission notice")))]
+    got = {r.doc_id: {m for m, a, b in zip(r.matches, r.match_starts, r.match_ends, strict=True) if b - a > 80} for r in license_scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {0: {"isc"}, 1: set(), 2: {"mit-text"}, 3: set()}
+
+
 def test_op8_automata():
     from siltstone.llm.licenses import Automaton
 
@@ -240,12 +255,55 @@ def test_op9_tree_search_is_exact(spark):
     assert got == {int(f): int(x) for f, x, k in zip(fps.view(np.int64), label, linked, strict=True) if k}
 
 
+@pytest.mark.parametrize("shard_size", [4, 64])
+def test_op9_shards_of_any_size(spark, shard_size):
+    """One shard with a cluster that spans it, chains and noise, split by trees of its own."""
+    from siltstone.llm.simhash_vptree import block_masks, nested_links
+
+    rng = np.random.default_rng(11)
+    fps = rng.integers(0, 1 << 63, 600, dtype=np.uint64)
+    bits = np.uint64(1) << rng.integers(0, 64, (600, 4)).astype(np.uint64)
+    fps = np.unique(np.concatenate([fps, fps ^ np.bitwise_or.reduce(bits, axis=1), fps[0] ^ np.bitwise_or.reduce(bits[:300, :3], axis=1)]))
+    root = {int(x): int(x) for x in fps.view(np.int64)}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for mask in block_masks(3):
+        for a, b in zip(*nested_links(fps, 4, mask, 1, shard_size), strict=True):
+            assert (int(a) ^ int(b)).bit_count() <= 64
+            x, y = sorted((find(int(a)), find(int(b))))
+            root[y] = x
+    near = np.bitwise_count(fps[:, None] ^ fps[None, :]) <= 4
+    label = np.arange(len(fps))
+    while (new := np.array([label[row].min() for row in near]).astype(int)).tolist() != label.tolist():
+        label = new
+    groups = {tuple(np.flatnonzero(label == k)) for k in set(label.tolist())}
+    mine = collections.defaultdict(list)
+    for i, x in enumerate(fps.view(np.int64)):
+        mine[find(int(x))].append(i)
+    assert groups == {tuple(g) for g in mine.values()}
+
+
+def test_op9_hot_fingerprints_are_joined_whole(spark):
+    from siltstone.llm.simhash_vptree import near_duplicates
+
+    rows = [(i, "same words in very many texts" if i % 2 else f"text number {i} of its own with some words") for i in range(5000)]
+    got = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()
+    assert len(got) == 5000 and {r.component_id for r in got if r.doc_id % 2} == {1}
+
+
 def test_op2_blocks_agree(spark, documents):
     from siltstone.llm.decontaminate import contamination
 
     bench = spark.read.parquet(f"{SF}/benchmark.parquet")
-    whole, blocks = (sorted(map(str, contamination(documents, bench, block_words=n).collect())) for n in (10**6, 200))
-    assert whole == blocks
+    docs = documents.unionByName(documents.filter("doc_id % 9 = 0"))
+    for table in (documents, docs):  # the second with repeated rows
+        # 25 words are fewer than some items have, so these are cut in pieces.
+        whole, *blocks = (sorted(map(str, contamination(table, bench, block_words=n).collect())) for n in (10**6, 200, 25))
+        assert all(whole == b for b in blocks) and any("contaminated=True" in r for r in whole)
 
 
 def test_op3_spreads_a_large_group(spark):

@@ -42,6 +42,77 @@ def test_label_model_trusts_what_agrees():
     assert (((x @ w) > 0) == y).mean() > 0.9
 
 
+def test_quality_scores_against_a_plain_computation(spark):
+    """Every document's score, from means, covariances and inverse matrices worked out one text at a time."""
+    import math
+    import zlib
+
+    import numpy as np
+
+    from siltstone.llm.quality import statistics
+
+    sf = "/root/testdata/sf0.001"
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{sf}/labels.parquet").collect() if zlib.crc32(str(r.doc_id).encode()) % 3 != 1}
+    x = {i: np.array(statistics(t)) for i, t in texts.items()}
+    of = {y: np.array([x[i] for i, v in labels.items() if v == y and i in x]) for y in (0, 1)}
+    n = {y: len(v) for y, v in of.items()}
+    mean = {y: v.mean(axis=0) for y, v in of.items()}
+    cov = {y: sum(np.outer(r - mean[y], r - mean[y]) for r in v) / n[y] for y, v in of.items()}
+    pooled = (n[0] * cov[0] + n[1] * cov[1]) / (n[0] + n[1])
+    scale = np.sqrt(np.maximum(np.diag(pooled), 1e-6))
+    dims = len(scale)
+    model = {}
+    for y in (0, 1):
+        c = (0.95 * cov[y] + 0.05 * pooled) / np.outer(scale, scale)
+        c = 0.98 * c + 0.02 * max(1e-3, np.trace(c) / dims) * np.eye(dims)
+        model[y] = mean[y] / scale, np.linalg.inv(c), -0.5 * math.log(np.linalg.det(c)) + math.log((n[y] + 1) / (n[0] + n[1] + 2))
+    got = {r.doc_id: r.score for r in registry.QUERIES["op4_quality_qda"](spark, sf).collect()}
+    assert got.keys() == texts.keys()
+    for i, v in x.items():
+        log = [b - 0.5 * (v / scale - m) @ inverse @ (v / scale - m) for m, inverse, b in (model[0], model[1])]
+        assert abs(got[i] - 1 / (1 + math.exp(-max(-30, min(30, (log[1] - log[0]) / (dims / 4)))))) < 1e-6
+
+
+def test_label_model_against_plain_loops():
+    """One text and one voter at a time."""
+    import math
+
+    import numpy as np
+
+    from siltstone.llm.toxicity import label_model
+
+    rng = np.random.default_rng(6)
+    y = (rng.random(60) < 0.3).astype(int)
+    votes = np.column_stack([rng.random(60) < np.where(y, 0.7, 0.1) for _ in range(4)])
+    votes[:, 1] = votes[:, 0]
+    start, prior, trust, strength = np.array([[0.1, 0.1, 0.2, 0.1], [0.6, 0.5, 0.6, 0.7]]), 0.3, 0.97, 50.0
+    got, rates, rho = label_model(votes, start, prior, y, trust, 5, strength)
+    n, k = votes.shape
+    q, c = [list(r) for r in start], [[0.0] * k for _ in range(k)]
+    for _ in range(5):
+        r = []
+        for i in range(n):
+            cast = [j for j in range(k) if votes[i, j]]
+            together = 1 + sum(c[a][b] for a in cast for b in cast) / max(1, len(cast))
+            log = math.log(prior / (1 - prior)) + (1 if y[i] == 1 else -1) * math.log(trust / (1 - trust))
+            log += sum(math.log(q[1][j] / q[0][j]) for j in cast) / together
+            log += sum(math.log((1 - q[1][j]) / (1 - q[0][j])) / (1 + sum(c[j])) for j in range(k) if j not in cast)
+            r.append(1 / (1 + math.exp(-log)))
+        new = [[0.0] * k for _ in range(k)]
+        for t in (0, 1):
+            w = [x if t else 1 - x for x in r]
+            total = sum(w)
+            q[t] = [(sum(w[i] for i in range(n) if votes[i, j]) + strength * start[t, j]) / (total + strength) for j in range(k)]
+            for a in range(k):
+                for b in range(k):
+                    cov = sum(w[i] * (votes[i, a] - q[t][a]) * (votes[i, b] - q[t][b]) for i in range(n)) / (total + strength)
+                    sd = [math.sqrt(q[t][j] * (1 - q[t][j])) + 1e-9 for j in (a, b)]
+                    new[a][b] = max(new[a][b], min(1.0, max(0.0, cov / (sd[0] * sd[1]))))
+        c = [[new[a][b] if a != b and new[a][b] > 0.1 else 0.0 for b in range(k)] for a in range(k)]
+    assert np.allclose(got, r, atol=1e-9) and np.allclose(rates, q, atol=1e-9) and np.allclose(rho, c, atol=1e-9) and rho[0, 1] > 0.1
+
+
 def test_pipeline_runs_end_to_end(spark):
     import corpus_pipeline
 
