@@ -52,11 +52,14 @@ def text_slices(batch: pa.RecordBatch, column: int, most: int):
 
 
 def lean(run):
-    """A task function after which its worker, which lives on, gives free memory back."""
+    """A task function after which its worker, which lives on, gives free memory back.
+
+    Arrow takes its memory from the system then, so that what one task has freed isn't kept beside what the next needs.
+    """
 
     def task(batches):
+        pa.set_memory_pool(pa.system_memory_pool())
         yield from run(batches)
-        pa.default_memory_pool().release_unused()
         ctypes.CDLL(None).malloc_trim(0)
 
     return task
