@@ -74,10 +74,13 @@ def join_counted(rows: DataFrame, named: DataFrame, key: str, most_hot: int = 1_
     """``rows`` with the columns of ``named``, which has one row for each key and how many ``rows`` it has as ``n``.
 
     Hot keys (over a thousand rows, and over the ``most_hot``-th part of all rows, so there are at most so many) are
-    sent to all executors, and their rows stay where they are; the others are dealt out by key.
+    sent to all executors, and their rows stay where they are; the others are dealt out by key.  ``named`` is read
+    several times and should be staged; a count that is too high does no harm.
     """
-    total = named.agg(F.sum("n")).first()[0] or 0
-    limit = max(1000, total // most_hot)
+    total, top = named.agg(F.sum("n"), F.max("n")).first()
+    limit = max(1000, (total or 0) // most_hot)
+    if (top or 0) <= limit:
+        return rows.join(named.drop("n"), key)
     hot = F.broadcast(named.filter(F.col("n") > limit).drop("n"))
     cold = rows.join(hot.select(key), key, "left_anti").join(named.filter(F.col("n") <= limit).drop("n"), key)
     return rows.join(hot, key).unionByName(cold)
@@ -87,7 +90,8 @@ def connected_components(edges: DataFrame, label: str = "cc", max_rounds: int =
     """``(node, root)`` for every node of ``edges(a, b)``; the root is the least node that can be reached.
 
     Alternates large-star and small-star rounds (Kiveris et al. 2014) on staged tables until the edges stay the same.
-    Minima come from partial aggregates and are joined back, so a star with very many leaves isn't gathered anywhere.
+    Minima come from partial aggregates and are joined back, those of stars with very many leaves by broadcast, so such
+    a star isn't gathered anywhere.
     """
     e = staged(edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), label)
     before = None
@@ -97,8 +101,8 @@ def connected_components(edges: DataFrame, label: str = "cc", max_rounds: int =
             break
         before = now
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.filter("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
+        low = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n")
+        large = join_counted(both.filter("v > u"), staged(low, label), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
         keep = low.select("u", F.col("m").alias("v"))
