@@ -228,9 +228,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     fps = staged(simhash(docs, id_col, text_col, shingle), "simhash")
     classes = staged(fps.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")), "classes")
     comp = connected_components(near_links(classes, max_distance, blocks), "near")
-    named = comp.join(classes, comp.node == classes.fp).select("node", "root", "rep")
-    least = named.groupBy("root").agg(F.min("rep").alias("component_id"))
-    of_fp = named.select("node", "root").join(least, "root").select(F.col("node").alias("fp"), "component_id")
+    named = staged(comp.join(classes, comp.node == classes.fp).select("node", "root", "rep"), "members")
+    least = staged(named.groupBy("root").agg(F.min("rep").alias("component_id"), F.count("*").alias("n")), "least")
+    of_fp = join_counted(named.select("node", "root"), least, "root").select(F.col("node").alias("fp"), "component_id")
     of_class = staged(classes.join(of_fp, "fp", "left").select("fp", F.coalesce("component_id", "rep").alias("component_id"), "n"), "named")
     return join_counted(fps, of_class, "fp").select("doc_id", "fp", "component_id")
 
