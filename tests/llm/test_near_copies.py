@@ -56,6 +56,14 @@ def test_stage_keeps_what_brute_force_keeps(spark, documents, tmp_path):
         assert got == want and len(want) < len(rows)
 
 
+def test_groups_in_parts_give_the_same(spark):
+    rows = made()
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    whole, parts = ({r.key for r in near_copies.copies_to_drop(df, part=part).collect()} for part in (near_copies.PART, 3000))
+    keys = {r.key: r.doc_id for r in df.select("doc_id", near_copies.row_key().alias("key")).collect()}
+    assert whole == parts and sorted(i for k, i in keys.items() if k not in parts) == brute_force(rows)
+
+
 def test_dense_group_needs_few_comparisons():
     rng = np.random.default_rng(1)
     base = np.arange(500, dtype=np.uint64)
