@@ -8,7 +8,6 @@ posterior labels train a regularised linear classifier over the votes and the de
 
 from __future__ import annotations
 
-import math
 import re
 from collections import Counter
 
@@ -135,26 +134,20 @@ class Toxicity:
         return 1 / (1 + np.exp(-np.clip(x @ self.weights, -30, 30)))
 
 
-_COUNTS = pa.schema([("mark", pa.binary()), ("n", pa.int64())])
+_COUNTS = pa.schema([("mark", pa.binary()), ("toxic", pa.int64()), ("clean", pa.int64())])
+_COUNTS_DDL = "mark binary, toxic long, clean long"
 
 
-def _count(label: int, wanted):
-    """Texts of a class that have a mark, counted by batch."""
-
-    def run(batches):
-        only = None if wanted is None else wanted.value
-        gate = None if only is None else {m[:SHORT] if not m.endswith(b"$") else m[:-1][:SHORT] for m in only}
-        for whole in batches:
-            for batch in text_slices(whole, 0, 8 << 20):
-                count: Counter = Counter()
-                for y, text in zip(batch.column(1).to_pylist(), byte_texts(batch, 0), strict=True):
-                    if y == label:
-                        words = {w for w in words_of(text) if len(w) >= SHORT and (gate is None or w[:SHORT] in gate)}
-                        marks = {m for w in words for m in _marks(w)}
-                        count.update(marks if only is None else marks & only)
-                yield pa.RecordBatch.from_arrays([pa.array(count.keys(), pa.binary()), pa.array(count.values(), pa.int64())], schema=_COUNTS)
-
-    return run
+def _count(batches):
+    """Texts of each class that have a mark, counted by batch."""
+    for whole in batches:
+        for batch in text_slices(whole, 0, 8 << 20):
+            counts: tuple[Counter, Counter] = (Counter(), Counter())
+            for y, text in zip(batch.column(1).to_pylist(), byte_texts(batch, 0), strict=True):
+                counts[y].update({m for w in set(words_of(text)) for m in _marks(w)})
+            for y, count in enumerate(counts):
+                n, none = pa.array(count.values(), pa.int64()), pa.array(np.zeros(len(count), np.int64))
+                yield pa.RecordBatch.from_arrays([pa.array(count.keys(), pa.binary()), *((none, n) if y == 0 else (n, none))], schema=_COUNTS)
 
 
 def _cast_votes(held):
@@ -170,19 +163,16 @@ def _cast_votes(held):
     return run
 
 
-def choose_marks(toxic: dict[bytes, int], clean: dict[bytes, int], n_toxic: int, n_clean: int, most: int, odds: float) -> list[bytes]:
-    """Marks that toxic texts surely have ``odds`` times as often as others: two deviations off either count.
-
-    Those with most evidence come first; what begins with a chosen one is left out.
-    """
+def evidence(counts: DataFrame, n_toxic: int, n_clean: int, odds: float) -> DataFrame:
+    """``mark, weight`` of the marks that toxic texts surely have ``odds`` times as often as others: two deviations off either count."""
+    sure = (F.col("toxic") - 2 * F.sqrt("toxic")) / (n_toxic + 1) / ((F.col("clean") + 2 * F.sqrt("clean") + 3) / (n_clean + 1))
+    return counts.withColumn("sure", sure).filter(F.col("sure") >= odds).select("mark", (F.col("toxic") * F.log("sure")).alias("weight"))
 
-    def sure(m: bytes) -> float:
-        n, c = toxic[m], clean.get(m, 0)
-        return (n - 2 * n**0.5) / (n_toxic + 1) / ((c + 2 * c**0.5 + 3) / (n_clean + 1))
 
-    good = sorted((m for m in toxic if sure(m) >= odds), key=lambda m: (-toxic[m] * math.log(sure(m)), len(m), m))
+def choose_marks(weights: dict[bytes, float], most: int) -> list[bytes]:
+    """The marks with most evidence; what begins with a chosen one is left out."""
     chosen: list[bytes] = []
-    for m in good:
+    for m in sorted(weights, key=lambda m: (-round(weights[m], 6), len(m), m)):
         bare = m.rstrip(b"$")
         if not any(bare.startswith(c.rstrip(b"$")) for c in chosen):
             chosen.append(m)
@@ -191,22 +181,19 @@ def choose_marks(toxic: dict[bytes, int], clean: dict[bytes, int], n_toxic: int,
     return chosen
 
 
-def fit(labelled: DataFrame, voters: int = 200, candidates: int = 20_000, odds: float = 3.0) -> Toxicity:
+def fit(labelled: DataFrame, voters: int = 200, odds: float = 3.0) -> Toxicity:
     """Fit on the rows of ``(text, label)``, which the driver takes the votes of (some 30 bytes a row); see ``training_sample``.
 
-    ``candidates`` bounds the marks whose clean texts are counted (the most frequent in toxic ones, in at least three),
-    ``voters`` those that vote; at sf0.1 24 marks are good enough to vote, so neither bound is met.  Without toxic or clean rows, the general voters and even rates are all there is.
+    Every mark of these rows is counted in both classes; the driver gets those with evidence enough.  ``voters`` is the
+    model's size: at most so many of them vote; at sf0.1 some 25 have evidence enough.  Without toxic or clean rows, the
+    general voters and even rates are all there is.
     """
     sc = labelled.sparkSession.sparkContext
     rows = labelled.select("text", "label")
     sizes = {r.label: r["count"] for r in rows.groupBy("label").count().collect()}
     n_toxic, n_clean = sizes.get(1, 0), sizes.get(0, 0)
-    ddl = "mark binary, n long"
-    toxic = rows.filter("label = 1").mapInArrow(_count(1, None), ddl).groupBy("mark").agg(F.sum("n").alias("n")).filter(F.col("n") >= max(3, n_toxic // 1000)).orderBy(F.col("n").desc(), "mark").limit(candidates).collect()
-    toxic = {bytes(r.mark): r.n for r in toxic}
-    clean = rows.filter("label = 0").mapInArrow(_count(0, sc.broadcast(frozenset(toxic))), ddl).groupBy("mark").agg(F.sum("n").alias("n")).collect() if toxic else []
-    clean = {bytes(r.mark): r.n for r in clean}
-    own = Voters(choose_marks(toxic, clean, n_toxic, n_clean, voters, odds))
+    counts = rows.mapInArrow(lean(_count), _COUNTS_DDL).groupBy("mark").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+    own = Voters(choose_marks({bytes(r.mark): r.weight for r in evidence(counts, n_toxic, n_clean, odds).collect()}, voters))
     cast = rows.mapInArrow(_cast_votes(sc.broadcast(own)), "label long, votes binary, hits long, words long").collect()
     k = len(own.names)
     votes = np.array([np.unpackbits(np.frombuffer(r.votes, np.uint8))[:k] for r in cast], bool).reshape(-1, k)
