@@ -21,6 +21,7 @@ from siltstone.llm.decontaminate import words_of
 from siltstone.llm.quality import fold, training_labels
 
 SHORT, LONG = 4, 9  # bytes of the word beginnings that may vote
+BLOCK = 4096  # rows whose votes the driver holds as numbers
 OFTEN = 3  # words with a mark from which its second voter votes
 LEXICON = {
     "insult": "idiot moron imbecile loser stupid dumb fool jerk clown cretin",
@@ -74,6 +75,23 @@ def features(votes: np.ndarray, hits: np.ndarray, words: np.ndarray) -> np.ndarr
     return np.column_stack([votes.astype(float), np.log1p(hits), np.log1p(1000.0 * hits / np.maximum(words, 1)), votes.any(axis=1), np.ones(len(votes))])
 
 
+class Cast:
+    """Votes, hits and words of many texts; a slice of it is the matrix of their features, so all of it is never held as numbers."""
+
+    def __init__(self, votes: np.ndarray, hits: np.ndarray, words: np.ndarray):
+        self.parts = votes, hits, words
+
+    def __len__(self) -> int:
+        return len(self.parts[0])
+
+    def __getitem__(self, rows: slice) -> np.ndarray:
+        return features(*(p[rows] for p in self.parts))
+
+
+def _slices(n: int):
+    return (slice(at, at + BLOCK) for at in range(0, n, BLOCK))
+
+
 def label_model(votes: np.ndarray, start: np.ndarray, prior: float, label: np.ndarray, trust: float = 0.97, rounds: int = 12, strength: float = 50.0):
     """Posterior of class 1 for each row of votes, the voters' rates in both classes and their correlations.
 
@@ -84,38 +102,56 @@ def label_model(votes: np.ndarray, start: np.ndarray, prior: float, label: np.nd
     were cast together are divided by one plus what they correlate within the classes (their design effect), and so
     are those that were not cast: one voter alone has its full say, ten that always agree have little more than one.
     """
-    v = votes.astype(float)
-    k = v.shape[1]
+    k = votes.shape[1]
     rates, rho = start.copy(), np.zeros((k, k))
-    r = np.full(len(v), prior)
-    cast = np.maximum(v.sum(axis=1), 1)
-    base = np.log(prior / (1 - prior)) + np.where(label == 1, 1, -1) * np.log(trust / (1 - trust))
-    for _ in range(rounds if len(v) else 0):
+    if not len(votes):
+        return np.zeros(0), rates, rho
+    # Rows that vote alike have one posterior: sums go over the different ones, each as often as it comes.
+    rows, back, n = np.unique(np.packbits(np.column_stack([votes, label == 1]), axis=1), axis=0, return_inverse=True, return_counts=True)
+    r = np.full(len(rows), prior)
+    for _ in range(rounds):
         yes, no = np.log(rates[1] / rates[0]), np.log((1 - rates[1]) / (1 - rates[0])) / (1 + rho.sum(axis=1))
-        together = 1 + ((v @ rho) * v).sum(axis=1) / cast
-        r = 1 / (1 + np.exp(-np.clip(base + v @ yes / together + (1 - v) @ no, -30, 30)))
+        total, one, two = np.zeros(2), np.zeros((2, k)), np.zeros((2, k, k))
+        for at in _slices(len(rows)):
+            v = np.unpackbits(rows[at], axis=1)[:, : k + 1].astype(float)
+            v, own = v[:, :k], v[:, k]
+            base = np.log(prior / (1 - prior)) + (2 * own - 1) * np.log(trust / (1 - trust))
+            together = 1 + ((v @ rho) * v).sum(axis=1) / np.maximum(v.sum(axis=1), 1)
+            r[at] = 1 / (1 + np.exp(-np.clip(base + v @ yes / together + (1 - v) @ no, -30, 30)))
+            for y, weight in ((0, (1 - r[at]) * n[at]), (1, r[at] * n[at])):
+                total[y] += weight.sum()
+                one[y] += weight @ v
+                two[y] += (v * weight[:, None]).T @ v
         fresh = np.zeros((k, k))
-        for y, weight in ((0, 1 - r), (1, r)):
-            total = weight.sum()
-            rates[y] = (weight @ v + strength * start[y]) / (total + strength)
-            away = v - rates[y]
-            cov = (away * weight[:, None]).T @ away / (total + strength)
+        for y in (0, 1):
+            rates[y] = (one[y] + strength * start[y]) / (total[y] + strength)
+            side = np.outer(rates[y], one[y])
+            cov = (two[y] - side - side.T + total[y] * np.outer(rates[y], rates[y])) / (total[y] + strength)
             sd = np.sqrt(rates[y] * (1 - rates[y])) + 1e-9
             fresh = np.maximum(fresh, np.clip(cov / np.outer(sd, sd), 0, 1))
         np.fill_diagonal(fresh, 0)
         rho = np.where(fresh > 0.1, fresh, 0)
         rates = np.clip(rates, 1e-5, 1 - 1e-5)
-    return r, rates, rho
+    return r[back.ravel()], rates, rho
+
 
+def linear_model(x, target: np.ndarray, penalty: float = 1.0, rounds: int = 25) -> np.ndarray:
+    """Weights of a logistic regression on soft labels with a squared penalty (Newton steps; the last column is the bias).
 
-def linear_model(x: np.ndarray, target: np.ndarray, penalty: float = 1.0, rounds: int = 25) -> np.ndarray:
-    """Weights of a logistic regression on soft labels with a squared penalty (Newton steps; the last column is the bias)."""
-    w = np.zeros(x.shape[1])
-    pull = np.full(x.shape[1], penalty)
+    ``x`` is a matrix, or what gives one for each slice.
+    """
+    k = x[:0].shape[1]
+    w = np.zeros(k)
+    pull = np.full(k, penalty)
     pull[-1] = 1e-3
-    for _ in range(rounds):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        step = np.linalg.solve((x * (p * (1 - p) + 1e-9)[:, None]).T @ x + np.diag(pull), x.T @ (target - p) - pull * w)
+    for _ in range(rounds if len(x) else 0):
+        square, slope = np.diag(pull), -pull * w
+        for at in _slices(len(x)):
+            part = x[at]
+            p = 1 / (1 + np.exp(-np.clip(part @ w, -30, 30)))
+            square += (part * (p * (1 - p) + 1e-9)[:, None]).T @ part
+            slope += part.T @ (target[at] - p)
+        step = np.linalg.solve(square, slope)
         w += step
         if np.abs(step).max() < 1e-6:
             break
@@ -196,15 +232,14 @@ def fit(labelled: DataFrame, voters: int = 200, odds: float = 3.0) -> Toxicity:
     own = Voters(choose_marks({bytes(r.mark): r.weight for r in evidence(counts, n_toxic, n_clean, odds).collect()}, voters))
     cast = rows.mapInArrow(_cast_votes(sc.broadcast(own)), "label long, votes binary, hits long, words long").collect()
     k = len(own.names)
-    votes = np.array([np.unpackbits(np.frombuffer(r.votes, np.uint8))[:k] for r in cast], bool).reshape(-1, k)
+    votes = np.unpackbits(np.frombuffer(b"".join(r.votes for r in cast), np.uint8).reshape(len(cast), -(-k // 8)), axis=1)[:, :k].astype(bool)
     hits, words = np.array([r.hits for r in cast], np.int64), np.array([r.words for r in cast], np.int64)
     label = np.array([r.label for r in cast], np.int64)
     start = np.stack([(votes[label == y].sum(axis=0) + 0.5 * (1 + y)) / ((label == y).sum() + 10) for y in (0, 1)])
     start = np.clip(start, 1e-5, 1 - 1e-5)
     prior = float(np.clip((n_toxic + 1) / (n_toxic + n_clean + 2), 0.01, 0.99))
     posterior, _, _ = label_model(votes, start, prior, label)
-    x = features(votes, hits, words)
-    return Toxicity(own, linear_model(x, posterior) if len(x) else np.zeros(x.shape[1]))
+    return Toxicity(own, linear_model(Cast(votes, hits, words), posterior))
 
 
 def _scores(held):
