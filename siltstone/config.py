@@ -24,6 +24,9 @@ class MarkdownOptions:
     ignore_images: bool = False
     ignore_tables: bool = False
 
+    def __post_init__(self):
+        _within("body_width", self.body_width, 0, float("inf"))
+
 
 @dataclass(frozen=True)
 class GapCrawl:
@@ -32,7 +35,11 @@ class GapCrawl:
     max_depth: int = 2
     max_pages: int = 100
 
+    strategy: str = "bfs"
+
     def __post_init__(self):
+        if self.strategy != "bfs":
+            raise ValueError(f"strategy of a gap crawl: {self.strategy}")
         _within("max_depth", self.max_depth, 0, 10)
         _within("max_pages", self.max_pages, 1, 1000)
 
@@ -61,6 +68,10 @@ class Site:
     robots_policy: str = "require"
     respect_crawl_delay: bool = True
     user_agent: str = "siltstone"
+    css_selector: str | None = None
+    target_elements: tuple[str, ...] = ()
+    remove_consent_popups: bool = False
+    remove_overlay_elements: bool = False
     markdown: MarkdownOptions = field(default_factory=MarkdownOptions)
     gap_crawl: GapCrawl = field(default_factory=GapCrawl)
 
@@ -120,7 +131,17 @@ class Registry:
         data = yaml.safe_load(text)
         if not data or not data.get("sites"):
             raise ValueError("the configuration is empty")
-        return cls([Site(name=name, **{k: tuple(v) if isinstance(v, list) else v for k, v in (body or {}).items()}) for name, body in data["sites"].items()])
+        def fields(body: dict | None) -> dict:
+            return {k: tuple(v) if isinstance(v, list) else v for k, v in (body or {}).items()}
+
+        sites = []
+        for name, body in data["sites"].items():
+            own = fields(body)
+            for part, made in (("markdown", MarkdownOptions), ("gap_crawl", GapCrawl)):
+                if part in own:
+                    own[part] = made(**fields(own[part]))
+            sites.append(Site(name=name, **own))
+        return cls(sites)
 
     def get(self, name: str) -> Site:
         if name not in self.sites:

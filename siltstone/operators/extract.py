@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import unicodedata
 from dataclasses import dataclass
 from html.parser import HTMLParser
 
@@ -10,6 +11,8 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from siltstone.config import Site
+
 # Elements that never hold content.
 EXCLUDED_TAGS = ("nav", "header", "footer", "form")
 _SILENT = frozenset(("script", "style", "noscript", "template", "head", "svg"))
@@ -19,7 +22,13 @@ _VOID = frozenset("br hr img input meta link area base col embed source track wb
 
 @dataclass(frozen=True)
 class Profile:
-    """What is taken over: ``cleanup`` off gives everything but scripts and styles, for a second attempt."""
+    """What is taken over: ``cleanup`` off gives everything but scripts and styles, for a second attempt.
+
+    ``css_selector`` and ``target_elements`` keep what lies in a matching element (in one of each, if both are given).
+    Selectors are lists of compounds of tag, ``.class``, ``#id`` and ``[name]`` or ``[name=value]``, with blanks for
+    descent; where nothing matches, nothing is kept.  ``body_width`` breaks lines of running text (0: none), and with
+    ``protect_links`` never inside a link.  Without ``unicode_snob`` signs with a plain form are written in ASCII.
+    """
 
     cleanup: bool = True
     excluded: tuple[str, ...] = EXCLUDED_TAGS
@@ -29,6 +38,78 @@ class Profile:
     ignore_links: bool = False
     ignore_images: bool = False
     ignore_tables: bool = False
+    css_selector: str | None = None
+    target_elements: tuple[str, ...] = ()
+    remove_consent_popups: bool = False
+    remove_overlay_elements: bool = False
+    body_width: int = 0
+    protect_links: bool = True
+    unicode_snob: bool = True
+
+    @classmethod
+    def of(cls, site: Site, cleanup: bool = True) -> Profile:
+        """The profile that a site's settings ask for; the second attempt has no cleanup."""
+        m = site.markdown
+        return cls(
+            cleanup=cleanup, word_count_threshold=site.word_count_threshold, css_selector=site.css_selector, target_elements=tuple(site.target_elements),
+            remove_consent_popups=site.remove_consent_popups, remove_overlay_elements=site.remove_overlay_elements,
+            ignore_links=m.ignore_links, ignore_images=m.ignore_images, ignore_tables=m.ignore_tables, body_width=m.body_width, protect_links=m.protect_links, unicode_snob=m.unicode_snob,
+        )
+
+
+_COMPOUND = re.compile(r"""(\*|[A-Za-z][\w-]*)?((?:[.#][\w-]+|\[[\w-]+(?:=(?:"[^"]*"|'[^']*'|[^\]"']*))?\])*)""")
+_CONDITION = re.compile(r"""([.#])([\w-]+)|\[([\w-]+)(?:=(?:"([^"]*)"|'([^']*)'|([^\]"']*)))?\]""")
+
+
+def _condition(m: re.Match):
+    if m[1]:
+        return m[1], m[2]
+    return m[3].lower(), next((v for v in m.groups()[3:] if v is not None), None)
+
+
+def selectors(text: str) -> list[list[tuple[str, list]]]:
+    """A selector list as chains of (tag, conditions), outermost first."""
+    chains = []
+    for one in text.split(","):
+        parts = [_COMPOUND.fullmatch(p) for p in one.split()]
+        if not parts or not all(p and p[0] for p in parts):
+            raise ValueError(f"selector: {one.strip() or text!r}")
+        chains.append([((p[1] or "*").lower(), [_condition(m) for m in _CONDITION.finditer(p[2])]) for p in parts])
+    return chains
+
+
+def _fits(compound: tuple[str, list], tag: str, attrs: dict) -> bool:
+    name, conditions = compound
+    if name not in ("*", tag):
+        return False
+    for kind, value in conditions:
+        if kind == ".":
+            ok = value in (attrs.get("class") or "").split()
+        elif kind == "#":
+            ok = attrs.get("id") == value
+        else:
+            ok = kind in attrs and (value is None or attrs[kind] == value)
+        if not ok:
+            return False
+    return True
+
+
+def _matches(chains: list, path: list[tuple[str, dict]]) -> bool:
+    """Whether the last element of a path from the root fits one of the chains."""
+    for chain in chains:
+        if not _fits(chain[-1], *path[-1]):
+            continue
+        rest = chain[:-1]
+        for element in reversed(path[:-1]):
+            if rest and _fits(rest[-1], *element):
+                rest = rest[:-1]
+        if not rest:
+            return True
+    return False
+
+
+_CONSENT = re.compile(r"cookie|consent|gdpr", re.I)
+_OVERLAY = re.compile(r"(?:^|[\s_-])(?:overlay|modal|popup|lightbox)(?:$|[\s_-])", re.I)
 
 
 class _Reader(HTMLParser):
@@ -37,6 +118,10 @@ class _Reader(HTMLParser):
         self.p, self.stack, self.silent = profile, [], 0
         self.blocks: list[tuple[str, str, int, int]] = []  # kind, text, words, words in links
         self.kind, self.parts, self.words, self.linked, self.link, self.lists, self.title = "p", [], 0, 0, None, [], []
+        wanted = ([profile.css_selector] if profile.css_selector else []) + ([",".join(profile.target_elements)] if profile.target_elements else [])
+        self.wanted = [selectors(w) for w in wanted] if profile.cleanup else []
+        self.path: list[tuple[str, dict]] = []
+        self.inside: list[list[bool]] = []  # for each open element, what of the wanted it lies in
 
     def _end_block(self, kind: str = "p") -> None:
         text = re.sub(r"[ \t\r\f\v]+", " ", "".join(self.parts))
@@ -50,15 +135,29 @@ class _Reader(HTMLParser):
             return True
         if not self.p.cleanup:
             return False
+        named = f"{attrs.get('id') or ''} {attrs.get('class') or ''}"
+        if self.p.remove_consent_popups and tag not in ("html", "body") and _CONSENT.search(named):
+            return True
+        if self.p.remove_overlay_elements and tag not in ("html", "body"):
+            fixed = "position:fixed" in (attrs.get("style") or "").replace(" ", "").lower()
+            if fixed or attrs.get("role") == "dialog" or attrs.get("aria-modal") == "true" or _OVERLAY.search(named):
+                return True
         return tag in self.p.excluded or not set((attrs.get("class") or "").lower().split()).isdisjoint(self.p.excluded_classes) or (tag == "table" and self.p.ignore_tables)
 
+    def _outside(self) -> bool:
+        return bool(self.wanted) and not (self.inside and all(self.inside[-1]))
+
     def handle_starttag(self, tag, attrs):
         attrs = dict(attrs)
+        if self.wanted and tag not in _VOID:
+            self.path.append((tag, attrs))
+            above = self.inside[-1] if self.inside else [False] * len(self.wanted)
+            self.inside.append([b or _matches(w, self.path) for b, w in zip(above, self.wanted, strict=True)])
         if tag not in _VOID:
             dropped = self._drops(tag, attrs)
             self.stack.append((tag, dropped))
             self.silent += dropped
-        if self.silent:
+        if self.silent or self._outside():
             return
         if tag in ("ul", "ol"):
             self.lists.append([tag, 0])
@@ -86,8 +185,9 @@ class _Reader(HTMLParser):
         if tag not in {t for t, _ in self.stack}:
             return
         while self.stack:
+            outside = self._outside()
             top, dropped = self.stack.pop()
-            if not self.silent:
+            if not self.silent and not outside:
                 if top in ("b", "strong"):
                     self.parts.append("**")
                 elif top in ("i", "em"):
@@ -99,6 +199,11 @@ class _Reader(HTMLParser):
                     self.lists.pop()
                 if top in _BLOCKS or top == "li":
                     self._end_block()
+            if self.wanted:
+                self.path.pop()
+                self.inside.pop()
+                if not outside and self._outside():
+                    self._end_block()
             self.silent -= dropped
             if top == tag:
                 break
@@ -106,7 +211,7 @@ class _Reader(HTMLParser):
     def handle_data(self, data):
         if self.stack and self.stack[-1][0] == "title":
             self.title.append(data)
-        if self.silent:
+        if self.silent or self._outside():
             return
         n = len(data.split())
         self.words += n
@@ -114,6 +219,34 @@ class _Reader(HTMLParser):
         self.parts.append(data if self.kind == "pre" else data.replace("\n", " "))
 
 
+# Signs whose plain form isn't their decomposition.
+_PLAIN = str.maketrans({"’": "'", "‘": "'", "“": '"', "”": '"', "–": "-", "—": "--", "…": "...", "•": "*", "→": "->", "←": "<-", "©": "(C)", "®": "(R)", "\u00a0": " ", "\u200b": ""})
+
+
+def _ascii(text: str) -> str:
+    def one(c: str) -> str:
+        bare = "".join(d for d in unicodedata.normalize("NFKD", c) if not unicodedata.combining(d))
+        return bare if bare.isascii() and bare else c
+
+    return text if text.isascii() else "".join(c if c.isascii() else one(c) for c in text.translate(_PLAIN))
+
+
+def _wrapped(text: str, width: int, protect_links: bool) -> str:
+    """Each line broken at blanks so that it has at most ``width`` characters, unless one token has more."""
+    token = r"(?:!?\[[^\]]*\]\([^)\s]*\)|\S)+" if protect_links else r"\S+"
+    out = []
+    for line in text.split("\n"):
+        held = ""
+        for t in re.findall(token, line):
+            if held and len(held) + 1 + len(t) > width:
+                out.append(held)
+                held = t
+            else:
+                held = f"{held} {t}" if held else t
+        out.append(held)
+    return "\n".join(out)
+
+
 def html_to_markdown(html: str, profile: Profile = Profile()) -> tuple[str, str]:
     """(title, Markdown).  With cleanup, a block goes if it is mostly links or a list of links, or if it is far shorter than the threshold and not a heading; a page on which nothing would stay keeps its blocks."""
     r = _Reader(profile)
@@ -126,6 +259,10 @@ def html_to_markdown(html: str, profile: Profile = Profile()) -> tuple[str, str]
         kept = thin if any(b[0][0] != "h" for b in thin) else kept
     out = []
     for kind, text, _, _ in kept:
+        if not profile.unicode_snob:
+            text = _ascii(text)
+        if profile.body_width and kind in ("p", "li", "quote"):
+            text = _wrapped(text, profile.body_width, profile.protect_links)
         if kind[0] == "h" and kind[1:].isdigit():
             out.append("#" * int(kind[1:]) + " " + text.replace("\n", " "))
         elif kind == "li":

@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltstone.functions import text
@@ -39,6 +39,12 @@ DEFAULT_ROSTER = (
 )
 
 
+def listing(spark: SparkSession, roster: tuple[Guide, ...] = DEFAULT_ROSTER) -> DataFrame:
+    """What a user sees of each guide, in roster order: ``id, name, title, category, summary, color``."""
+    fields = ("id", "name", "title", "category", "summary", "color")
+    return spark.createDataFrame([tuple(getattr(g, f) for f in fields) for g in roster], ", ".join(f"{f} string" for f in fields)).coalesce(1)
+
+
 def score(message: Column, guide: Guide) -> Column:
     """Whole-word matches of the guide's terms in a lower-cased message, each counted by its words."""
     out = F.lit(0)

@@ -305,7 +305,7 @@ def gap_crawl_bfs(spark, sf_dir):
     return discovery.walk(edges.filter(F.col("dst").rlike(r"\.example\.(?:net|com)")), seed, 8)
 
 
-@query()
+@query("SELECT page_id, CAST(page_id % 7 AS DOUBLE) AS crawl_delay, split_part(url, '#', 1) AS sitemaps, false AS private_allowed FROM pages")
 def robots_parse(spark, sf_dir):
     bodies = table(spark, sf_dir, "pages").select("page_id", F.concat(F.lit("User-agent: *\nCrawl-delay: "), (F.col("page_id") % 7).cast("string"), F.lit("\nDisallow: /private\nSitemap: "), F.col("url")).alias("body"), F.lit("bot").alias("agent"))
     rules = bodies.withColumn("r", discovery.parse_robots("body", "agent"))

@@ -15,6 +15,7 @@ from siltstone.sources import markdown
 from siltstone.sources.snapshots import Snapshots
 from siltstone.staging import staged
 
+METRICS = "run_id string, site_name string, phase string, state string, version int, finished_at timestamp, metric string, n long"
 RUNS = "site_name string, completed_at timestamp, complete boolean, config_fingerprint string"
 
 
@@ -159,9 +160,10 @@ def documents(rows: DataFrame, now: Column) -> DataFrame:
     return named.groupBy("site_name", "file_name").agg(F.max_by("rendered", "canonical_url").alias("rendered"), F.collect_set("old_name").alias("old_names"))
 
 
-def rendered_pages(pages: DataFrame, profile: extract.Profile = extract.Profile()) -> DataFrame:
-    """Render results from raw pages (url, html): the first attempt cleaned, the second one not."""
-    first, second = extract.extracted(F.col("html"), profile), extract.extracted(F.col("html"), extract.Profile(cleanup=False))
+def rendered_pages(pages: DataFrame, site: Site | None = None) -> DataFrame:
+    """Render results from raw pages (url, html), by the site's settings: the first attempt cleaned, the second one not."""
+    profiles = [extract.Profile(cleanup=c) if site is None else extract.Profile.of(site, c) for c in (True, False)]
+    first, second = (extract.extracted(F.col("html"), p) for p in profiles)
     p = pages.select("url", first.alias("a"), second.alias("b"))
     ok = {"success": F.lit(True), "exception": F.lit(False), "status_code": F.lit(200), "cache_status": F.lit("miss"), "raw_markdown": F.lit(""), "meta_url": F.lit(None).cast("string")}
     return p.select(urls.canonicalize(F.col("url")).alias("canonical_url"), "url", F.col("a.markdown").alias("fit_markdown"), F.col("a.title").alias("title"), *[c.alias(n) for n, c in ok.items()], F.lit(True).alias("fallback_success"), F.col("b.markdown").alias("fallback_fit_markdown"), F.lit("").alias("fallback_raw_markdown"), F.lit(None).cast("string").alias("fallback_meta_url"), F.col("url").alias("fallback_url"), F.col("b.title").alias("fallback_title"))
@@ -179,6 +181,41 @@ def ingest(spark: SparkSession, root: str, collection: Snapshots | None = None,
     return out
 
 
+def record_metrics(metrics: Snapshots, snapshots: Snapshots, run_id: str, site: Site, phase: str, state: str, now: Column, counts: DataFrame | None = None) -> int:
+    """Write a run's counts under its ``run_id``, tied to the manifest version they come from, and give that version.
+
+    ``phase``: discovery or render; ``state``: complete, incomplete or failed.  The site's totals (discovered, eligible,
+    excluded by reason, current) are counted in that version alone; ``counts`` (metric, n) adds what only the run knows.
+    A run that is recorded again replaces its rows; those of other runs and sites stay.
+    """
+    if phase not in ("discovery", "render") or state not in ("complete", "incomplete", "failed"):
+        raise ValueError(f"phase {phase}, state {state}")
+    version = (snapshots.versions() or [0])[-1]
+    mine = snapshots.read(version or None).filter(F.col("site_name") == site.name)
+    current = mine.filter("scope_status = 'eligible' and fetch_status = 'success'").agg(F.lit("current").alias("metric"), F.count("*").alias("n"))
+    held = discovery.summary(mine).unionByName(current)
+    extra = counts.select("metric", F.col("n").cast("long").alias("n")) if counts is not None else None
+    if extra is not None:
+        held = held.join(extra.select("metric"), "metric", "left_anti").unionByName(extra)
+    head = {"run_id": F.lit(run_id), "site_name": F.lit(site.name), "phase": F.lit(phase), "state": F.lit(state), "version": F.lit(version), "finished_at": now}
+    rows = held.select(*[c.alias(k) for k, c in head.items()], "metric", "n")
+    metrics.update(lambda old: old.filter(~((F.col("run_id") == run_id) & (F.col("site_name") == site.name))).unionByName(rows))
+    return version
+
+
+def run_coverage(metrics: DataFrame, site: Site) -> DataFrame:
+    """``run_id, eligible, current, coverage_percent, short`` of the site's runs; incomplete discoveries don't count, and no eligible page is full coverage of none: 0."""
+    mine = metrics.filter((F.col("site_name") == site.name) & ~((F.col("phase") == "discovery") & (F.col("state") != "complete")))
+    by = mine.groupBy("run_id").agg(*[F.coalesce(F.sum(F.when(F.col("metric") == m, F.col("n"))), F.lit(0)).alias(m) for m in ("eligible", "current")])
+    share = F.when(F.col("eligible") > 0, 100.0 * F.col("current") / F.col("eligible")).otherwise(0.0)
+    return by.withColumn("coverage_percent", share).withColumn("short", F.col("coverage_percent") < site.coverage_target)
+
+
+def health(installed: DataFrame, wanted: str) -> DataFrame:
+    """One row: ``model_available``."""
+    return installed.sparkSession.range(1).select(model_available(installed, wanted).alias("model_available"))
+
+
 def model_available(installed: DataFrame, wanted: str) -> Column:
     """Whether the very name and tag is among the installed models."""
     return F.lit(installed.filter(F.col("name") == wanted).limit(1).count() > 0)

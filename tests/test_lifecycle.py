@@ -104,6 +104,8 @@ def test_configuration():
     assert site.base_dir == "a.example" and site.fingerprint() == Site("s", "https://a.example").fingerprint()
     assert Registry([site]).descriptions() == {"s": "Configuration for s"}
     assert Registry.from_yaml("sites:\n  s:\n    base_url: https://a.example\n    allowed_domains: [a.example]\n").get("s").allowed_domains == ("a.example",)
-    for bad in (lambda: Site("s", "nowhere"), lambda: Site("s", "https://a", page_timeout=121), lambda: Site("s", "https://a", min_delay=4.0), lambda: GapCrawl(max_depth=11), lambda: Registry([]), lambda: Registry([site]).get("x"), lambda: Site("s", "https://a", discovery_source="none").require_discovery(), lambda: Registry.from_yaml("")):
+    nested = Registry.from_yaml("sites:\n  s:\n    base_url: https://a.example\n    markdown: {ignore_links: true}\n    gap_crawl: {enabled: true, seed_urls: [https://a.example/x]}\n").get("s")
+    assert nested.markdown.ignore_links and nested.gap_crawl.seed_urls == ("https://a.example/x",)
+    for bad in (lambda: GapCrawl(strategy="dfs"), lambda: Site("s", "nowhere"), lambda: Site("s", "https://a", page_timeout=121), lambda: Site("s", "https://a", min_delay=4.0), lambda: GapCrawl(max_depth=11), lambda: Registry([]), lambda: Registry([site]).get("x"), lambda: Site("s", "https://a", discovery_source="none").require_discovery(), lambda: Registry.from_yaml("")):
         with pytest.raises(ValueError):
             bad()

@@ -65,6 +65,26 @@ def test_discover_render_ingest(spark, tmp_path):
     assert [r.canonical_url for r in pipelines.plan_render(held.read(), SITE, F.lit(NOW)).collect()] == []
 
 
+def test_metrics_by_run(spark, tmp_path):
+    held, runs = stores(spark, tmp_path)
+    metrics = Snapshots(spark, f"file://{tmp_path}/x", T.StructType.fromDDL(pipelines.METRICS))
+    found = pipelines.discover(spark, SITE, held, runs, spark.createDataFrame(RESPONSES, DDL), F.lit(NOW))
+    seen = pipelines.record_metrics(metrics, held, "r1", SITE, "discovery", "complete", F.lit(NOW), found)
+    assert seen == held.versions()[-1]
+    due = pipelines.plan_render(held.read(), SITE, F.lit(NOW))
+    pages = spark.createDataFrame([(f"{A}/p1", "<article><p>" + "useful words here " * 20 + "</p></article>")], "url string, html string")
+    pipelines.apply_render(held, due, pipelines.rendered_pages(pages, SITE), SITE, F.lit(NOW))
+    assert pipelines.record_metrics(metrics, held, "r2", SITE, "render", "complete", F.lit(NOW)) == seen + 1
+    for _ in range(2):  # once more under the same id
+        pipelines.record_metrics(metrics, held, "r3", SITE, "discovery", "incomplete", F.lit(NOW))
+    rows = metrics.read().collect()
+    assert len(rows) == len({(r.run_id, r.metric) for r in rows})
+    by = {(r.run_id, r.metric): (r.n, r.version) for r in rows}
+    assert by["r1", "discovered"] == (5, seen) and by["r1", "current"] == (0, seen) and by["r2", "discovered"] == (4, seen + 1) and by["r2", "current"] == (1, seen + 1)
+    assert {r.run_id: (r.coverage_percent, r.short) for r in pipelines.run_coverage(metrics.read(), SITE).collect()} == {"r1": (0.0, True), "r2": (50.0, True)}
+    assert pipelines.health(spark.createDataFrame([("m:1",)], "name string"), "m:1").first().model_available
+
+
 def test_incomplete_runs_do_not_count(spark, tmp_path):
     held, runs = stores(spark, tmp_path)
     broken = spark.createDataFrame([r if not r[0].endswith("c3.xml") else (r[0], 200, "<urlset>", False) for r in RESPONSES], DDL)

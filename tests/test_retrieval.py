@@ -69,6 +69,34 @@ def test_html_is_cleaned():
     assert extract.html_to_markdown(None) == ("", "") and extract.html_to_markdown("<p>Un<b>closed")[1] == "Un**closed"
 
 
+def test_html_by_selectors_and_options():
+    from siltstone.config import MarkdownOptions, Site
+
+    html = "<body><div id='cookie-bar'>We use cookies</div><div class='wrap'><div class='main a' data-x='1'><p>Inside this part <a href='/l'>a long link text</a> here.</p></div><p>Beside it.</p></div><div role='dialog'>Sign up</div><main><p>Über “quotes” – naïve</p></main></body>"
+
+    def of(**settings):
+        return extract.html_to_markdown(html, extract.Profile.of(Site("s", "https://a.example", word_count_threshold=0, **settings)))[1]
+
+    assert of() == "We use cookies\n\nInside this part [a long link text](/l) here.\n\nBeside it.\n\nSign up\n\nÜber “quotes” – naïve"
+    assert of(css_selector=".wrap .main") == of(css_selector="div[data-x=1]") == of(target_elements=("h9", "div.main.a")) == "Inside this part [a long link text](/l) here."
+    assert of(css_selector=".wrap", target_elements=("p",)) == "Inside this part [a long link text](/l) here.\n\nBeside it."
+    assert of(css_selector="main .wrap") == "" and "Sign up" in extract.html_to_markdown(html, extract.Profile.of(Site("s", "https://a.example", css_selector="main"), cleanup=False))[1]
+    assert of(remove_consent_popups=True, remove_overlay_elements=True) == "Inside this part [a long link text](/l) here.\n\nBeside it.\n\nÜber “quotes” – naïve"
+    assert of(css_selector="main", markdown=MarkdownOptions(unicode_snob=False)) == 'Uber "quotes" - naive'
+    assert of(css_selector=".main", markdown=MarkdownOptions(body_width=12)) == "Inside this\npart\n[a long link text](/l)\nhere."
+    assert of(css_selector=".main", markdown=MarkdownOptions(body_width=12, protect_links=False)) == "Inside this\npart [a long\nlink\ntext](/l)\nhere."
+    for bad in ("p > a", "", "p::before", "a,"):
+        try:
+            extract.selectors(bad)
+            raise AssertionError(bad)
+        except ValueError:
+            pass
+
+
+def test_roster_listing(spark):
+    assert [r.id for r in routing.listing(spark).collect()] == [g.id for g in DEFAULT_ROSTER]
+
+
 def test_answers_and_failures(spark):
     col = vectors.embed(spark.createDataFrame([(1, "permits take time", "https://a.example", None, None, None), (2, "rent is due", None, "", None, "Rent")], "id long, page_content string, source_url string, url string, citation_url string, title string"))
     q = spark.createDataFrame([(7, "permits take time", "auto")], "query_id long, message string, preferred string")
