@@ -122,3 +122,31 @@ def test_pipeline_runs_end_to_end(spark):
     q = {r.doc_id: r.predicted for r in registry.QUERIES["op4_quality_qda"](spark, sf).collect()}
     hit = {r.doc_id for r in registry.QUERIES["op2_decontaminate"](spark, sf).filter("contaminated").collect()}
     assert kept and all(q[i] == 1 for i in kept) and not kept & hit
+
+
+def test_marks_against_plain_counts(spark):
+    """Words and beginnings that are told from toxic texts, counted one text at a time; short words vote too."""
+    import math
+
+    from siltstone.llm.toxicity import choose_marks, evidence
+
+    texts = [(f"you vile zap {'vilest' if i % 2 else 'plain'} text {i}", 1) for i in range(30)] + [(f"a plain text {i} you {'vile' if i == 3 else 'kind'} zap{i}", 0) for i in range(70)]
+    from siltstone.llm.toxicity import _COUNTS_DDL, _count
+
+    rows = spark.createDataFrame([*texts, (None, 0)], "text string, label long").repartition(3)
+    rows = rows.selectExpr("coalesce(text, '') as text", "label")
+    counts = rows.mapInArrow(_count, _COUNTS_DDL).groupBy("mark").agg({"toxic": "sum", "clean": "sum"}).selectExpr("mark", "`sum(toxic)` as toxic", "`sum(clean)` as clean")
+    got = {bytes(r.mark): r.weight for r in evidence(counts, 30, 71, 3.0).collect()}
+
+    def marks(text):
+        words = text.lower().split()
+        return {w + "$" for w in words} | {w[:k] for w in words for k in range(4, min(9, len(w)) + 1)}
+
+    want = {}
+    for m in {m for t, _ in texts for m in marks(t)}:
+        n, c = (sum(m in marks(t) for t, y in texts if y == label) for label in (1, 0))
+        sure = (n - 2 * math.sqrt(n)) / 31 / ((c + 2 * math.sqrt(c) + 3) / 72)
+        if sure >= 3:
+            want[m.encode()] = n * math.log(sure)
+    assert got.keys() == want.keys() and all(abs(got[m] - want[m]) < 1e-9 for m in want)
+    assert b"zap$" in got and choose_marks(got, 1) == [b"zap$"] and not any(m.startswith(b"vile") and m != b"vile" for m in choose_marks(got, 99))
