@@ -5,6 +5,7 @@ from __future__ import annotations
 from siltstone.llm.decontaminate import OP2_SQL, op2_decontaminate
 from siltstone.llm.exact_dedup import OP3_SQL, op3_exact_dedup
 from siltstone.llm.licenses import op8_license_templates
+from siltstone.llm.lp_packing import op11_best_fit_packing
 from siltstone.llm.packing import op7_packing
 from siltstone.llm.pii import op1_pii_weak
 from siltstone.llm.quality import op4_quality_qda
@@ -24,5 +25,6 @@ QUERIES = {
     "op8_license_templates": op8_license_templates,
     "op9_simhash_vptree": op9_simhash_vptree,
     "op10_toxicity_weak": op10_toxicity_weak,
+    "op11_best_fit_packing": op11_best_fit_packing,
 }
 ORACLE_SQL = {"op2_decontaminate": OP2_SQL, "op3_exact_dedup": OP3_SQL}
