@@ -7,6 +7,7 @@ from siltstone.llm.exact_dedup import OP3_SQL, op3_exact_dedup
 from siltstone.llm.licenses import op8_license_templates
 from siltstone.llm.lp_packing import op11_best_fit_packing
 from siltstone.llm.packing import op7_packing
+from siltstone.llm.periodic_runs import op12_periodic_runs
 from siltstone.llm.pii import op1_pii_weak
 from siltstone.llm.quality import op4_quality_qda
 from siltstone.llm.simhash_vptree import op9_simhash_vptree
@@ -26,5 +27,6 @@ QUERIES = {
     "op9_simhash_vptree": op9_simhash_vptree,
     "op10_toxicity_weak": op10_toxicity_weak,
     "op11_best_fit_packing": op11_best_fit_packing,
+    "op12_periodic_runs": op12_periodic_runs,
 }
 ORACLE_SQL = {"op2_decontaminate": OP2_SQL, "op3_exact_dedup": OP3_SQL}
