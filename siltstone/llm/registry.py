@@ -11,6 +11,7 @@ from siltstone.llm.periodic_runs import op12_periodic_runs
 from siltstone.llm.pii import op1_pii_weak
 from siltstone.llm.quality import op4_quality_qda
 from siltstone.llm.simhash_vptree import op9_simhash_vptree
+from siltstone.llm.source_divergence import OP13_SQL, op13_source_divergence
 from siltstone.llm.suffix_dedup import op5_suffix_dedup
 from siltstone.llm.token_counts import op6_token_counts
 from siltstone.llm.toxicity import op10_toxicity_weak
@@ -28,5 +29,6 @@ QUERIES = {
     "op10_toxicity_weak": op10_toxicity_weak,
     "op11_best_fit_packing": op11_best_fit_packing,
     "op12_periodic_runs": op12_periodic_runs,
+    "op13_source_divergence": op13_source_divergence,
 }
-ORACLE_SQL = {"op2_decontaminate": OP2_SQL, "op3_exact_dedup": OP3_SQL}
+ORACLE_SQL = {"op2_decontaminate": OP2_SQL, "op3_exact_dedup": OP3_SQL, "op13_source_divergence": OP13_SQL}
