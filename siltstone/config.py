@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import hashlib
 import json
-from dataclasses import asdict, dataclass, field
-from urllib.parse import urlsplit
+from dataclasses import dataclass, field
+from urllib.parse import urljoin, urlsplit
 
 from pyspark.sql import DataFrame, SparkSession
 
+from siltstone.functions.urls import glob_to_regex
+
 
 def _within(name: str, value: float, low: float, high: float) -> None:
     if not low <= value <= high:
@@ -155,9 +157,21 @@ class Registry:
         return {k: s.description or f"Configuration for {k}" for k, s in self.sites.items()}
 
     def table(self, spark: SparkSession) -> DataFrame:
-        """One row for each site; its size is that of the configuration."""
-        rows = [{k: list(v) if isinstance(v, tuple) else v for k, v in asdict(s).items() if not isinstance(v, dict)} for s in self.sites.values()]
-        ddl = "name string, base_url string, description string, discovery_source string, sitemap_urls array<string>, trust_lastmod boolean, cache_ttl_hours double, allowed_domains array<string>, exclude_url_patterns array<string>, allowed_content_types array<string>, audit_days int, coverage_target double, page_timeout int, min_delay double, max_delay double, max_concurrent int, minimum_content_length int, word_count_threshold int"
+        """One row for each site, as ``operators.sites`` reads it; its size is that of the configuration."""
+        plain = "description discovery_source sitemap_urls trust_lastmod cache_ttl_hours exclude_url_patterns audit_days inactive_grace_cycles coverage_target page_timeout min_delay max_delay max_concurrent minimum_content_length word_count_threshold respect_crawl_delay user_agent".split()
+        ddl = (
+            "site_name string, base_url string, robots_url string, fingerprint string, allowed_domains array<string>, exclude_regexes array<string>, allowed_content_types array<string>, "
+            "gap_seeds array<string>, gap_depth int, gap_pages int, "
+            "description string, discovery_source string, sitemap_urls array<string>, trust_lastmod boolean, cache_ttl_hours double, exclude_url_patterns array<string>, audit_days int, inactive_grace_cycles int, coverage_target double, "
+            "page_timeout int, min_delay double, max_delay double, max_concurrent int, minimum_content_length int, word_count_threshold int, respect_crawl_delay boolean, user_agent string"
+        )
+        floats = {"cache_ttl_hours", "coverage_target", "min_delay", "max_delay"}
+        rows = []
+        for s in self.sites.values():
+            head = (s.name, s.base_url, urljoin(s.base_url, "/robots.txt"), s.fingerprint(), [d.lower() for d in s.allowed_domains], [glob_to_regex(p) for p in s.exclude_url_patterns], [t.lower() for t in s.allowed_content_types])
+            gap = (list(s.gap_crawl.seed_urls), s.gap_crawl.max_depth, s.gap_crawl.max_pages)
+            rest = (getattr(s, n) for n in plain)
+            rows.append((*head, *gap, *(float(v) if n in floats else list(v) if isinstance(v, tuple) else v for n, v in zip(plain, rest, strict=True))))
         return spark.createDataFrame(rows, ddl)
 
 

@@ -108,3 +108,43 @@ def artifact_filename(canonical: Column) -> Column:
     stem = F.regexp_replace(F.substring(stem, 1, STEM_LENGTH), r"[-.]+$", "")
     stem = F.when(stem == "", F.lit("document")).otherwise(stem)
     return F.concat(stem, F.lit("-"), F.substring(F.sha2(canonical, 256), 1, 12), F.lit(".md"))
+
+
+def unquote(x: Column) -> Column:
+    """Percent escapes as the characters that they stand for; what isn't a whole escape stays, and so does a plus."""
+    whole = F.replace(F.regexp_replace(x, "%(?![0-9A-Fa-f]{2})", "%25"), F.lit("+"), F.lit("%2B"))
+    return F.coalesce(F.try_url_decode(whole), x)
+
+
+def quote(x: Column) -> Column:
+    """All but letters, digits and ``_.-~/`` as percent escapes of UTF-8."""
+    out = _encoded(x)
+    for sign, plain in (("+", "%20"), ("%2F", "/")):
+        out = F.replace(out, F.lit(sign), F.lit(plain))
+    return out
+
+
+def _cleaned(url: Column) -> Column:
+    return F.regexp_replace(F.regexp_replace(url, r"^[\x00-\x20]+", ""), r"[\t\r\n]", "")
+
+
+def _tail(url: Column) -> Column:
+    """Parameters, query and fragment as far as they aren't empty, behind the path."""
+    query, fragment = _part(url, 4), _part(url, 5)
+    return F.concat(F.regexp_replace(_part(url, 3), r"(?s);$", ""), F.when(query == "", "").otherwise(F.concat(F.lit("?"), query)), F.when(fragment == "", "").otherwise(F.concat(F.lit("#"), fragment)))
+
+
+def recomposed(url: Column) -> Column:
+    """A URL or path put together again from its parts, so that an empty query or fragment leaves no sign."""
+    u = _cleaned(url)
+    authority = _part(u, 2)
+    head = F.concat(F.when(scheme(u) == "", "").otherwise(F.concat(scheme(u), F.lit(":"))), F.when(authority == "", "").otherwise(F.concat(F.lit("//"), authority)))
+    return F.concat(head, _tail(u))
+
+
+def robots_target(url: Column) -> Column:
+    """What the paths of robots rules are held against: a URL behind its host, decoded and encoded again; ``/`` if that is empty."""
+    u = _cleaned(unquote(url))
+    tail = _tail(u)
+    tail = F.when(tail.startswith("//"), F.concat(F.lit("//"), tail)).otherwise(tail)
+    return quote(F.when(tail == "", F.lit("/")).otherwise(tail))

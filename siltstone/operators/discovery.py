@@ -1,17 +1,14 @@
-"""URL discovery: scope, sitemaps, robots rules, frontiers and run summaries."""
+"""URL discovery: scope, sitemaps, frontiers and run summaries."""
 
 from __future__ import annotations
 
-import itertools
-import urllib.robotparser
 from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from siltstone.functions import schedule, urls
+from siltstone.functions import urls
+from siltstone.operators import frontier
 from siltstone.staging import staged
 
 CHILD_SITEMAPS = 10_000  # fetches of one run, a politeness bound of the feature
@@ -64,84 +61,47 @@ def parse_sitemaps(bodies: DataFrame, body_col: str = "body") -> DataFrame:
     return df.withColumn("kind", kind).withColumn("entries", F.when(F.col("kind") == "urlset", entries).otherwise(F.array().cast("array<struct<loc:string,lastmod:timestamp>>"))).drop("__x")
 
 
-# Types and not text, so that the module can be imported before there is a session.
-ROBOTS = T.StructType([T.StructField("crawl_delay", T.DoubleType()), T.StructField("sitemap_urls", T.ArrayType(T.StringType()))])
-
-
-def classify_response(status: Column, error: Column) -> Column:
-    """What a fetch of robots rules says: ok, no_rules, suspended or unreachable."""
-    return F.when(F.coalesce(error, F.lit(False)) | status.isNull(), "unreachable").when(status == 404, "no_rules").when(status.isin(*schedule.SUSPENDING_STATUSES), "suspended").when(status >= 400, "unreachable").otherwise("ok")
-
-
-@F.pandas_udf(ROBOTS)
-def parse_robots(body: pd.Series, agent: pd.Series) -> pd.DataFrame:
-    """Crawl delay of the agent's own stanza, or of the wildcard's if that is absent or zero, and the sitemaps."""
-    rows = []
-    for text, name in zip(body, agent, strict=True):
-        parser = urllib.robotparser.RobotFileParser()
-        try:
-            parser.parse((text or "").splitlines())
-            delay = parser.crawl_delay(name) or parser.crawl_delay("*")
-        except (AttributeError, ValueError):  # one body that can't be read is one row without rules
-            delay = None
-        rows.append((None if delay is None else float(delay), list(parser.site_maps() or [])))
-    return pd.DataFrame(rows, columns=["crawl_delay", "sitemap_urls"])
-
-
-@F.pandas_udf(T.BooleanType())
-def robots_allows(body: pd.Series, agent: pd.Series, url: pd.Series) -> pd.Series:
-    """Whether the rules let the agent fetch the URL; without rules everything is allowed."""
-    held: dict = {}
-    out = []
-    for text, name, target in zip(body, agent, url, strict=True):
-        if text is None:
-            out.append(True)
-            continue
-        if text not in held:
-            held[text] = urllib.robotparser.RobotFileParser()
-            try:
-                held[text].parse(text.splitlines())
-            except ValueError:  # rules that can't be read forbid nothing
-                held[text] = None
-        out.append(held[text] is None or held[text].can_fetch(name, target))
-    return pd.Series(out)
-
-
 def walk(links: DataFrame, seeds: DataFrame, max_depth: int | None = None, max_nodes: int | None = None) -> DataFrame:
     """Breadth-first reach over ``links(src, dst)`` from ``seeds(node)``: ``node, depth``; without ``max_depth`` as far as links go.
 
-    Each level is one join and one anti-join against what was seen, and is staged, so plans don't grow with the depth.
-    ``max_nodes`` is the run's page budget; within the level where it runs out, nodes go in order of their names.
-    """
-    edges = links.select("src", "dst").distinct()
-    seen = level = staged(seeds.select(F.col("node")).distinct().withColumn("depth", F.lit(0)), "walk")
-    for depth in itertools.count(1) if max_depth is None else range(1, max_depth + 1):
-        fresh = edges.join(level.select(F.col("node").alias("src")), "src").select(F.col("dst").alias("node")).distinct().join(seen.select("node"), "node", "left_anti").withColumn("depth", F.lit(depth))
-        level = staged(fresh, "walk")
-        if level.isEmpty():
-            break
-        seen = seen.unionByName(level)
-    return seen if max_nodes is None else seen.orderBy("depth", "node").limit(max_nodes)
-
-
-def gap_crawl(links: DataFrame, seeds: Sequence[str], allowed_domains: Sequence[str], max_depth: int = 2, max_pages: int = 100, pages: DataFrame | None = None, content_types: Sequence[str] = ()) -> DataFrame:
-    """Pages reached from the seeds over links within the allowed domains, as far as depth and page budget go: ``node, depth, success``.
-
-    ``pages`` (url, success, content_type) tells what fetching each gave; a page that isn't in it, or none at all, was
-    fetched.  With ``content_types``, pages of another type are left out and not followed; seeds always count.
+    ``max_nodes`` is the run's page budget, spent in the order of a queue: within a level after the nodes that lead
+    there, then by the link's ``pos``, where there is such a column, then by name.
     """
     spark = links.sparkSession
-    inside = links.filter(urls.host(F.col("dst")).isin(*[d.lower() for d in allowed_domains])) if allowed_domains else links
-    start = spark.createDataFrame([(s,) for s in seeds], "node string")
-    if pages is None:
-        return walk(inside, start, max_depth, max_pages).withColumn("success", F.lit(True))
-    known = pages.select("url", "success", F.lower(F.trim(F.substring_index("content_type", ";", 1))).alias("content_type"))
-    if content_types:
-        other = known.filter(F.col("content_type").isNotNull() & ~F.col("content_type").isin(*[t.lower() for t in content_types]))
-        inside = inside.join(other.select(F.col("url").alias("dst")), "dst", "left_anti")
-    inside = inside.join(known.filter("not success").select(F.col("url").alias("src")), "src", "left_anti")
-    reached = walk(inside, start, max_depth, max_pages)
-    return reached.join(known, reached.node == known.url, "left").select("node", "depth", F.coalesce("success", F.lit(True)).alias("success"))
+    placed = links if "pos" in links.columns else links.withColumn("pos", F.lit(0).cast("long"))
+    start = seeds.select(F.lit("").alias("site_name"), "node", F.lit(0).alias("pos"))
+    limits = None if max_nodes is None else spark.createDataFrame([("", max_nodes, None)], "site_name string, budget long, max_depth int")
+    return frontier.walk_sites(placed.select("src", "dst", "pos"), start, limits, max_depth=max_depth)[0].select("node", "depth")
+
+
+def gap_crawl(links: DataFrame, settings: DataFrame, pages: DataFrame | None = None) -> DataFrame:
+    """Pages that sites reach from their seeds over links within their domains, as far as depth and page budget go: ``site_name, node, depth, place, success``.
+
+    ``settings``: site_name, gap_seeds, gap_depth, gap_pages, allowed_domains and allowed_content_types (lower case);
+    ``links``: src, dst, pos (or none: by name), and site_name where links aren't the same for all.  ``pages`` (url,
+    success, content_type) tells what fetching each gave; a page that isn't in it, or none at all, was fetched.  Pages
+    that failed aren't followed; pages of a type that isn't allowed are left out.  Seeds always count.
+    """
+    settings = staged(settings.select("site_name", "gap_seeds", "gap_depth", "gap_pages", "allowed_domains", "allowed_content_types"), "settings")
+    seeds = settings.select("site_name", F.posexplode("gap_seeds").alias("pos", "node"))
+    limits = settings.select("site_name", F.col("gap_pages").alias("budget"), F.col("gap_depth").alias("max_depth"))
+    follow = links if "pos" in links.columns else links.withColumn("pos", F.lit(0).cast("long"))
+    known = None
+    if pages is not None:
+        known = staged(pages.groupBy("url").agg(F.bool_and("success").alias("success"), F.max(F.lower(F.trim(F.substring_index("content_type", ";", 1)))).alias("content_type")), "fetched")
+        follow = follow.join(known.filter("not success").select(F.col("url").alias("src")), "src", "left_anti")
+
+    def admit(rows: DataFrame) -> DataFrame:
+        j = rows.join(settings.select("site_name", "allowed_domains", "allowed_content_types"), "site_name")
+        j = j.filter((F.size("allowed_domains") == 0) | F.array_contains("allowed_domains", urls.host(F.col("node"))))
+        if known is not None:
+            j = j.join(known.select(F.col("url").alias("node"), "content_type"), "node", "left").filter(F.col("content_type").isNull() | (F.size("allowed_content_types") == 0) | F.array_contains("allowed_content_types", F.col("content_type"))).drop("content_type")
+        return j.drop("allowed_domains", "allowed_content_types")
+
+    reached, _ = frontier.walk_sites(follow, seeds, limits, admit)
+    if known is None:
+        return reached.withColumn("success", F.lit(True))
+    return reached.join(known.select(F.col("url").alias("node"), "success"), "node", "left").select("site_name", "node", "depth", "place", F.coalesce("success", F.lit(True)).alias("success"))
 
 
 def summary(scored: DataFrame, by: Sequence[str] = (), weight: str | None = None) -> DataFrame:

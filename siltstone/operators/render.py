@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from siltstone.functions import schedule, text, urls
 from siltstone.operators import discovery, manifest
+from siltstone.operators import sites as site_settings
 from siltstone.staging import staged
 
 
@@ -29,15 +30,22 @@ def select_due(decided: DataFrame, max_urls: int) -> DataFrame:
     return due.join(counts, "site_name")
 
 
-def outcomes(due: DataFrame, results: DataFrame, now: Column, allowed_domains=(), exclude=(), minimum_length: int = 100) -> DataFrame:
+def outcomes(due: DataFrame, results: DataFrame, now: Column, allowed_domains=(), exclude=(), minimum_length: int = 100, sites: DataFrame | None = None) -> DataFrame:
     """Join due records with their results and name each one's outcome.
 
     ``results``: canonical_url, success, exception, status_code, cache_status, fit_markdown, raw_markdown, meta_url,
     url, title, and the same with ``fallback_`` for the second attempt.  Adds ``outcome`` (failure, confirmed,
     unconfirmed, saved or rekeyed), the counters' flags, and the chosen ``markdown``, ``final_url``, ``new_canonical``.
+    With ``sites`` (see ``config.Registry.table``) the scope and the least length are those of each record's site;
+    results may then have a site_name too.
     """
+    least = F.lit(minimum_length)
+    if sites is not None:
+        own = sites.select("site_name", F.col("allowed_domains").alias("__d"), F.col("exclude_regexes").alias("__p"), F.col("minimum_content_length").alias("__m"))
+        due, least = due.join(own, "site_name"), F.col("d.__m")
     d, r = due.alias("d"), results.alias("r")
-    j = d.join(r, F.col("d.canonical_url") == F.col("r.canonical_url"), "left")
+    on = F.col("d.canonical_url") == F.col("r.canonical_url")
+    j = d.join(r, on & (F.col("d.site_name") == F.col("r.site_name")) if sites is not None and "site_name" in results.columns else on, "left")
     first = text.markdown_choice(F.col("r.fit_markdown"), F.col("r.raw_markdown"))
     second = text.markdown_choice(F.col("r.fallback_fit_markdown"), F.col("r.fallback_raw_markdown"))
     raised = F.col("r.canonical_url").isNull() | F.coalesce("r.exception", F.lit(False))
@@ -46,8 +54,8 @@ def outcomes(due: DataFrame, results: DataFrame, now: Column, allowed_domains=()
     status = F.coalesce("r.cache_status", F.lit("miss"))
     confirmed, unconfirmed = fetched & (status == "hit_validated"), fetched & (status == "hit_fallback")
     fresh = fetched & ~status.isin("hit_validated", "hit_fallback")
-    long_enough = F.length(text.strip(first)) >= minimum_length
-    recovered = fresh & ~long_enough & F.coalesce("r.fallback_success", F.lit(False)) & (F.length(text.strip(second)) >= minimum_length)
+    long_enough = F.length(text.strip(first)) >= least
+    recovered = fresh & ~long_enough & F.coalesce("r.fallback_success", F.lit(False)) & (F.length(text.strip(second)) >= least)
     candidate = (fresh & long_enough) | recovered
     markdown = F.when(recovered, second).when(candidate, first)
 
@@ -58,7 +66,8 @@ def outcomes(due: DataFrame, results: DataFrame, now: Column, allowed_domains=()
     j = j.select("d.*", *[x.alias(n) for n, x in (("raised", raised), ("failed_fetch", failed), ("confirmed", confirmed), ("unconfirmed", unconfirmed), ("low_quality", fresh & ~long_enough), ("candidate", candidate), ("markdown", markdown), ("final_url", final), ("new_title", F.coalesce(F.nullif(chosen("title"), F.lit("")), F.lit("Untitled document"))), ("status_code", F.col("r.status_code")), ("result_cache_status", F.col("r.cache_status")))])
     j = j.withColumn("new_canonical", urls.canonicalize(F.col("final_url")))
     moved = F.col("candidate") & (F.col("new_canonical") != F.col("canonical_url"))
-    outside = moved & discovery.scope_reason(F.col("final_url"), allowed_domains, exclude).isNotNull()
+    reason = discovery.scope_reason(F.col("final_url"), allowed_domains, exclude) if sites is None else site_settings.scope_reason(F.col("final_url"), F.col("__d"), F.col("__p"))
+    outside = moved & reason.isNotNull()
     outcome = F.when(F.col("confirmed"), "confirmed").when(F.col("unconfirmed"), "unconfirmed").when(outside, "failure").when(moved, "rekeyed").when(F.col("candidate"), "saved").otherwise("failure")
     j = j.withColumn("outcome", outcome).withColumn("retry", F.when(F.col("outcome").isin("failure", "unconfirmed"), schedule.next_retry(F.col("retry_count"), now)))
     return (
@@ -67,6 +76,7 @@ def outcomes(due: DataFrame, results: DataFrame, now: Column, allowed_domains=()
         .withColumn("c_low_quality", F.col("low_quality"))
         .withColumn("c_saved", F.col("outcome").isin("saved", "rekeyed"))
         .withColumn("c_retried", F.coalesce("retry.counted", F.lit(False)))
+        .drop("__d", "__p", "__m")
     )
 
 

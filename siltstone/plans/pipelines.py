@@ -3,14 +3,14 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
-from urllib.parse import urlsplit
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.config import Site
+from siltstone.config import Registry, Site
 from siltstone.functions import schedule, urls
-from siltstone.operators import chunks, discovery, extract, manifest, render, vectors
+from siltstone.operators import chunks, discovery, extract, frontier, manifest, render, robots, scans, vectors
+from siltstone.operators import sites as site_settings
 from siltstone.sources import markdown
 from siltstone.sources.snapshots import Snapshots
 from siltstone.staging import staged
@@ -28,114 +28,142 @@ class Discovered:
     child_sitemaps: int
 
 
-def walk_sitemaps(responses: DataFrame, site: Site, max_children: int = discovery.CHILD_SITEMAPS, sitemap_urls: tuple[str, ...] | None = None) -> Discovered:
-    """Follow sitemap indexes from the site's sitemaps through ``responses`` (url, status, body, error).
+def walk_site_sitemaps(responses: DataFrame, sites: DataFrame, max_children: int = discovery.CHILD_SITEMAPS) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Follow the sitemap indexes of many sites in one walk: ``(urls, runs, places)``.
+
+    ``sites``: site_name, allowed_domains (lower case) and sitemaps (where each site begins); ``responses``: url, status,
+    body, error.  Sitemaps are read in the order of a queue: the given ones, then children in the order in which their
+    indexes were read and in which they stand there; the last occurrence of a URL gives its lastmod.  Only sitemaps on
+    the allowed domains (else on the given sitemaps' hosts) are followed, and at most ``max_children`` beyond the given
+    ones.  A site's run isn't complete if it has no sitemap, one isn't allowed, one can't be read, or the cap cuts some
+    off.
 
-    Only sitemaps on the allowed domains (else on the given sitemaps' hosts) are followed, and at most ``max_children``
-    beyond the given ones, level by level.  The run isn't complete if there is no sitemap, one isn't allowed, one can't
-    be read, or the cap cuts some off.
+    ``urls``: site_name, loc, lastmod, n and at; ``runs``: site_name, complete, child_sitemaps; ``places``: site_name,
+    node, depth, place of what was read.
     """
-    spark = responses.sparkSession
-    given = list(dict.fromkeys(site.sitemap_urls if sitemap_urls is None else sitemap_urls))
-    if not given:
-        return Discovered(spark.createDataFrame([], "loc string, lastmod timestamp, n long, at struct<depth:int,node:string,pos:int>"), False, 0)
-    hosts = [d.lower() for d in site.allowed_domains] or sorted({(urlsplit(s).hostname or "") for s in given})
-    own = [s for s in given if urlsplit(s).scheme in ("http", "https") and (urlsplit(s).hostname or "") in hosts]
+    sites = staged(sites.select("site_name", "allowed_domains", F.coalesce("sitemaps", F.array().cast("array<string>")).alias("sitemaps")), "seeds")
+    given, hosts = site_settings.sitemap_seeds(sites, "sitemaps"), staged(site_settings.sitemap_hosts(sites, "sitemaps"), "hosts")
     fetched = responses.filter(~F.coalesce("error", F.lit(False)) & (F.col("status") < 400))
     parsed = staged(discovery.parse_sitemaps(fetched.select("url", "body")).select("url", "kind", "entries", "children"), "sitemaps")
-    links = parsed.select(F.col("url").alias("src"), F.explode("children").alias("dst")).withColumn("allowed", discovery.sitemap_allowed(F.col("dst"), hosts))
-    seeds = spark.createDataFrame([(s,) for s in own], "node string")
-    reached = staged(discovery.walk(links.filter("allowed").select("src", "dst"), seeds), "reached")
-    seen = staged(reached.orderBy("depth", "node").limit(len(own) + max_children), "seen") if reached.count() > len(own) + max_children else reached
-    read = seen.join(parsed, seen.node == parsed.url, "left")
+    links = parsed.select(F.col("url").alias("src"), F.posexplode("children").alias("pos", "dst"))
+
+    def inside(rows: DataFrame) -> DataFrame:
+        return rows.join(hosts, "site_name").withColumn("__inside", site_settings.may_fetch(F.col("node"), F.col("hosts"))).drop("hosts")
+
+    own = staged(inside(given), "given")
+    budget = own.filter("__inside").groupBy("site_name").agg(F.count("*").alias("n")).select("site_name", (F.col("n") + max_children).alias("budget"), F.lit(None).cast("int").alias("max_depth"))
+    places, cut = frontier.walk_sites(links, own.filter("__inside").drop("__inside"), budget, lambda rows: inside(rows).filter("__inside").drop("__inside"))
+    read = staged(places.join(parsed.withColumnRenamed("url", "node"), "node", "left"), "read")
+    followed = read.select("site_name", F.explode("children").alias("node"))
+    foreign = inside(own.select("site_name", "node").unionByName(followed)).filter("not __inside").select("site_name").distinct()
     good = F.col("kind").isin("urlset", "index")
-    counts = read.agg(F.count("*").alias("n"), F.count_if(good).alias("good"), F.count_if((F.col("depth") > 0) & good).alias("children")).first()
-    foreign = links.filter("not allowed").join(seen, links.src == seen.node, "left_semi").limit(1).count()
-    complete = len(own) == len(given) and seen is reached and counts.n == counts.good and not foreign
-    rows = read.select("depth", "node", F.posexplode("entries").alias("pos", "e")).select(F.col("e.loc").alias("loc"), F.col("e.lastmod").alias("lastmod"), F.struct("depth", "node", "pos").alias("at"))
-    found = rows.groupBy("loc").agg(F.max_by(F.struct("lastmod"), "at").alias("l"), F.count("*").alias("n"), F.max("at").alias("at")).select("loc", "l.lastmod", "n", "at")
-    return Discovered(found, complete, counts.children)
+    counts = read.groupBy("site_name").agg(F.count("*").alias("n"), F.count_if(good).alias("good"), F.count_if((F.col("depth") > 0) & good).alias("children"))
+    stopped = foreign.unionByName(cut).distinct().withColumn("stopped", F.lit(True))
+    runs = sites.select("site_name").join(counts, "site_name", "left").join(stopped, "site_name", "left")
+    runs = runs.select("site_name", (F.col("stopped").isNull() & F.coalesce(F.col("n") == F.col("good"), F.lit(False))).alias("complete"), F.coalesce("children", F.lit(0)).alias("child_sitemaps"))
+    rows = read.select("site_name", "depth", "place", F.posexplode("entries").alias("pos", "e")).select("site_name", F.col("e.loc").alias("loc"), F.col("e.lastmod").alias("lastmod"), F.struct("depth", "place", "pos").alias("at"))
+    found = rows.groupBy("site_name", "loc").agg(F.max_by(F.struct("lastmod"), "at").alias("l"), F.count("*").alias("n"), F.max("at").alias("at")).select("site_name", "loc", "l.lastmod", "n", "at")
+    return found, staged(runs, "runs"), places
 
 
-def robots_rules(responses: DataFrame, site: Site) -> tuple[str, float | None, tuple[str, ...]]:
-    """State of the site's robots rules (ok, no_rules, suspended or unreachable; unreachable where there is no answer), crawl delay and sitemaps."""
-    mine = responses.filter(F.col("url") == site.base_url.rstrip("/") + "/robots.txt")
-    row = mine.select(discovery.classify_response(F.col("status"), F.col("error")).alias("state"), discovery.parse_robots(F.coalesce("body", F.lit("")), F.lit(site.user_agent)).alias("r")).first()
-    if row is None:
-        return "unreachable", None, ()
-    if row.state != "ok":
-        return row.state, None, ()
-    return row.state, row.r.crawl_delay, tuple(row.r.sitemap_urls or ())
+def walk_sitemaps(responses: DataFrame, site: Site, max_children: int = discovery.CHILD_SITEMAPS, sitemap_urls: tuple[str, ...] | None = None) -> Discovered:
+    """``walk_site_sitemaps`` for one site."""
+    given = list(site.sitemap_urls if sitemap_urls is None else sitemap_urls)
+    one = Registry([site]).table(responses.sparkSession).withColumn("sitemaps", F.array(*map(F.lit, given)).cast("array<string>"))
+    found, runs, _ = walk_site_sitemaps(responses, one, max_children)
+    run = runs.first()
+    return Discovered(found.drop("site_name"), run.complete, run.child_sitemaps)
 
 
-def discover(spark: SparkSession, site: Site, snapshots: Snapshots, runs: Snapshots, responses: DataFrame | None, now: Column, links: DataFrame | None = None, pages: DataFrame | None = None) -> DataFrame:
-    """One discovery run; returns its counts as ``metric, n`` (see ``discovery.summary``), with ``complete``, ``cached``, and the delays that its requests keep.
+def discover_sites(spark: SparkSession, registry: Registry, snapshots: Snapshots, runs: Snapshots, responses: DataFrame | None, now: Column, links: DataFrame | None = None, pages: DataFrame | None = None) -> DataFrame:
+    """One discovery run over all sites; returns their counts as ``site_name, metric, n`` (see ``discovery.summary``), with ``complete``, ``cached``, and the delays that their requests keep.
 
-    The ledger says incomplete before anything is read and what came of it at the end, so a run that dies doesn't
-    count.  A run whose robots rules can't be reached ends there.  A fresh complete run of the same settings is used
-    again within the site's time limit.  Where the site names no sitemaps, those of its robots rules are read.  Each
+    Settings are a table, so there is one walk over sitemaps, one over links and one merge, however many sites there
+    are.  The ledger says incomplete before anything is read and what came of it at the end, so a run that dies doesn't
+    count.  A site whose robots rules can't be reached ends there.  A fresh complete run of the same settings is used
+    again within the site's time limit.  Where a site names no sitemaps, those of its robots rules are read.  Each
     occurrence of a URL counts; the last one gives its lastmod.  A gap crawl takes links, and what fetching pages gave.
+
+    Without ``responses`` robots rules aren't looked at, and sites with sitemaps come out incomplete.
     """
-    site.require_discovery()
-    name, print_ = F.lit(site.name), F.lit(site.fingerprint())
-    uses_sitemaps = site.discovery_source == "sitemap"
-    low, high = site.min_delay, site.max_delay
-
-    def with_run(counts: DataFrame, complete: bool, cached: bool) -> DataFrame:
-        return counts.withColumns({"complete": F.lit(complete), "cached": F.lit(cached), "min_delay": F.lit(float(low)), "max_delay": F.lit(float(high))})
-
-    if uses_sitemaps and site.cache_ttl_hours > 0:
-        same = spark.createDataFrame([(site.name, site.fingerprint(), float(site.cache_ttl_hours))], "site_name string, fingerprint string, ttl_hours double")
-        if discovery.cached_runs(runs.read(), same, now).filter("cached").count():
-            return with_run(discovery.summary(snapshots.read().filter(F.col("site_name") == site.name)), True, True)
-
-    def ledger(complete: bool) -> None:
-        row = spark.range(1).select(name.alias("site_name"), now.alias("completed_at"), F.lit(complete).alias("complete"), print_.alias("config_fingerprint"))
-        runs.update(lambda held: record_run(held, row))
-
-    if uses_sitemaps:
-        ledger(False)
-    named: tuple[str, ...] = ()
-    if responses is not None:
-        state, delay, named = robots_rules(responses, site)
-        if state in ("suspended", "unreachable"):
-            return with_run(spark.createDataFrame([], "metric string, n long"), False, False)
-        if delay is not None and site.respect_crawl_delay:
-            low = max(low, delay)
-            high = max(high, low)
-    if uses_sitemaps:
-        found = walk_sitemaps(responses, site, sitemap_urls=site.sitemap_urls or named)
-        rows, complete, source = found.urls, found.complete, "sitemap"
+    for site in registry.sites.values():
+        site.require_discovery()
+    sites = staged(registry.table(spark), "sites")
+    maps = F.col("discovery_source") == "sitemap"
+    limits = sites.filter(maps & (F.col("cache_ttl_hours") > 0)).select("site_name", "fingerprint", F.col("cache_ttl_hours").alias("ttl_hours"))
+    cached = staged(discovery.cached_runs(runs.read(), limits, now).filter("cached").select("site_name"), "cached")
+    todo = sites.join(cached, "site_name", "left_anti")
+    ledger = todo.filter(maps).select("site_name", now.alias("completed_at"), F.lit(False).alias("complete"), F.col("fingerprint").alias("config_fingerprint"))
+    runs.update(lambda held: record_runs(held, ledger))
+
+    if responses is None:
+        responses = spark.createDataFrame([], "url string, status int, body string, error boolean")
+        asked = todo.select("site_name", F.lit("ok").alias("robots_state"), F.lit(None).cast("double").alias("crawl_delay"), F.array().cast("array<string>").alias("robots_sitemaps"))
     else:
-        reached = staged(discovery.gap_crawl(links, site.gap_crawl.seed_urls, site.allowed_domains, site.gap_crawl.max_depth, site.gap_crawl.max_pages, pages, site.allowed_content_types), "gap")
-        complete, source = bool(site.gap_crawl.seed_urls) and not reached.filter("not success").limit(1).count(), "deep_crawl"
-        rows = reached.filter("success").select(F.col("node").alias("loc"), F.lit(None).cast("timestamp").alias("lastmod"), F.lit(1).cast("long").alias("n"), F.struct("depth", "node", F.lit(0).alias("pos")).alias("at"))
-    scored = discovery.with_scope(rows, "loc", site.allowed_domains, site.exclude_url_patterns)
-    scored = staged(scored.select(name.alias("site_name"), urls.canonicalize(F.col("loc")).alias("canonical_url"), F.col("loc").alias("source_url"), F.lit(source).alias("source"), "lastmod", "scope_status", "scope_reason", now.alias("seen_at"), F.col("at").alias("ordinal"), "n"), "discovered")
+        asked = robots.for_sites(todo, responses)
+    delay = schedule.effective_delay(F.col("min_delay"), F.col("max_delay"), F.when(F.col("respect_crawl_delay"), F.col("crawl_delay")))
+    todo = staged(todo.join(asked, "site_name").withColumn("delay", delay).withColumn("sitemaps", F.when(F.size("sitemap_urls") > 0, F.col("sitemap_urls")).otherwise(F.col("robots_sitemaps"))), "todo")
+    active = todo.filter(F.col("robots_state").isin("ok", "no_rules"))
+
+    found, walked, _ = walk_site_sitemaps(responses, active.filter(maps))
+    rows = found.withColumn("source", F.lit("sitemap"))
+    done = walked.select("site_name", "complete")
+    if links is not None:
+        crawled = active.filter(~maps)
+        reached = staged(discovery.gap_crawl(links, crawled, pages), "gap")
+        failed = reached.groupBy("site_name").agg(F.bool_and("success").alias("fetched"))
+        done = done.unionByName(crawled.join(failed, "site_name", "left").select("site_name", F.coalesce("fetched", F.lit(False)).alias("complete")))
+        at = F.struct("depth", "place", F.lit(0).alias("pos")).alias("at")
+        rows = rows.unionByName(reached.filter("success").select("site_name", F.col("node").alias("loc"), F.lit(None).cast("timestamp").alias("lastmod"), F.lit(1).cast("long").alias("n"), at, F.lit("deep_crawl").alias("source")))
+    done = staged(done, "done")
+    scored = site_settings.with_scope(rows, sites, "loc")
+    scored = staged(scored.select("site_name", urls.canonicalize(F.col("loc")).alias("canonical_url"), F.col("loc").alias("source_url"), "source", "lastmod", "scope_status", "scope_reason", now.alias("seen_at"), F.col("at").alias("ordinal"), "n"), "discovered")
     snapshots.update(lambda held: manifest.upsert(held, manifest.collapse(scored)))
-    if uses_sitemaps:
-        ledger(complete)
-    return with_run(discovery.summary(scored, weight="n"), complete, False)
+    ended = ledger.drop("complete").join(done, "site_name", "left").withColumn("complete", F.coalesce("complete", F.lit(False)))
+    runs.update(lambda held: record_runs(held, ended))
+
+    again = discovery.summary(snapshots.read().join(cached, "site_name", "left_semi"), ["site_name"])
+    counts = discovery.summary(scored, ["site_name"], weight="n").unionByName(again)
+    none = sites.select("site_name", F.explode(F.array(F.lit("discovered"), F.lit("eligible"))).alias("metric"), F.lit(0).cast("long").alias("n"))
+    counts = counts.unionByName(none).groupBy("site_name", "metric").agg(F.sum("n").alias("n"))
+    state = sites.select("site_name", "min_delay", "max_delay").join(todo.select("site_name", F.col("delay.min_delay").alias("low"), F.col("delay.max_delay").alias("high")), "site_name", "left").join(done, "site_name", "left").join(cached.withColumn("cached", F.lit(True)), "site_name", "left")
+    state = state.select("site_name", F.coalesce("complete", "cached", F.lit(False)).alias("complete"), F.coalesce("cached", F.lit(False)).alias("cached"), F.coalesce("low", "min_delay").alias("min_delay"), F.coalesce("high", "max_delay").alias("max_delay"))
+    return staged(counts.join(state, "site_name"), "summary")
+
+
+def discover(spark: SparkSession, site: Site, snapshots: Snapshots, runs: Snapshots, responses: DataFrame | None, now: Column, links: DataFrame | None = None, pages: DataFrame | None = None) -> DataFrame:
+    """``discover_sites`` for one site, without its name."""
+    return discover_sites(spark, Registry([site]), snapshots, runs, responses, now, links, pages).drop("site_name")
+
+
+def record_runs(runs: DataFrame, rows: DataFrame) -> DataFrame:
+    """The ledger with one row for each site, new ones replacing the old."""
+    fresh = rows.select(*runs.columns)
+    return runs.join(fresh.select("site_name"), "site_name", "left_anti").unionByName(fresh)
 
 
-def record_run(runs: DataFrame, row: DataFrame) -> DataFrame:
-    """The ledger with one row for each site, the new one replacing the old."""
-    return runs.join(row.select("site_name"), "site_name", "left_anti").unionByName(row)
+def _table(spark: SparkSession, sites: Site | Registry | DataFrame) -> DataFrame:
+    if isinstance(sites, Site):
+        sites = Registry([sites])
+    return sites.table(spark) if isinstance(sites, Registry) else sites
 
 
-def plan_render(held: DataFrame, site: Site, now: Column, max_urls: int = 5000, force: bool = False) -> DataFrame:
-    """Records of the site that are due, in URL order."""
-    mine = manifest.select_rows(held, site.name, "eligible")
-    return render.select_due(render.with_decision(mine, now, F.lit(site.trust_lastmod), F.lit(site.audit_days), force), max_urls)
+def plan_render(held: DataFrame, sites: Site | Registry | DataFrame, now: Column, max_urls: int = 5000, force: bool = False) -> DataFrame:
+    """Records of the sites that are due by each site's own settings, in URL order: of each site the first ``max_urls``, with their ``rank``."""
+    own = _table(held.sparkSession, sites).select("site_name", "trust_lastmod", "audit_days")
+    eligible = held.filter("scope_status = 'eligible'").join(own, "site_name")
+    decided = render.with_decision(eligible, now, F.col("trust_lastmod"), F.col("audit_days"), force).drop("trust_lastmod", "audit_days")
+    return scans.numbered(decided.filter("decision is not null"), ["site_name"], ["canonical_url"], "rank", "due").filter(F.col("rank") <= max_urls)
 
 
-def apply_render(snapshots: Snapshots, due: DataFrame, results: DataFrame, site: Site, now: Column, root: str | None = None) -> DataFrame:
+def apply_render(snapshots: Snapshots, due: DataFrame, results: DataFrame, sites: Site | Registry | DataFrame, now: Column, root: str | None = None) -> DataFrame:
     """Fold results into the next snapshot; returns the outcome rows with their Markdown.
 
-    With ``root`` (a folder that all executors share) each saved page is written to ``root/site/parsed``, under a name
-    made from its canonical URL; a page that moved leaves no file under its old name.
+    Scope and least length are those of each record's site.  With ``root`` (a folder that all executors share) each
+    saved page is written to ``root/site/parsed``, under a name made from its canonical URL; a page that moved leaves no
+    file under its old name.
     """
-    rows = staged(render.outcomes(due, results, now, site.allowed_domains, site.exclude_url_patterns, site.minimum_content_length), "outcomes")
+    rows = staged(render.outcomes(due, results, now, sites=_table(due.sparkSession, sites)), "outcomes")
     snapshots.update(lambda held: render.apply(held, rows, now))
     if root is not None:
         markdown.export(documents(rows, now), root)

@@ -2,28 +2,42 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 
+class Conflict(RuntimeError):
+    """Another writer has made the version that this one was to be."""
+
+
 class Snapshots:
-    """Versions ``v=1, v=2, ...`` under ``root``; one counts once its ``_SUCCESS`` mark is there, so a crash leaves the last whole one."""
+    """Versions ``v=1, v=2, ...`` under ``root``.
+
+    A writer's rows go into a folder of its own, which is then renamed to the next version.  The rename fails if that
+    version is there (a file system's promise for a folder that isn't empty, of HDFS and of local disks), so of two
+    writers of one version the second gets a ``Conflict`` and nothing is replaced.  A crash leaves the last whole
+    version, and a folder under ``_new`` that nothing reads.
+    """
 
-    def __init__(self, spark: SparkSession, root: str, schema: T.StructType, lease_seconds: int = 6 * 3600):
-        self.lease_seconds = lease_seconds
+    def __init__(self, spark: SparkSession, root: str, schema: T.StructType):
         self.spark, self.root, self.schema = spark, root.rstrip("/"), schema
-        jvm = spark.sparkContext._jvm
+        jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
         self._path = jvm.org.apache.hadoop.fs.Path
-        self._fs = self._path(root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        self._fs = self._path(root).getFileSystem(conf)
+        self._context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._fs.getUri(), conf)
+        rename = getattr(jvm.org.apache.hadoop.fs, "Options$Rename")
+        self._plainly = spark.sparkContext._gateway.new_array(rename, 1)
+        self._plainly[0] = rename.NONE
 
     def versions(self) -> list[int]:
         if not self._fs.exists(self._path(self.root)):
             return []
         names = [s.getPath().getName() for s in self._fs.listStatus(self._path(self.root))]
-        found = [int(n[2:]) for n in names if n.startswith("v=") and n[2:].isdigit()]
-        return sorted(v for v in found if self._fs.exists(self._path(f"{self.root}/v={v}/_SUCCESS")))
+        return sorted(int(n[2:]) for n in names if n.startswith("v=") and n[2:].isdigit())
 
     def read(self, version: int | None = None) -> DataFrame:
         """A version (the last by default) in today's schema; without any, an empty table."""
@@ -32,30 +46,36 @@ class Snapshots:
             return self.spark.createDataFrame([], self.schema)
         return self.spark.read.schema(self.schema).parquet(f"{self.root}/v={version or held[-1]}")
 
-    def write(self, df: DataFrame) -> int:
-        """Write the next version.  A writer claims its number by making a mark; where another has it, this one fails instead of overwriting it."""
-        version = (self.versions() or [0])[-1] + 1
-        claim = self._path(f"{self.root}/_claims/v={version}")
+    def write(self, df: DataFrame, base: int | None = None) -> int:
+        """Write the version after ``base`` (by default the last one there is now, none is 0), and give its number."""
+        version = ((self.versions() or [0])[-1] if base is None else base) + 1
+        fresh = f"{self.root}/_new/{uuid.uuid4().hex}"
+        df.write.parquet(fresh)
         try:
-            self._fs.create(claim, False).close()
-        except Exception as e:
-            if self._fs.exists(claim) and self._fs.getFileStatus(claim).getModificationTime() > self._now() - self.lease_seconds * 1000:
-                raise RuntimeError(f"another writer makes version {version} of {self.root}") from e
-            self._fs.create(claim, True).close()  # its writer is gone
-        try:
-            df.write.mode("overwrite").parquet(f"{self.root}/v={version}")
-        finally:
-            self._fs.delete(claim, False)
+            self._context.rename(self._path(fresh), self._path(f"{self.root}/v={version}"), self._plainly)
+        except Py4JJavaError as e:
+            self._fs.delete(self._path(fresh), True)
+            if self._fs.exists(self._path(f"{self.root}/v={version}")):
+                raise Conflict(f"another writer has made version {version} of {self.root}") from e
+            raise
         return version
 
-    def _now(self) -> int:
-        return self.spark.sparkContext._jvm.System.currentTimeMillis()
-
-    def update(self, change: Callable[[DataFrame], DataFrame]) -> int:
-        """Write what ``change`` makes of the last version; one writer at a time."""
-        return self.write(change(self.read()))
+    def update(self, change: Callable[[DataFrame], DataFrame], tries: int = 5) -> int:
+        """Write what ``change`` makes of the last version.  Where another writer was faster, it is made again of what that one wrote."""
+        for left in range(tries - 1, -1, -1):
+            base = (self.versions() or [0])[-1]
+            try:
+                return self.write(change(self.read(base or None)), base)
+            except Conflict:
+                if not left:
+                    raise
+        raise ValueError("tries must be 1 at least")
 
-    def expire(self, keep: int = 2) -> None:
-        """Remove all but the last versions; keep as many as a running reader may still use."""
-        for v in self.versions()[:-keep]:
-            self._fs.delete(self._path(f"{self.root}/v={v}"), True)
+    def expire(self, keep: int = 2, older_than_seconds: float = 0) -> None:
+        """Remove all but the last ``keep`` versions, if they were followed so long ago; readers of a version have that time."""
+        held = self.versions()
+        now = self.spark.sparkContext._jvm.System.currentTimeMillis()
+        for v, after in list(zip(held, held[1:], strict=False))[: max(0, len(held) - keep)]:
+            followed = self._fs.getFileStatus(self._path(f"{self.root}/v={after}")).getModificationTime()
+            if followed <= now - older_than_seconds * 1000:
+                self._fs.delete(self._path(f"{self.root}/v={v}"), True)

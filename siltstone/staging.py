@@ -44,3 +44,24 @@ def clear(spark: SparkSession) -> int:
     for p in paths:
         jvm.org.apache.hadoop.fs.Path(p).getFileSystem(conf).delete(jvm.org.apache.hadoop.fs.Path(p), True)
     return len(paths)
+
+
+class Growing:
+    """A table that grows by whole tables.  Reading it is one scan, however many were added."""
+
+    def __init__(self, spark: SparkSession, schema: str, label: str):
+        self.spark, self.schema, self.parts = spark, schema, 0
+        self.path = f"{shared_root(spark).rstrip('/')}/siltstone-{label}-{uuid.uuid4().hex}"
+        _written.setdefault(spark.sparkContext.applicationId, []).append(self.path)
+
+    def add(self, df: DataFrame) -> DataFrame:
+        """Write the rows, and give them as they are then."""
+        path = f"{self.path}/part{self.parts:06d}"
+        df.write.option("compression", "zstd").parquet(path)
+        self.parts += 1
+        return self.spark.read.schema(self.schema).parquet(path)
+
+    def read(self) -> DataFrame:
+        if not self.parts:
+            return self.spark.createDataFrame([], self.schema)
+        return self.spark.read.schema(self.schema).option("recursiveFileLookup", True).parquet(self.path)

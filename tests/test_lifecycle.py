@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from siltstone.config import GapCrawl, Registry, Site
 from siltstone.functions import schedule
-from siltstone.operators import discovery, manifest, render
+from siltstone.operators import discovery, manifest, render, robots
 from siltstone.sources import markdown
 from siltstone.sources.snapshots import Snapshots
 
@@ -55,12 +55,13 @@ def test_sitemaps(spark):
 
 def test_robots(spark):
     body = "User-agent: *\nCrawl-delay: 5\nDisallow: /private\n\nUser-agent: own\nCrawl-delay: 0\nSitemap: https://a.example/s.xml\n"
-    df = spark.createDataFrame([(body, "own"), (body, "other"), ("User-agent: *\nCrawl-delay: soon", "own"), (None, "own")], "body string, agent string").coalesce(1)
-    got = df.withColumn("r", discovery.parse_robots("body", "agent")).withColumn("ok", discovery.robots_allows("body", "agent", F.lit("https://a.example/private/1"))).collect()
-    assert [r.r.crawl_delay for r in got] == [5.0, 5.0, None, None]
+    df = spark.createDataFrame([(1, body, "own"), (2, body, "other"), (3, "User-agent: *\nCrawl-delay: soon", "own"), (4, None, "own")], "i int, body string, agent string").coalesce(1)
+    rules = robots.parse(df, ["i"]).join(df, "i").orderBy("i")
+    got = rules.select(robots.crawl_delay(F.col("stanzas"), F.col("agent")).alias("d"), robots.allows(F.col("stanzas"), F.col("agent"), F.lit("https://a.example/private/1")).alias("ok")).collect()
+    assert [r.d for r in got] == [5.0, 5.0, None, None]
     assert [r.ok for r in got] == [True, False, True, True]
     status = spark.createDataFrame([(404, False), (503, False), (500, False), (200, False), (None, True)], "s int, e boolean").coalesce(1)
-    assert [r[0] for r in status.select(discovery.classify_response(F.col("s"), F.col("e"))).collect()] == ["no_rules", "suspended", "unreachable", "ok", "unreachable"]
+    assert [r[0] for r in status.select(robots.classify_response(F.col("s"), F.col("e"))).collect()] == ["no_rules", "suspended", "unreachable", "ok", "unreachable"]
 
 
 def test_snapshots_and_older_schema(spark, tmp_path):
