@@ -9,6 +9,9 @@ sources, and keeps each source's first candidates; as it goes by in the order of
 
 from __future__ import annotations
 
+import itertools
+from array import array
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -20,52 +23,51 @@ from siltstone.llm.common import lean, shuffle_partitions, staged, table, text_s
 
 # Letters in lower case; every byte above ASCII is part of a term, all others part terms.
 TERM_BYTES = bytes(c if chr(c).isalpha() and c < 128 or c > 127 else 32 for c in range(256)).lower()
-SLICE = 16 << 20  # bytes of text counted together
-LEAVES = 300_000  # of a task's tries; then they are written out and new ones begin
+SLICE = 8 << 20  # bytes of text counted together
+LEAVES = 250_000  # of a task's tries; then they are written out and new ones begin
 RANGE_ROWS = 1_000_000  # leaves in one range
-CELLS = 1 << 21  # counters looked at together
+CELLS = 1 << 19  # counters looked at together
 SCALE = 1_000_000_000
 
 
 class RadixTrie:
-    """Counters by byte string.  A node is ``[label, children by first byte or None, leaf or None]``; a leaf is ``[documents, {source: count}]``."""
+    """A number for each byte string.  A node is ``[label, children by first byte or None, number or -1]``."""
 
     def __init__(self):
-        self.root, self.leaves = [b"", None, None], 0
+        self.root = [b"", None, -1]
 
-    def leaf(self, term: bytes) -> list:
-        """The leaf of a term; it is made if it isn't there."""
+    def number(self, term: bytes, fresh: int) -> int:
+        """The number of a term; one that isn't there gets ``fresh``."""
         node, at, end = self.root, 0, len(term)
         while at < end:
             if node[1] is None:
                 node[1] = {}
             child = node[1].get(term[at])
             if child is None:
-                child = node[1][term[at]] = [term[at:], None, None]
-                at = end
-            elif term.startswith(child[0], at):
+                node[1][term[at]] = [term[at:], None, fresh]
+                return fresh
+            if term.startswith(child[0], at):
                 at += len(child[0])
             else:  # the edge parts where the bytes differ
                 label, same = child[0], 1
                 while at + same < end and label[same] == term[at + same]:
                     same += 1
                 child[0] = label[same:]
-                child = node[1][term[at]] = [label[:same], {label[same]: child}, None]
+                child = node[1][term[at]] = [label[:same], {label[same]: child}, -1]
                 at += same
             node = child
-        if node[2] is None:
-            node[2] = [0, {}]
-            self.leaves += 1
+        if node[2] < 0:
+            node[2] = fresh
         return node[2]
 
     def walk(self):
-        """(term, leaf) in byte order."""
+        """(term, number) in byte order."""
         stack = [(b"", self.root)]
         while stack:
-            before, (label, children, leaf) = stack.pop()
+            before, (label, children, number) = stack.pop()
             term = before + label
-            if leaf is not None:
-                yield term, leaf
+            if number >= 0:
+                yield term, number
             if children:
                 stack += [(term, children[b]) for b in sorted(children, reverse=True)]
 
@@ -90,61 +92,88 @@ def _coded(column: pa.Array) -> tuple[np.ndarray, list[str]]:
     return np.asarray(coded.indices).astype(np.int64), coded.dictionary.to_pylist()
 
 
-def count_terms(tries: dict[str, RadixTrie], langs: pa.Array, sources: pa.Array, texts: pa.Array) -> None:
-    """Add documents to the tries of their languages.  The root's leaf counts each source's documents."""
-    lang, lang_names = _coded(langs)
-    source, source_names = _coded(sources)
-    group = lang * len(source_names) + source
-    for g, n in zip(*(x.tolist() for x in np.unique(group, return_counts=True)), strict=True):
-        leaf = tries.setdefault(lang_names[g // len(source_names)], RadixTrie()).leaf(b"")
-        name = source_names[g % len(source_names)]
-        leaf[0] += n
-        leaf[1][name] = leaf[1].get(name, 0) + n
-    row, code, names = _terms(texts)
-    if not len(code):
-        return
-    per_doc, n = np.unique(row * len(names) + code, return_counts=True)
-    row, code = per_doc // len(names), per_doc % len(names)
-    key = (lang[row] * len(names) + code) * len(source_names) + source[row]
-    order = np.argsort(key, kind="stable")
-    key = key[order]
-    heads = np.flatnonzero(np.diff(key, prepend=-1))
-    total, docs = np.add.reduceat(n[order], heads), np.diff(np.append(heads, len(key)))
-    held = -1
-    for term, s, t, d in zip((key[heads] // len(source_names)).tolist(), (key[heads] % len(source_names)).tolist(), total.tolist(), docs.tolist(), strict=True):
-        if term != held:
-            held, leaf = term, tries[lang_names[term // len(names)]].leaf(names[term % len(names)])
-            counts = leaf[1]
-        leaf[0] += d
-        name = source_names[s]
-        counts[name] = counts.get(name, 0) + t
-
-
 _LEAF = pa.schema([("lang", pa.string()), ("term", pa.binary()), ("docs", pa.int64()), ("sources", pa.list_(pa.string())), ("counts", pa.list_(pa.int64()))])
 _LEAF_DDL = "lang string, term binary, docs long, sources array<string>, counts array<long>"
 
 
-def _leaves(tries: dict[str, RadixTrie]):
-    for lang in sorted(tries):
-        rows = []
-        for term, (docs, counts) in tries[lang].walk():
-            rows.append((lang, term, docs, list(counts), list(counts.values())))
-            if len(rows) == 20_000:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _LEAF.types, strict=True)], schema=_LEAF)
-                rows = []
-        if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _LEAF.types, strict=True)], schema=_LEAF)
+class Tries:
+    """A task's tries, one for each language, and the counters of their leaves: (leaf, source, occurrences, documents)."""
+
+    def __init__(self):
+        self.tries: dict[str, RadixTrie] = {}
+        self.sources: dict[str, int] = {}
+        self.leaves, self.cells, self.held = 0, [], 0
+
+    def _leaf(self, lang: str, term: bytes) -> int:
+        number = self.tries.setdefault(lang, RadixTrie()).number(term, self.leaves)
+        self.leaves += number == self.leaves
+        return number
+
+    def _put(self, *cells: np.ndarray) -> None:
+        self.cells.append(np.stack(cells))
+        self.held += self.cells[-1].shape[1]
+        if self.held > 4 * LEAVES:
+            self.cells = [self._summed()]
+            self.held = self.cells[0].shape[1] // 2
+
+    def _summed(self) -> np.ndarray:
+        """Cells in the order of leaf and source, one for each."""
+        leaf, source, counts, docs = np.concatenate(self.cells, axis=1)
+        key = leaf * len(self.sources) + source
+        order = np.argsort(key, kind="stable")
+        heads = np.flatnonzero(np.diff(key[order], prepend=-1))
+        return np.stack([leaf[order][heads], source[order][heads], np.add.reduceat(counts[order], heads), np.add.reduceat(docs[order], heads)])
+
+    def add(self, langs: pa.Array, sources: pa.Array, texts: pa.Array) -> None:
+        """Count documents.  The root's leaf counts each source's documents."""
+        lang, lang_names = _coded(langs)
+        source, source_names = _coded(sources)
+        numbers = np.array([self.sources.setdefault(s, len(self.sources)) for s in source_names], np.int64)
+        source = numbers[source]
+        known = len(self.sources)
+        group, n = np.unique(lang * known + source, return_counts=True)
+        self._put(np.array([self._leaf(lang_names[g // known], b"") for g in group.tolist()], np.int64), group % known, n, n)
+        row, code, names = _terms(texts)
+        if not len(code):
+            return
+        per_doc, n = np.unique(row * len(names) + code, return_counts=True)
+        row, code = per_doc // len(names), per_doc % len(names)
+        key = (lang[row] * len(names) + code) * known + source[row]
+        order = np.argsort(key, kind="stable")
+        key = key[order]
+        heads = np.flatnonzero(np.diff(key, prepend=-1))
+        term, at = np.unique(key[heads] // known, return_inverse=True)
+        leaf = np.array([self._leaf(lang_names[t // len(names)], names[t % len(names)]) for t in term.tolist()], np.int64)
+        self._put(leaf[at], key[heads] % known, np.add.reduceat(n[order], heads), np.diff(np.append(heads, len(key))))
+
+    def flush(self):
+        """All leaves in the order of language and term."""
+        if not self.leaves:
+            return
+        leaf, source, counts, docs = self._summed()
+        begins = np.searchsorted(leaf, np.arange(self.leaves + 1))
+        docs, names = np.add.reduceat(docs, begins[:-1]), pa.array(list(self.sources), pa.string())
+        for lang in sorted(self.tries):
+            walked = self.tries[lang].walk()
+            while rows := list(itertools.islice(walked, 20_000)):
+                own = np.array([number for _, number in rows])
+                sizes = begins[own + 1] - begins[own]
+                offsets = np.concatenate([[0], np.cumsum(sizes)])
+                at = np.arange(offsets[-1]) + np.repeat(begins[own] - offsets[:-1], sizes)
+                ends = pa.array(offsets.astype(np.int32))
+                lists = pa.ListArray.from_arrays(ends, names.take(pa.array(source[at]))), pa.ListArray.from_arrays(ends, pa.array(counts[at]))
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(rows), pa.string()), pa.array([term for term, _ in rows], pa.binary()), pa.array(docs[own]), *lists], schema=_LEAF)
 
 
 def _count(batches):
-    tries: dict[str, RadixTrie] = {}
+    tries = Tries()
     for whole in batches:
         for batch in text_slices(whole, 2, SLICE):
-            count_terms(tries, batch.column(0), batch.column(1), batch.column(2))
-            if sum(t.leaves for t in tries.values()) > LEAVES:
-                yield from _leaves(tries)
-                tries = {}
-    yield from _leaves(tries)
+            tries.add(batch.column(0), batch.column(1), batch.column(2))
+            if tries.leaves > LEAVES:
+                yield from tries.flush()
+                tries = Tries()
+    yield from tries.flush()
 
 
 def _added(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -213,7 +242,7 @@ class _Language:
 
     def __init__(self, lang: str, top: int):
         self.lang, self.top, self.names, self.totals, self.kinds = lang, top, [], [], 0
-        self.terms, self.rows, self.codes, self.counts = [], [], [], []
+        self.terms, self.rows, self.codes, self.counts = [], array("q"), array("q"), array("q")
 
     def head(self, source: str, total: int, kinds: int) -> None:
         self.names.append(source)
@@ -223,10 +252,10 @@ class _Language:
     def leaf(self, term: bytes, sources: list[str], counts: list[int]) -> None:
         if not self.terms:
             self.code = {s: i for i, s in enumerate(self.names)}
-        self.rows += [len(self.terms)] * len(sources)
+        self.rows.extend([len(self.terms)] * len(sources))
         self.terms.append(term)
-        self.codes += [self.code[s] for s in sources]
-        self.counts += counts
+        self.codes.extend([self.code[s] for s in sources])
+        self.counts.extend(counts)
 
     def _dense(self, cells: tuple[np.ndarray, ...], low: int, high: int) -> np.ndarray:
         rows, codes, counts = cells
