@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siltstone.functions import urls
-from siltstone.operators import frontier
+from siltstone.operators import frontier, scans
 from siltstone.staging import staged
 
 CHILD_SITEMAPS = 10_000  # fetches of one run, a politeness bound of the feature
@@ -127,8 +127,5 @@ def cached_runs(runs: DataFrame, fingerprints: DataFrame, now: Column) -> DataFr
 
 
 def slots(requests: DataFrame, host_col: str, order_col: str, min_delay: Column) -> DataFrame:
-    """Adds ``slot_seconds``: when each request of a host may go, counted from the first, one delay apart."""
-    from pyspark.sql import Window
-
-    w = Window.partitionBy(host_col).orderBy(order_col)
-    return requests.withColumn("slot_seconds", (F.row_number().over(w) - 1) * min_delay)
+    """Adds ``slot_seconds``: when each request of a host may go, counted from the first, one delay apart; see ``hosts`` for delays that differ and suspensions."""
+    return scans.numbered(requests, [host_col], [order_col], "__n", "slots").withColumn("slot_seconds", (F.col("__n") - 1) * min_delay).drop("__n")

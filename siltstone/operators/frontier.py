@@ -29,8 +29,11 @@ def walk_sites(links: DataFrame, seeds: DataFrame, limits: DataFrame | None = No
     own = ["site_name"] if "site_name" in links.columns else []
     edges = staged(links.filter("src is not null and dst is not null").groupBy(*own, "src", "dst").agg(F.min("pos").alias("pos")), "links")
     node_type = dict(seeds.dtypes)["node"]
-    seen = Growing(spark, f"site_name string, node {node_type}, depth int, place long", "seen")
-    cut = Growing(spark, "site_name string", "cut")
+    found = Growing(spark, f"site_name string, node {node_type}, depth int, place long, kept boolean", "seen")
+
+    def seen() -> DataFrame:
+        return found.read().filter("kept").drop("kept")
+
     bound = limits.select("site_name", F.col("budget").cast("long").alias("budget"), F.col("max_depth").cast("int").alias("max_depth")) if limits is not None else None
     fresh = seeds.filter("node is not null").select("site_name", "node", F.lit(0).cast("long").alias("before"), F.col("pos").cast("long").alias("pos"))
     ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -38,20 +41,19 @@ def walk_sites(links: DataFrame, seeds: DataFrame, limits: DataFrame | None = No
         fresh = fresh if admit is None or not depth else admit(fresh)
         fresh = fresh.groupBy("site_name", "node").agg(F.min(F.struct("before", "pos")).alias("at"))
         if depth:
-            fresh = fresh.join(seen.read(), ["site_name", "node"], "left_anti")
+            fresh = fresh.join(seen(), ["site_name", "node"], "left_anti")
         order = ["before", "pos", "node"]
         fresh = fresh.select("site_name", "node", "at.*")
         if bound is None:
             level = fresh.repartitionByRange(ranges, "site_name", *order).sortWithinPartitions("site_name", *order).withColumn("place", F.monotonically_increasing_id())
         else:
             level = scans.numbered(fresh, ["site_name"], order, "place", "level")
-            used = seen.read().groupBy("site_name").agg(F.count("*").alias("used"))
+            used = seen().groupBy("site_name").agg(F.count("*").alias("used"))
             rest = bound.join(used, "site_name", "left").select("site_name", (F.col("budget") - F.coalesce("used", F.lit(0))).alias("rest"), "max_depth")
-            level = staged(level.join(rest, "site_name", "left").filter(F.col("max_depth").isNull() | (F.col("max_depth") >= depth)), "within")
-            cut.add(level.filter("place > rest").select("site_name").distinct())
-            level = level.filter("rest is null or place <= rest")
-        level = seen.add(level.select("site_name", "node", F.lit(depth).alias("depth"), F.col("place").cast("long").alias("place")))
+            level = level.join(rest, "site_name", "left").filter(F.col("max_depth").isNull() | (F.col("max_depth") >= depth))
+        kept = F.lit(True) if bound is None else F.coalesce(F.col("place") <= F.col("rest"), F.lit(True))
+        level = found.add(level.select("site_name", "node", F.lit(depth).alias("depth"), F.col("place").cast("long").alias("place"), kept.alias("kept"))).filter("kept")
         if depth == max_depth or level.isEmpty():
-            return seen.read(), cut.read().distinct()
+            return seen(), found.read().filter("not kept").select("site_name").distinct()
         ahead = level.select("site_name", F.col("node").alias("src"), F.col("place").alias("before"))
         fresh = ahead.join(edges, [*own, "src"]).select("site_name", F.col("dst").alias("node"), "before", "pos")

@@ -27,6 +27,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def load() -> tuple[dict, dict]:
-    from siltstone.plans import chat, discovery, lifecycle, retrieval  # noqa: F401  they register themselves
+    from siltstone.plans import chat, discovery, lifecycle, retrieval, sites  # noqa: F401  they register themselves
 
     return QUERIES, SQL

@@ -252,64 +252,58 @@ def sitemap_bfs(spark, sf_dir):
     return discovery.walk(links(spark, sf_dir), spark.range(1).select(F.col("id").alias("node")), 6)
 
 
-@query("""WITH p AS (SELECT url, page_id // 40 AS c, CASE WHEN page_id % 4 = 0 THEN 2 ELSE 1 END AS n FROM pages), g AS (SELECT * FROM p WHERE c % 5 <> 3)
-SELECT 'whole' AS run, true AS complete, count(DISTINCT c) AS children, CAST(sum(n) AS BIGINT) AS discovered, count(DISTINCT url) AS urls FROM g
-UNION ALL SELECT 'broken', false, count(DISTINCT c), CAST(sum(n) AS BIGINT), count(DISTINCT url) FROM g
-UNION ALL SELECT 'foreign', false, count(DISTINCT c), CAST(sum(n) AS BIGINT), count(DISTINCT url) FROM g
-UNION ALL SELECT 'capped', false, 1, CAST(sum(n) AS BIGINT), count(DISTINCT url) FROM g WHERE c = 0
-UNION ALL SELECT 'none', false, 0, 0, 0""")
+@query("""WITH p AS (SELECT url, page_id // 40 AS c, page_id % 300 AS day, CASE WHEN page_id % 4 = 0 THEN 2 ELSE 1 END AS n FROM pages),
+o AS (SELECT url, c, n, day, 1 AS own FROM p UNION ALL SELECT url, c + 1, 1, 400, 0 FROM p WHERE c % 2 = 0), g AS (SELECT * FROM o WHERE c % 5 <> 3),
+u AS (SELECT url, arg_max(day, -c) AS day FROM g GROUP BY url), w AS (SELECT count(DISTINCT c) AS children, CAST(sum(n) AS BIGINT) AS discovered, count(DISTINCT url) AS urls FROM g),
+d AS (SELECT CAST(sum(day) AS BIGINT) AS days FROM u), x AS (SELECT * FROM g WHERE c = (SELECT max(c) FROM g))
+SELECT run, run = 'whole' AS complete, children, discovered, urls, days FROM w, d, (VALUES ('whole'), ('broken'), ('foreign')) AS r(run)
+UNION ALL SELECT 'capped', false, 1, CAST(sum(n) AS BIGINT), count(DISTINCT url), (SELECT CAST(sum(day) AS BIGINT) FROM (SELECT url, any_value(day) AS day FROM x GROUP BY url)) FROM x
+UNION ALL SELECT 'none', false, 0, 0, 0, 0""")
 def sitemap_run(spark, sf_dir):
-    """Whole walks over sitemaps of 40 pages each: as they should be, with a child that fails, with one on another host, cut by the cap, and without any sitemap."""
-    from siltstone.config import Site
+    """Whole walks over sitemaps of 40 pages each, listed from the last to the first: as they should be, with a child that fails, with one on another host, cut by the cap, and without any sitemap.
+
+    Half of the pages are in two children; ``days`` sums up the lastmods, which the child that is read last gives.  The
+    five runs are five sites of one walk, but for the cap, which is a setting of a walk.
+    """
+    from siltstone.config import Registry, Site
     from siltstone.plans import pipelines
 
     home = "https://maps.example"
-    child = F.format_string(home + "/c%06d.xml", F.floor(F.col("page_id") / 40))
-    loc = F.concat(F.lit("<url><loc>"), F.replace(F.col("url"), F.lit("&"), F.lit("&amp;")), F.lit("</loc></url>"))
-    p = table(spark, sf_dir, "pages").select(child.alias("child"), (F.floor(F.col("page_id") / 40) % 5 == 3).alias("bad"), F.when(F.col("page_id") % 4 == 0, F.concat(loc, loc)).otherwise(loc).alias("loc"))
-    maps = p.groupBy("child", "bad").agg(F.concat(F.lit("<urlset>"), F.array_join(F.collect_list("loc"), ""), F.lit("</urlset>")).alias("body"))
+    day = F.col("page_id") % 300
+    p = table(spark, sf_dir, "pages").select("page_id", "url", F.floor(F.col("page_id") / 40).alias("c"))
+
+    def entry(days):
+        return F.concat(F.lit("<url><loc>"), F.replace(F.col("url"), F.lit("&"), F.lit("&amp;")), F.lit("</loc><lastmod>"), F.date_format(F.date_add(F.lit("2026-01-01").cast("date"), days.cast("int")), "yyyy-MM-dd"), F.lit("</lastmod></url>"))
+
+    loc = entry(day)
+    occurs = p.select("c", "page_id", F.when(F.col("page_id") % 4 == 0, F.concat(loc, loc)).otherwise(loc).alias("e"))
+    occurs = occurs.unionByName(p.filter("c % 2 = 0").select((F.col("c") + 1).alias("c"), "page_id", entry(F.lit(400)).alias("e")))
+
+    def joined(order, what):
+        return F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(order.alias("o"), what.alias("w")))), lambda x: x["w"]), "")
+
+    child = F.concat(F.lit(home + "/c"), F.col("c").cast("string"), F.lit(".xml"))
+    maps = occurs.groupBy("c").agg(F.concat(F.lit("<urlset>"), joined(F.col("page_id"), F.col("e")), F.lit("</urlset>")).alias("body")).select("c", child.alias("child"), (F.col("c") % 5 == 3).alias("bad"), "body")
     sheets = maps.select(F.col("child").alias("url"), F.when(F.col("bad"), 500).otherwise(200).alias("status"), "body", F.lit(False).alias("error"))
 
     def index(name: str, rows: DataFrame, more: str = "") -> DataFrame:
-        entry = F.concat(F.lit("<sitemap><loc>"), "child", F.lit("</loc></sitemap>"))
-        body = F.concat(F.lit("<sitemapindex>"), F.array_join(F.collect_list(F.concat(entry, entry)), ""), F.lit(more + "</sitemapindex>"))
+        link = F.concat(F.lit("<sitemap><loc>"), "child", F.lit("</loc></sitemap>"))
+        body = F.concat(F.lit("<sitemapindex>"), joined(-F.col("c"), F.concat(link, link)), F.lit(more + "</sitemapindex>"))
         return rows.groupBy().agg(body.alias("body")).select(F.lit(f"{home}/{name}.xml").alias("url"), F.lit(200).alias("status"), "body", F.lit(False).alias("error"))
 
     good = maps.filter("not bad")
     responses = sheets.unionByName(index("whole", good)).unionByName(index("broken", maps, f"<sitemap><loc>{home}/missing.xml</loc></sitemap>")).unionByName(index("foreign", good, "<sitemap><loc>http://127.0.0.1/x.xml</loc></sitemap>"))
-    rows = []
-    for run in ("whole", "broken", "foreign", "capped", "none"):
-        seeds = {"capped": (f"{home}/whole.xml",), "none": ()}.get(run, (f"{home}/{run}.xml",))
-        walked = pipelines.walk_sitemaps(responses, Site("s", home, sitemap_urls=seeds), *((1,) if run == "capped" else ()))
-        n = walked.urls.agg(F.sum("n"), F.count("*")).first()
-        rows.append((run, walked.complete, walked.child_sitemaps, n[0] or 0, n[1]))
-    return spark.createDataFrame(rows, "run string, complete boolean, children long, discovered long, urls long")
-
-
-_GAP_SQL = """WITH RECURSIVE l AS (SELECT url AS src, lead(url) OVER (ORDER BY page_id) AS dst FROM pages UNION ALL SELECT url, lead(url, 3) OVER (ORDER BY page_id) FROM pages),
-f AS (SELECT src, dst FROM l WHERE dst LIKE '%.example.net%' OR dst LIKE '%.example.com%'),
-r(node, depth) AS (SELECT (SELECT url FROM pages WHERE page_id = 0), 0 UNION SELECT f.dst, r.depth + 1 FROM r JOIN f ON f.src = r.node WHERE r.depth < 8)
-SELECT node, min(depth) AS depth FROM r GROUP BY node"""
-
-
-@query(_GAP_SQL)
-def gap_crawl_bfs(spark, sf_dir):
-    """Links between pages three apart by id, followed within two domain endings, without a page budget."""
-    p = table(spark, sf_dir, "pages").select("page_id", "url")
-    edges = None
-    for step in (1, 3):
-        to = p.select((F.col("page_id") - step).alias("page_id"), F.col("url").alias("dst"))
-        one = p.join(to, "page_id").select(F.col("url").alias("src"), "dst")
-        edges = one if edges is None else edges.unionByName(one)
-    seed = p.filter("page_id = 0").select(F.col("url").alias("node"))
-    return discovery.walk(edges.filter(F.col("dst").rlike(r"\.example\.(?:net|com)")), seed, 8)
-
-
-@query("SELECT page_id, CAST(page_id % 7 AS DOUBLE) AS crawl_delay, split_part(url, '#', 1) AS sitemaps, false AS private_allowed FROM pages")
-def robots_parse(spark, sf_dir):
-    bodies = table(spark, sf_dir, "pages").select("page_id", F.concat(F.lit("User-agent: *\nCrawl-delay: "), (F.col("page_id") % 7).cast("string"), F.lit("\nDisallow: /private\nSitemap: "), F.col("url")).alias("body"), F.lit("bot").alias("agent"))
-    rules = bodies.withColumn("r", discovery.parse_robots("body", "agent"))
-    return rules.select("page_id", F.col("r.crawl_delay").alias("crawl_delay"), F.array_join("r.sitemap_urls", ",").alias("sitemaps"), discovery.robots_allows("body", "agent", F.lit("https://example.org/private/x")).alias("private_allowed"))
+
+    def sites(**seeds: str) -> DataFrame:
+        return Registry([Site(run, home, sitemap_urls=(f"{home}/{at}.xml",) if at else ()) for run, at in seeds.items()]).table(spark).withColumn("sitemaps", F.col("sitemap_urls"))
+
+    def counted(found: DataFrame, runs: DataFrame) -> DataFrame:
+        days = F.datediff(F.col("lastmod").cast("date"), F.lit("2026-01-01").cast("date"))
+        n = found.groupBy("site_name").agg(F.sum("n").alias("discovered"), F.count("*").alias("urls"), F.sum(days).alias("days"))
+        return runs.join(n, "site_name", "left").select(F.col("site_name").alias("run"), "complete", F.col("child_sitemaps").alias("children"), *[F.coalesce(x, F.lit(0)).alias(x) for x in ("discovered", "urls", "days")])
+
+    whole = counted(*pipelines.walk_site_sitemaps(responses, sites(whole="whole", broken="broken", foreign="foreign", none=""))[:2])
+    return whole.unionByName(counted(*pipelines.walk_site_sitemaps(responses, sites(capped="whole"), 1)[:2]))
 
 
 @query("SELECT event_id, CASE WHEN event_id % 3 = 0 THEN 1.0 ELSE greatest(1.0, value) END AS min_delay, CASE WHEN event_id % 3 = 0 THEN 3.0 ELSE greatest(3.0, greatest(1.0, value)) END AS max_delay FROM events")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from siltstone.config import Registry, Site
 from siltstone.functions import schedule, urls
-from siltstone.operators import chunks, discovery, extract, frontier, manifest, render, robots, scans, vectors
+from siltstone.operators import discovery, extract, frontier, ingestion, manifest, render, robots, scans, vectors
 from siltstone.operators import sites as site_settings
 from siltstone.sources import markdown
 from siltstone.sources.snapshots import Snapshots
@@ -198,17 +198,47 @@ def rendered_pages(pages: DataFrame, site: Site | None = None) -> DataFrame:
 
 
 def ingest(spark: SparkSession, root: str, collection: Snapshots | None = None, site: str | None = None, embedder=None, size: int = 1000, overlap: int = 200, delete_stale: bool = False) -> DataFrame:
-    """Chunks of all Markdown files below ``root`` with ids, metadata and vectors, merged into ``collection`` if one is given; see ``markdown.rejected`` for files without content."""
-    files = markdown.read(spark, root, site)
-    m = chunks.metadata(F.col("path"), F.col("metadata")["source_url"], F.col("url"))
-    rows = chunks.chunk(files.select("path", "content", F.col("metadata")["title"].alias("title"), m.alias("m")), size=size, overlap=overlap)
-    rows = rows.select(chunks.chunk_id(F.col("path"), F.col("chunk_index")).alias("chunk_id"), "page_content", "m.*", "title", "chunk_index", "total_chunks")
-    out = staged(vectors.embed(rows, embedder=embedder), "chunks")
+    """Chunks of all Markdown files below ``root`` with ids, metadata and vectors, merged into ``collection`` if one is given; see ``markdown.rejected`` for files without content.
+
+    ``head`` holds every field of a file's head; the columns beside it are those that retrieval reads.
+    """
+    out = staged(vectors.embed(ingestion.chunked(markdown.read(spark, root, site), size, overlap), embedder=embedder), "chunks")
     if collection is not None:
         collection.update(lambda held: vectors.upsert(held, out, delete_stale="source_path" if delete_stale else None))
     return out
 
 
+def ingest_changes(files: DataFrame, collection: Snapshots, ledger: Snapshots, now: Column, within: Column | None = None, embedder=None, model: str = "hashing-384", size: int = 1000, overlap: int = 200) -> DataFrame:
+    """Take in what has changed since the last run: ``path, change, chunks`` for every file.
+
+    ``files``: path, raw.  The ledger holds each file's hash and the version of splitter and model that its chunks come
+    from; it is joined before anything is parsed, so an unchanged file costs its hash and nothing else.  Chunks of
+    changed and vanished files leave ``collection`` (schema ``ingestion.CHUNKS``) in the version in which new ones
+    come; vanished files keep a ledger row with the time.  ``within`` says for a ledger row whether this run's files
+    speak for it, where they are part of a tree.  A file without content has a ledger row and no chunks.
+
+    The ledger is written last: a run that dies is run again as a whole, and gives the same.
+    """
+    version = ingestion.version_of(size, overlap, model)
+    hashed = files.select("path", F.sha2("raw", 256).alias("content_hash"))
+    held = ledger.read()
+    plan = staged(ingestion.changes(hashed, held if within is None else held.filter(within), version), "changes")
+    fresh = plan.filter(F.col("change").isin("added", "changed"))
+    rows = ingestion.chunked(ingestion.parsed(files.join(fresh.select("path"), "path", "left_semi")), size, overlap)
+    rows = staged(vectors.embed(rows, embedder=embedder), "chunks")
+    old = plan.filter("change <> 'unchanged'").select(F.col("path").alias("source_path"))
+    collection.update(lambda had: had.join(old, "source_path", "left_anti").unionByName(rows.select(*had.columns)))
+    counts = staged(rows.groupBy(F.col("source_path").alias("path")).agg(F.count("*").alias("chunks")), "counts")
+    ledger.update(lambda had: ingestion.recorded(had, plan, counts, version, now))
+    return plan.join(ledger.read().select("path", "chunks"), "path", "left").select("path", "change", "chunks")
+
+
+def ingest_tree(spark: SparkSession, root: str, collection: Snapshots, ledger: Snapshots, now: Column, site: str | None = None, **options) -> DataFrame:
+    """``ingest_changes`` of the Markdown files below ``root``, or of one site's folder, whose absence then says nothing about other sites."""
+    within = None if site is None else F.coalesce(markdown.site_of(F.col("path"), root) == site, F.lit(False))
+    return ingest_changes(markdown.raw_files(spark, root, site), collection, ledger, now, within, **options)
+
+
 def record_metrics(metrics: Snapshots, snapshots: Snapshots, run_id: str, site: Site, phase: str, state: str, now: Column, counts: DataFrame | None = None) -> int:
     """Write a run's counts under its ``run_id``, tied to the manifest version they come from, and give that version.
 

@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from siltstone.functions import text
-from siltstone.operators import chunks, rag, vectors
+from siltstone.operators import chunks, ingestion, rag, vectors
+from siltstone.plans import pipelines
 from siltstone.plans.catalog import query, table
+from siltstone.sources.snapshots import Snapshots
+from siltstone.staging import shared_root
 
 
 @query()
@@ -146,3 +152,27 @@ def answer_events(spark, sf_dir):
     c = chunks.chunk(d).select((F.shiftleft("doc_id", 26) + F.col("chunk_index")).alias("id"), "page_content", F.concat(F.lit("https://example.org/"), F.col("doc_id").cast("string")).alias("source_url"), F.lit(None).cast("string").alias("url"), F.lit(None).cast("string").alias("citation_url"), F.lit(None).cast("string").alias("title"))
     q = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("message"), F.lit("auto").alias("preferred"))
     return rag.events(rag.answer(q, vectors.embed(c), base_prompt="Answer from the reference data."))
+
+
+@query(
+    """WITH d AS (SELECT doc_id, 'file:///data/' || source || '/' || doc_id || '.md' AS path, text, doc_id % 5 <> 4 AS first, doc_id % 7 <> 0 AS later, doc_id % 3 = 0 AS edited FROM documents)
+SELECT path, CASE WHEN first AND NOT later THEN 'dropped' WHEN NOT first THEN 'added' WHEN edited THEN 'changed' ELSE 'unchanged' END AS change,
+ later AS held, CASE WHEN later THEN sha256(CASE WHEN edited OR NOT first THEN 'second ' || text ELSE text END) ELSE sha256(text) END AS content_hash, NOT later AS deleted FROM d WHERE first OR later"""
+)
+def ingest_delta(spark, sf_dir):
+    """Two runs over documents as files: what the second finds added, changed, dropped and unchanged, and what collection and ledger hold then."""
+    root = f"{shared_root(spark).rstrip('/')}/siltstone-ingest-{uuid.uuid4().hex}"
+    held, ledger = (Snapshots(spark, f"{root}/{name}", T.StructType.fromDDL(ddl)) for name, ddl in (("chunks", ingestion.CHUNKS), ("ledger", ingestion.LEDGER)))
+    i = F.col("doc_id")
+    d = table(spark, sf_dir, "documents").select("doc_id", "text", F.concat(F.lit("file:///data/"), "source", F.lit("/"), i.cast("string"), F.lit(".md")).alias("path"))
+    small = vectors.hashing_embedder(8)
+
+    def run(files, day):
+        return pipelines.ingest_changes(files, held, ledger, F.lit(f"2026-08-{day} 00:00:00").cast("timestamp"), embedder=small, model="hashing-8")
+
+    run(d.filter(i % 5 != 4).select("path", F.col("text").alias("raw")), "01")
+    edited = (i % 3 == 0) | (i % 5 == 4)
+    second = run(d.filter(i % 7 != 0).select("path", F.when(edited, F.concat(F.lit("second "), "text")).otherwise(F.col("text")).alias("raw")), "02")
+    kept = held.read().select(F.col("source_path").alias("path")).distinct().withColumn("held", F.lit(True))
+    rows = ledger.read().select("path", "content_hash", F.col("deleted_at").isNotNull().alias("deleted"))
+    return second.select("path", "change").join(kept, "path", "left").join(rows, "path", "left").select("path", "change", F.coalesce("held", F.lit(False)).alias("held"), "content_hash", "deleted")

@@ -73,12 +73,15 @@ def rejected(spark: SparkSession, root: str, site: str | None = None) -> DataFra
     return _files(spark, root, site).filter("content = ''").select("path")
 
 
-def _files(spark: SparkSession, root: str, site: str | None) -> DataFrame:
+def raw_files(spark: SparkSession, root: str, site: str | None = None) -> DataFrame:
+    """``path, raw`` of all Markdown files below ``root``, or of one site's folder."""
     raw = spark.read.format("text").option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.md").load(root)
     df = raw.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("raw"))
-    if site is not None:
-        df = df.filter(site_of(F.col("path"), root) == site)
-    return with_url(df.select("path", parse(F.col("raw")).alias("p")).select("path", "p.*"))
+    return df if site is None else df.filter(site_of(F.col("path"), root) == site)
+
+
+def _files(spark: SparkSession, root: str, site: str | None) -> DataFrame:
+    return with_url(raw_files(spark, root, site).select("path", parse(F.col("raw")).alias("p")).select("path", "p.*"))
 
 
 def quoted(value: Column) -> Column:
