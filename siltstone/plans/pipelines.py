@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from siltstone.config import Registry, Site
 from siltstone.functions import schedule, urls
-from siltstone.operators import discovery, extract, frontier, ingestion, manifest, render, robots, scans, vectors
+from siltstone.operators import discovery, extract, frontier, ingestion, manifest, render, robots, scans, trust, vectors
+from siltstone.operators import presence as page_presence
 from siltstone.operators import sites as site_settings
 from siltstone.sources import markdown
 from siltstone.sources.snapshots import Snapshots
@@ -75,7 +76,7 @@ def walk_sitemaps(responses: DataFrame, site: Site, max_children: int = discover
     return Discovered(found.drop("site_name"), run.complete, run.child_sitemaps)
 
 
-def discover_sites(spark: SparkSession, registry: Registry, snapshots: Snapshots, runs: Snapshots, responses: DataFrame | None, now: Column, links: DataFrame | None = None, pages: DataFrame | None = None) -> DataFrame:
+def discover_sites(spark: SparkSession, registry: Registry, snapshots: Snapshots, runs: Snapshots, responses: DataFrame | None, now: Column, links: DataFrame | None = None, pages: DataFrame | None = None, presence: Snapshots | None = None) -> DataFrame:
     """One discovery run over all sites; returns their counts as ``site_name, metric, n`` (see ``discovery.summary``), with ``complete``, ``cached``, and the delays that their requests keep.
 
     Settings are a table, so there is one walk over sitemaps, one over links and one merge, however many sites there
@@ -84,7 +85,8 @@ def discover_sites(spark: SparkSession, registry: Registry, snapshots: Snapshots
     again within the site's time limit.  Where a site names no sitemaps, those of its robots rules are read.  Each
     occurrence of a URL counts; the last one gives its lastmod.  A gap crawl takes links, and what fetching pages gave.
 
-    Without ``responses`` robots rules aren't looked at, and sites with sitemaps come out incomplete.
+    Without ``responses`` robots rules aren't looked at, and sites with sitemaps come out incomplete.  With ``presence``
+    (schema ``presence.PRESENCE``) the run is remembered for each page, and counts have an ``inactive_candidate`` too.
     """
     for site in registry.sites.values():
         site.require_discovery()
@@ -125,6 +127,11 @@ def discover_sites(spark: SparkSession, registry: Registry, snapshots: Snapshots
     again = discovery.summary(snapshots.read().join(cached, "site_name", "left_semi"), ["site_name"])
     counts = discovery.summary(scored, ["site_name"], weight="n").unionByName(again)
     none = sites.select("site_name", F.explode(F.array(F.lit("discovered"), F.lit("eligible"))).alias("metric"), F.lit(0).cast("long").alias("n"))
+    if presence is not None:
+        ran = staged(todo.select("site_name").join(done, "site_name", "left").withColumn("complete", F.coalesce("complete", F.lit(False))), "ran")
+        presence.update(lambda held: page_presence.updated(held, scored, ran, now))
+        idle = page_presence.states(presence.read(), sites).filter("state = 'inactive_candidate'")
+        counts = counts.unionByName(idle.groupBy("site_name", F.col("state").alias("metric")).agg(F.count("*").alias("n")))
     counts = counts.unionByName(none).groupBy("site_name", "metric").agg(F.sum("n").alias("n"))
     state = sites.select("site_name", "min_delay", "max_delay").join(todo.select("site_name", F.col("delay.min_delay").alias("low"), F.col("delay.max_delay").alias("high")), "site_name", "left").join(done, "site_name", "left").join(cached.withColumn("cached", F.lit(True)), "site_name", "left")
     state = state.select("site_name", F.coalesce("complete", "cached", F.lit(False)).alias("complete"), F.coalesce("cached", F.lit(False)).alias("cached"), F.coalesce("low", "min_delay").alias("min_delay"), F.coalesce("high", "max_delay").alias("max_delay"))
@@ -148,9 +155,13 @@ def _table(spark: SparkSession, sites: Site | Registry | DataFrame) -> DataFrame
     return sites.table(spark) if isinstance(sites, Registry) else sites
 
 
-def plan_render(held: DataFrame, sites: Site | Registry | DataFrame, now: Column, max_urls: int = 5000, force: bool = False) -> DataFrame:
-    """Records of the sites that are due by each site's own settings, in URL order: of each site the first ``max_urls``, with their ``rank``."""
+def plan_render(held: DataFrame, sites: Site | Registry | DataFrame, now: Column, max_urls: int = 5000, force: bool = False, measured: DataFrame | None = None) -> DataFrame:
+    """Records of the sites that are due by each site's own settings, in URL order: of each site the first ``max_urls``, with their ``rank``.
+
+    With ``measured`` (rows of ``trust.RESULTS``) a site's lastmod counts only where its last measurement bears it out.
+    """
     own = _table(held.sparkSession, sites).select("site_name", "trust_lastmod", "audit_days")
+    own = own if measured is None else trust.earned(own, measured)
     eligible = held.filter("scope_status = 'eligible'").join(own, "site_name")
     decided = render.with_decision(eligible, now, F.col("trust_lastmod"), F.col("audit_days"), force).drop("trust_lastmod", "audit_days")
     return scans.numbered(decided.filter("decision is not null"), ["site_name"], ["canonical_url"], "rank", "due").filter(F.col("rank") <= max_urls)
@@ -170,6 +181,21 @@ def apply_render(snapshots: Snapshots, due: DataFrame, results: DataFrame, sites
     return rows
 
 
+def observe(snapshots: Snapshots, log: Snapshots, now: Column) -> int:
+    """Add what the last manifest says of each rendered page to the log (schema ``trust.OBSERVATIONS``); a page observed at the same time before isn't added again."""
+    rows = staged(trust.observe(snapshots.read(), now), "observed")
+    key = ["site_name", "canonical_url", "observed_at"]
+    return log.update(lambda held: held.unionByName(rows.join(held.select(*key), key, "left_anti")))
+
+
+def measure_trust(log: Snapshots, results: Snapshots, sites: Site | Registry | DataFrame, starts_at: Column, ends_at: Column, now: Column) -> DataFrame:
+    """Measure all sites over one window, record that, and give the rows (schema ``trust.RESULTS``)."""
+    own = _table(log.spark, sites).select("site_name", starts_at.alias("starts_at"), ends_at.alias("ends_at"), F.col("cache_ttl_hours").alias("ttl_hours"), "audit_days")
+    rows = staged(trust.measure(log.read(), own, now), "trust")
+    results.update(lambda held: held.unionByName(rows))
+    return rows
+
+
 def documents(rows: DataFrame, now: Column) -> DataFrame:
     """``site_name, file_name, rendered, old_names`` of the pages that outcome rows save; ``old_names`` where some moved there."""
     good = rows.filter(F.col("outcome").isin("saved", "rekeyed"))

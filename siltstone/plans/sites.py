@@ -4,19 +4,19 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from siltstone.config import GapCrawl, Registry, Site
 from siltstone.functions import urls
-from siltstone.operators import discovery, hosts, manifest, robots
+from siltstone.operators import discovery, hosts, manifest, presence, robots, trust
 from siltstone.operators import sites as site_settings
 from siltstone.plans import lifecycle, pipelines
 from siltstone.plans.catalog import query, table
 from siltstone.plans.discovery import _PARTS, _VARIANTS_SQL, DOMAINS, variants
 from siltstone.sources.snapshots import Snapshots
-from siltstone.staging import shared_root
+from siltstone.staging import shared_root, staged
 
 NOW = "2026-08-05 00:00:00"
 
@@ -230,3 +230,72 @@ def gap_crawl_bfs(spark, sf_dir):
     own = p.groupBy("site_name").agg(F.collect_set(urls.host(F.col("url"))).alias("allowed_domains"), F.transform(F.sort_array(F.collect_list(F.when(F.col("page_id") < 12, F.struct("page_id", "url"))), asc=False), lambda x: x["url"]).alias("gap_seeds"))
     bounds = Registry([Site(e, f"https://{e}.example", gap_crawl=GapCrawl(True, (), depth, pages)) for e, depth, pages in (("com", 8, 40), ("net", 3, 1000), ("org", 8, 10))]).table(spark)
     return discovery.gap_crawl(links, own.join(bounds.drop("allowed_domains", "gap_seeds"), "site_name")).select("site_name", "node", "depth")
+
+
+# Observations of pages (users) of five sites over two windows: lastmod goes up with every third event, content with the
+# same events on site0 and site3, with others too on site1, with fewer on site2, and in part on site4.
+WATCHED = Registry([Site(f"site{i}", f"https://w{i}.example", trust_lastmod=True, audit_days=a) for i, a in enumerate((7, 7, 7, 30, 7))])
+_SEEN_SQL = """
+ev AS (SELECT event_id, user_id, user_id % 5 AS s, ts, event_id % 3 = 0 AS m, CASE user_id % 5 WHEN 1 THEN event_id % 3 = 0 OR event_id % 7 = 0 WHEN 2 THEN event_id % 6 = 0 WHEN 4 THEN event_id % 3 = 0 AND event_id % 61 <> 0 ELSE event_id % 3 = 0 END AS c FROM events),
+lg AS (SELECT 'site' || s AS site_name, 'https://example.org/' || user_id AS url, ts, event_id, sum(m::INT) OVER w AS lm, sum(c::INT) OVER w AS ch FROM ev WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+sm AS (SELECT site_name, url FROM (SELECT site_name, url, row_number() OVER (PARTITION BY site_name ORDER BY sha256(site_name || ' ' || url)) AS r FROM (SELECT DISTINCT site_name, url FROM lg)) WHERE r <= 50),
+pr AS (SELECT site_name, url, ts, lm <> lag(lm) OVER w AS m, ch <> lag(ch) OVER w AS c FROM lg JOIN sm USING (site_name, url) WINDOW w AS (PARTITION BY site_name, url ORDER BY ts, event_id)),
+wn AS (SELECT 'site' || i AS site_name, a, b, CASE i WHEN 3 THEN 30 ELSE 7 END AS days FROM range(5) AS t(i), (VALUES (TIMESTAMP '2024-01-01', TIMESTAMP '2024-01-16'), (TIMESTAMP '2024-01-16', TIMESTAMP '2024-02-15')) AS v(a, b)),
+pg AS (SELECT wn.site_name, a, b, days, url, bool_or(coalesce(m, false)) AS m, bool_or(coalesce(c, false)) AS c, bool_and(NOT coalesce(m, false) OR coalesce(c, false)) AS f, bool_and(NOT coalesce(c, false) OR coalesce(m, false)) AS k FROM wn JOIN pr ON pr.site_name = wn.site_name AND ts >= a AND ts < b GROUP BY ALL),
+ct AS (SELECT wn.site_name, wn.a, wn.b, count(url) AS sampled, count(*) FILTER (m) AS lastmod_changed, count(*) FILTER (m AND f) AS with_content, count(*) FILTER (c) AS content_changed, count(*) FILTER (c AND k) AS with_lastmod, epoch(wn.b) - epoch(wn.a) >= 86400 * (1 + any_value(wn.days)) AS long_enough FROM wn LEFT JOIN pg ON pg.site_name = wn.site_name AND pg.a = wn.a GROUP BY 1, 2, 3),
+tr AS (SELECT *, long_enough AND lastmod_changed >= 10 AND 10 * with_content >= 9 * lastmod_changed AND 10 * with_lastmod >= 9 * content_changed AS trusted FROM ct)
+"""
+
+
+def observations(spark, sf_dir) -> DataFrame:
+    i, s = F.col("event_id"), F.col("user_id") % 5
+    m = i % 3 == 0
+    c = F.when(s == 1, m | (i % 7 == 0)).when(s == 2, i % 6 == 0).when(s == 4, m & (i % 61 != 0)).otherwise(m)
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    e = table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp")).withColumn("lm", F.count_if(m).over(w)).withColumn("ch", F.count_if(c).over(w))
+    return e.select(F.concat(F.lit("site"), s.cast("string")).alias("site_name"), F.concat(F.lit("https://example.org/"), F.col("user_id").cast("string")).alias("canonical_url"), F.col("ts").alias("observed_at"), F.timestamp_seconds(F.col("lm") * 86400).alias("lastmod"), F.sha2(F.col("ch").cast("string"), 256).alias("content_hash"))
+
+
+def trust_results(spark, sf_dir) -> DataFrame:
+    days = ("2024-01-01", "2024-01-16", "2024-02-15")
+    spans = F.explode(F.array(*[F.struct(F.lit(a).cast("timestamp").alias("starts_at"), F.lit(b).cast("timestamp").alias("ends_at")) for a, b in zip(days, days[1:], strict=False)]))
+    windows = WATCHED.table(spark).select("site_name", F.col("cache_ttl_hours").alias("ttl_hours"), "audit_days", spans.alias("w")).select("site_name", "ttl_hours", "audit_days", "w.*")
+    return trust.measure(observations(spark, sf_dir), windows, lifecycle.now())
+
+
+@query(f"WITH {_SEEN_SQL} SELECT site_name, CAST(epoch(a) AS BIGINT) AS starts_at, sampled, lastmod_changed, with_content, content_changed, with_lastmod, long_enough, trusted FROM tr")
+def trust_windows(spark, sf_dir):
+    """Whether each site's lastmod has earned trust in each of two windows."""
+    return trust_results(spark, sf_dir).select("site_name", F.unix_timestamp("starts_at").alias("starts_at"), "sampled", "lastmod_changed", "with_content", "content_changed", "with_lastmod", "long_enough", "trusted")
+
+
+@query(
+    f"WITH {_SEEN_SQL}, {lifecycle._STATE_SQL}"
+    + """, tt AS (SELECT site_name, arg_max(trusted, b) AS trusted FROM tr GROUP BY 1),
+r AS (SELECT mf.*, CASE WHEN retry_after > TIMESTAMP '2024-02-15' THEN NULL WHEN retry_count > 5 AND last_rendered_at IS NULL THEN NULL WHEN last_rendered_at IS NULL THEN 'initial_backfill' WHEN trusted AND sitemap_lastmod > last_rendered_at THEN 'lastmod_changed'
+ WHEN extractor_version IS DISTINCT FROM '2' THEN 'extractor_version_stale' WHEN TIMESTAMP '2024-02-15' >= coalesce(last_attempt_at, last_rendered_at) + to_days(CASE site_name WHEN 'site3' THEN 30 ELSE 7 END) THEN 'scheduled_audit' END AS reason FROM mf JOIN tt USING (site_name) WHERE scope_status = 'eligible')
+SELECT site_name, canonical_url, reason FROM r WHERE reason IS NOT NULL"""
+)
+def due_by_trust(spark, sf_dir):
+    """What is due where lastmod counts only on sites whose last measurement bears it out."""
+    due = pipelines.plan_render(lifecycle.state(spark, sf_dir), WATCHED, lifecycle.now(), 1 << 30, measured=trust_results(spark, sf_dir))
+    return due.select("site_name", "canonical_url", F.col("decision.reason").alias("reason"))
+
+
+@query(
+    """WITH f AS (SELECT page_id, page_id % 3 AS s, [(page_id * 7 + r * 3) % 5 < 3 - page_id % 2 FOR r IN range(4)] AS b FROM pages),
+m AS (SELECT page_id, s, CASE WHEN s = 1 THEN (((b[1]::INT << 1) | b[2]::INT | b[3]::INT) << 1) | b[4]::INT ELSE (((((b[1]::INT << 1) | b[2]::INT) << 1) | b[3]::INT) << 1) | b[4]::INT END AS mask, b FROM f WHERE list_bool_or(b))
+SELECT 'site' || s AS site_name, page_id, CAST(mask AS BIGINT) AS mask, CASE WHEN mask & 1 = 1 THEN CASE WHEN mask & 2 = 0 AND mask > 1 THEN 'back' ELSE 'present' END WHEN mask & ((1 << (s + 1)::INT) - 1) = 0 THEN 'inactive_candidate' ELSE 'missing' END AS state FROM m"""
+)
+def presence_states(spark, sf_dir):
+    """Pages of three sites over four runs, of which one of site1 isn't complete: present, back, missing or inactive, by each site's grace."""
+    i = F.col("page_id")
+    p = table(spark, sf_dir, "pages").select("page_id", F.concat(F.lit("site"), (i % 3).cast("string")).alias("site_name"), i.cast("string").alias("canonical_url"))
+    sites = Registry([Site(f"site{s}", f"https://p{s}.example", inactive_grace_cycles=s + 1) for s in range(3)]).table(spark)
+    held = spark.createDataFrame([], presence.PRESENCE)
+    for r in range(4):
+        runs = sites.select("site_name", (~((F.col("site_name") == "site1") & F.lit(r == 2))).alias("complete"))
+        found = p.filter((i * 7 + r * 3) % 5 < 3 - i % 2)
+        held = staged(presence.updated(held, found, runs, F.lit(f"2026-08-0{r + 1} 00:00:00").cast("timestamp")), "presence")
+    states = presence.states(held, sites).select("site_name", "canonical_url", "state")
+    return held.join(states, ["site_name", "canonical_url"]).select("site_name", F.col("canonical_url").cast("long").alias("page_id"), "mask", "state")

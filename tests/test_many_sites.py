@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from siltstone.config import GapCrawl, Registry, Site
-from siltstone.operators import frontier, hosts, ingestion, manifest
+from siltstone.operators import frontier, hosts, ingestion, manifest, presence, trust
 from siltstone.plans import pipelines
 from siltstone.sources.snapshots import Conflict, Snapshots
 
@@ -217,3 +217,37 @@ def test_only_changed_files_are_embedded(spark, tmp_path):
     assert run(3, site="s") == {"a.md": ("unchanged", 1), "b.md": ("added", 1)} and count() == 1  # t's files are not missing
     assert {v[0] for v in run(4, size=500).values()} == {"changed"} and count() == 3  # another splitter setting
     assert len({r.chunk_id for r in held.read().collect()}) == held.read().count() == 3
+
+
+def test_presence_and_trust_from_runs(spark, tmp_path):
+    """A page that a sitemap leaves out turns inactive after its site's grace, incomplete runs change nothing, and it comes back; trust is measured from what was observed."""
+    a = "https://a.example"
+    site = Site("a", a, sitemap_urls=(f"{a}/s.xml",), cache_ttl_hours=0, inactive_grace_cycles=2, trust_lastmod=True, audit_days=1)
+    held, runs, seen = (Snapshots(spark, f"file://{tmp_path}/{n}", s) for n, s in (("m", manifest.SCHEMA), ("r", T.StructType.fromDDL(pipelines.RUNS)), ("p", T.StructType.fromDDL(presence.PRESENCE))))
+
+    def run(day, status, *locs):
+        responses = spark.createDataFrame([(f"{a}/robots.txt", 404, "", False, None), (f"{a}/s.xml", status, urlset(*locs), False, None)], DDL)
+        out = pipelines.discover_sites(spark, Registry([site]), held, runs, responses, F.lit(NOW + timedelta(days=day)), presence=seen)
+        states = {r.canonical_url[-1]: r.state for r in presence.states(seen.read(), Registry([site]).table(spark)).collect()}
+        return states, {r.metric: r.n for r in out.collect()}.get("inactive_candidate", 0)
+
+    assert run(0, 200, f"{a}/1", f"{a}/2") == ({"1": "present", "2": "present"}, 0)
+    assert run(1, 200, f"{a}/1") == ({"1": "present", "2": "missing"}, 0)
+    assert run(2, 500) == ({"1": "present", "2": "missing"}, 0)
+    assert run(3, 200, f"{a}/1") == ({"1": "present", "2": "inactive_candidate"}, 1)
+    assert run(4, 200, f"{a}/1", f"{a}/2") == ({"1": "present", "2": "back"}, 0)
+    assert held.read().count() == 2
+
+    log, results = (Snapshots(spark, f"file://{tmp_path}/{n}", T.StructType.fromDDL(ddl)) for n, ddl in (("log", trust.OBSERVATIONS), ("results", trust.RESULTS)))
+    pages = [f"{a}/{i}" for i in range(12)]
+    for day in range(3):
+        rows = [("a", p, p, NOW + timedelta(days=day), f"h{day if i != 11 else min(day, 1)}", "eligible") for i, p in enumerate(pages)]
+        held.update(lambda _, rows=rows: manifest.conform(spark.createDataFrame(rows, "site_name string, canonical_url string, source_url string, sitemap_lastmod timestamp, content_hash string, scope_status string")))
+        for _ in range(2):  # once more at the same time
+            pipelines.observe(held, log, F.lit(NOW + timedelta(days=day)))
+    assert log.read().count() == 36
+    measured = [pipelines.measure_trust(log, results, site, F.lit(NOW), F.lit(NOW + timedelta(days=d)), F.lit(NOW + timedelta(days=9))).first() for d in (1, 2, 3)]
+    assert [(r.sampled, r.lastmod_changed, r.with_content, r.with_lastmod, r.long_enough, r.trusted) for r in measured] == [(12, 0, 0, 0, True, False), (12, 12, 12, 12, True, True), (12, 12, 11, 12, True, True)]
+    assert trust.earned(Registry([site]).table(spark), results.read()).first().trust_lastmod
+    assert not trust.earned(Registry([site]).table(spark), results.read().limit(0)).first().trust_lastmod
+    assert {r.canonical_url for r in trust.sample(log.read(), 5).collect()} < set(pages) and trust.sample(log.read(), 5).count() == 5
