@@ -69,3 +69,52 @@ def test_dense_group_needs_few_comparisons():
     base = np.arange(500, dtype=np.uint64)
     sets = [np.unique(np.concatenate([base[10:], rng.integers(1000, 1 << 40, 10).astype(np.uint64)])) for _ in range(3000)]
     assert (near_copies.similar_groups(sets) == 0).all()
+
+
+def template_pages(n, shared, own):
+    """Pages of words of a template, which all have, and some of their own."""
+    return [(i, " ".join([f"t{j}" for j in range(shared)] + [f"p{i}x{j}" for j in range(own)])) for i in range(n)]
+
+
+def test_a_template_links_only_pages_that_are_alike(spark):
+    """800 pages share 210 shingles: with 50 of their own none is linked to any other, with 20 of their own all are alike."""
+
+    def links(rows):
+        docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+        sets = [near_copies.shingles(t.encode()) for _, t in rows]
+        classes = spark.createDataFrame([(i.to_bytes(16, "little"), bytearray(s.tobytes())) for i, s in enumerate(sets)], "node binary, hashes binary")
+        held = spark.sparkContext.broadcast(near_copies.common_shingles(classes))
+        heads = classes.mapInArrow(near_copies._prefixes(held), near_copies._HEAD_DDL)
+        return near_copies.candidate_stars(heads).count(), near_copies.copies_to_drop(docs).count()
+
+    assert links(template_pages(800, 214, 46)) == (0, 0)
+    found, dropped = links(template_pages(800, 214, 16))
+    assert found > 0 and dropped == 799
+
+
+def test_pages_of_many_sizes(spark, tmp_path):
+    """Templates with so many own words that some pages are alike and others aren't, of the same sizes."""
+    rng = np.random.default_rng(9)
+    rows = []
+    for i in range(150):
+        template, own = int(rng.integers(2)), int(rng.integers(0, 60))
+        words = [f"t{template}x{j}" for j in range(int(rng.integers(150, 200)))] + [f"p{i if rng.random() < 0.5 else i // 3}x{j}" for j in range(own)]
+        rows.append((i, " ".join(words)))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    want = brute_force(rows)
+    assert sorted(r.doc_id for r in corpus_pipeline.near_dedup(spark, df, str(tmp_path)).collect()) == want and 1 < len(want) < 150
+
+
+def test_prefixes_hold_a_shingle_that_both_may_have_first():
+    rng = np.random.default_rng(2)
+    common = np.sort(rng.choice(400, 120, replace=False)).astype(np.uint64)
+    counts = rng.integers(2, 50, 120)
+    for _ in range(3000):
+        n = int(rng.integers(1, 60))
+        x = np.unique(rng.choice(400, n).astype(np.uint64))
+        y = np.unique(np.concatenate([rng.choice(x, max(1, len(x) - int(rng.integers(0, 6))), replace=False), rng.choice(400, int(rng.integers(0, 6))).astype(np.uint64)]))
+        if 5 * len(np.intersect1d(x, y)) < 4 * len(np.union1d(x, y)):
+            continue
+        (hx, rx), (hy, ry) = (near_copies.ordered_prefix(s, common, counts) for s in (x, y))
+        a, b = dict(zip(hx.tolist(), rx.tolist(), strict=True)), dict(zip(hy.tolist(), ry.tolist(), strict=True))
+        assert any(a[h] >= len(y) and b[h] >= len(x) for h in a.keys() & b.keys())
