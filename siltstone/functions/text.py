@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 import re
 
 from pyspark.sql import Column
@@ -79,12 +81,21 @@ def fill(template: str, context: Column, question: Column) -> Column:
     return substitute(template, {"context": context, "question": question})
 
 
+@functools.cache
+def _folds() -> tuple[dict[str, str], dict[str, str]]:
+    """Lower-case letters that aren't their own folded form: those with a form of one letter, and of several."""
+    letters = (chr(c) for c in range(0x20000) if not 0xD800 <= c < 0xE000)
+    found = {c: c.casefold() for c in letters if c.lower() == c != c.casefold()}
+    return {c: f for c, f in found.items() if len(f) == 1}, {c: f for c, f in found.items() if len(f) > 1}
+
+
 def casefold(x: Column) -> Column:
-    """Lower case for comparing: letters whose case forms are several letters, or differ by place, are put together."""
-    out = F.lower(x)
-    for sign, plain in (("ß", "ss"), ("ſ", "s"), ("ς", "σ"), ("ŉ", "ʼn"), ("ﬀ", "ff"), ("ﬁ", "fi"), ("ﬂ", "fl"), ("ﬃ", "ffi"), ("ﬄ", "ffl"), ("ﬅ", "st"), ("ﬆ", "st")):
-        out = F.replace(out, F.lit(sign), F.lit(plain))
-    return out
+    """Lower case for comparing, as Unicode folds it: letters whose case forms are several letters, or differ by place, are put together."""
+    single, several = _folds()
+    low = F.translate(F.lower(x), "".join(single), "".join(single.values()))
+    table = F.create_map(*[F.lit(y) for pair in several.items() for y in pair])
+    whole = F.array_join(F.transform(F.split(low, ""), lambda c: F.coalesce(F.element_at(table, c), c)), "")
+    return F.when(low.rlike("[" + "".join(several) + "]"), whole).otherwise(low)
 
 
 def flatten_blocks(blocks: Column) -> Column:

@@ -1,4 +1,8 @@
-"""HTML to Markdown, with pruning of thin blocks and a quality gate."""
+"""HTML to Markdown, with pruning of the element tree by density.
+
+Elements are numbered in the order in which they open, so an element's descendants follow it and sums over subtrees are
+one pass backwards; what goes with an element that goes is one pass forwards.
+"""
 
 from __future__ import annotations
 
@@ -24,6 +28,7 @@ _VOID = frozenset("br hr img input meta link area base col embed source track wb
 class Profile:
     """What is taken over: ``cleanup`` off gives everything but scripts and styles, for a second attempt.
 
+    With cleanup an element goes, with all that is in it, if its score (see ``scores``) is below ``keep_score``.
     ``css_selector`` and ``target_elements`` keep what lies in a matching element (in one of each, if both are given).
     Selectors are lists of compounds of tag, ``.class``, ``#id`` and ``[name]`` or ``[name=value]``, with blanks for
     descent; where nothing matches, nothing is kept.  ``body_width`` breaks lines of running text (0: none), and with
@@ -34,7 +39,7 @@ class Profile:
     excluded: tuple[str, ...] = EXCLUDED_TAGS
     excluded_classes: tuple[str, ...] = ("ad", "ads", "advert", "cookie", "banner")
     word_count_threshold: int = 20
-    link_share: float = 0.6
+    keep_score: float = 0.45
     ignore_links: bool = False
     ignore_images: bool = False
     ignore_tables: bool = False
@@ -112,12 +117,64 @@ _CONSENT = re.compile(r"cookie|consent|gdpr", re.I)
 _OVERLAY = re.compile(r"(?:^|[\s_-])(?:overlay|modal|popup|lightbox)(?:$|[\s_-])", re.I)
 
 
+# How much an element's tag speaks for content; others than these aren't judged by themselves.
+_TAG_WEIGHT = {"article": 1.0, "main": 1.0, "p": 1.0, "blockquote": 1.0, "pre": 1.0, "section": 0.75, "table": 0.75, "figure": 0.75, "div": 0.5, "ul": 0.5, "ol": 0.5, "li": 0.5, "tr": 0.75, "aside": 0.0}
+_BESIDE = re.compile(r"(?:^|[\s_-])(?:nav|menu|sidebar|breadcrumbs?|share|social|related|promo|sponsor|comments?|footer|toolbar|pagination|newsletter|teaser)(?:$|[\s_-])", re.I)
+
+
+def subtree_sums(parents: list[int], own: list[list[int]]) -> list[list[int]]:
+    """For each element the sums of its own values and those of all its descendants; a parent (-1: none) has a smaller number."""
+    out = [list(x) for x in own]
+    for i in range(len(parents) - 1, -1, -1):
+        if parents[i] >= 0:
+            above = out[parents[i]]
+            for k, v in enumerate(out[i]):
+                above[k] += v
+    return out
+
+
+def score(weight: float, beside: bool, text: int, linked: int, markup: int, words: int, threshold: int) -> float:
+    """From 0 to 1, how much an element is content.
+
+    Four tenths are the share of text in text and markup, three the share of text that isn't in links, two the tag's
+    weight and one its words against the threshold (whole from there on); a name that tells of navigation costs three.
+    """
+    density = text / (text + markup) if text else 0.0
+    free = 1 - linked / text if text else 0.0
+    return 0.4 * density + 0.3 * free + 0.2 * weight + 0.1 * (min(1.0, words / threshold) if threshold else 1.0) - 0.3 * beside
+
+
+def pruned(elements: list[tuple[int, str, bool]], own: list[list[int]], threshold: int, keep: float) -> list[bool]:
+    """Which elements (parent, tag, beside; own characters of text, in links, and of markup, and words) go, by their own score or with one above them.
+
+    What holds an element of ``threshold`` words or more that is kept by its own score stays for its sake, however many
+    links are beside that one; a name that tells of navigation is no such holder.
+    """
+    sums = subtree_sums([e[0] for e in elements], own)
+    low, holds = [False] * len(elements), [False] * len(elements)
+    for i in range(len(elements) - 1, -1, -1):
+        parent, tag, beside = elements[i]
+        text, linked, markup, words = sums[i]
+        judged = tag in _TAG_WEIGHT and text > 0
+        low[i] = judged and score(_TAG_WEIGHT[tag], beside, text, linked, markup, words, threshold) < keep
+        holds[i] = not beside and (holds[i] or judged and not low[i] and words >= max(1, threshold))
+        if parent >= 0:
+            holds[parent] = holds[parent] or holds[i]
+    gone: list[bool] = []
+    for i, (parent, _, _) in enumerate(elements):
+        gone.append(parent >= 0 and gone[parent] or low[i] and not holds[i])
+    return gone
+
+
 class _Reader(HTMLParser):
     def __init__(self, profile: Profile):
         super().__init__(convert_charrefs=True)
         self.p, self.stack, self.silent = profile, [], 0
-        self.blocks: list[tuple[str, str, int, int]] = []  # kind, text, words, words in links
-        self.kind, self.parts, self.words, self.linked, self.link, self.lists, self.title = "p", [], 0, 0, None, [], []
+        self.blocks: list[tuple[str, str, int]] = []  # kind, text, element (-1: outside all)
+        self.kind, self.parts, self.link, self.lists, self.title = "p", [], None, [], []
+        self.elements: list[tuple[int, str, bool]] = []  # parent, tag, whether its name tells of navigation
+        self.own: list[list[int]] = []  # characters of text, in links, and of markup, and words
+        self.owner, self.anchors = -1, 0
         wanted = ([profile.css_selector] if profile.css_selector else []) + ([",".join(profile.target_elements)] if profile.target_elements else [])
         self.wanted = [selectors(w) for w in wanted] if profile.cleanup else []
         self.path: list[tuple[str, dict]] = []
@@ -127,8 +184,12 @@ class _Reader(HTMLParser):
         text = re.sub(r"[ \t\r\f\v]+", " ", "".join(self.parts))
         text = re.sub(r" *\n *", "\n", text).strip()
         if text:
-            self.blocks.append((self.kind, text, self.words, self.linked))
-        self.kind, self.parts, self.words, self.linked = kind, [], 0, 0
+            self.blocks.append((self.kind, text, self.owner))
+        self.kind, self.parts = kind, []
+        self.owner = self._top()
+
+    def _top(self) -> int:
+        return self.stack[-1][2] if self.stack else -1
 
     def _drops(self, tag: str, attrs: dict) -> bool:
         if tag in _SILENT:
@@ -155,10 +216,16 @@ class _Reader(HTMLParser):
             self.inside.append([b or _matches(w, self.path) for b, w in zip(above, self.wanted, strict=True)])
         if tag not in _VOID:
             dropped = self._drops(tag, attrs)
-            self.stack.append((tag, dropped))
+            beside = bool(_BESIDE.search(f"{attrs.get('id') or ''} {attrs.get('class') or ''}"))
+            self.elements.append((self._top(), tag, beside))
+            self.own.append([0, 0, 0, 0])
+            self.stack.append((tag, dropped, len(self.elements) - 1))
             self.silent += dropped
+            self.anchors += tag == "a"
         if self.silent or self._outside():
             return
+        if self.stack:
+            self.own[self._top()][2] += 2 * len(tag) + 5 + sum(len(k) + len(v or "") + 4 for k, v in attrs.items())
         if tag in ("ul", "ol"):
             self.lists.append([tag, 0])
         if tag == "li":
@@ -182,11 +249,12 @@ class _Reader(HTMLParser):
             self.parts.append(f"![{attrs.get('alt') or ''}]({attrs['src']})")
 
     def handle_endtag(self, tag):
-        if tag not in {t for t, _ in self.stack}:
+        if tag not in {t for t, _, _ in self.stack}:
             return
         while self.stack:
             outside = self._outside()
-            top, dropped = self.stack.pop()
+            top, dropped, _ = self.stack.pop()
+            self.anchors -= top == "a"
             if not self.silent and not outside:
                 if top in ("b", "strong"):
                     self.parts.append("**")
@@ -213,9 +281,12 @@ class _Reader(HTMLParser):
             self.title.append(data)
         if self.silent or self._outside():
             return
-        n = len(data.split())
-        self.words += n
-        self.linked += n if self.link is not None else 0
+        words = data.split()
+        if words and self.stack:
+            own, n = self.own[self._top()], sum(map(len, words)) + len(words) - 1
+            own[0] += n
+            own[1] += n if self.anchors else 0
+            own[3] += len(words)
         self.parts.append(data if self.kind == "pre" else data.replace("\n", " "))
 
 
@@ -248,17 +319,18 @@ def _wrapped(text: str, width: int, protect_links: bool) -> str:
 
 
 def html_to_markdown(html: str, profile: Profile = Profile()) -> tuple[str, str]:
-    """(title, Markdown).  With cleanup, a block goes if it is mostly links or a list of links, or if it is far shorter than the threshold and not a heading; a page on which nothing would stay keeps its blocks."""
+    """(title, Markdown).  With cleanup, thin elements go (see ``pruned``); a page on which nothing but headings would stay keeps its blocks."""
     r = _Reader(profile)
     r.feed(html or "")
     r.close()
     r._end_block()
     kept = r.blocks
     if profile.cleanup:
-        thin = [b for b in kept if b[0][0] == "h" or (b[3] <= profile.link_share * max(1, b[2]) and (b[2] >= max(1, profile.word_count_threshold // 10) or b[0] in ("li", "row", "pre")))]
-        kept = thin if any(b[0][0] != "h" for b in thin) else kept
+        gone = pruned(r.elements, r.own, profile.word_count_threshold, profile.keep_score)
+        dense = [b for b in kept if b[2] < 0 or not gone[b[2]]]
+        kept = dense if any(b[0][0] != "h" for b in dense) else kept
     out = []
-    for kind, text, _, _ in kept:
+    for kind, text, _ in kept:
         if not profile.unicode_snob:
             text = _ascii(text)
         if profile.body_width and kind in ("p", "li", "quote"):

@@ -91,10 +91,16 @@ def answer(questions: DataFrame, collection: DataFrame, roster=routing.DEFAULT_R
     return df.withColumn("tokens", F.when(F.col("guide_id").isNotNull(), generate(F.col("messages"))))
 
 
-def events(answered: DataFrame) -> DataFrame:
-    """``query_id, seq, event, data``: routing, citation, tokens that aren't empty, done; or routing, citation and an error; or the error alone for an unknown guide."""
-    route = F.struct(F.lit("routing").alias("event"), F.to_json(F.struct("guide_id", "reason", "was_explicit")).alias("data"))
-    cite = F.struct(F.lit("citation").alias("event"), F.to_json(F.struct("citations")).alias("data"))
+def events(answered: DataFrame, roster=routing.DEFAULT_ROSTER) -> DataFrame:
+    """``query_id, seq, event, data``: routing, citation, tokens that aren't empty, done; or routing, citation and an error; or the error alone for an unknown guide.
+
+    Routing has agent_id, name, title, category, reason and was_explicit; each citation title, source_url and snippet.
+    """
+    shown = {n: F.element_at(F.create_map(*[F.lit(x) for g in roster for x in (g.id, getattr(g, n))]), F.col("guide_id")) for n in ("name", "title", "category")}
+    payload = F.struct(F.col("guide_id").alias("agent_id"), *[F.coalesce(c, F.lit("")).alias(n) for n, c in shown.items()], "reason", "was_explicit")
+    route = F.struct(F.lit("routing").alias("event"), F.to_json(payload).alias("data"))
+    listed = F.transform("citations", lambda c: F.struct(c["title"].alias("title"), c["source"].alias("source_url"), c["snippet"].alias("snippet")))
+    cite = F.struct(F.lit("citation").alias("event"), F.to_json(F.struct(listed.alias("citations"))).alias("data"))
     tokens = F.transform(F.filter("tokens", lambda t: t != ""), lambda t: F.struct(F.lit("token").alias("event"), F.to_json(F.struct(t.alias("text"))).alias("data")))
     done = F.array(F.struct(F.lit("done").alias("event"), F.lit("{}").alias("data")))
     error = F.array(F.struct(F.lit("error").alias("event"), F.to_json(F.struct(F.lit(APOLOGY).alias("message"))).alias("data")))
@@ -110,7 +116,7 @@ def fold_events(rows: DataFrame) -> DataFrame:
 
     return rows.groupBy("query_id").agg(
         text.joined_in_order(F.col("seq"), F.coalesce(field("token", "text"), F.lit("")), "").alias("content"),
-        F.max(field("routing", "guide_id")).alias("guide_id"),
+        F.max(field("routing", "agent_id")).alias("guide_id"),
         F.max(field("error", "message")).alias("error"),
         F.max(F.when(F.col("event") == "done", True).otherwise(False)).alias("finished"),
     )

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from siltstone.functions import text
 from siltstone.operators import rag, routing
 from siltstone.operators.routing import Guide
-from siltstone.plans.catalog import query, table
+from siltstone.plans.catalog import SQL, query, table
+from siltstone.staging import shared_root
+from siltstone.streaming.turns import FOLDED, fold_turns
 
 # The conversations are invented prose, so the test roster's terms are words that occur in it.
 ROSTER = (
@@ -107,8 +111,8 @@ def turns(spark, sf_dir) -> DataFrame:
     """Answered turns as event rows: the tokens are an assistant message's words; one turn in seven fails."""
     a = table(spark, sf_dir, "conversations").filter("role = 'assistant'").select((F.col("conv_id") * 1000 + F.col("turn")).alias("query_id"), "text")
     words = F.transform(F.split(F.regexp_replace("text", r"\s+", " "), " "), lambda w: F.concat(w, F.lit(" ")))
-    cites = F.array().cast("array<struct<source:string,title:string,snippet:string>>")
-    return rag.events(a.select("query_id", F.lit("chief").alias("guide_id"), F.lit("Because.").alias("reason"), F.lit(False).alias("was_explicit"), cites.alias("citations"), F.when(F.col("query_id") % 7 != 0, words).alias("tokens")))
+    cites = F.array(F.struct(F.concat(F.lit("https://a.example/"), F.col("query_id").cast("string")).alias("source"), F.lit("A title").alias("title"), F.substring("text", 1, 20).alias("snippet")))
+    return rag.events(a.select("query_id", F.lit("chief").alias("guide_id"), F.lit("Because.").alias("reason"), F.lit(False).alias("was_explicit"), cites.alias("citations"), F.when(F.col("query_id") % 7 != 0, words).alias("tokens")), ROSTER)
 
 
 _TURNS_SQL = """WITH a AS (SELECT conv_id * 1000 + turn AS query_id, list_transform(string_split(regexp_replace(text, '\\s+', ' ', 'g'), ' '), lambda w: w || ' ') AS t FROM conversations WHERE role = 'assistant')"""
@@ -119,6 +123,20 @@ def sse_events(spark, sf_dir):
     return turns(spark, sf_dir).groupBy("query_id", "event").agg(F.count("*").alias("n"))
 
 
+@query(
+    _TURNS_SQL.replace("FROM conversations", ", text FROM conversations")
+    + """SELECT query_id, 'chief' AS agent_id, 'Chief' AS name, '' AS title, 'General' AS category, 'Because.' AS reason, 'false' AS was_explicit, 'https://a.example/' || query_id AS source_url, 'A title' AS cited, substr(text, 1, 20) AS snippet FROM a"""
+)
+def event_payloads(spark, sf_dir):
+    """What a client reads in the routing and citation events of each turn."""
+    def field(event, path):
+        return F.max(F.when(F.col("event") == event, F.get_json_object("data", path)))
+
+    routed = [field("routing", f"$.{n}").alias(n) for n in ("agent_id", "name", "title", "category", "reason", "was_explicit")]
+    cited = [field("citation", f"$.citations[0].{n}").alias(a) for n, a in (("source_url", "source_url"), ("title", "cited"), ("snippet", "snippet"))]
+    return turns(spark, sf_dir).groupBy("query_id").agg(*routed, *cited)
+
+
 @query(_TURNS_SQL + """SELECT query_id, CASE WHEN query_id % 7 = 0 THEN '' ELSE array_to_string(t, '') END AS content, 'chief' AS guide_id, CASE WHEN query_id % 7 = 0 THEN 'I encountered an error while processing your query. Please try again.' END AS error, query_id % 7 <> 0 AS finished FROM a""")
 def chat_fold(spark, sf_dir):
     return rag.fold_events(turns(spark, sf_dir))
@@ -131,3 +149,15 @@ def sse_parse(spark, sf_dir):
     body = F.concat(F.lit("event: token\r\ndata: "), line, F.lit("\r\ndata: "), F.col("role"), F.lit("\r\n\r\n: ping\n\nevent: nothing\n\ndata: 1\n\nevent: done\ndata: {}\n\n"))
     c = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.posexplode(text.sse_blocks(body)).alias("p", "e"))
     return c.select("conv_id", "turn", F.col("p").cast("long").alias("pos"), "e.event", "e.data")
+
+
+@query(SQL["chat_fold"])
+def turn_stream(spark, sf_dir):
+    """The same fold over events that come as a stream of four files, out of order."""
+    root = f"{shared_root(spark).rstrip('/')}/siltstone-turns-{uuid.uuid4().hex}"
+    ddl = "query_id long, seq int, event string, data string, ts timestamp"
+    rows = turns(spark, sf_dir).select("query_id", "seq", "event", "data", F.timestamp_seconds(F.lit(1_785_888_000) + F.col("seq")).alias("ts"))
+    rows.repartition(4, F.xxhash64("query_id", "seq")).write.parquet(f"{root}/in")
+    stream = spark.readStream.schema(ddl).option("maxFilesPerTrigger", 1).parquet(f"{root}/in")
+    fold_turns(stream).writeStream.format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/ck").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(FOLDED).parquet(f"{root}/out")

@@ -93,6 +93,72 @@ def test_html_by_selectors_and_options():
             pass
 
 
+def test_folding_is_unicodes(spark):
+    letters = [chr(c) for c in range(1, 0x20000) if not 0xD800 <= c < 0xE000 and (chr(c).casefold() != chr(c) or chr(c).lower() != chr(c))]
+    texts = ["".join(letters[i : i + 50]) for i in range(0, len(letters), 50)] + ["Straße ΣΊΣΥΦΟΣ 𐐀 \U0001f389 İstanbul", "", None]
+    df = spark.createDataFrame([(c,) for c in letters + texts[-3:]], "c string").coalesce(1)
+    got = df.select("c", F.lower("c").alias("low"), text.casefold(F.col("c")).alias("f")).collect()
+    # Letters that the two Unicode versions lower differently say nothing about folding.
+    assert all(r.f == r.c.casefold() for r in got if r.c and len(r.c) == 1 and r.low == r.c.lower())
+    assert sum(r.low == r.c.lower() for r in got[: len(letters)]) > 0.97 * len(letters)
+    assert [r.f for r in got[-3:]] == [texts[-3].casefold(), "", None]
+
+
+def test_sums_over_subtrees_and_what_goes():
+    import random
+    from xml.etree import ElementTree
+
+    rng = random.Random(5)
+
+    def grow(depth):
+        e = ElementTree.Element(rng.choice(["div", "ul", "li", "p", "section", "span"]))
+        e.text = " ".join(rng.choice(["word", "longer", "x"]) for _ in range(rng.randrange(6)))
+        for _ in range(rng.randrange(4) if depth else 0):
+            e.append(grow(depth - 1))
+        return e
+
+    for _ in range(50):
+        root = grow(5)
+        order = list(root.iter())
+        number, above = {id(e): i for i, e in enumerate(order)}, {id(c): e for e in order for c in e}
+        reader = extract._Reader(extract.Profile())
+        reader.feed(ElementTree.tostring(root, encoding="unicode", short_empty_elements=False))
+        parents = [number[id(above[id(e)])] if id(e) in above else -1 for e in order]
+        assert [e[0] for e in reader.elements] == parents
+        sums = extract.subtree_sums(parents, reader.own)
+        for e, got in zip(order, sums, strict=True):
+            inside = list(e.iter())
+            assert got == [sum(len(x.text) for x in inside), 0, sum(2 * len(x.tag) + 5 for x in inside), sum(len(x.text.split()) for x in inside)]
+        gone = extract.pruned(reader.elements, reader.own, 20, 0.45)
+
+        def low(e):
+            t, _, m, w = sums[number[id(e)]]
+            return t > 0 and e.tag != "span" and extract.score(extract._TAG_WEIGHT[e.tag], False, t, 0, m, w, 20) < 0.45
+
+        def holds(e):
+            dense = e.tag != "span" and sums[number[id(e)]][3] >= 20 and not low(e)
+            return dense or any(map(holds, e))
+
+        for i, e in enumerate(order):
+            assert gone[i] == (low(e) and not holds(e) or parents[i] >= 0 and gone[parents[i]])
+
+
+def test_nested_boilerplate_goes_with_what_holds_it():
+    words = "This guidance explains who may apply, what the application costs and how long a decision takes. "
+    links = "".join(f'<li class="item"><a href="/section/page-{i}.html" title="Go to page {i}">Page number {i}</a></li>' for i in range(40))
+    page = (
+        f'<body><div class="wrap"><div class="sidebar"><div><ul>{links}</ul></div></div>'
+        f'<div><div class="teaser-list"><div><p>Read more</p><p><a href="/x">Another story that is somewhere else</a></p></div></div>'
+        f'<section><h2>Fees</h2><p>{words * 2}</p><div class="inner"><p>{words}</p></div></section></div>'
+        f'<div class="share"><span><a href="/a">Share</a></span></div><ul>{links}</ul></div></body>'
+    )
+    md = extract.html_to_markdown(page)[1]
+    assert md == "## Fees\n\n" + (words * 2).strip() + "\n\n" + words.strip()
+    whole = extract.html_to_markdown(page, extract.Profile(cleanup=False))[1]
+    assert len(md) < 0.1 * len(whole) + len(words) * 3
+    assert extract.html_to_markdown(f"<body><ul>{links}</ul></body>")[1].startswith("- [Page number 0]")  # nothing else is there
+
+
 def test_roster_listing(spark):
     assert [r.id for r in routing.listing(spark).collect()] == [g.id for g in DEFAULT_ROSTER]
 
@@ -102,7 +168,7 @@ def test_answers_and_failures(spark):
     q = spark.createDataFrame([(7, "permits take time", "auto")], "query_id long, message string, preferred string")
     done = rag.events(rag.answer(q, col, k=2)).orderBy("seq").collect()
     assert [e.event for e in done] == ["routing", "citation", "token", "token", "token", "done"]
-    assert '"source":"https://a.example"' in done[1].data and '"source":"Unknown source"' in done[1].data
+    assert '"source_url":"https://a.example"' in done[1].data and '"source_url":"Unknown source"' in done[1].data
     state = rag.fold_events(rag.events(rag.answer(q, col, k=2))).first()
     assert state.content == "permits take time " and state.finished and state.error is None
 
