@@ -120,7 +120,8 @@ def discover_sites(spark: SparkSession, registry: Registry, snapshots: Snapshots
     done = staged(done, "done")
     scored = site_settings.with_scope(rows, sites, "loc")
     scored = staged(scored.select("site_name", urls.canonicalize(F.col("loc")).alias("canonical_url"), F.col("loc").alias("source_url"), "source", "lastmod", "scope_status", "scope_reason", now.alias("seen_at"), F.col("at").alias("ordinal"), "n"), "discovered")
-    snapshots.update(lambda held: manifest.upsert(held, manifest.collapse(scored)))
+    fresh = staged(manifest.collapse(scored), "collapsed")
+    snapshots.update(lambda held: manifest.upsert(held, fresh), touching=fresh)
     ended = ledger.drop("complete").join(done, "site_name", "left").withColumn("complete", F.coalesce("complete", F.lit(False)))
     runs.update(lambda held: record_runs(held, ended))
 
@@ -175,7 +176,8 @@ def apply_render(snapshots: Snapshots, due: DataFrame, results: DataFrame, sites
     file under its old name.
     """
     rows = staged(render.outcomes(due, results, now, sites=_table(due.sparkSession, sites)), "outcomes")
-    snapshots.update(lambda held: render.apply(held, rows, now))
+    moved = rows.filter("outcome = 'rekeyed'").select("site_name", F.col("new_canonical").alias("canonical_url"))
+    snapshots.update(lambda held: render.apply(held, rows, now), touching=rows.select("site_name", "canonical_url").unionByName(moved))
     if root is not None:
         markdown.export(documents(rows, now), root)
     return rows

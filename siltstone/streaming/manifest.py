@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from siltstone.functions import urls
 from siltstone.operators import discovery, manifest
 from siltstone.sources.snapshots import Snapshots
+from siltstone.staging import staged
+
+READERS = 3600  # seconds that a version stays after the next one
 
 
 def discovered(raw: DataFrame, allowed_domains=(), exclude=()) -> DataFrame:
@@ -17,11 +20,16 @@ def discovered(raw: DataFrame, allowed_domains=(), exclude=()) -> DataFrame:
 
 
 def merge_stream(raw: DataFrame, snapshots: Snapshots, checkpoint: str, allowed_domains=(), exclude=(), **trigger):
-    """Start the query; a batch that is run again after a crash merges to the same manifest, as the merge is idempotent."""
+    """Start the query; a batch that is run again after a crash merges to the same manifest, as the merge is idempotent.
+
+    With ``BucketedSnapshots`` a batch reads and writes only the buckets that its URLs are in.  Old versions stay for an
+    hour, for those who read them.
+    """
 
     def merge(batch: DataFrame, _batch_id: int) -> None:
-        snapshots.update(lambda held: manifest.upsert(held, manifest.collapse(batch)))
-        snapshots.expire()
+        fresh = staged(manifest.collapse(batch), "batch")
+        snapshots.update(lambda held: manifest.upsert(held, fresh), touching=fresh)
+        snapshots.expire(older_than_seconds=READERS)
 
     return discovered(raw, allowed_domains, exclude).writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 
