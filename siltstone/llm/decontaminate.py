@@ -201,5 +201,6 @@ FROM dw d LEFT JOIN words USING (doc_id) LEFT JOIN its USING (doc_id)
 
 
 def op2_decontaminate(spark, sf_dir: str) -> DataFrame:
+    """Every row of ``documents``, repeated ones too; null and empty texts have no words and aren't contaminated; items of one id count once; with an empty benchmark nothing is hit; an empty table gives no rows."""
     found = contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")

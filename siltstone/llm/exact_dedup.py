@@ -117,6 +117,7 @@ FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))
 
 
 def op3_exact_dedup(spark, sf_dir: str) -> DataFrame:
+    """Every row of ``documents``, dropped ones too; null and empty texts are equal; of repeated rows one is kept, and a null id is the smallest; an empty table gives no rows."""
     from siltstone.llm.common import table
 
     return exact_duplicates(table(spark, sf_dir, "documents"), keep="max")

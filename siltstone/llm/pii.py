@@ -207,6 +207,7 @@ def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
 
 def op1_pii_weak(spark, sf_dir: str) -> DataFrame:
+    """Every row of ``documents``, repeated ones too; null and empty texts have no spans and the digest of nothing; an empty table gives no rows."""
     found = find_personal_data(table(spark, sf_dir, "documents"))
     names = ", ".join(f"'{k}'" for k in KINDS)
 

@@ -100,6 +100,7 @@ def token_counts(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_
 
 
 def op6_token_counts(spark, sf_dir: str) -> DataFrame:
+    """Every row of ``documents``, repeated ones too; null and empty texts have no tokens; an empty table gives no rows."""
     import public_tokenizers
 
     return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
