@@ -76,7 +76,7 @@ def walk_sitemaps(responses: DataFrame, site: Site, max_children: int = discover
     return Discovered(found.drop("site_name"), run.complete, run.child_sitemaps)
 
 
-def discover_sites(spark: SparkSession, registry: Registry, snapshots: Snapshots, runs: Snapshots, responses: DataFrame | None, now: Column, links: DataFrame | None = None, pages: DataFrame | None = None, presence: Snapshots | None = None) -> DataFrame:
+def discover_sites(spark: SparkSession, registry: Registry, snapshots: Snapshots, runs: Snapshots, responses: DataFrame | None, now: Column, links: DataFrame | None = None, pages: DataFrame | None = None, presence: Snapshots | None = None, metrics: Snapshots | None = None, run_id: str | None = None) -> DataFrame:
     """One discovery run over all sites; returns their counts as ``site_name, metric, n`` (see ``discovery.summary``), with ``complete``, ``cached``, and the delays that their requests keep.
 
     Settings are a table, so there is one walk over sitemaps, one over links and one merge, however many sites there
@@ -86,7 +86,8 @@ def discover_sites(spark: SparkSession, registry: Registry, snapshots: Snapshots
     occurrence of a URL counts; the last one gives its lastmod.  A gap crawl takes links, and what fetching pages gave.
 
     Without ``responses`` robots rules aren't looked at, and sites with sitemaps come out incomplete.  With ``presence``
-    (schema ``presence.PRESENCE``) the run is remembered for each page, and counts have an ``inactive_candidate`` too.
+    (schema ``presence.PRESENCE``) the run is remembered for each page, and counts have an ``inactive_candidate`` too.  With ``metrics`` (schema ``METRICS``) and
+    a ``run_id`` the counts of the sites that weren't taken from the cache are written there.
     """
     for site in registry.sites.values():
         site.require_discovery()
@@ -136,7 +137,11 @@ def discover_sites(spark: SparkSession, registry: Registry, snapshots: Snapshots
     counts = counts.unionByName(none).groupBy("site_name", "metric").agg(F.sum("n").alias("n"))
     state = sites.select("site_name", "min_delay", "max_delay").join(todo.select("site_name", F.col("delay.min_delay").alias("low"), F.col("delay.max_delay").alias("high")), "site_name", "left").join(done, "site_name", "left").join(cached.withColumn("cached", F.lit(True)), "site_name", "left")
     state = state.select("site_name", F.coalesce("complete", "cached", F.lit(False)).alias("complete"), F.coalesce("cached", F.lit(False)).alias("cached"), F.coalesce("low", "min_delay").alias("min_delay"), F.coalesce("high", "max_delay").alias("max_delay"))
-    return staged(counts.join(state, "site_name"), "summary")
+    summary = staged(counts.join(state, "site_name"), "summary")
+    if metrics is not None and run_id is not None:
+        ran = summary.filter("not cached").select("site_name", F.when(F.col("complete"), "complete").otherwise("incomplete").alias("state"), "metric", "n")
+        record_counts(metrics, run_id, "discovery", ran, snapshots.versions()[-1], now)
+    return summary
 
 
 def discover(spark: SparkSession, site: Site, snapshots: Snapshots, runs: Snapshots, responses: DataFrame | None, now: Column, links: DataFrame | None = None, pages: DataFrame | None = None) -> DataFrame:
@@ -168,18 +173,23 @@ def plan_render(held: DataFrame, sites: Site | Registry | DataFrame, now: Column
     return scans.numbered(decided.filter("decision is not null"), ["site_name"], ["canonical_url"], "rank", "due").filter(F.col("rank") <= max_urls)
 
 
-def apply_render(snapshots: Snapshots, due: DataFrame, results: DataFrame, sites: Site | Registry | DataFrame, now: Column, root: str | None = None) -> DataFrame:
+def apply_render(snapshots: Snapshots, due: DataFrame, results: DataFrame, sites: Site | Registry | DataFrame, now: Column, root: str | None = None, metrics: Snapshots | None = None, run_id: str | None = None) -> DataFrame:
     """Fold results into the next snapshot; returns the outcome rows with their Markdown.
 
     Scope and least length are those of each record's site.  With ``root`` (a folder that all executors share) each
     saved page is written to ``root/site/parsed``, under a name made from its canonical URL; a page that moved leaves no
-    file under its old name.
+    file under its old name.  With ``metrics`` (schema ``METRICS``) and a ``run_id`` the run's counters are written there.
     """
     rows = staged(render.outcomes(due, results, now, sites=_table(due.sparkSession, sites)), "outcomes")
     moved = rows.filter("outcome = 'rekeyed'").select("site_name", F.col("new_canonical").alias("canonical_url"))
     snapshots.update(lambda held: render.apply(held, rows, now), touching=rows.select("site_name", "canonical_url").unionByName(moved))
     if root is not None:
         markdown.export(documents(rows, now), root)
+    if metrics is not None and run_id is not None:
+        totals = render.counters(rows, ["site_name"])
+        names = [c for c in totals.columns if c != "site_name"]
+        counts = totals.select("site_name", F.lit("complete").alias("state"), F.explode(F.array(*[F.struct(F.lit(c).alias("metric"), F.col(c).alias("n")) for c in names])).alias("c"))
+        record_counts(metrics, run_id, "render", counts.select("site_name", "state", "c.*"), snapshots.versions()[-1], now)
     return rows
 
 
@@ -289,6 +299,13 @@ def record_metrics(metrics: Snapshots, snapshots: Snapshots, run_id: str, site:
     return version
 
 
+def record_counts(metrics: Snapshots, run_id: str, phase: str, counts: DataFrame, version: int, now: Column) -> None:
+    """Write counts of a run over many sites (site_name, state, metric, n), tied to the manifest version that they come with; rows of the same run, site and metric are replaced."""
+    rows = staged(counts.select(F.lit(run_id).alias("run_id"), "site_name", F.lit(phase).alias("phase"), "state", F.lit(version).alias("version"), now.alias("finished_at"), "metric", F.col("n").cast("long").alias("n")), "metrics")
+    key = ["run_id", "site_name", "metric"]
+    metrics.update(lambda old: old.join(rows.select(*key), key, "left_anti").select(*rows.columns).unionByName(rows))
+
+
 def run_coverage(metrics: DataFrame, site: Site) -> DataFrame:
     """``run_id, eligible, current, coverage_percent, short`` of the site's runs; incomplete discoveries don't count, and no eligible page is full coverage of none: 0."""
     mine = metrics.filter((F.col("site_name") == site.name) & ~((F.col("phase") == "discovery") & (F.col("state") != "complete")))

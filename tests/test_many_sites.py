@@ -182,7 +182,9 @@ def test_many_sites_in_one_run(spark, tmp_path):
     moved = [("a", f"{a}/p", f"{a}/x/2"), ("b", f"{b}/1", f"{a}/y"), ("b", f"{b}/2", f"{b}/2"), ("g", f"{a}/", f"{a}/x/2"), ("g", f"{a}/1", f"{a}/1")]
     ddl = "site_name string, canonical_url string, success boolean, exception boolean, status_code int, cache_status string, fit_markdown string, raw_markdown string, meta_url string, url string, title string, fallback_success boolean, fallback_fit_markdown string, fallback_raw_markdown string, fallback_meta_url string, fallback_url string, fallback_title string"
     results = spark.createDataFrame([(s, u, True, False, 200, "miss", words, "", None, to, "T", False, None, None, None, None, None) for s, u, to in moved], ddl)
-    rows = pipelines.apply_render(held, due, results, registry, F.lit(NOW))
+    counted = Snapshots(spark, f"file://{tmp_path}/c", T.StructType.fromDDL(pipelines.METRICS))
+    rows = pipelines.apply_render(held, due, results, registry, F.lit(NOW), metrics=counted, run_id="x")
+    assert {(r.site_name, r.n) for r in counted.read().filter("metric = 'saved' and run_id = 'x' and phase = 'render'").collect()} == {("a", 0), ("b", 1), ("g", 2)}
     assert {(r.site_name, r.canonical_url): r.outcome for r in rows.collect()} == {("a", f"{a}/p"): "failure", ("b", f"{b}/1"): "failure", ("b", f"{b}/2"): "saved", ("g", f"{a}/"): "rekeyed", ("g", f"{a}/1"): "saved"}
     # c's host asked for more than the cap: what waits there is incomplete for this run.
     sites = registry.table(spark).withColumn("delay", F.col("min_delay"))
@@ -258,9 +260,11 @@ def test_presence_and_trust_from_runs(spark, tmp_path):
     held = BucketedSnapshots(spark, f"file://{tmp_path}/m", manifest.SCHEMA, manifest.KEY, 8)
     runs, seen = (Snapshots(spark, f"file://{tmp_path}/{n}", s) for n, s in (("r", T.StructType.fromDDL(pipelines.RUNS)), ("p", T.StructType.fromDDL(presence.PRESENCE))))
 
+    counted = Snapshots(spark, f"file://{tmp_path}/c", T.StructType.fromDDL(pipelines.METRICS))
+
     def run(day, status, *locs):
         responses = spark.createDataFrame([(f"{a}/robots.txt", 404, "", False, None), (f"{a}/s.xml", status, urlset(*locs), False, None)], DDL)
-        out = pipelines.discover_sites(spark, Registry([site]), held, runs, responses, F.lit(NOW + timedelta(days=day)), presence=seen)
+        out = pipelines.discover_sites(spark, Registry([site]), held, runs, responses, F.lit(NOW + timedelta(days=day)), presence=seen, metrics=counted, run_id=f"r{day}")
         states = {r.canonical_url[-1]: r.state for r in presence.states(seen.read(), Registry([site]).table(spark)).collect()}
         return states, {r.metric: r.n for r in out.collect()}.get("inactive_candidate", 0)
 
@@ -269,6 +273,8 @@ def test_presence_and_trust_from_runs(spark, tmp_path):
     assert run(2, 200, f"{a}/1") == ({"1": "present", "2": "inactive_candidate"}, 1)
     assert run(3, 200, f"{a}/1", f"{a}/2") == ({"1": "present", "2": "back"}, 0)
     assert held.read().count() == 2
+    rows = {(r.run_id, r.metric): (r.n, r.state) for r in counted.read().collect()}
+    assert rows["r0", "discovered"] == (2, "complete") and rows["r1", "discovered"] == (0, "incomplete") and rows["r2", "inactive_candidate"] == (1, "complete")
 
     log, results = (Snapshots(spark, f"file://{tmp_path}/{n}", T.StructType.fromDDL(ddl)) for n, ddl in (("log", trust.OBSERVATIONS), ("results", trust.RESULTS)))
     pages = [f"{a}/{i}" for i in range(12)]
