@@ -367,9 +367,10 @@ def source_divergence(docs: DataFrame, least: int = 10, top: int = 10, lang_col:
     pairs = found.filter("part = 'pair'").groupBy("lang", "source", "part", "item").agg(F.sum("value").alias("value"))
     bare = totals.filter("kinds = 0")
     alike = bare.select("lang", "source").join(bare.select("lang", F.col("source").alias("item")), "lang").filter("source <> item").select("lang", "source", F.lit("pair").alias("part"), "item", F.lit(0).cast("long").alias("value"))
-    every = pairs.unionByName(alike).unionByName(found.filter("part = 'term'"))
-    w = Window.partitionBy("lang", "source", "part").orderBy(F.col("value").desc(), F.col("item").asc())
-    return every.withColumn("rank", F.row_number().over(w)).filter((F.col("part") == "pair") | (F.col("rank") <= top))
+    w = Window.partitionBy("lang", "source").orderBy(F.col("value").desc(), F.col("item").asc())
+    ranked = pairs.unionByName(alike).withColumn("rank", F.row_number().over(w))
+    # Each task keeps the first ones of each source before they are dealt out.
+    return ranked.unionByName(found.filter("part = 'term'").withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= top))
 
 
 def op13_source_divergence(spark, sf_dir: str) -> DataFrame:
