@@ -1,6 +1,10 @@
 """Near copies: texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more, exactly.
 
-Two such sets share four fifths of either one.  So a text stays in the race only if four fifths of its shingles occur in
+SimHash fingerprints of all rows, joined through vantage-point trees (``simhash_vptree``), give the first links; they are
+held against the sets, and what is connected then isn't compared again.  Fingerprints of similar texts often differ in
+more bits than a tree can be searched for, so the rest is found in an exact way.
+
+Two similar sets share four fifths of either one.  So a text stays in the race only if four fifths of its shingles occur in
 some other text too, which a count over all shingles, packed in blocks, finds out; most texts end there.  Of the others,
 two similar ones share a shingle among the rarest fifth (and one more) of each.  A shingle's place in that order says how
 large a set can be with which it is the first in common, so the sets of a shingle fall into runs that can't hold similar
@@ -21,9 +25,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from siltstone.llm.common import byte_texts, connected_components, join_counted, lean, shuffle_partitions, staged, text_slices
+from siltstone.llm.simhash_vptree import near_duplicates
 
 SHINGLE = 5
 NUM, DEN = 4, 5  # the similarity, as a fraction
+DISTANCE = 5  # bits in which linked fingerprints may differ: at most one in some block of three, as with four
 BUCKET = 16 << 20  # characters of text whose shingles make one bucket
 PART = 16 << 20  # bytes of the sets that are compared as one part of a group
 BROADCAST = 1_000_000  # keys that are sent to all executors
@@ -207,13 +213,24 @@ def candidate_stars(heads: DataFrame) -> DataFrame:
     return runs.select("h", "size", F.min("a").over(w).alias("a"), "n")
 
 
-def similar_groups(sets: list[np.ndarray]) -> np.ndarray:
+def similar_groups(sets: list[np.ndarray], known: np.ndarray | None = None) -> np.ndarray:
     """For each set the number of the first one of its group; groups are what similar pairs connect.
 
     Candidates come from an index of the rarest shingles of each set.  What is in a group is looked at no more and
     leaves the index, so a dense group of n sets takes some multiple of n comparisons and not n squared.
+    Sets with the same number in ``known`` (-1: none) are connected already and come into a group together.
     """
     sizes = np.array([len(s) for s in sets])
+    known = np.full(len(sets), -1) if known is None else known
+    order = np.argsort(known, kind="stable")
+    ranked = known[order]
+
+    def with_known(i):
+        if known[i] < 0:
+            return [i]
+        lo, hi = np.searchsorted(ranked, known[i]), np.searchsorted(ranked, known[i], side="right")
+        return order[lo:hi].tolist()
+
     _, inverse, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
     rank = np.empty(len(counts), np.int64)
     rank[np.argsort(counts, kind="stable")] = np.arange(len(counts))
@@ -232,9 +249,9 @@ def similar_groups(sets: list[np.ndarray]) -> np.ndarray:
     for start in range(len(sets)):
         if not left[start]:
             continue
-        left[start] = False
-        n_left -= 1
-        todo = [start]
+        todo = with_known(start)
+        left[todo], group[todo] = False, start
+        n_left -= len(todo)
         while todo and n_left:
             if n_left * 2 < indexed:
                 token, owner, indexed = index()
@@ -244,10 +261,11 @@ def similar_groups(sets: list[np.ndarray]) -> np.ndarray:
             near = near[left[near] & (DEN * np.minimum(sizes[near], sizes[i]) >= NUM * np.maximum(sizes[near], sizes[i]))]
             mark[tokens[i]] = True
             for j in near.tolist():
-                if (NUM + DEN) * np.count_nonzero(mark[tokens[j]]) >= NUM * (sizes[i] + sizes[j]):
-                    left[j], group[j] = False, start
-                    n_left -= 1
-                    todo.append(j)
+                if left[j] and (NUM + DEN) * np.count_nonzero(mark[tokens[j]]) >= NUM * (sizes[i] + sizes[j]):
+                    come = with_known(j)
+                    left[come], group[come] = False, start
+                    n_left -= len(come)
+                    todo += come
             mark[tokens[i]] = False
     return group
 
@@ -255,22 +273,24 @@ def similar_groups(sets: list[np.ndarray]) -> np.ndarray:
 def _verify(batches):
     schema = pa.schema([("node", pa.binary()), ("first", pa.binary())])
 
-    def emit(nodes, blobs):
-        group = similar_groups([np.frombuffer(b, np.uint64) for b in blobs])
+    def emit(nodes, blobs, known):
+        numbers = {k: i for i, k in enumerate(dict.fromkeys(k for k in known if k is not None))}
+        group = similar_groups([np.frombuffer(b, np.uint64) for b in blobs], np.array([numbers.get(k, -1) for k in known]))
         return pa.RecordBatch.from_arrays([pa.array(nodes, pa.binary()), pa.array([nodes[g] for g in group], pa.binary())], schema=schema)
 
-    root, nodes, blobs = None, [], []
+    root, nodes, blobs, known = None, [], [], []
     for batch in batches:
         for part in text_slices(batch, 2, 2 << 20):
-            for r, node, blob in zip(*(c.to_pylist() for c in part.columns), strict=True):
+            for r, node, blob, k in zip(*(c.to_pylist() for c in part.columns), strict=True):
                 if r != root and nodes:
-                    yield emit(nodes, blobs)
-                    nodes, blobs = [], []
+                    yield emit(nodes, blobs, known)
+                    nodes, blobs, known = [], [], []
                 root = r
                 nodes.append(node)
                 blobs.append(blob)
+                known.append(k)
     if nodes:
-        yield emit(nodes, blobs)
+        yield emit(nodes, blobs, known)
 
 
 def few(keys: DataFrame) -> DataFrame:
@@ -283,7 +303,7 @@ def row_key(id_col: str = "doc_id", text_col: str = "text"):
 
 
 def _in_parts(linked: DataFrame, classes: DataFrame, part: int) -> DataFrame:
-    """``key, node, hashes``: the sets that are compared with each other have a key in common.
+    """``key, node, hashes, known``: the sets that are compared with each other have a key in common.
 
     A group of one part has one key; of others each pair of parts has one, so sets of one part meet there too.
     """
@@ -292,7 +312,29 @@ def _in_parts(linked: DataFrame, classes: DataFrame, part: int) -> DataFrame:
     rows = located.join(classes.select("node", "hashes"), "node")
     rows = rows.select("*", F.explode(F.expr("if(parts = 1, array(0L), filter(sequence(0L, parts - 1), i -> i <> own))")).alias("other"))
     digits = [F.unhex(F.lpad(F.hex(pick("own", "other")), 16, "0")) for pick in (F.least, F.greatest)]
-    return rows.select(F.concat("root", *digits).alias("key"), "node", "hashes")
+    return rows.select(F.concat("root", *digits).alias("key"), "node", "hashes", "known")
+
+
+def _alike(linked: DataFrame, classes: DataFrame, part: int) -> DataFrame:
+    """Stars ``a, b`` of the similar sets in groups ``node, root, known``."""
+    dealt = _in_parts(linked, classes, part).repartition("key").sortWithinPartitions("key")
+    return dealt.mapInArrow(lean(_verify), "node binary, first binary").select(F.col("first").alias("a"), F.col("node").alias("b"))
+
+
+def fingerprint_groups(near: DataFrame, sets: DataFrame) -> DataFrame:
+    """``node, root, known``: the sets of each component of fingerprints (``key, near``) that has two or more of them."""
+    root = F.unhex(F.lpad(F.hex("near"), 16, "0")).alias("root")
+    pairs = staged(sets.select("key", "node").distinct().join(near.distinct(), "key").select("node", root).distinct(), "fingerprinted")
+    several = staged(pairs.groupBy("root").agg(F.count("*").alias("n")).filter("n > 1"), "several")
+    return join_counted(pairs, several, "root").select("node", "root", F.lit(None).cast("binary").alias("known"))
+
+
+def open_groups(linked: DataFrame, known: DataFrame) -> DataFrame:
+    """``node, root, known``: the groups of candidates that ``known`` (``node, known``) doesn't connect as a whole."""
+    marked = staged(linked.join(known, "node", "left"), "marked")
+    whole = (F.min("known") == F.max("known")) & (F.count("known") == F.count("*"))
+    left = staged(marked.groupBy("root").agg(F.count("*").alias("n"), F.coalesce(whole, F.lit(False)).alias("whole")).filter("not whole").select("root", "n"), "open")
+    return join_counted(marked, left, "root").select("node", "root", "known")
 
 
 def copies_to_drop(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", part: int = PART) -> DataFrame:
@@ -302,6 +344,7 @@ def copies_to_drop(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     counts as the largest; of several texts under the smallest id one stays.  Repeated rows share their key.
     """
     d = docs.select(row_key(id_col, text_col).alias("key"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), F.col(id_col).cast("long").alias("doc_id"))
+    near = staged(near_duplicates(d.select("key", "text"), "key", "text", max_distance=DISTANCE).select(F.col("doc_id").alias("key"), F.col("component_id").alias("near")), "near")
     chars = d.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(shuffle_partitions(docs.sparkSession), -(-chars // BUCKET))
     blocks = d.select("key", "text").mapInArrow(lean(_blocks(buckets)), _BLOCK_DDL).repartition(buckets, "bucket").sortWithinPartitions("bucket")
@@ -309,14 +352,15 @@ def copies_to_drop(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     raced = staged(counts.mapInArrow(lean(_raced), "key long"), "raced")
     sets = staged(d.join(few(raced), "key", "left_semi").select("key", "text", "doc_id").mapInArrow(lean(_sets), "node binary, doc_id long, key long, hashes binary"), "sets")
     classes = staged(sets.groupBy("node").agg(F.first("hashes").alias("hashes"), F.first(F.octet_length("hashes")).alias("bytes"), F.count("*").alias("n")), "classes")
+    first = staged(_alike(staged(fingerprint_groups(near, sets), "by_fingerprint"), classes, part), "first")
+    known = staged(first.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("known")), "known")  # one star of each set
     held = docs.sparkSession.sparkContext.broadcast(common_shingles(classes))
     heads = staged(classes.select("node", "hashes").mapInArrow(lean(_prefixes(held)), _HEAD_DDL).withColumn("place", F.struct("h", "size")), "prefixes")
     stars = staged(candidate_stars(heads).select(F.struct("h", "size").alias("place"), "a", "n"), "least")
     links = join_counted(heads.select("place", "node"), stars, "place").select("a", F.col("node").alias("b")).filter("a <> b").distinct()
-    linked = connected_components(links, "copies")
-    dealt = _in_parts(linked, classes, part).repartition("key").sortWithinPartitions("key")
-    stars = dealt.mapInArrow(lean(_verify), "node binary, first binary")
-    alike = connected_components(stars.select(F.col("first").alias("a"), F.col("node").alias("b")), "alike").withColumnRenamed("root", "first")
+    linked = staged(open_groups(connected_components(links, "copies"), known), "linked")
+    stars = _alike(linked, classes, part).unionByName(first)
+    alike = connected_components(stars, "alike").withColumnRenamed("root", "first")
     named = staged(classes.select("node", "n").join(alike, "node", "left").select("node", F.coalesce("first", "node").alias("first"), "n"), "named")
     rows = staged(join_counted(sets.select("node", "key", "doc_id"), named, "node").select("key", "doc_id", "first"), "groups")
     best = rows.groupBy("first").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "key")).alias("best"), F.count("*").alias("n"))

@@ -49,6 +49,8 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group that pairs with a Jaccard similarity of five-word shingles of at least 0.8 connect, the row with the smallest id.
 
+    Links come from op9's operator, SimHash fingerprints of all rows in vantage-point trees, and are held against the
+    shingles; an exact join finds those between fingerprints that lie further apart.
     Rows are told apart by id and text; null and empty texts are alike; a null id counts as the largest; of repeated
     rows one stays.
     """

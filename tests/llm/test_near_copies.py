@@ -118,3 +118,33 @@ def test_prefixes_hold_a_shingle_that_both_may_have_first():
         (hx, rx), (hy, ry) = (near_copies.ordered_prefix(s, common, counts) for s in (x, y))
         a, b = dict(zip(hx.tolist(), rx.tolist(), strict=True)), dict(zip(hy.tolist(), ry.tolist(), strict=True))
         assert any(a[h] >= len(y) and b[h] >= len(x) for h in a.keys() & b.keys())
+
+
+def test_fingerprints_of_all_rows_give_the_first_links(spark, monkeypatch, tmp_path):
+    """Without the exact candidates the stage still finds what the trees link, of all rows, and drops no unlike ones."""
+    rows = made()
+    seen, operator = [], near_copies.near_duplicates
+
+    def counted(docs, *args, **kwargs):
+        seen.append(docs.count())
+        return operator(docs, *args, **kwargs)
+
+    monkeypatch.setattr(near_copies, "near_duplicates", counted, raising=False)
+    real = near_copies.candidate_stars
+    monkeypatch.setattr(near_copies, "candidate_stars", lambda heads: real(heads).filter("false"))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {r.doc_id for r in corpus_pipeline.near_dedup(spark, df, str(tmp_path)).collect()}
+    equal = {}
+    for i, t in rows:
+        equal.setdefault(frozenset(near_copies.shingles((t or "").encode()).tolist()), []).append(i)
+    assert seen == [len(rows)] and set(brute_force(rows)) <= got and len(got) < len(equal)
+
+
+def test_what_fingerprints_connect_is_one_group(spark):
+    """A set that is like one member of a known group comes into it; two known groups stay apart unless a pair is alike."""
+    a = np.arange(100, dtype=np.uint64)
+    sets = [a, a + np.uint64(30), a + np.uint64(1), a + np.uint64(35), a + np.uint64(900), a + np.uint64(950)]
+    assert near_copies.similar_groups(sets, np.array([0, 0, -1, -1, 1, 1])).tolist() == [0, 0, 0, 0, 4, 4]
+    linked = spark.createDataFrame([(b"a", b"r"), (b"b", b"r"), (b"c", b"s"), (b"d", b"s"), (b"e", b"t"), (b"f", b"t")], "node binary, root binary")
+    known = spark.createDataFrame([(b"a", b"a"), (b"b", b"a"), (b"c", b"c"), (b"e", b"e"), (b"f", b"f")], "node binary, known binary")
+    assert {bytes(r.node) for r in near_copies.open_groups(linked, known).collect()} == {b"c", b"d", b"e", b"f"}
